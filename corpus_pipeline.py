@@ -1,4 +1,69 @@
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of `documents`. run()
+writes each stage's result to the shared folder and reads it again, so a lost executor costs a stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchline.llm import common, decontamination, line_dedup, near_dedup, packing, quality_rules
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that every rule of the policy passes."""
+    rows = quality_rules.apply_policy(quality_rules.ledger(docs.select(*COLUMNS), carry=True), "v1")
+    return rows.where("kept").select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many documents share; each such line stays in its last document."""
+    kept = line_dedup.line_dedup(docs.select(*COLUMNS), carry=("lang", "source"))
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class; rows without an id stay, repeated rows of an id become one."""
+    docs = docs.select(*COLUMNS)
+    first = near_dedup.near_classes(docs).where("doc_id = class_id").select("doc_id")
+    rest = [F.col(c) for c in COLUMNS if c != "doc_id"]
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark; rows without an id can't be named and stay."""
+    docs = docs.select(*COLUMNS)
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and offset."""
+    import public_tokenizers
+
+    pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
+
+#: Alignment and bin packing are beyond SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return docs

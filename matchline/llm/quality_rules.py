@@ -34,7 +34,7 @@ RULES = (
     Rule(2, "many_symbols", "10 * n_symbols > n_words"),
     Rule(3, "short_words", "word_chars < 2 * n_words"),
     Rule(4, "long_words", "word_chars > 20 * n_words"),
-    Rule(5, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(5, "repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule(6, "capitals", "2 * n_capitals > word_chars"),
     Rule(7, "shouting", "5 * n_marks > n_words"),
 )
@@ -47,15 +47,18 @@ def mask(policy: str) -> int:
     return sum(1 << r.bit for r in RULES if r.name in POLICIES[policy])
 
 
-def measures(docs: DataFrame) -> DataFrame:
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id and MEASURES (long), one row per input row; null text counts as empty.
 
+    carry: row, a struct of all of docs' columns, is kept beside them.
+
     Windows of three words are hashed and, only where a text holds equal ones, sorted with their places, so equal
     windows are neighbours: n log n steps per text and no shuffle.
     """
-    own = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = documents(docs, *([F.struct("*").alias("row")] if carry else [])).withColumn("text", F.coalesce("text", F.lit("")))
+    kept = ["doc_id", "row"] if carry else ["doc_id"]
     cut = own.select(
-        "doc_id",
+        *kept,
         F.array_remove(F.split("text", _BLANKS), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -63,7 +66,7 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.regexp_replace("text", "[A-Z]+", ""))).cast("long").alias("n_capitals"),
     )
     sized = cut.select(
-        "doc_id",
+        *kept,
         "n_symbols",
         "n_marks",
         "n_capitals",
@@ -86,11 +89,11 @@ def measures(docs: DataFrame) -> DataFrame:
     ).drop("placed")
     # Windows cover three words from each place; overlapping ones count their words once.
     covered = F.expr("CASE WHEN places IS NULL THEN 0 ELSE 3 + aggregate(transform(places, (p, k) -> CASE WHEN k = 0 THEN 0 ELSE least(3, p - get(places, k - 1)) END), 0, (a, x) -> a + x) END")
-    return found.withColumn("n_repeat_words", covered.cast("long")).select("doc_id", *MEASURES)
+    return found.withColumn("n_repeat_words", covered.cast("long")).select(*kept, *MEASURES)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, MEASURES and failed (int): bit r.bit is set where rule r fails.
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id (row, if carried), MEASURES and failed (int): bit r.bit is set where rule r fails.
 
     One row per input row, repeated and null ids included; null or empty text: all measurements 0, few_words fails.
     Empty table: no rows. Other columns are ignored.
@@ -99,7 +102,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return measures(docs).withColumn("failed", failed.cast("int"))
+    return measures(docs, carry).withColumn("failed", failed.cast("int"))
 
 
 def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
