@@ -57,7 +57,7 @@ def score_profiles(signals: DataFrame, entities: DataFrame, as_of: datetime.date
     scores = per_type.groupBy("entity_type", "entity_id").agg(F.sum("capped").alias("aggregate"), F.sum("signal_count").alias("signal_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("anomaly_type", "capped")))).alias("breakdown"))
     prints = rows.groupBy("entity_type", "entity_id").agg(F.array_sort(F.collect_list("fingerprint")).alias("prints"), *(F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in S.SEVERITY_SCORES))
     own = entities.join(scores, ["entity_type", "entity_id"], "left").join(prints, ["entity_type", "entity_id"], "left")
-    score = F.coalesce(S.normalize_score("aggregate"), F.lit(0))
+    score = S.normalize_score(F.coalesce("aggregate", F.lit(Decimal(0))))
     identity = F.concat_ws("|", "entity_type", F.col("entity_id").cast("string"), F.lit(version), F.lit(as_of.isoformat()), F.array_join(F.coalesce("prints", F.array().cast("array<string>")), "|"))
     alone = F.concat_ws("|", "entity_type", F.col("entity_id").cast("string"), F.lit(version), F.lit(as_of.isoformat()))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
