@@ -250,8 +250,8 @@ def explain_signal(kind: Col, evidence: Col) -> tuple[Column, Column]:
     timing = F.element_at(_c(evidence), "timing_kind")
     say = lambda text, *keys: F.format_string(text, *(e(k) for k in keys))
     title = (
-        F.when(t == "PRICE_VARIANCE", "Invoice unit price vs purchase order: variance")
-        .when(t == "QUANTITY_VARIANCE", "Invoice quantity vs expected quantity: variance")
+        F.when(t == "PRICE_VARIANCE", "Invoice unit price variance vs purchase order")
+        .when(t == "QUANTITY_VARIANCE", "Invoice quantity variance vs expected quantity")
         .when(t == "DUPLICATE_INVOICE", "Possible duplicate invoice identity")
         .when((t == "TIMING_ANOMALY") & (timing == "invoice_before_po"), "Invoice date precedes purchase order date")
         .when((t == "TIMING_ANOMALY") & (timing == "invoice_before_grn"), "Invoice date precedes goods receipt date")
@@ -261,13 +261,14 @@ def explain_signal(kind: Col, evidence: Col) -> tuple[Column, Column]:
         .otherwise("Procurement anomaly signal")
     )
     sentence = (
-        F.when(t == "PRICE_VARIANCE", say("Unit price %s against %s on the order (%s %% variance).", "invoice_unit_price", "po_unit_price", "variance_percent"))
-        .when(t == "QUANTITY_VARIANCE", say("Quantity %s against %s expected (%s %% variance).", "invoiced_quantity", "expected_quantity", "variance_percent"))
-        .when(t == "DUPLICATE_INVOICE", say("%s invoices share the normalized number %s.", "duplicate_count", "normalized_invoice_number"))
-        .when((t == "TIMING_ANOMALY") & (timing == "long_po_to_invoice_delay"), say("Invoiced %s days after the order (threshold %s days).", "delay_days", "threshold_days"))
-        .when(t == "TIMING_ANOMALY", F.concat(title, F.lit(".")))
-        .when(t == "VENDOR_SPIKE", say("Value %s is %s times the average %s of %s other invoices.", "current_value", "ratio", "baseline_average", "historical_invoice_count"))
-        .when(t == "REPEATED_MISMATCH", say("%s exceptions on %s invoices (rate %s) in %s days.", "exception_count", "invoice_count", "exception_rate", "window_days"))
+        F.when(t == "PRICE_VARIANCE", say("Invoice unit price %s differs from PO unit price %s (%s%% variance).", "invoice_unit_price", "po_unit_price", "variance_percent"))
+        .when(t == "QUANTITY_VARIANCE", say("Invoiced quantity %s differs from expected quantity %s (%s%% variance).", "invoiced_quantity", "expected_quantity", "variance_percent"))
+        .when(t == "DUPLICATE_INVOICE", say("Vendor has %s invoice records sharing normalized invoice number %s.", "duplicate_count", "normalized_invoice_number"))
+        .when((t == "TIMING_ANOMALY") & (timing == "long_po_to_invoice_delay"), say("Invoice date is %s days after the purchase order date (threshold %s days).", "delay_days", "threshold_days"))
+        .when((t == "TIMING_ANOMALY") & (timing == "invoice_before_grn"), "Invoice date precedes goods receipt (GRN) date.")
+        .when(t == "TIMING_ANOMALY", "Invoice date precedes purchase order date.")
+        .when(t == "VENDOR_SPIKE", say("Invoice value %s is %sx the vendor's recent baseline average %s (n=%s).", "current_value", "ratio", "baseline_average", "historical_invoice_count"))
+        .when(t == "REPEATED_MISMATCH", say("Vendor has %s reconciliation exceptions across %s invoices (%s rate) in a %s-day window.", "exception_count", "invoice_count", "exception_rate", "window_days"))
         .otherwise("Deterministic anomaly signal detected.")
     )
     return title, sentence
