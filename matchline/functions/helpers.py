@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from .scalars import MISSING_WORDS, SENSITIVE
 
@@ -145,7 +146,7 @@ def embed(text: str, dim: int, seen: dict[str, tuple[np.ndarray, np.ndarray]]) -
 def embed_batch(df: DataFrame, text: str, dim: int = 768) -> DataFrame:
     """Df with vector (array<float>), the hashed embedding of a text column (null as empty)."""
     on_workers(df.sparkSession)
-    schema = df.schema.add("vector", "array<float>")
+    schema = StructType([*df.schema.fields, StructField("vector", ArrayType(FloatType()))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
