@@ -26,6 +26,14 @@ def _c(c: Col) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fenced(c: Col) -> Column:
+    """The column, marked as not deterministic: filters on what is derived from it stay above its projection.
+
+    Below it, a filter would repeat the whole derivation for every place where it names the column.
+    """
+    return F.when(F.spark_partition_id() >= 0, _c(c))
+
+
 def normalize_invoice_number(c: Col) -> Column:
     """Trimmed, lower case, runs of blanks and underscores as one dash, no dashes at the ends."""
     joined = F.regexp_replace(F.lower(F.trim(_c(c))), r"[\s_]+", "-")

@@ -1 +1,149 @@
+"""Document texts to candidates, D1 to D17, over invoice texts written from the tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures as X
+from ..operators import documents as D
+from .base import query
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """One text per invoice: labelled head and item lines; by invoice_id div 10 % 6: plain, without a number, number 'N/A', two numbers, stacked columns, empty."""
+    item = F.struct("line_number", "invoice_line_id", F.concat(F.lit("Item L"), F.col("line_number").cast("string"), F.lit(" "), F.col("quantity").cast("decimal(18,2)").cast("string"), F.lit(" "), F.col("unit_price").cast("decimal(18,2)").cast("string")).alias("t"), F.concat_ws("\n", F.concat(F.lit("Item L"), F.col("line_number").cast("string")), F.col("quantity").cast("decimal(18,2)").cast("string"), F.col("unit_price").cast("decimal(18,2)").cast("string")).alias("s"))
+    items = X.inv_line(spark, d).groupBy("invoice_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    own = X.inv(spark, d).join(items, "invoice_id", "left").join(X.vendors(spark, d), "vendor_id", "left")
+    v, number = F.floor(F.col("invoice_id") / 10).cast("long") % 6, F.trim("invoice_number")
+    label = F.when(v == 1, "").when(v == 2, "Invoice Number: N/A\n").when(v == 3, F.concat(F.lit("Invoice Number: A-"), F.col("invoice_id").cast("string"), F.lit(" / B-"), F.col("invoice_id").cast("string"), F.lit("\n"))).otherwise(F.concat(F.lit("Invoice Number: "), number, F.lit("\n")))
+    head = F.concat(label, F.lit("Vendor: "), "name", F.lit("\nInvoice Date: "), F.col("invoice_date").cast("string"), F.lit("\nCurrency: USD\n"))
+    lines = F.array_join(F.transform("items", lambda x: x["t"]), "\n")
+    stacked = F.concat(F.lit("Description\nQty\nUnit Price\n"), F.array_join(F.transform("items", lambda x: x["s"]), "\n"))
+    text = F.when(v == 5, "").when(v == 4, F.concat(head, F.coalesce(stacked, F.lit("")))).otherwise(F.concat(head, F.coalesce(lines, F.lit(""))))
+    return own.select(F.col("invoice_id").alias("doc_id"), F.lit("scan.pdf").alias("filename"), F.lit(None).cast("string").alias("declared_type"), text.alias("full_text"), v.alias("variant"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).alias("n_items"))
+
+
+_T = "t AS (SELECT invoice_id AS doc_id, (invoice_id // 10) % 6 AS v, trim(invoice_number) AS number, vendor_id, name, invoice_date, coalesce(n, 0) AS n FROM inv LEFT JOIN vendors USING (vendor_id) LEFT JOIN (SELECT invoice_id, count(*) AS n FROM inv_line GROUP BY 1) USING (invoice_id))"
+_TYPE = "CASE WHEN v = 5 THEN 'UNKNOWN' ELSE 'INVOICE' END"
+_OUTCOME = "CASE WHEN v = 3 OR v = 5 THEN 'REVIEW_REQUIRED' WHEN v IN (1, 2) OR n = 0 THEN 'VALIDATION_FAILED' ELSE 'READY_FOR_RECONCILIATION' END"
+
+
+@query("d1_classify", f"{_T} SELECT doc_id, {_TYPE} AS detected_type FROM t")
+def d1(spark, d):
+    return D.classify(D.labelled_fields(texts(spark, d))).select("doc_id", "detected_type")
+
+
+@query("d2_labelled_fields", f"{_T} SELECT doc_id, CASE WHEN v IN (0, 4) THEN number END AS invoice_number, CASE WHEN v <> 5 THEN name END AS vendor_name, CASE WHEN v <> 5 THEN invoice_date::VARCHAR END AS invoice_date, v = 3 AS ambiguous FROM t")
+def d2(spark, d):
+    read = D.labelled_fields(texts(spark, d))
+    get = lambda k: F.try_element_at("fields", F.lit(k)).alias(k)
+    return read.select("doc_id", get("invoice_number"), get("vendor_name"), get("invoice_date"), (F.size("ambiguous") > 0).alias("ambiguous"))
+
+
+@query("d3_table_lines", "SELECT invoice_id AS doc_id, count(*) FILTER (invoice_line_id % 5 <> 0) AS n, round(sum(quantity::DOUBLE) FILTER (invoice_line_id % 5 <> 0), 4) AS quantity FROM inv_line GROUP BY 1 HAVING count(*) FILTER (invoice_line_id % 5 <> 0) > 0")
+def d3(spark, d):
+    empty = F.col("invoice_line_id") % 5 == 0
+    rows = X.inv_line(spark, d).groupBy(F.col("invoice_id").alias("doc_id")).agg(F.collect_list(F.array(F.lit("x"), F.when(empty, "-").otherwise(F.col("quantity").cast("string")), F.when(empty, "").otherwise(F.concat(F.lit("$"), F.col("unit_price").cast("string"))))).alias("rows"))
+    tables = rows.select("doc_id", F.array(F.struct(F.array(F.lit("Item"), F.lit(" Qty "), F.lit("Unit Price")).alias("headers"), "rows")).alias("tables"))
+    total = F.aggregate("table_lines", F.lit(0.0), lambda a, x: a + x["quantity"].cast("double"))
+    return D.table_lines(tables).select("doc_id", F.size("table_lines").cast("long").alias("n"), F.round(total, 4).alias("quantity"))
+
+
+def _lines_sql(variants: str) -> str:
+    return f"{_T} SELECT doc_id, n AS n_lines FROM t WHERE v IN ({variants})"
+
+
+@query("d4_stacked_lines", _lines_sql("4"))
+def d4(spark, d):
+    read = D.labelled_fields(texts(spark, d)).where("variant = 4")
+    return read.select("doc_id", F.size(D.stacked_lines()).cast("long").alias("n_lines"))
+
+
+@query("d5_text_lines", _lines_sql("0, 1"))
+def d5(spark, d):
+    return texts(spark, d).where("variant IN (0, 1)").select("doc_id", F.size(D.text_lines()).cast("long").alias("n_lines"))
+
+
+@query("d6_build_candidates", f"{_T} SELECT doc_id, CASE WHEN v IN (0, 4) THEN number END AS invoice_number, CASE WHEN v <> 5 THEN invoice_date END AS doc_date, CASE WHEN v = 5 THEN 0 ELSE n END AS n_lines, round(CASE WHEN v = 5 THEN 0 ELSE coalesce(q, 0) END, 2) AS quantity FROM t LEFT JOIN (SELECT invoice_id, sum(quantity::DECIMAL(18,2))::DOUBLE AS q FROM inv_line GROUP BY 1) s ON s.invoice_id = doc_id")
+def d6(spark, d):
+    c = D.build_candidates(D.classify(D.labelled_fields(texts(spark, d))))
+    own = c.withColumn("doc_date", F.coalesce("doc_date", F.lit(None).cast("date")))
+    total = F.aggregate("lines", F.lit(0.0), lambda a, x: a + F.coalesce(x["quantity"].cast("double"), F.lit(0.0)))
+    return own.select("doc_id", "invoice_number", "doc_date", F.size("lines").cast("long").alias("n_lines"), F.round(total, 2).alias("quantity"))
+
+
+@query("d7_validate_candidates", f"{_T} SELECT doc_id, concat_ws(',', CASE WHEN v = 5 THEN 'UNKNOWN_OR_EMPTY' END, CASE WHEN v IN (1, 2, 3) THEN 'MISSING_INVOICE_NUMBER' END, CASE WHEN v <> 5 AND n = 0 THEN 'MISSING_LINES' END, CASE WHEN v = 3 THEN 'AMBIGUOUS_FIELD' END) AS codes FROM t")
+def d7(spark, d):
+    c = D.understand(texts(spark, d))
+    return c.select("doc_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
+
+
+@query("d8_outcome", f"{_T} SELECT doc_id, {_OUTCOME} AS outcome FROM t")
+def d8(spark, d):
+    return D.understand(texts(spark, d)).select("doc_id", "outcome")
+
+
+@query("d9_route_reviews", f"{_T} SELECT doc_id, CASE WHEN v = 5 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM t WHERE v IN (3, 5) AND doc_id % 20 <> 0")
+def d9(spark, d):
+    docs = texts(spark, d)
+    return D.route_reviews(D.understand(docs), docs.where("doc_id % 20 = 0")).select("doc_id", "priority")
+
+
+@query("d10_apply_corrections", f"{_T} SELECT doc_id, 'FIX-' || doc_id AS invoice_number, 'READY_FOR_RECONCILIATION' AS outcome FROM t WHERE v IN (1, 2) AND n > 0")
+def d10(spark, d):
+    docs = texts(spark, d).where("variant IN (1, 2) AND n_items > 0")
+    changes = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(s).alias("seq"), F.lit(p).alias("field_path"), v.alias("value")) for s, p, v in ((1, "invoice_number", F.lit("first")), (2, "invoice_number", F.concat(F.lit("FIX-"), F.col("doc_id").cast("string"))), (3, "total_amount", F.lit("not a number")), (4, "lines[0].quantity", F.lit("5")))))).alias("e")).select("doc_id", "e.*")
+    fixed, _ = D.apply_corrections(D.understand(docs).drop("issues", "is_valid", "requires_review", "outcome"), changes)
+    return D.outcome(D.validate_candidates(fixed)).select("doc_id", "invoice_number", "outcome")
+
+
+@query("d11_promotable", f"{_T} SELECT doc_id FROM t WHERE v IN (0, 4) AND n > 0 AND doc_id % 4 = 0")
+def d11(spark, d):
+    docs = texts(spark, d)
+    tasks = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "APPROVED").otherwise("PENDING").alias("status"))
+    return D.promotable(D.understand(docs), tasks).select("doc_id")
+
+
+@query("d12_promote", f"{_T} SELECT doc_id, number, vendor_id::VARCHAR AS vendor_id FROM t WHERE v IN (0, 4)")
+def d12(spark, d):
+    head, _, _ = D.promote(D.understand(texts(spark, d)), X.vendors(spark, d), X.po(spark, d))
+    return head.where("kind = 'INVOICE'").select("doc_id", "number", F.col("vendor_id").cast("string").alias("vendor_id"))
+
+
+@query("d13_compare_candidates", "SELECT invoice_id AS doc_id, CASE WHEN invoice_id % 6 = 0 THEN 'a_only' WHEN invoice_id % 4 = 0 THEN 'disagreement' ELSE 'agreement' END AS result FROM inv")
+def d13(spark, d):
+    i = F.col("invoice_id")
+    a = X.inv(spark, d).select(i.alias("doc_id"), F.lit("total_amount").alias("path"), F.col("total_amount").cast("string").alias("value"))
+    b = X.inv(spark, d).where(i % 6 != 0).select(i.alias("doc_id"), F.lit("total_amount").alias("path"), F.concat(F.lit("$ "), (F.col("total_amount") + F.when(i % 4 == 0, 1).otherwise(0)).cast("string")).alias("value"))
+    return D.compare_candidates(a, b).select("doc_id", "result")
+
+
+@query("d14_grounded_values", f"{_T} SELECT doc_id, doc_id % 2 = 0 AND v <> 5 AS grounded FROM t")
+def d14(spark, d):
+    docs = texts(spark, d).join(X.inv(spark, d).select(F.col("invoice_id").alias("doc_id"), "invoice_date"), "doc_id")
+    values = docs.select("doc_id", F.lit("invoice_date").alias("path"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("invoice  DATE "), F.col("invoice_date").cast("string"))).otherwise("no such value").alias("value"))
+    return D.grounded_values(values, docs).select("doc_id", "grounded")
+
+
+def _checks(spark, d):
+    i = F.col("invoice_id")
+    return X.inv(spark, d).select(i.alias("doc_id"), F.when(i % 50 == 0, "timeout").alias("provider_error"), (i % 7 != 0).alias("structured_valid"), F.when(i % 11 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("unsupported"), (i % 13 != 0).alias("business_ok"), F.when(i % 17 == 0, 1).otherwise(0).alias("financial_disagreements"), (i % 3).alias("one_sided"), (i % 11 != 0).alias("grounded"), (i % 13 == 0).alias("hard_errors"))
+
+
+_VERDICT = "CASE WHEN invoice_id % 50 = 0 OR invoice_id % 7 = 0 OR invoice_id % 11 = 0 OR invoice_id % 13 = 0 OR invoice_id % 17 = 0 THEN 'REVIEW_REQUIRED' WHEN invoice_id % 3 > 0 THEN 'MEDIUM' ELSE 'HIGH' END"
+
+
+@query("d15_quality_verdict", f"SELECT invoice_id AS doc_id, {_VERDICT} AS quality FROM inv")
+def d15(spark, d):
+    return D.quality_verdict(_checks(spark, d)).select("doc_id", "quality")
+
+
+@query("d16_needs_assist", f"{_T} SELECT doc_id, NOT (v IN (0, 4) AND n > 0) AS assist, CASE WHEN v IN (0, 4) AND n > 0 THEN '' ELSE concat_ws(',', 'outcome:' || {_OUTCOME}, CASE WHEN v = 5 THEN 'type:UNKNOWN' END, CASE WHEN v IN (3, 5) THEN 'requires_review' END, CASE WHEN v = 5 THEN 'issue:UNKNOWN_OR_EMPTY' END, CASE WHEN v IN (1, 2, 3) THEN 'issue:MISSING_INVOICE_NUMBER' END, CASE WHEN v <> 5 AND n = 0 THEN 'issue:MISSING_LINES' END, CASE WHEN v = 5 OR n = 0 THEN 'no_lines' END) END AS reasons FROM t")
+def d16(spark, d):
+    return D.needs_assist(D.understand(texts(spark, d))).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("d17_assist_status", f"SELECT invoice_id AS doc_id, CASE WHEN invoice_id % 11 = 0 THEN 'EVIDENCE_FAILED' WHEN invoice_id % 13 = 0 THEN 'VALIDATION_FAILED' WHEN invoice_id % 17 = 0 THEN 'DISAGREEMENT' ELSE 'INVOKED' END AS state, CASE WHEN invoice_id % 17 = 0 OR invoice_id % 11 = 0 THEN 'HIGH' WHEN {_VERDICT} = 'HIGH' THEN 'LOW' ELSE 'MEDIUM' END AS priority FROM inv")
+def d17(spark, d):
+    return D.assist_status(D.quality_verdict(_checks(spark, d))).select("doc_id", "state", "priority")
