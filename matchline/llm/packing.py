@@ -25,8 +25,8 @@ CAPACITY = 2048
 #: Pieces of a partition, on average.
 PARTITION = 50_000
 ROUNDS = 3
-#: Word encodings that a Python worker keeps.
-CACHED = 600_000
+#: Word encodings that a Python worker keeps; beyond, those of the words at hand stay.
+CACHED = 1_000_000
 
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_ITEM}, sequence_id long, offset long, part long, gap int"
@@ -41,19 +41,52 @@ def _encoder(path: str):
     own = Tokenizer.from_file(path)
     own.no_truncation()
     own.no_padding()
+    special = sorted((i, x.content) for i, x in own.get_added_tokens_decoder().items() if x.special)
+    mark, mark_id = (special[0][1].encode(), special[0][0]) if special else (b"", -1)
     known: dict[bytes, bytes] = {}
 
+    def learn(words: list[bytes]) -> None:
+        """Encodes words a thousand at a time, with a special token between them that shows where each ends."""
+        apart = [w for w in words if not mark or mark in w]
+        for word, x in zip(apart, own.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False)):
+            known[word] = np.array(x.ids, "<u4").tobytes()
+        words = [w for w in words if mark and mark not in w]
+        runs = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for run, x in zip(runs, own.encode_batch_fast([mark.join(r).decode() for r in runs], add_special_tokens=False)):
+            ids = np.array(x.ids, "<u4")
+            cuts, raw = np.flatnonzero(ids == mark_id), ids.tobytes()
+            known.update(zip(run, (raw[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]))))
+
     def encode(docs: list[list[bytes]]) -> list[bytes]:
+        own = set().union(*docs)
         if len(known) > CACHED:
+            kept = {w: known[w] for w in own if w in known}
             known.clear()
-        new = list(set().union(*docs) - known.keys())
-        for word, x in zip(new, own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            known[word] = np.array(x.ids, "<u4").tobytes()
+            known.update(kept)
+        learn(list(own - known.keys()))
         return [b"".join(map(known.__getitem__, d)) for d in docs]
 
     return encode
 
 
+def _words(raw: bytes, fold: bool) -> list[bytes]:
+    """Words at ASCII white space (other white space stays inside a word, for the tokenizer to drop).
+
+    fold: A-Z may be lower-cased before, as the tokenizer does; not where a special token's string might come of it.
+    """
+    return raw.lower().split() if fold and b"<|" not in raw else raw.split()
+
+
+@functools.lru_cache(maxsize=2)
+def _folds(path: str) -> bool:
+    """Whether the tokenizer lower-cases."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    probe = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return own.encode(probe, add_special_tokens=False).ids == own.encode(probe.lower(), add_special_tokens=False).ids
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32 (and ids, binary, on request).
 
@@ -64,11 +97,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end, size = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(tokenizer)
+        own, fold = _encoder(tokenizer), _folds(tokenizer)
         for batch in slices(batches):
             rows = []
-            # bytes.split() cuts at ASCII white space only; any other stays inside a word, for the tokenizer to drop.
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own([raw.split() for raw in raw_texts(batch)])):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own([_words(raw, fold) for raw in raw_texts(batch)])):
                 ids += end
                 rows += [(doc_id, k, at // 4, len(x := ids[at : at + size]) // 4, zlib.crc32(x), x) for k, at in enumerate(range(0, len(ids), size))]
             columns = list(zip(*rows))[: 6 if keep_ids else 5]
