@@ -89,7 +89,9 @@ def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
     ).drop("placed")
     # Windows cover three words from each place; overlapping ones count their words once.
     covered = F.expr("CASE WHEN places IS NULL THEN 0 ELSE 3 + aggregate(transform(places, (p, k) -> CASE WHEN k = 0 THEN 0 ELSE least(3, p - get(places, k - 1)) END), 0, (a, x) -> a + x) END")
-    return found.withColumn("n_repeat_words", covered.cast("long")).select(*kept, *MEASURES)
+    # Not deterministic, so that a filter on a rule stays above: pushed below, it would sort again for every element.
+    barrier = F.when(F.spark_partition_id() < 0, 1).otherwise(0)
+    return found.withColumn("n_repeat_words", (covered + barrier).cast("long")).select(*kept, *MEASURES)
 
 
 def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
