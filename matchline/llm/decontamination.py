@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 Every text is searched for the n-grams of the test items. Places whose offset to the item agrees form a passage. A
-passage is a candidate if one of its seeds is rare: held by few documents, or among the rarest of its item, so that an
-item that was copied often is still found by what is rarest about it. The alignment tolerates replaced, missing and
+passage is a candidate if one of its seeds is rare: held by few documents, or not by many more than its item's seeds
+usually are, so that an item that was copied often is still found, with all its edited copies. The alignment tolerates replaced, missing and
 added words. Test items are taken in blocks of a bounded size; each block's n-grams are broadcast.
 """
 
@@ -12,16 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, raw_texts, slices
 from .text_arrays import mixed, split_words
 
 NGRAM = 3
-#: A seed in at most so many documents is rare; so are the RAREST least frequent ones of each item.
+#: A seed in at most so many documents is rare, or in at most so many times the median of its item's seeds.
 RARE_DOCS = 50
-RAREST = 8
+TIMES_USUAL = 4.0
 #: Alignment score (match 2, mismatch and gap -1) over that of the whole item.
 SCORE = 0.5
 #: Characters of test items whose n-grams are broadcast at once.
@@ -113,7 +113,7 @@ def _candidates(docs: DataFrame, items, n: int) -> DataFrame:
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("at", pa.int64()), ("passage", pa.binary()), ("seeds", pa.list_(pa.int64()))])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, rare_docs: int = RARE_DOCS, rarest: int = RAREST, least: float = SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, rare_docs: int = RARE_DOCS, times_usual: float = TIMES_USUAL, least: float = SCORE) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, score, first_word, end_word of the best passage.
 
     A row for each document and item with a score of at least `least`. Null or empty texts and items match nothing.
@@ -143,8 +143,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, rare_doc
         # In how many documents each seed stands: one row per seed of the block, counted map-side first.
         seeds = found.select("doc_id", "item_id", F.explode("seeds").alias("seed"))
         spread = seeds.groupBy("item_id", "seed").agg(F.approx_count_distinct("doc_id").alias("n_docs"))
-        order = F.row_number().over(Window.partitionBy("item_id").orderBy("n_docs", "seed"))
-        rare = spread.withColumn("r", order).where((F.col("n_docs") <= rare_docs) | (F.col("r") <= rarest)).groupBy("item_id").agg(F.collect_set("seed").alias("rare"))
+        # Of a copied item all seeds are frequent alike, so what counts as rare follows the item's median.
+        usual = spread.groupBy("item_id").agg(F.median("n_docs").alias("usual"))
+        within = F.col("n_docs") <= F.greatest(F.lit(float(rare_docs)), F.col("usual") * times_usual)
+        rare = spread.join(usual, "item_id").where(within).groupBy("item_id").agg(F.collect_set("seed").alias("rare"))
         kept = found.join(rare, "item_id").where(F.arrays_overlap("seeds", "rare")).select("doc_id", "item_id", "at", "passage")
         scored = kept.mapInArrow(score, "doc_id long, item_id long, score double, first_word long, end_word long").where(F.col("score") >= least)
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word")).alias("b"))
