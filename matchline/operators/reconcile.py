@@ -215,8 +215,10 @@ def reconcile(t: Tables, config: Config = Config(), pairs: DataFrame | None = No
     """
     units = pairs if pairs is not None else build_units(t.po, t.inv)
     with_po = units.where("po_id IS NOT NULL")
+    known = t.po.select("po_id")
     own_inv = t.inv_line.drop("po_id").join(with_po.where("invoice_id IS NOT NULL"), "invoice_id") if pairs is not None else t.inv_line.where("po_id IS NOT NULL")
-    g, i = link_lines(t.grn_line, t.po_line), link_lines(own_inv, t.po_line)
+    # Without its order nothing of a document is matched.
+    g, i = (link_lines(x.join(known, "po_id", "left_semi"), t.po_line) for x in (t.grn_line, own_inv))
     received, invoiced = received_by_po_line(g), invoiced_by_po_line(i)
     on_order = link_exceptions(g, "GRN", "grn_line_id", "grn_id").unionByName(date_exceptions(t.po, t.grn, t.inv.where(F.lit(False))))
     dated = with_po.where("invoice_id IS NOT NULL").join(t.inv.drop("po_id"), "invoice_id")
