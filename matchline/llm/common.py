@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once, whatever Arrow's batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: The folder that holds the package.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Puts the package on the path of Spark's Python workers, where it isn't installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +55,7 @@ def fold(doc_id: Column | str, n: int) -> Column:
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (long) and text, with further columns by name; nothing else of docs is read."""
+    on_workers(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 

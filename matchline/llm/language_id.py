@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, slices, stored
+from .common import on_workers, raw_texts, slices, stored
 
 BUCKETS = 1 << 14
 #: Languages of the model: the most frequent ones of the training texts.
@@ -53,6 +53,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     Tasks add up their counts; at most LANGUAGES * BUCKETS sums reach the driver.
     """
+    on_workers(docs.sparkSession)
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND trim(lang) <> ''").select(F.lower(F.trim("lang")).alias("lang"), "text")
     top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
 
