@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 TARGET_BYTES = 128 << 20
 #: A tier holds sizes within this factor and is merged when it has as many shards.
 FAN = 4
+#: Shards (about 100 bytes each) that are broadcast as a list; beyond, rows are joined to them.
+BROADCAST_SHARDS = 500_000
 #: Rows of an arrival's shard at most.
 ARRIVAL_ROWS = 20_000
 
@@ -165,7 +167,8 @@ class ShardStore:
         shards = self.manifest(version)["shards"]
         names = self.spark.createDataFrame([(s["path"].rsplit("/", 1)[-1], i, s["tier"]) for i, s in enumerate(shards)], "file string, shard long, tier int")
         rows = self.read(version).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-        return rows.join(names, "file").drop("file")
+        # A shard's rows share their key, so the list of shards goes to the rows as long as it is small.
+        return rows.join(F.broadcast(names) if len(shards) <= BROADCAST_SHARDS else names, "file").drop("file")
 
 
 def shard_table(spark: SparkSession, docs: DataFrame, root: str, arrivals: int = 3, target_bytes: int = TARGET_BYTES, rows: int = ARRIVAL_ROWS) -> ShardStore:
