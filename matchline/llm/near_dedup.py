@@ -5,10 +5,11 @@ shingles with the least hashes and keeps them in the order of the text, so sketc
 (Marçais and others' order MinHash). Texts that share one of SKETCHES sketches are candidates; a candidate pair is a link
 if a banded alignment of their shingles finds at least SIMILARITY of them in common order.
 
-Links are looked for from one leader per bucket, not between all pairs: members that align with the leader are in
-its class already; the rest of the bucket, where it agrees on a further sketch, gets a new leader, until no bucket has two
-members left. A member whose only links are to other members than the leader is found by the leaders of its other
-buckets. Copies are grouped before, so buckets hold different texts only.
+Links are looked for from one leader per bucket first: members that align with the leader are in its class already; the
+rest of the bucket, where it agrees on a further sketch, gets a new leader, until no bucket has two members left. That
+finds most classes with few pairs. Then all pairs that share a bucket, lie in different classes and weren't checked are
+checked too, so the classes are those of all links between candidates. Copies are grouped before, so buckets hold
+different texts only.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ SIMILARITY = 0.8
 SKETCHES = 16
 TAKEN = 3
 LEADERS = 4
+#: Bins of a text's profile, and members of a bucket that meet all others in one task.
+BINS = 256
+BLOCK = 1000
 #: Rows of sketches per partition of what is derived from them.
 ROWS_PER_PART = 20_000
 
@@ -154,6 +158,55 @@ def _with_leaders(members: DataFrame) -> DataFrame:
     return members.join(shared, ["j", "key"]).where("id <> leader.id")
 
 
+def profiles(text: DataFrame) -> DataFrame:
+    """text(id, text) -> id, profile: how many shingles fall into each of BINS bins, at most 255 counted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = split_words(raw_texts(batch))
+            value, starts = shingles(words.hashes, words.starts, WORDS)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+            counts = np.bincount(row * BINS + (mixed(value) % np.uint64(BINS)).astype(np.int64), minlength=batch.num_rows * BINS)
+            counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BINS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["id", "profile"])
+
+    return text.mapInArrow(count, "id long, profile binary")
+
+
+def _unchecked(buckets: DataFrame, classes: DataFrame, checked: DataFrame, text: DataFrame, least: float) -> DataFrame:
+    """buckets(j, key, id, n), classes(node, component), checked(a, b) -> pairs(a, b) of one bucket that may still be links.
+
+    These are all pairs of members in different components that no leader has checked, but those whose lengths or
+    profiles rule a link out: two texts have at most (n + m - D) / 2 shingles in common, D the sum of their profiles'
+    differences. The members of a bucket meet in blocks, so that a large bucket is the work of many tasks.
+    """
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("profile", "profile_b")]
+            apart = (np.maximum(*both) - np.minimum(*both)).sum(axis=1, dtype=np.int64)
+            size = np.asarray(batch.column("n")) + np.asarray(batch.column("m"))
+            keep = pa.array(size - apart >= 2 * np.ceil(least * size / (1 + least) - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    own = buckets.join(classes, F.col("id") == F.col("node"), "left").select("j", "key", "id", "n", F.coalesce("component", "id").alias("c"))
+    # The leader has checked a bucket of two.
+    unlike = own.groupBy("j", "key").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("k > 2 AND low <> high")
+    own = checkpointed(own.join(unlike.select("j", "key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), ["j", "key"]))
+    own = own.join(profiles(text.join(own.select("id").distinct(), "id", "left_semi")), "id")
+    left = own.select("j", "key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("a"), "n", "c", "profile")
+    right = own.select(
+        "j", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("profile").alias("profile_b"),
+    )
+    pairs = left.join(right, ["j", "key", "block"]).where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")))
+    pairs = pairs.where((F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n")))
+    pairs = pairs.select("a", "b", "n", "m", "profile", "profile_b").mapInArrow(possible, "a long, b long")
+    return pairs.distinct().join(checked, ["a", "b"], "left_anti")
+
+
 def components(links: DataFrame, parts: int) -> DataFrame:
     """links(a, b) -> node, component (its least node), by alternating large and small stars (Kiveris and others).
 
@@ -196,17 +249,19 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKE
     named = left.select("id").unionByName(left.select("leader.id")).distinct()
     own = documents(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     kept = stored(own.join(named, "id", "left_semi").select("id", "text"))
-    found, turn = [], 0
+    met, checked, found, turn = left, None, None, 0
     while True:
         # Lengths bound the similarity: no pair is checked that can't reach it.
         pairs = left.where((F.col("n") >= least * F.col("leader.n")) & (F.col("leader.n") >= least * F.col("n")))
-        pairs = pairs.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct()
-        links = _kept(verified(pairs, kept, least), parts)
-        found.append(links)
+        pairs = _kept(pairs.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct(), parts)
+        fresh = pairs.join(checked, ["a", "b"], "left_anti") if checked else pairs
+        links = _kept(verified(fresh, kept, least), parts)
+        checked = checked.unionByName(fresh) if checked else fresh
+        found = found.unionByName(links) if found else links
         # Who doesn't align with the leader stays. Buckets of many unlike texts come from passages that they share, so
         # the rest must agree on one sketch more each time: such buckets fall apart at a constant rate.
         turn += 1
-        linked = links.select(F.col("a").alias("la"), F.col("b").alias("lb"))
+        linked = found.select(F.col("a").alias("la"), F.col("b").alias("lb"))
         rest = left.join(linked, (F.least("id", "leader.id") == F.col("la")) & (F.greatest("id", "leader.id") == F.col("lb")), "left_anti").drop("leader")
         if turn < sketches:
             more = rest.join(texts.select("id", "sketches"), "id")
@@ -214,12 +269,14 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKE
         left = _kept(_with_leaders(rest), parts)
         if left.isEmpty():
             break
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
     repeated = rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     # An id with several texts ties their classes together; else only links between different texts need components.
     tied = copies.join(repeated, "doc_id", "left_semi").where("doc_id <> copy_of").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
-    classes = components(links.unionByName(tied), parts)
+    classes = components(found.unionByName(tied), parts)
+    buckets = met.select("j", "key", "id", "n").unionByName(met.select("j", "key", "leader.id", "leader.n").distinct())
+    pairs = _kept(_unchecked(buckets, classes, checked, kept, least), parts)
+    links = _kept(verified(pairs, kept, least), parts)
+    if not links.isEmpty():
+        classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), parts)
     first = copies.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
     return first.join(classes, F.col("copy_of") == F.col("node"), "left").select("doc_id", F.coalesce("component", "copy_of").alias("class_id"), "copy_of")

@@ -178,6 +178,26 @@ def test_near_classes_equal_brute_force(spark):
     assert not near_dedup.aligned(np.arange(10), np.arange(10)[::-1]) and near_dedup.aligned(np.arange(10), np.arange(1, 10))
 
 
+def edited(rng, words, n):
+    """words with n of them replaced, at places that share no shingle."""
+    own = list(words)
+    for at in rng.choice(np.arange(5, len(words) - 5, 6), n, replace=False):
+        own[at] = f"e{rng.integers(1 << 40)}"
+    return own
+
+
+def test_near_classes_of_stars(spark):
+    rng = np.random.default_rng(11)
+    texts, want = [], []
+    for copies in (30, 100):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 30, 200)]
+        own = [base, *(edited(rng, base, 3) for _ in range(copies))]  # 0.86 to the original, 0.73 to each other
+        want += [len(texts)] * len(own)
+        texts += [" ".join(w) for w in own]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_decontamination(spark):
     item = " ".join(f"term{i}" for i in range(30))
     edited = " ".join("new" if i % 7 == 3 else f"term{i}" for i in range(30))
