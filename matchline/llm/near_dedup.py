@@ -6,8 +6,7 @@ shingles with the least hashes and keeps them in the order of the text, so sketc
 if a banded alignment of their shingles finds at least SIMILARITY of them in common order.
 
 Links are looked for from one leader per bucket first: members that align with the leader are in its class already; the
-rest of the bucket, where it agrees on a further sketch, gets a new leader, until no bucket has two members left. That
-finds most classes with few pairs. Then all pairs that share a bucket, lie in different classes and weren't checked are
+rest of the bucket gets a new leader, ROUNDS times. That finds most classes with few pairs. Then all pairs that share a bucket, lie in different classes and weren't checked are
 checked too, so the classes are those of all links between candidates. Copies are grouped before, so buckets hold
 different texts only.
 """
@@ -32,6 +31,8 @@ SIMILARITY = 0.8
 SKETCHES = 16
 TAKEN = 3
 LEADERS = 4
+#: Rounds of leaders before all pairs of a bucket that lie in different classes are checked.
+ROUNDS = 3
 #: Bins of a text's profile, and members of a bucket that meet all others in one task.
 BINS = 256
 BLOCK = 1000
@@ -249,8 +250,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKE
     named = left.select("id").unionByName(left.select("leader.id")).distinct()
     own = documents(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     kept = stored(own.join(named, "id", "left_semi").select("id", "text"))
-    met, checked, found, turn = left, None, None, 0
-    while True:
+    met, checked, found = left, None, None
+    for _ in range(ROUNDS):
         # Lengths bound the similarity: no pair is checked that can't reach it.
         pairs = left.where((F.col("n") >= least * F.col("leader.n")) & (F.col("leader.n") >= least * F.col("n")))
         pairs = _kept(pairs.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct(), parts)
@@ -258,14 +259,9 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKE
         links = _kept(verified(fresh, kept, least), parts)
         checked = checked.unionByName(fresh) if checked else fresh
         found = found.unionByName(links) if found else links
-        # Who doesn't align with the leader stays. Buckets of many unlike texts come from passages that they share, so
-        # the rest must agree on one sketch more each time: such buckets fall apart at a constant rate.
-        turn += 1
+        # Who doesn't align with the leader stays, under the bucket's own key.
         linked = found.select(F.col("a").alias("la"), F.col("b").alias("lb"))
         rest = left.join(linked, (F.least("id", "leader.id") == F.col("la")) & (F.greatest("id", "leader.id") == F.col("lb")), "left_anti").drop("leader")
-        if turn < sketches:
-            more = rest.join(texts.select("id", "sketches"), "id")
-            rest = more.select("id", "n", "j", F.xxhash64("key", F.get("sketches", (F.col("j") + turn) % sketches)).alias("key"))
         left = _kept(_with_leaders(rest), parts)
         if left.isEmpty():
             break

@@ -198,6 +198,34 @@ def test_near_classes_of_stars(spark):
     assert got == dict(enumerate(want))
 
 
+def test_near_classes_within_buckets_of_like_texts(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 30, 200)]
+    group = {}
+    while len(group) < 300:  # 0.66 to 0.79 to each other: no two are edited at the same places
+        own = edited(rng, base, 4)
+        group.setdefault(tuple(i for i, w in enumerate(own) if w[0] == "e"), own)
+    group = list(group.values())
+
+    def sketches(texts):
+        words = near_dedup.split_words([" ".join(t).encode() for t in texts])
+        return near_dedup.order_sketches(*near_dedup.shingles(words.hashes, words.starts))
+
+    rows, pairs = sketches(group), []
+    for i in range(8):  # beside some a text at 0.81 that shares few sketches with it, in buckets of many
+        near = [edited(rng, group[i], 4) for _ in range(1500)]
+        own = sketches(near)
+        crowded = (rows == rows[i]).sum(axis=0) > 20
+        shared = (own == rows[i]).sum(axis=1)
+        fit = np.flatnonzero((((own == rows[i]) & ~crowded).sum(axis=1) == 0) & (shared > 0))
+        if len(fit):
+            pairs.append((i, len(group)))
+            group.append(near[fit[np.argmin(shared[fit])]])
+    assert len(pairs) > 3
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs(spark, [" ".join(t) for t in group])).collect()}
+    assert got == {i: i for i in range(len(group))} | {b: a for a, b in pairs}
+
+
 def test_decontamination(spark):
     item = " ".join(f"term{i}" for i in range(30))
     edited = " ".join("new" if i % 7 == 3 else f"term{i}" for i in range(30))
