@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from .common import on_workers, raw_texts, slices, stored
 
 BUCKETS = 1 << 14
-#: Languages of the model: the most frequent ones of the training texts.
-LANGUAGES = 200
 #: Overlapping trigrams repeat each other's evidence; their log-likelihood counts by a third.
 TEMPER = 1 / 3
 #: Pseudo-counts of a parent's prior and of a declaration's or suffix's smoothing.
@@ -51,11 +49,14 @@ def trigram_counts(raw: bytes) -> np.ndarray:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """docs(text, lang) -> languages and their log trigram probabilities (languages x BUCKETS), from all rows with both.
 
-    Tasks add up their counts; at most LANGUAGES * BUCKETS sums reach the driver.
+    A language is the first part of a tag: en-US and en_GB count as en. Every language gets a model. Tasks add up their
+    counts; languages * BUCKETS sums at most reach the driver.
     """
     on_workers(docs.sparkSession)
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND trim(lang) <> ''").select(F.lower(F.trim("lang")).alias("lang"), "text")
-    top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    tag = F.lower(F.trim("lang"))
+    first = F.trim(F.regexp_extract(tag, "^[^-_]*", 0))
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND trim(lang) <> ''").select(F.when(first == "", tag).otherwise(first).alias("lang"), "text")
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -64,19 +65,18 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             for lang, raw in zip(batch.column("lang").to_pylist(), raw_texts(batch)):
                 by.setdefault(lang, []).append(raw)
             for lang, own in by.items():
-                if lang in top:
-                    sums[lang] = sums.get(lang, 0) + trigram_counts(b" ".join(own))
+                sums[lang] = sums.get(lang, 0) + trigram_counts(b" ".join(own))
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
     table = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(top), BUCKETS))
-    place = {lang: i for i, lang in enumerate(top)}
+    counts = np.zeros((len(langs), BUCKETS))
+    place = {lang: i for i, lang in enumerate(langs)}
     rows = np.array([place[x] for x in table.column("lang").to_pylist()], np.int64)
     counts[rows, np.asarray(table.column("bucket"), np.int64)] = np.asarray(table.column("n"), float)
     counts += SMOOTH
-    return top, np.log(counts / counts.sum(axis=1, keepdims=True))
+    return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
 def _evidence(pages: DataFrame, logp: np.ndarray) -> DataFrame:

@@ -262,6 +262,15 @@ def test_language_of_pages(spark):
     assert all(0 < r.probability <= 1.0000001 for r in rows)
 
 
+def test_every_language_gets_a_model(spark):
+    names = [f"{a}{b}" for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
+    rows = [(f"{n}qx {n}zv {n}kj", n) for n in names] + [("oosun oomoon", "OO-Latn"), ("oosea", "oo_XY"), ("dash", "-")]
+    langs, logp = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(langs) == sorted([*names, "-"]) and logp.shape[0] == len(names) + 1
+    page = spark.createDataFrame([(1, "http://a.example", "<p>nnqx nnzv nnkj</p>")], "page_id long, url string, html string")
+    assert [r.text_lang for r in language_id.identify(page, spark.createDataFrame(rows, "text string, lang string")).collect()] == ["nn"]
+
+
 def test_shards_compact_and_conflict(spark, tmp_path):
     store = sharding.shard_table(spark, docs(spark), f"file://{tmp_path}/a", arrivals=3, rows=1)
     assert sorted(r.doc_id for r in store.read().collect()) == list(range(len(TEXTS)))
