@@ -59,8 +59,8 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about SLICE_BYTES of the column (one long text may exceed it)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about `size` bytes of the column (one long text may exceed it)."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -68,7 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         if not batch.num_rows:
             continue
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
-        part = np.cumsum(lengths, dtype=np.int64) // SLICE_BYTES
+        part = np.cumsum(lengths, dtype=np.int64) // size
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             if b > a:

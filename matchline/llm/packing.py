@@ -16,75 +16,108 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, raw_texts, slices
+from .common import checkpointed, documents, slices
 
 CAPACITY = 2048
 #: Pieces of a partition, on average.
 PARTITION = 50_000
 ROUNDS = 3
-#: Word encodings that a Python worker keeps; beyond, those of the words at hand stay.
+#: Bytes of text that are cut into words at once.
+SLICE_BYTES = 6 << 20
+#: Words whose ids a Python worker keeps; beyond, it starts afresh.
 CACHED = 1_000_000
 
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_ITEM}, sequence_id long, offset long, part long, gap int"
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str):
-    """list of texts as lists of words -> ids of each as little-endian unsigned 32-bit bytes."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.no_truncation()
-    own.no_padding()
-    special = sorted((i, x.content) for i, x in own.get_added_tokens_decoder().items() if x.special)
-    mark, mark_id = (special[0][1].encode(), special[0][0]) if special else (b"", -1)
-    known: dict[bytes, bytes] = {}
-
-    def learn(words: list[bytes]) -> None:
-        """Encodes words a thousand at a time, with a special token between them that shows where each ends."""
-        apart = [w for w in words if not mark or mark in w]
-        for word, x in zip(apart, own.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False)):
-            known[word] = np.array(x.ids, "<u4").tobytes()
-        words = [w for w in words if mark and mark not in w]
-        runs = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for run, x in zip(runs, own.encode_batch_fast([mark.join(r).decode() for r in runs], add_special_tokens=False)):
-            ids = np.array(x.ids, "<u4")
-            cuts, raw = np.flatnonzero(ids == mark_id), ids.tobytes()
-            known.update(zip(run, (raw[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]))))
-
-    def encode(docs: list[list[bytes]]) -> list[bytes]:
-        own = set().union(*docs)
-        if len(known) > CACHED:
-            kept = {w: known[w] for w in own if w in known}
-            known.clear()
-            known.update(kept)
-        learn(list(own - known.keys()))
-        return [b"".join(map(known.__getitem__, d)) for d in docs]
-
-    return encode
-
-
-def _words(raw: bytes, fold: bool) -> list[bytes]:
-    """Words at ASCII white space (other white space stays inside a word, for the tokenizer to drop).
-
-    fold: A-Z may be lower-cased before, as the tokenizer does; not where a special token's string might come of it.
-    """
-    return raw.lower().split() if fold and b"<|" not in raw else raw.split()
+class WordIds:
+    """Ids of words by a `tokenizers` file, each distinct word encoded once; all ids lie in one array."""
+
+    #: Symbols that may stand between words, of which the first that is a token of its own is taken. ASCII, so their
+    #: bytes are part of no other character, and no character is normalised to them.
+    MARKS = "~^|"
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.folds = self._ids([upper]) == self._ids([upper.lower()])
+        single = [(m, ids[0]) for m in self.MARKS if len(ids := self._ids([m])[0]) == 1]
+        self.mark, self.mark_id = single[0] if single else ("", -1)
+        self._clear()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {"": 0}
+        self.begin, self.length, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words a thousand at a time, a mark between them; words that hold the mark one by one."""
+        joined = [w for w in words if self.mark and self.mark not in w]
+        apart = [w for w in words if not self.mark or self.mark in w]
+        flat, lengths = [], []
+        for ids in self._ids([f" {self.mark} ".join(joined[i : i + 1000]) for i in range(0, len(joined), 1000)]):
+            ids = np.array(ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark_id)
+            lengths.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+            flat.append(np.delete(ids, at))
+        for ids in self._ids(apart):
+            lengths.append(np.array([len(ids)]))
+            flat.append(np.array(ids, np.uint32))
+        if not lengths:
+            return
+        more = np.concatenate(lengths)
+        self.place.update(zip(joined + apart, range(len(self.length), len(self.length) + len(more))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(more) - more])
+        self.length = np.concatenate([self.length, more])
+        self.flat = np.concatenate([self.flat, *flat])
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Texts (null: empty) -> ids of all of them, end_id after each, and where each text's ids end.
+
+        Words are cut at ASCII white space; other white space stays inside a word, for the tokenizer to drop. A-Z is
+        lower-cased before where the tokenizer does so, but not where a special token's string might come of it.
+        """
+        column = pc.fill_null(column, "")
+        if self.folds:
+            column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        cut = pc.ascii_split_whitespace(column)
+        coded = cut.flatten().dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        if len(self.place) > CACHED:
+            self._clear()
+        self._learn([w for w in distinct if w not in self.place])
+        word = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
+        length = self.length[word]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[word] - ends[:-1], length)]
+        offsets = np.asarray(cut.offsets, np.int64)
+        own_end = ends[offsets[1:] - offsets[0]]
+        return np.insert(ids, own_end, np.uint32(end_id)).astype("<u4"), own_end + np.arange(1, len(own_end) + 1)
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Words without blanks as Python strings, by way of one string of them all."""
+    if not len(words):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
 
 
 @functools.lru_cache(maxsize=2)
-def _folds(path: str) -> bool:
-    """Whether the tokenizer lower-cases."""
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    probe = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return own.encode(probe, add_special_tokens=False).ids == own.encode(probe.lower(), add_special_tokens=False).ids
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -94,18 +127,23 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     another; each distinct word is encoded once per worker. end_id closes each document. Only longer documents are cut.
     Null or empty text: one piece with the end alone. Null and repeated ids: kept. Other columns are ignored.
     """
-    end, size = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, fold = _encoder(tokenizer), _folds(tokenizer)
-        for batch in slices(batches):
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own([_words(raw, fold) for raw in raw_texts(batch)])):
-                ids += end
-                rows += [(doc_id, k, at // 4, len(x := ids[at : at + size]) // 4, zlib.crc32(x), x) for k, at in enumerate(range(0, len(ids), size))]
-            columns = list(zip(*rows))[: 6 if keep_ids else 5]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        own = _word_ids(tokenizer)
+        for batch in slices(batches, size=SLICE_BYTES):
+            ids, ends = own.encode(batch.column("text"), end_id)
+            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            n = -(-(ends - begins) // capacity)
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = begins[doc] + piece * capacity
+            to = np.minimum(at + capacity, ends[doc])
+            raw = memoryview(ids.tobytes())
+            cut = [raw[4 * i : 4 * j] for i, j in zip(at.tolist(), to.tolist())]
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(to - at), pa.array(map(zlib.crc32, cut), pa.int64())]
+            if keep_ids:
+                columns.append(pa.array(map(bytes, cut), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return documents(docs).mapInArrow(encode, _ITEM + ", ids binary" * keep_ids)
 
