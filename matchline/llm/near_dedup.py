@@ -6,20 +6,22 @@ shingles with the least hashes and keeps them in the order of the text, so sketc
 if a banded alignment of their shingles finds at least SIMILARITY of them in common order.
 
 Links are looked for from one leader per bucket first: members that align with the leader are in its class already; the
-rest of the bucket gets a new leader, ROUNDS times. That finds most classes with few pairs. Then all pairs that share a bucket, lie in different classes and weren't checked are
-checked too, so the classes are those of all links between candidates. Copies are grouped before, so buckets hold
+rest of the bucket gets a new leader, ROUNDS times. That finds most classes with few pairs. Then texts of buckets that
+still hold several classes are joined on their rarest shingles, of which any two linked texts share one: so all links
+between candidates are found, and no bucket ever meets in all its pairs. Copies are grouped before, so buckets hold
 different texts only.
 """
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, raw_texts, slices, stored
@@ -31,11 +33,12 @@ SIMILARITY = 0.8
 SKETCHES = 16
 TAKEN = 3
 LEADERS = 4
-#: Rounds of leaders before all pairs of a bucket that lie in different classes are checked.
+#: Rounds of leaders before texts of unlike buckets meet by their rarest shingles.
 ROUNDS = 3
-#: Bins of a text's profile, and members of a bucket that meet all others in one task.
-BINS = 256
-BLOCK = 1000
+#: Slots, as a power of two, of the table that tells common shingles from rare ones.
+TABLE_BITS = 20
+#: 64-bit words of flags that tell from two texts alone how many shingles they can't share.
+SIGNATURE = 8
 #: Rows of sketches per partition of what is derived from them.
 ROWS_PER_PART = 20_000
 
@@ -159,53 +162,91 @@ def _with_leaders(members: DataFrame) -> DataFrame:
     return members.join(shared, ["j", "key"]).where("id <> leader.id")
 
 
-def profiles(text: DataFrame) -> DataFrame:
-    """text(id, text) -> id, profile: how many shingles fall into each of BINS bins, at most 255 counted."""
+def _needed(n: Column | str, m: Column | str, least: float) -> Column:
+    """Shingles that sequences of n and m must have in common."""
+    size = F.col(n) + F.col(m)
+    return F.ceil(least * size / (1 + least) - 1e-9)
+
+
+def _labelled_shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    words = split_words(raw_texts(batch))
+    value, starts = shingles(words.hashes, words.starts, WORDS)
+    return labelled(value, starts), starts
+
+
+def _spread(text: DataFrame) -> np.ndarray:
+    """How often shingles of text(text) fall into each of 2 ** TABLE_BITS slots; that many sums reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << TABLE_BITS, np.int64)
         for batch in slices(batches):
-            words = split_words(raw_texts(batch))
-            value, starts = shingles(words.hashes, words.starts, WORDS)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-            counts = np.bincount(row * BINS + (mixed(value) % np.uint64(BINS)).astype(np.int64), minlength=batch.num_rows * BINS)
-            counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BINS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["id", "profile"])
+            sums += np.bincount((_labelled_shingles(batch)[0] >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(sums[at[i : i + 100_000]])], names=["slot", "n"])
+
+    table = text.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << TABLE_BITS, np.int64)
+    out[np.asarray(table.column("slot"))] = np.asarray(table.column("n"))
+    return out
 
-    return text.mapInArrow(count, "id long, profile binary")
 
+def _prefixes(text: DataFrame, least: float) -> DataFrame:
+    """text(id, c, text) -> s, at, id, n, c, bits: each text's rarest shingles, so many that any link shares one of them.
 
-def _unchecked(buckets: DataFrame, classes: DataFrame, checked: DataFrame, text: DataFrame, least: float) -> DataFrame:
-    """buckets(j, key, id, n), classes(node, component), checked(a, b) -> pairs(a, b) of one bucket that may still be links.
+    Two linked texts have at least `least` of the longer one's shingles in common. In any fixed order of all shingles
+    a text's first n - ceil(least * n) + 1 therefore hold one of the other's first. The order goes from shingles of
+    sparsely used slots to those of crowded ones, so what a large group of texts shares comes last; which slots are
+    crowded changes the number of pairs, never which links are found.
 
-    These are all pairs of members in different components that no leader has checked, but those whose lengths or
-    profiles rule a link out: two texts have at most (n + m - D) / 2 shingles in common, D the sum of their profiles'
-    differences. The members of a bucket meet in blocks, so that a large bucket is the work of many tasks.
+    bits are 64 * SIGNATURE flags, each flipped by the shingles that fall to it: two texts differ in at least as many
+    shingles as in flags.
     """
+    used = text.sparkSession.sparkContext.broadcast(_spread(text))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            s, starts = _labelled_shingles(batch)
+            n = np.diff(starts)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((s, used.value[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)], doc))
+            at = np.arange(len(s)) - np.repeat(starts[:-1], n)
+            first = at < (n - np.ceil(least * n - 1e-9) + 1)[doc]
+            own = pa.array(doc[first])
+            flags = np.bincount(doc * 64 * SIGNATURE + (mixed(s) % np.uint64(64 * SIGNATURE)).astype(np.int64), minlength=batch.num_rows * 64 * SIGNATURE) & 1
+            bits = np.packbits(flags.astype(np.uint8)).view(np.int64).reshape(-1, SIGNATURE)[doc[first]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s[order][first].view(np.int64)), pa.array(at[first]), batch.column("id").take(own), pa.array(n[doc[first]]), batch.column("c").take(own), *map(pa.array, bits.T)],
+                names=["s", "at", "id", "n", "c", *(f"bits{i}" for i in range(SIGNATURE))],
+            )
+
+    return text.select("id", "c", "text").mapInArrow(cut, ", ".join(["s long, at long, id long, n long, c long", *(f"bits{i} long" for i in range(SIGNATURE))]))
+
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("profile", "profile_b")]
-            apart = (np.maximum(*both) - np.minimum(*both)).sum(axis=1, dtype=np.int64)
-            size = np.asarray(batch.column("n")) + np.asarray(batch.column("m"))
-            keep = pa.array(size - apart >= 2 * np.ceil(least * size / (1 + least) - 1e-9))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
-    own = buckets.join(classes, F.col("id") == F.col("node"), "left").select("j", "key", "id", "n", F.coalesce("component", "id").alias("c"))
+def _unchecked(buckets: DataFrame, classes: DataFrame, checked: DataFrame, text: DataFrame, least: float) -> DataFrame:
+    """buckets(j, key, id), classes(node, component), checked(a, b) -> pairs(a, b) that may still be links.
+
+    These are the pairs of texts from buckets that hold several classes, in different classes themselves, that share
+    one of their rarest shingles (see _prefixes) early enough to reach `least`. So a bucket of texts that a common
+    passage or many edits of one text brought together never meets in all its pairs, and no link in it is lost.
+    """
+    own = buckets.join(classes, F.col("id") == F.col("node"), "left").select("j", "key", "id", F.coalesce("component", "id").alias("c"))
     # The leader has checked a bucket of two.
     unlike = own.groupBy("j", "key").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("k > 2 AND low <> high")
-    own = checkpointed(own.join(unlike.select("j", "key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), ["j", "key"]))
-    own = own.join(profiles(text.join(own.select("id").distinct(), "id", "left_semi")), "id")
-    left = own.select("j", "key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("a"), "n", "c", "profile")
-    right = own.select(
-        "j", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("profile").alias("profile_b"),
-    )
-    pairs = left.join(right, ["j", "key", "block"]).where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")))
-    pairs = pairs.where((F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n")))
-    pairs = pairs.select("a", "b", "n", "m", "profile", "profile_b").mapInArrow(possible, "a long, b long")
-    return pairs.distinct().join(checked, ["a", "b"], "left_anti")
+    some = checkpointed(own.join(unlike.select("j", "key"), ["j", "key"], "left_semi").select("id", "c").distinct())
+    rows = stored(_prefixes(text.join(some, "id"), least))
+    # Where a shingle is shared across classes, the members outside its largest class meet all of another class.
+    kinds = rows.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    met = rows.join(kinds.select("s", "largest"), "s")
+    flags = [f"bits{i}" for i in range(SIGNATURE)]
+    left = met.where("c <> largest").select("s", F.col("id").alias("a"), "n", "at", "c", *flags)
+    right = met.select("s", "largest", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("c").alias("d"), *(F.col(x).alias(f"b{x}") for x in flags))
+    differ = functools.reduce(Column.__add__, (F.bit_count(F.col(x).bitwiseXOR(F.col(f"b{x}"))) for x in flags))
+    alike = differ <= F.col("n") + F.col("m") - 2 * _needed("n", "m", least)
+    near = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= _needed("n", "m", least)
+    once = (F.col("d") == F.col("largest")) | (F.col("a") < F.col("b"))
+    pairs = left.join(right, "s").where((F.col("c") != F.col("d")) & once & near & alike & (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame, parts: int) -> DataFrame:
@@ -235,7 +276,7 @@ def _kept(df: DataFrame, parts: int) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, taken: int = TAKEN) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id (the class's least doc_id), copy_of (the least doc_id of equal words).
+    """docs(doc_id, text) -> doc_id, class_id (the class's least doc_id), copy_of (the least doc_id of equal words), n_rows.
 
     One row per distinct non-null doc_id. Texts without words are copies of each other. Rows that repeat a doc_id with
     other texts join both texts' classes. Rows without an id have no name and are left out. Other columns are ignored.
@@ -269,10 +310,10 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKE
     # An id with several texts ties their classes together; else only links between different texts need components.
     tied = copies.join(repeated, "doc_id", "left_semi").where("doc_id <> copy_of").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
     classes = components(found.unionByName(tied), parts)
-    buckets = met.select("j", "key", "id", "n").unionByName(met.select("j", "key", "leader.id", "leader.n").distinct())
+    buckets = met.select("j", "key", "id").unionByName(met.select("j", "key", "leader.id").distinct())
     pairs = _kept(_unchecked(buckets, classes, checked, kept, least), parts)
     links = _kept(verified(pairs, kept, least), parts)
     if not links.isEmpty():
         classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), parts)
-    first = copies.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
-    return first.join(classes, F.col("copy_of") == F.col("node"), "left").select("doc_id", F.coalesce("component", "copy_of").alias("class_id"), "copy_of")
+    first = copies.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.count("*").alias("n_rows"))
+    return first.join(classes, F.col("copy_of") == F.col("node"), "left").select("doc_id", F.coalesce("component", "copy_of").alias("class_id"), "copy_of", "n_rows")
