@@ -274,12 +274,62 @@ def test_every_language_gets_a_model(spark):
 def test_shards_compact_and_conflict(spark, tmp_path):
     store = sharding.shard_table(spark, docs(spark), f"file://{tmp_path}/a", arrivals=3, rows=1)
     assert sorted(r.doc_id for r in store.read().collect()) == list(range(len(TEXTS)))
-    assert sum(s["rows"] for s in store.manifest()["shards"]) == len(TEXTS)
-    version = store.version()
-    store.commit(version, store.manifest()["shards"])
+    now = store.manifest()
+    assert sum(s["rows"] for s in now["shards"]) == len(TEXTS)
+    store.commit(now["version"], now["shards"], now["schema"])
     with pytest.raises(sharding.Conflict):
-        store.commit(version, [])
-    assert store.version() == version + 1 and store.placed().count() == len(TEXTS)
+        store.commit(now["version"], [], now["schema"])
+    assert store.version() == now["version"] + 1 and store.placed().count() == len(TEXTS)
+    with pytest.raises(ValueError):
+        store.append(docs(spark).select("doc_id"))
+
+
+def test_tiers_and_sizes_follow_the_rules(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/t", target_bytes=20_000)
+    frame = spark.range(900).selectExpr("id AS doc_id", "sha2(cast(id AS string), 256) AS text")
+    for i in range(9):
+        store.append(frame.where(f"doc_id % 9 = {i}"), rows=20)
+        version = store.compact()
+        shards = store.manifest(version)["shards"]
+        counts = collections.Counter(s["tier"] for s in shards)
+        assert all(n < store.fan for t, n in counts.items() if t) and all(s["tier"] <= store.tier(s["bytes"]) for s in shards)
+    assert sum(s["rows"] for s in shards) == 900 and len(shards) < 900 / 20
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, frame.collect()))
+    assert store.tier(20_000) == 0 and store.tier(2_500) == 1 and store.tier(100) == 4
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}/w"
+    one, two = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
+    part = lambda a, b: docs(spark, [f"text {i}" for i in range(a, b)], list(range(a, b)))
+    for i in range(4):
+        one.append(part(5 * i, 5 * i + 5))
+    merge, uncommitted = one._merge, two._write(part(100, 110))
+
+    def meanwhile(shards, schema):
+        new = merge(shards, schema)
+        two.append(part(50, 60))  # another writer commits during the merge
+        one._merge = merge
+        return new
+
+    one._merge = meanwhile
+    one.compact()
+    one.vacuum()
+    two.commit(two.version(), [*two.manifest()["shards"], *uncommitted], two.manifest()["schema"])
+    assert sorted(r.doc_id for r in one.read().collect()) == [*range(20), *range(50, 60), *range(100, 110)]
+    newest = one.version()
+    assert one.read(newest - 1).count() == 30  # the version before is kept
+    one.vacuum(keep=1, orphan_s=0)
+    assert one.read().count() == 40
+
+
+def test_shards_of_an_empty_table(spark, tmp_path):
+    store = sharding.shard_table(spark, docs(spark, []), f"file://{tmp_path}/e")
+    assert store.read().count() == 0 and store.read().columns == docs(spark, []).columns
+    assert store.placed().columns == [*docs(spark, []).columns, "shard", "tier"]
+    clash = docs(spark, ["a"], [None]).withColumn("shard", F.lit("x")).withColumn("file", F.lit("y"))
+    own = sharding.shard_table(spark, clash, f"file://{tmp_path}/c")
+    assert [(r.doc_id, r.shard, r.file) for r in own.placed().collect()] == [(None, 0, "y")]
 
 
 def test_pipeline_stages_keep_columns(spark):
