@@ -35,6 +35,8 @@ TAKEN = 3
 LEADERS = 4
 #: Rounds of leaders before texts of unlike buckets meet by their rarest shingles.
 ROUNDS = 3
+#: Parts of a group of copies.
+SALTS = 32
 #: Slots, as a power of two, of the table that tells common shingles from rare ones.
 TABLE_BITS = 20
 #: 64-bit words of flags that tell from two texts alone how many shingles they can't share.
@@ -284,7 +286,10 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKE
     rows = stored(sketched(docs, sketches, taken))
     parts = max(8, -(-rows.count() // ROWS_PER_PART))
     texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    copies = rows.select("doc_id", "h1", "h2").join(texts.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", F.col("id").alias("copy_of"))
+    # A group of copies may hold a third of all rows: its rows meet their text's id in SALTS parts.
+    own = rows.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    met = own.select("h1", "h2", "salt").distinct().join(texts.select("h1", "h2", "id"), ["h1", "h2"])
+    copies = own.join(met, ["h1", "h2", "salt"]).select("doc_id", F.col("id").alias("copy_of"))
     texts = _kept(texts.where("n > 0"), parts)
     left = _kept(_with_leaders(texts.select("id", "n", F.posexplode("sketches").alias("j", "key"))), parts)
     # Texts of candidates only, written once: later rounds read no others.
