@@ -1,232 +1,301 @@
-"""Language-model scores by a probabilistic suffix tree over words.
-
-Symbols are words (A-Z lower-cased) and the end of a text; a context is the last one to DEPTH - 1 words. Sequences of
-words are counted over the whole training corpus, level by level: a sequence counts only if its beginning and end are
-themselves frequent (at least P_MIN of the training tokens, Ron, Singer and Tishby's bound, so at most 1 / P_MIN
-sequences of each length whatever the corpus). A context becomes a state of the tree if its next-symbol distribution
-diverges from its longest kept suffix's (the log-likelihood gain exceeds GAIN nats per next symbol). Distributions are
-smoothed by absolute discounting with Katz back-off to the suffix's, the root's by adding one. Each word is scored in
-the state of the longest kept suffix of what stands before it.
-
-A word's root probability depends on the word alone and is summed by `units`; what the states add depends on
-frequent words only, whose tables are bounded and broadcast.
+"""Language-model scores by a probabilistic suffix tree over words, kept as Spark tables.
+
+Symbols are words (A-Z lower-cased) and the end of a text. Contexts grow word by word to the left: a context of k words
+is tried if it occurs LEAST times in the training texts, its suffix of k - 1 words is a state of the tree and was seen
+to predict it. It becomes a state if its next-symbol distribution diverges from its suffix's: the log-likelihood gain
+exceeds GAIN nats per next symbol. Growth ends where no context of some length passes; no length, share or number of
+contexts is fixed, so the tree grows with the corpus. Distributions are smoothed by absolute discounting with Katz
+back-off to the suffix's, the root's by adding one. A symbol is scored in the state of the longest suffix of what
+stands before it.
+
+The log-probability of a text is a sum of weights of the word sequences in it, each weight a function of the sequence
+alone: a state's back-off weight stands for every place where it is the context, and a kept sequence's own probability
+less what back-off would have given it for every place where it occurs. So scoring is a sum over a weight table:
+sequences that are common (one per slot of a table of bounded size) are summed where the text is read, all others go
+through a shuffled join. A bitmap of bounded size saves the join what is surely not in the table. Both are exact.
+Sequences are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold, slices, stored, texts
-from .units import HOT_UNIT_BYTES, hot_cutoff, unit_sums, vocabulary
+from .common import documents, fold, raw_texts, slices, stored
+from .text_arrays import mixed, split_words
 
-DEPTH = 3
-P_MIN = 1e-6
+#: Occurrences that make a sequence count.
+LEAST = 2
 GAIN = 2.0
 DISCOUNT = 0.5
-END = b"\n"
+END = np.uint64(0x5851F42D4C957F2D)
+_LEFT = np.uint64(0xD1342543DE82EF95)
 #: Distinct sequences that a task holds before it passes their counts on.
-HELD_SEQUENCES = 2_000_000
+HELD = 1_000_000
+#: 64-bit words of a bitmap, and slots of the table of common sequences, at most, as powers of two.
+MAP_BITS = 21
+HOT_BITS = 20
 
 
-def words(text: str) -> list[bytes]:
-    """Words as UTF-8 with A-Z lower-cased, then the end. bytes.split() cuts at [\\x20\\x09-\\x0D]."""
-    return [*text.encode().lower().split(), END]
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from those of it without its last and without its first word."""
+    return mixed(context * _LEFT + suffix)
 
 
-class Sequences:
-    """Frequent words and longer sequences. keys[d] holds sorted (place of the first d + 1 words << 32 | last word)."""
+class _Tokens(NamedTuple):
+    """word hashes of some texts, an end after each; doc and place of each."""
 
-    def __init__(self, units: list[bytes]):
-        self.units = units
-        self.keys: list[np.ndarray] = []
-        self._get = None
+    words: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
 
-    def __getstate__(self):
-        return self.__dict__ | {"_get": None}
+    @classmethod
+    def of(cls, raws: list[bytes]) -> _Tokens:
+        own = split_words(raws)
+        n = np.diff(own.starts) + 1
+        ends = np.cumsum(n)
+        words = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+        is_end = np.zeros(len(words), bool)
+        is_end[ends - 1] = True
+        words[is_end], words[~is_end] = END, own.hashes
+        doc = np.repeat(np.arange(len(n)), n)
+        return cls(words, doc, np.arange(len(words)) - np.repeat(ends - n, n))
 
-    def ids(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids of all documents in one run, -1 for others; where each document starts."""
-        self._get = self._get or dict(zip(self.units, range(len(self.units)))).get
-        ends = np.cumsum([len(d) for d in docs])
-        out = np.fromiter((x for d in docs for x in map(self._get, d, repeat(-1))), np.int64, int(ends[-1]) if len(docs) else 0)
-        return out, np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(docs) else np.zeros(0, np.int64)
+    def sequences(self, length: int) -> np.ndarray:
+        """Hash of the last `length` words at each place; meaningless at the first length - 1 places of a text."""
+        own = self.words
+        for _ in range(length - 1):
+            own = joined(np.concatenate([own[:1], own[:-1]]), own)
+        return own
 
-    @staticmethod
-    def extended(before: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Key of the sequence that ends before each place, with the word there; -1 where either isn't frequent."""
-        last = np.concatenate([[-1], before[:-1]])
-        last[starts] = -1
-        return np.where((last >= 0) & (word >= 0), last << 32 | word, -1)
 
-    def places(self, level: int, keys: np.ndarray) -> np.ndarray:
-        """Places of keys among those of a level; -1 where there is none."""
-        known = self.keys[level]
-        if not len(known):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, at, -1)
+def _power(rows: int, most: int) -> int:
+    """The power of two next above rows, at least 6 and at most `most`."""
+    return max(6, min(most, rows.bit_length()))
 
 
-def _count(docs: DataFrame, found, level: int) -> DataFrame:
-    """Counts of the sequences one word longer than those of found, pre-aggregated in each task."""
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """keys(g) -> words of 64 flags, one word for every four keys and 2 ** MAP_BITS at most; flags combine in Spark."""
+    bits = _power(keys.count() // 4, MAP_BITS)
+    flags = keys.select(F.shiftrightunsigned("g", 64 - bits).cast("int").alias("at"), F.expr("shiftleft(1L, cast(g & 63 AS int))").alias("bit"))
+    table = flags.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << bits, np.uint64)
+    out[np.asarray(table.column("at"))] = np.asarray(table.column("bits")).view(np.uint64)
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq: Sequences = found.value
-        held, size = [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[first], np.add.reduceat(n, first)
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Slots of keys in a table of `size`, a power of two."""
+    return (keys >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
-        def table(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
+def _within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bits[_slots(keys, len(bits))] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _summed(batches: Iterator[pa.RecordBatch], found, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """found(tokens) -> key and columns of counted places; yields columns and n, added up within the task."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, ...]:
+        keys, *columns, n = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        return (keys[order][first], *(c[order][first] for c in columns), np.add.reduceat(n[order], first))
+
+    def table(own: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in own[1:-1]), pa.array(own[-1])], names=[*names, "n"])
+
+    for batch in slices(batches):
+        keys, *columns = found(_Tokens.of(raw_texts(batch)))
+        if len(keys):
+            keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+            held.append((keys, *(c[first] for c in columns), n))
+            size += len(keys)
+        if size > 2 * HELD:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > HELD:
+                yield table(held[0])
+                held, size = [], 0
+    if held:
+        yield table(merged())
+
+
+def vocabulary(train: DataFrame) -> DataFrame:
+    """train(text) -> g (a word's hash), n."""
+    count = lambda batches: _summed(batches, lambda t: (t.words, t.words), ["g"])
+    return train.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def _pairs(train: DataFrame, length: int, contexts, suffixes) -> DataFrame:
+    """Sequences one longer than `length` -> c (without the last word), e (without the first), n.
+
+    Only those whose parts stand in the bitmaps of contexts and suffixes; some others slip through.
+    """
+
+    def found(t: _Tokens):
+        own = t.sequences(length)
+        at = np.flatnonzero(t.place >= length)
+        at = at[_within(suffixes.value, own[at])]
+        at = at[_within(contexts.value, own[at - 1])]
+        return joined(own[at - 1], own[at]), own[at - 1], own[at]
+
+    rows = train.select("text").mapInArrow(lambda batches: _summed(batches, found, ["c", "e"]), "c long, e long, n long")
+    return rows.groupBy("c", "e").agg(F.sum("n").alias("n"))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """rows(c, e, ...) with g, the hash of the sequence, in their place."""
+    names = [x for x in rows.columns if x not in ("c", "e")]
+    kinds = {x: t for x, t in rows.dtypes}
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, e = (np.asarray(b.column(x)).view(np.uint64) for x in ("c", "e"))
+            yield pa.RecordBatch.from_arrays([pa.array(joined(c, e).view(np.int64)), *(b.column(x) for x in names)], names=["g", *names])
+
+    return rows.mapInArrow(join, ", ".join(["g long", *(f"{x} {kinds[x]}" for x in names)]))
+
+
+def fit(train: DataFrame, vocab: DataFrame, total: int, kinds: int, least: int = LEAST, gain: float = GAIN) -> tuple[DataFrame, int]:
+    """train(text), vocab(g, n) -> weights (g, n, v) of sequences of two words and more and of states, and the longest length.
+
+    p is the log10 probability of a sequence's last word in the longest state among the words before it.
+    """
+    sc = train.sparkSession.sparkContext
+    known = vocab.where(F.col("n") >= least).select("g", "n", F.log10((F.col("n") + 1) / F.lit(float(total + kinds + 1))).alias("p"), F.lit(True).alias("ok"))
+    weights, length = None, 1
+    contexts = suffixes = sc.broadcast(_bitmap(known.select("g")))
+    while True:
+        seen = _pairs(train, length, contexts, suffixes).where(F.col("n") >= least)
+        entries = seen.join(known.where("ok").select(F.col("g").alias("e"), F.col("p").alias("up")), "e").join(known.select(F.col("g").alias("c"), F.col("n").alias("total")), "c")
+        entries = stored(entries)
+        by = entries.groupBy("c", "total").agg(
+            F.count("*").alias("kinds"), F.sum("n").alias("kept"), F.sum(F.pow(F.lit(10.0), "up")).alias("mass"),
+            F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("up") * math.log(10))).alias("gain"),
+        )
+        by = by.withColumns({"rest": 1 - (F.col("kept") - DISCOUNT * F.col("kinds")) / F.col("total"), "left": 1 - F.col("mass")}).where("rest > 1e-9 AND left > 1e-9")
+        by = by.where(F.col("gain") + (F.col("total") - F.col("kept")) * F.log(F.col("rest") / F.col("left")) > gain * F.col("kinds"))
+        states = stored(by.select("c", "total", F.log10(F.col("rest") / F.col("left")).alias("back")))
+        own = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
+        grown = entries.join(states.select("c", "back"), "c", "left").select(
+            "c", "e", "n", F.when(F.col("back").isNotNull(), own).otherwise(F.col("up")).alias("p"), F.col("back").isNotNull().alias("ok"),
+            F.coalesce(own - F.col("up") - F.col("back"), F.lit(0.0)).alias("v"),
+        )
+        known = stored(_hashed(grown))
+        more = known.where("ok").select("g", "n", "v").unionByName(states.select(F.col("c").alias("g"), F.col("total").alias("n"), F.col("back").alias("v")))
+        weights = more if weights is None else weights.unionByName(more)
+        length += 1
+        for used in {contexts, suffixes}:
+            used.destroy()  # what came of it is stored
+        if states.isEmpty():
+            return weights, length
+        contexts = sc.broadcast(_bitmap(known.select("g")))
+        suffixes = sc.broadcast(_bitmap(known.where("ok").select("g")))
+
+
+def _sums(docs: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """docs(doc_id, text), table(g, n, base, known, v) -> doc_id, n_tokens, base, known, v summed; a row per input row.
+
+    A sequence longer than a word is looked for only where it is in the table without its first word, as all are.
+    """
+    sc = docs.sparkSession.sparkContext
+    names = ("base", "known", "v")
+    size = _power(2 * table.count(), HOT_BITS)
+    slot = F.shiftrightunsigned("g", 64 - size).cast("int")
+    best = table.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("g", *names), F.struct("n", "g")).alias("b")).select("slot", "b.*").toArrow()
+    keys, values = np.zeros(1 << size, np.uint64), np.zeros((3, 1 << size))
+    at = np.asarray(best.column("slot"))
+    keys[at] = np.asarray(best.column("g")).view(np.uint64)
+    for i, c in enumerate(names):
+        values[i, at] = np.asarray(best.column(c))
+    hot, bits = sc.broadcast((keys, values)), sc.broadcast(_bitmap(table.select("g")))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = hot.value
         for batch in slices(batches):
-            word, starts = seq.ids([words(t) for t in texts(batch)])
-            before = word
-            for d in range(level):
-                before = seq.places(d, seq.extended(before, word, starts))
-            keys = seq.extended(before, word, starts)
-            keys, n = np.unique(keys[keys >= 0], return_counts=True)
-            if len(keys):
-                held.append((keys, n))
-                size += len(keys)
-            if size > HELD_SEQUENCES:
-                keys, n = merged()
-                held, size = [(keys, n)], len(keys)
-                if size > HELD_SEQUENCES // 2:
-                    yield table(keys, n)
-                    held, size = [], 0
-        if held:
-            yield table(*merged())
-
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Tree(Sequences):
-    """States with smoothed distributions, as arrays beside the sequences' keys."""
-
-    def __init__(self, seq: Sequences, totals: list[np.ndarray], n: int, v: int, gain: float):
-        super().__init__(seq.units)
-        self.keys = seq.keys
-        self.root = np.log10((totals[0] + 1) / (n + v + 1))
-        #: logp[d]: of a sequence's last word after the others; back[d], kept[d]: of the sequences of d + 1 words as states.
-        self.logp: list[np.ndarray] = []
-        self.back: list[np.ndarray] = []
-        self.kept: list[np.ndarray] = []
-        last = [np.arange(len(seq.units)), *(k & 0xFFFFFFFF for k in seq.keys)]
-        #: place, one level up, of each sequence without its first word
-        suffix: list[np.ndarray] = [np.full(len(seq.units), -1)]
-        for d, keys in enumerate(seq.keys):
-            ctx, word, c = keys >> 32, last[d + 1], totals[d + 1].astype(float)
-            shorter = word if d == 0 else self.places(d - 1, np.where(suffix[d][ctx] >= 0, suffix[d][ctx] << 32 | word, -1))
-            suffix.append(shorter)
-            size = len(totals[d])
-            up = self._after(d - 1, suffix[d][ctx], word) if d else self.root[word]
-            total = totals[d].astype(float)
-            kinds = np.bincount(ctx, minlength=size)
-            rest = 1 - np.bincount(ctx, c - DISCOUNT, minlength=size) / np.maximum(total, 1)
-            left = 1 - np.bincount(ctx, 10.0**up, minlength=size)
-            gains = np.bincount(ctx, c * (np.log(c / total[ctx]) - up * math.log(10)), minlength=size)
-            gains = gains + np.maximum(total - np.bincount(ctx, c, minlength=size), 0) * np.log(np.maximum(rest, 1e-12) / np.maximum(left, 1e-12))
-            self.kept.append((kinds > 0) & (gains > gain * kinds) & (rest > 1e-9) & (left > 1e-9))
-            self.back.append(np.log10(np.maximum(rest, 1e-12) / np.maximum(left, 1e-12)))
-            self.logp.append(np.log10((c - DISCOUNT) / total[ctx]))
-
-    def _after(self, level: int, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(word | state), a place among the sequences of level + 1 words or -1, down its suffixes."""
-        if level < 0:
-            return self.root[word]
-        keys = np.where(state >= 0, state << 32 | word, -1)
-        at = self.places(level, keys)
-        if level:
-            parent = self.keys[level - 1][np.maximum(state, 0)]
-            shorter = parent & 0xFFFFFFFF if level == 1 else self.places(level - 2, np.where(state >= 0, self._drop_first(level, np.maximum(state, 0)), -1))
-            up = self._after(level - 1, np.where(state >= 0, shorter, -1), word)
-        else:
-            up = self.root[word]
-        kept = (state >= 0) & self.kept[level][np.maximum(state, 0)]
-        return np.where(kept, np.where(at >= 0, self.logp[level][np.maximum(at, 0)], self.back[level][np.maximum(state, 0)] + up), up)
-
-    def _drop_first(self, level: int, place: np.ndarray) -> np.ndarray:
-        """Key of the sequences at these places without their first word."""
-        parts = []
-        for d in range(level - 1, -1, -1):
-            parts.append(self.keys[d][place] & 0xFFFFFFFF)
-            place = self.keys[d][place] >> 32
-        out = parts[-1]
-        for d, word in enumerate(reversed(parts[:-1])):
-            if d == len(parts) - 2:
-                return np.where(out >= 0, out << 32 | word, -1)
-            out = self.places(d, np.where(out >= 0, out << 32 | word, -1))
-        return out
-
-    def added(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Per document, what the states add to the sum of the words' root log10 probabilities."""
-        word, starts = self.ids(docs)
-        if not len(word):
-            return np.zeros(len(docs))
-        add = np.zeros(len(word))
-        before = word
-        root = np.where(word >= 0, self.root[np.maximum(word, 0)], 0.0) if len(self.root) else np.zeros(len(word))
-        for d in range(len(self.keys)):
-            state = np.concatenate([[-1], before[:-1]])
-            state[starts] = -1
-            before = self.places(d, self.extended(before, word, starts))
-            if len(self.kept[d]):
-                kept = (state >= 0) & self.kept[d][np.maximum(state, 0)]
-                seen = self.logp[d][np.maximum(before, 0)] - root if len(self.logp[d]) else 0.0
-                add = np.where(kept, np.where(before >= 0, seen, self.back[d][np.maximum(state, 0)] + add), add)
-        return np.add.reduceat(add, starts)
-
-
-def fit(own: DataFrame, vocab: DataFrame, n: int, v: int, depth: int = DEPTH, p_min: float = P_MIN, gain: float = GAIN) -> Tree:
-    """own(text): training rows; vocab(unit, n, c). Only tables of at most 1 / p_min rows reach the driver."""
-    least = max(2, math.ceil(p_min * n))
-    sc = own.sparkSession.sparkContext
-    first = vocab.where((F.length("unit") <= HOT_UNIT_BYTES) & (F.col("n") >= hot_cutoff(vocab)) & (F.col("c") >= least)).select("unit", "c").toArrow()
-    seq, totals = Sequences(first.column("unit").to_pylist()), [np.asarray(first.column("c"))]
-    for level in range(depth - 1):
-        frequent = _count(own, sc.broadcast(seq), level).where(F.col("n") >= least).toArrow()
-        keys, counts = np.asarray(frequent.column("key")), np.asarray(frequent.column("n"))
-        order = np.argsort(keys)
-        longer = Sequences(seq.units)
-        longer.keys = [*seq.keys, keys[order]]
-        seq = longer
-        totals.append(counts[order])
-    return Tree(seq, totals, n, v, gain)
-
-
-def lm_scores(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, depth: int = DEPTH, p_min: float = P_MIN) -> DataFrame:
+            raws = raw_texts(batch)
+            t, d = _Tokens.of(raws), batch.num_rows
+            sums, rest = np.zeros((3, d)), []
+            own, at = t.words, np.arange(len(t.words))
+            for length in range(1, longest + 1):
+                key = own[at]
+                slot = _slots(key, len(keys))
+                hit = keys[slot] == key
+                for i in (0, 1, 2) if length == 1 else (2,):
+                    sums[i] += np.bincount(t.doc[at[hit]], values[i][slot[hit]], d)
+                near = ~hit
+                near[near] = _within(bits.value, key[near])
+                rest.append(np.column_stack([t.doc[at[near]].astype(np.uint64), key[near]]))
+                at = at[hit | near]
+                at = at[t.place[at] >= length]
+                if not len(at):
+                    break
+                own = joined(np.concatenate([own[:1], own[:-1]]), own)
+            doc, key = np.concatenate(rest).T
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([first, [len(key)]]))
+            doc, key = doc[first].astype(np.int64), key[first].view(np.int64)
+            text = np.array([xxhash.xxh3_64_intdigest(x) for x in raws], np.uint64).view(np.int64)
+            ids, r = batch.column("doc_id"), len(doc)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([ids, ids.take(pa.array(doc))]),
+                    pa.array(np.concatenate([text, text[doc]])),
+                    pa.array(np.concatenate([text, key])),
+                    pa.array(np.concatenate([np.zeros(d, bool), np.ones(r, bool)])),
+                    pa.array(np.concatenate([np.bincount(t.doc, minlength=d), n])),
+                    *(pa.array(np.concatenate([s, np.zeros(r)])) for s in sums),
+                ],
+                names=["doc_id", "h", "g", "is_key", "n", *names],
+            )
+
+    rows = docs.select("doc_id", "text").mapInArrow(look_up, "doc_id long, h long, g long, is_key boolean, n long, base double, known double, v double")
+    # Document rows pass through the join under a hash of their own.
+    found = rows.join(table.select("g", F.lit(True).alias("is_key"), *(F.col(c).alias(f"t_{c}") for c in names)), ["g", "is_key"], "left")
+    sums = found.groupBy("doc_id", "h").agg(
+        F.sum(F.when(F.col("is_key"), 0).otherwise(1)).alias("copies"),
+        F.max(F.when(~F.col("is_key"), F.col("n"))).alias("n_tokens"),
+        *(F.sum(F.col(c) + F.coalesce(F.col("n") * F.col(f"t_{c}"), F.lit(0.0))).alias(c) for c in names),
+    )
+    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_tokens", *((F.col(c) / F.col("copies")).alias(c) for c in names))
+
+
+def lm_scores(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, least: int = LEAST, gain: float = GAIN) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row per input row.
 
-    Learns from all rows outside the held-out fold. base_score is the add-one unigram log10 probability, score the
+    Learns from the rows outside the held-out fold alone. base_score is the add-one unigram log10 probability, score the
     suffix tree's. Null or empty text: one token, the end. Null doc_id: trained on. No training row: both scores are
     the root's. Repeated rows count as often as they occur and each get a row. Other columns are ignored.
     """
     own = documents(docs)
     held = fold("doc_id", folds) == held_out_fold
-    vocab = stored(vocabulary(own.withColumn("train", ~held), words))
-    totals = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count(F.when(F.col("c") > 0, 1)).alias("V")).first()
+    train = own.where(~held)
+    vocab = stored(vocabulary(train))
+    totals = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
     n, v = totals["N"], totals["V"]
-    tree = docs.sparkSession.sparkContext.broadcast(fit(own.where(~held), vocab, n, v, depth, p_min))
-    values = vocab.select("unit", "n", F.log10((F.col("c") + 1) / F.lit(n + v + 1)).alias("base_score"), (F.col("c") > 0).cast("double").alias("n_known"))
-    return unit_sums(own, words, values, ["base_score", "n_known"], lambda docs: tree.value.added(docs)).select(
+    weights, longest = fit(train, vocab, n, v, least, gain)
+    words = vocab.select("g", "n", F.log10(F.col("n") + 1).alias("base"), F.lit(1.0).alias("known"), F.lit(0.0).alias("v"))
+    rows = words.unionByName(weights.select("g", "n", F.lit(0.0).alias("base"), F.lit(0.0).alias("known"), "v"))
+    table = stored(rows.groupBy("g").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("v").alias("v")))
+    base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    return _sums(own, table, longest).select(
         "doc_id",
         held.alias("held_out"),
-        F.col("n_units").alias("n_tokens"),
-        F.round("n_known").cast("long").alias("n_known"),
+        "n_tokens",
+        F.round("known").cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        "base_score",
-        (F.col("base_score") + F.col("extra")).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("v")).alias("score"),
     )

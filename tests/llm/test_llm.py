@@ -70,27 +70,73 @@ def test_bounds_hold_and_exchange_helps(spark):
     assert n[3]["lower_bound"] <= n[3]["sequences"] <= n[0]["sequences"]
 
 
+def brute_tree(train, total, kinds, least, gain, discount=0.5):
+    """The suffix tree over tuples of words: log10 probability of a word after others, by the rules as stated."""
+    counts = collections.Counter(tuple(t[i : i + k]) for t in train for k in range(1, len(t) + 1) for i in range(len(t) - k + 1))
+    root = lambda w: math.log10((counts[(w,)] + 1) / (total + kinds + 1))
+    back, logp, kept = {}, {}, {(w,): True for (w, *more), n in counts.items() if n >= least and not more}
+
+    def after(context, word):
+        while context and context not in back:
+            context = context[1:]
+        if not context:
+            return root(word)
+        return logp[(*context, word)] if (*context, word) in logp else back[context] + after(context[1:], word)
+
+    while True:
+        nexts = collections.defaultdict(dict)
+        for seq, n in counts.items():
+            if len(seq) > 1 and len(seq) == len(next(iter(kept))) + 1 and n >= least and kept.get(seq[1:]) and seq[:-1] in kept:
+                nexts[seq[:-1]][seq[-1]] = n
+        grown, found = {}, {}
+        for c, own in nexts.items():
+            t = counts[c]
+            rest = 1 - sum(n - discount for n in own.values()) / t
+            left = 1 - sum(10 ** after(c[1:], w) for w in own)
+            ok = rest > 1e-9 and left > 1e-9 and sum(n * math.log(n / t / 10 ** after(c[1:], w)) for w, n in own.items()) + (t - sum(own.values())) * math.log(rest / left) > gain * len(own)
+            if ok:
+                found[c] = math.log10(rest / left)
+                logp |= {(*c, w): math.log10((n - discount) / t) for w, n in own.items()}
+            grown |= {(*c, w): ok for w in own}
+        back |= found
+        kept = grown
+        if not found:
+            return after, back
+
+
 def test_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
     texts = ["a b a b c", "A b", None, "b a\x0bb a", "c" * 100 + " a", "a b a b"] * 4
-    rows = lm_scoring.lm_scores(docs(spark, texts), depth=3, p_min=0.01).collect()
-    train = collections.Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*own_words(t), b"\n"])
-    n, v = sum(train.values()), len(train)
+    texts += [" ".join(rng.choice(list("abcde"), 12, p=[0.4, 0.3, 0.1, 0.1, 0.1])) + " then the long road goes on to the far hills" * int(k % 2) for k in range(120)]
+    texts += ["one two three four", "five two three six"] * 15
+    rows = lm_scoring.lm_scores(docs(spark, texts), gain=1.0).collect()
+    tokens = [[*own_words(t), b"\n"] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    train = [t for t, h in zip(tokens, held) if not h]
+    known = collections.Counter(w for t in train for w in t)
+    n, v = sum(known.values()), len(known)
+    after, states = brute_tree(train, n, v, lm_scoring.LEAST, 1.0)
+    assert max(map(len, states)) > 1 and len(rows) == len(texts)
     for r in rows:
-        own = [*own_words(texts[r.doc_id]), b"\n"]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(own), sum(w in train for w in own), n)
-        assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in own), abs_tol=1e-9)
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+        own = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(own), sum(w in known for w in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((known[w] + 1) / (n + v + 1)) for w in own), abs_tol=1e-9)
+        assert math.isclose(r.score, sum(after(tuple(own[:i]), w) for i, w in enumerate(own)), abs_tol=1e-9)
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+    # In every state the probabilities of the known words and of one unknown word add up to 1.
+    for c in [(), *states]:
+        assert math.isclose(sum(10 ** after(c, w) for w in [*known, b"?"]), 1, abs_tol=1e-9)
     assert lm_scoring.lm_scores(docs(spark, [])).count() == 0
+    only = lm_scoring.lm_scores(docs(spark, ["x y", None], [None, None])).collect()
+    assert sorted(r.n_tokens for r in only) == [1, 3] and all(r.doc_id is None and not r.held_out for r in only)
 
 
-def test_suffix_tree_is_a_distribution():
-    seq = lm_scoring.Sequences([b"a", b"b", b"\n"])
-    seq.keys = [np.array([0 << 32 | 1, 1 << 32 | 0])]
-    tree = lm_scoring.Tree(seq, [np.array([50, 50, 10]), np.array([45, 30])], 110, 3, 0.0)
-    # In the state `a`: its kept next word, and the others by back-off; the rest of the root's mass is for unknown words.
-    p = [10 ** (tree.root[i] + tree.added([[b"a", w, b"x"]])[0] - tree.added([[b"a", b"?", b"x"]])[0] * 0) for i, w in enumerate((b"a", b"b", b"\n"))]
-    unknown = (1 - sum(10**tree.root)) * 10 ** tree.back[0][0]
-    assert math.isclose(10 ** tree.logp[0][0] + sum(10 ** (tree.root[i] + tree.back[0][0]) for i in (0, 2)) + unknown, 1, abs_tol=1e-9) and len(p) == 3
+def test_held_out_rows_teach_nothing(spark):
+    fold = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = {i: "red green blue red green blue" for i in range(60)}
+    one = lm_scoring.lm_scores(docs(spark, list(texts.values()))).where("NOT held_out").collect()
+    two = lm_scoring.lm_scores(docs(spark, [f"quite another text {i} {i}" if i in fold else t for i, t in texts.items()])).where("NOT held_out").collect()
+    assert fold and sorted((r.doc_id, r.score) for r in one) == sorted((r.doc_id, r.score) for r in two)
 
 
 def test_quality_ledger(spark):
