@@ -1,8 +1,9 @@
 """Language-model scores by a probabilistic suffix tree over words, kept as Spark tables.
 
 Symbols are words (A-Z lower-cased) and the end of a text. Contexts grow word by word to the left: a context of k words
-is tried if it occurs LEAST times in the training texts, its suffix of k - 1 words is a state of the tree and was seen
-to predict it. It becomes a state if its next-symbol distribution diverges from its suffix's: the log-likelihood gain
+is tried if it occurs often enough in the training texts (least_count: 2 log2 of their number of tokens, as naming a
+sequence costs some log2 bits, so ever rarer shares of the corpus count as it grows), its suffix of k - 1 words is a
+state of the tree and was seen to predict it. It becomes a state if its next-symbol distribution diverges from its suffix's: the log-likelihood gain
 exceeds GAIN nats per next symbol. Growth ends where no context of some length passes; no length, share or number of
 contexts is fixed, so the tree grows with the corpus. Distributions are smoothed by absolute discounting with Katz
 back-off to the suffix's, the root's by adding one. A symbol is scored in the state of the longest suffix of what
@@ -24,19 +25,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, fold, raw_texts, slices, stored
 from .text_arrays import mixed, split_words
 
-#: Occurrences that make a sequence count.
-LEAST = 2
 GAIN = 2.0
 DISCOUNT = 0.5
 END = np.uint64(0x5851F42D4C957F2D)
 _LEFT = np.uint64(0xD1342543DE82EF95)
+#: Sequences that grow from so many words or fewer are counted by their hashes first.
+SHORT = 2
 #: Distinct sequences that a task holds before it passes their counts on.
 HELD = 1_000_000
 #: 64-bit words of a bitmap, and slots of the table of common sequences, at most, as powers of two.
@@ -44,6 +45,11 @@ MAP_BITS = 21
 HOT_BITS = 20
 
 
+def least_count(total: int) -> int:
+    """Occurrences that make a sequence count, in a corpus of so many tokens."""
+    return 2 * math.ceil(math.log2(total + 2))
+
+
 def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """Hash of a sequence from those of it without its last and without its first word."""
     return mixed(context * _LEFT + suffix)
@@ -100,73 +106,94 @@ def _within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[_slots(keys, len(bits))] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _summed(batches: Iterator[pa.RecordBatch], found, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """found(tokens) -> key and columns of counted places; yields columns and n, added up within the task."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def merged() -> tuple[np.ndarray, ...]:
-        keys, *columns, n = (np.concatenate(c) for c in zip(*held))
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        return (keys[order][first], *(c[order][first] for c in columns), np.add.reduceat(n[order], first))
-
-    def table(own: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in own[1:-1]), pa.array(own[-1])], names=[*names, "n"])
-
-    for batch in slices(batches):
-        keys, *columns = found(_Tokens.of(raw_texts(batch)))
-        if len(keys):
-            keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-            held.append((keys, *(c[first] for c in columns), n))
-            size += len(keys)
-        if size > 2 * HELD:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > HELD:
-                yield table(held[0])
-                held, size = [], 0
-    if held:
-        yield table(merged())
+def _counted(texts: DataFrame, found) -> DataFrame:
+    """found(tokens) -> keys of counted places; g, n over texts(text), added up within each task first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], np.add.reduceat(n, first)
+
+        def table(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["g", "n"])
+
+        for batch in slices(batches):
+            keys, n = np.unique(found(_Tokens.of(raw_texts(batch))), return_counts=True)
+            if len(keys):
+                held.append((keys, n))
+                size += len(keys)
+            if size > 2 * HELD:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield table(*held[0])
+                    held, size = [], 0
+        if held:
+            yield table(*merged())
+
+    return texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(train: DataFrame) -> DataFrame:
     """train(text) -> g (a word's hash), n."""
-    count = lambda batches: _summed(batches, lambda t: (t.words, t.words), ["g"])
-    return train.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return _counted(train, lambda t: t.words)
 
 
-def _pairs(train: DataFrame, length: int, contexts, suffixes) -> DataFrame:
-    """Sequences one longer than `length` -> c (without the last word), e (without the first), n.
+def _grown(train: DataFrame, length: int, contexts, suffixes, least: int) -> DataFrame:
+    """Sequences one longer than `length` that occur `least` times -> g, c (without the last word), e (without the first), n.
 
-    Only those whose parts stand in the bitmaps of contexts and suffixes; some others slip through.
+    Only those whose parts stand in the bitmaps of contexts and suffixes; some others slip through. Short ones are many:
+    they are counted by their hashes alone, and a second pass over the texts takes those few apart that occur often
+    enough. Longer ones are counted with their parts.
     """
 
-    def found(t: _Tokens):
+    def places(t: _Tokens) -> tuple[np.ndarray, np.ndarray]:
         own = t.sequences(length)
         at = np.flatnonzero(t.place >= length)
         at = at[_within(suffixes.value, own[at])]
-        at = at[_within(contexts.value, own[at - 1])]
-        return joined(own[at - 1], own[at]), own[at - 1], own[at]
+        return own, at[_within(contexts.value, own[at - 1])]
 
-    rows = train.select("text").mapInArrow(lambda batches: _summed(batches, found, ["c", "e"]), "c long, e long, n long")
-    return rows.groupBy("c", "e").agg(F.sum("n").alias("n"))
+    def keys(t: _Tokens) -> np.ndarray:
+        own, at = places(t)
+        return joined(own[at - 1], own[at])
 
-
-def _hashed(rows: DataFrame) -> DataFrame:
-    """rows(c, e, ...) with g, the hash of the sequence, in their place."""
-    names = [x for x in rows.columns if x not in ("c", "e")]
-    kinds = {x: t for x, t in rows.dtypes}
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c, e = (np.asarray(b.column(x)).view(np.uint64) for x in ("c", "e"))
-            yield pa.RecordBatch.from_arrays([pa.array(joined(c, e).view(np.int64)), *(b.column(x) for x in names)], names=["g", *names])
-
-    return rows.mapInArrow(join, ", ".join(["g long", *(f"{x} {kinds[x]}" for x in names)]))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own, at = places(_Tokens.of(raw_texts(batch)))
+            key, first, n = np.unique(joined(own[at - 1], own[at]), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, own[at - 1][first], own[at][first])), pa.array(n)], names=["g", "c", "e", "n"])
+
+    if length > SHORT:
+        rows = train.select("text").mapInArrow(whole, "g long, c long, e long, n long")
+        return rows.groupBy("g").agg(F.min("c").alias("c"), F.min("e").alias("e"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    often = stored(_counted(train, keys).where(F.col("n") >= least))
+    wanted = train.sparkSession.sparkContext.broadcast(_bitmap(often))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.uint64)
+        for batch in slices(batches):
+            own, at = places(_Tokens.of(raw_texts(batch)))
+            key = joined(own[at - 1], own[at])
+            near = np.flatnonzero(_within(wanted.value, key))
+            key, first = np.unique(key[near], return_index=True)
+            fresh = ~np.isin(key, known, assume_unique=True)
+            at = at[near[first[fresh]]]
+            known = np.concatenate([known, key[fresh]]) if len(known) < HELD else key
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[fresh], own[at - 1], own[at])], names=["g", "c", "e"])
+
+    rows = train.select("text").mapInArrow(parts, "g long, c long, e long").groupBy("g").agg(F.min("c").alias("c"), F.min("e").alias("e"))
+    out = stored(rows.join(often, "g"))
+    wanted.destroy()
+    return out
 
 
-def fit(train: DataFrame, vocab: DataFrame, total: int, kinds: int, least: int = LEAST, gain: float = GAIN) -> tuple[DataFrame, int]:
+def fit(train: DataFrame, vocab: DataFrame, total: int, kinds: int, least: int, gain: float = GAIN) -> tuple[DataFrame, int]:
     """train(text), vocab(g, n) -> weights (g, n, v) of sequences of two words and more and of states, and the longest length.
 
     p is the log10 probability of a sequence's last word in the longest state among the words before it.
@@ -176,7 +203,7 @@ def fit(train: DataFrame, vocab: DataFrame, total: int, kinds: int, least: int =
     weights, length = None, 1
     contexts = suffixes = sc.broadcast(_bitmap(known.select("g")))
     while True:
-        seen = _pairs(train, length, contexts, suffixes).where(F.col("n") >= least)
+        seen = _grown(train, length, contexts, suffixes, least)
         entries = seen.join(known.where("ok").select(F.col("g").alias("e"), F.col("p").alias("up")), "e").join(known.select(F.col("g").alias("c"), F.col("n").alias("total")), "c")
         entries = stored(entries)
         by = entries.groupBy("c", "total").agg(
@@ -188,10 +215,10 @@ def fit(train: DataFrame, vocab: DataFrame, total: int, kinds: int, least: int =
         states = stored(by.select("c", "total", F.log10(F.col("rest") / F.col("left")).alias("back")))
         own = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
         grown = entries.join(states.select("c", "back"), "c", "left").select(
-            "c", "e", "n", F.when(F.col("back").isNotNull(), own).otherwise(F.col("up")).alias("p"), F.col("back").isNotNull().alias("ok"),
+            "g", "n", F.when(F.col("back").isNotNull(), own).otherwise(F.col("up")).alias("p"), F.col("back").isNotNull().alias("ok"),
             F.coalesce(own - F.col("up") - F.col("back"), F.lit(0.0)).alias("v"),
         )
-        known = stored(_hashed(grown))
+        known = stored(grown)
         more = known.where("ok").select("g", "n", "v").unionByName(states.select(F.col("c").alias("g"), F.col("total").alias("n"), F.col("back").alias("v")))
         weights = more if weights is None else weights.unionByName(more)
         length += 1
@@ -204,35 +231,37 @@ def fit(train: DataFrame, vocab: DataFrame, total: int, kinds: int, least: int =
 
 
 def _sums(docs: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """docs(doc_id, text), table(g, n, base, known, v) -> doc_id, n_tokens, base, known, v summed; a row per input row.
+    """docs(doc_id, text), table(g, n, base, v) -> doc_id, n_tokens, n_known, base, v summed; a row per input row.
 
-    A sequence longer than a word is looked for only where it is in the table without its first word, as all are.
+    n_known counts words, which alone have a base. A sequence longer than a word is looked for only where it is in the
+    table without its first word, as all are.
     """
     sc = docs.sparkSession.sparkContext
-    names = ("base", "known", "v")
     size = _power(2 * table.count(), HOT_BITS)
     slot = F.shiftrightunsigned("g", 64 - size).cast("int")
-    best = table.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("g", *names), F.struct("n", "g")).alias("b")).select("slot", "b.*").toArrow()
-    keys, values = np.zeros(1 << size, np.uint64), np.zeros((3, 1 << size))
+    best = table.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("g", "base", "v"), F.struct("n", "g")).alias("b")).select("slot", "b.*").toArrow()
+    keys, values = np.zeros(1 << size, np.uint64), np.zeros((2, 1 << size))
     at = np.asarray(best.column("slot"))
     keys[at] = np.asarray(best.column("g")).view(np.uint64)
-    for i, c in enumerate(names):
-        values[i, at] = np.asarray(best.column(c))
+    values[0, at], values[1, at] = np.asarray(best.column("base")), np.asarray(best.column("v"))
     hot, bits = sc.broadcast((keys, values)), sc.broadcast(_bitmap(table.select("g")))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = hot.value
+        first = TaskContext.get().partitionId() << 33  # rows are numbered; what is written keeps its numbers
         for batch in slices(batches):
-            raws = raw_texts(batch)
-            t, d = _Tokens.of(raws), batch.num_rows
-            sums, rest = np.zeros((3, d)), []
+            t, d = _Tokens.of(raw_texts(batch)), batch.num_rows
+            base, known, v, rest = np.zeros(d), np.zeros(d), np.zeros(d), []
             own, at = t.words, np.arange(len(t.words))
             for length in range(1, longest + 1):
                 key = own[at]
                 slot = _slots(key, len(keys))
                 hit = keys[slot] == key
-                for i in (0, 1, 2) if length == 1 else (2,):
-                    sums[i] += np.bincount(t.doc[at[hit]], values[i][slot[hit]], d)
+                doc, slot = t.doc[at[hit]], slot[hit]
+                v += np.bincount(doc, values[1][slot], d)
+                if length == 1:
+                    base += np.bincount(doc, values[0][slot], d)
+                    known += np.bincount(doc, values[0][slot] > 0, d)
                 near = ~hit
                 near[near] = _within(bits.value, key[near])
                 rest.append(np.column_stack([t.doc[at[near]].astype(np.uint64), key[near]]))
@@ -242,37 +271,24 @@ def _sums(docs: DataFrame, table: DataFrame, longest: int) -> DataFrame:
                     break
                 own = joined(np.concatenate([own[:1], own[:-1]]), own)
             doc, key = np.concatenate(rest).T
-            order = np.lexsort((key, doc))
+            order = np.argsort(doc, kind="stable")
             doc, key = doc[order], key[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([first, [len(key)]]))
-            doc, key = doc[first].astype(np.int64), key[first].view(np.int64)
-            text = np.array([xxhash.xxh3_64_intdigest(x) for x in raws], np.uint64).view(np.int64)
-            ids, r = batch.column("doc_id"), len(doc)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(d + 1)).astype(np.int32)), pa.array(key.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids, ids.take(pa.array(doc))]),
-                    pa.array(np.concatenate([text, text[doc]])),
-                    pa.array(np.concatenate([text, key])),
-                    pa.array(np.concatenate([np.zeros(d, bool), np.ones(r, bool)])),
-                    pa.array(np.concatenate([np.bincount(t.doc, minlength=d), n])),
-                    *(pa.array(np.concatenate([s, np.zeros(r)])) for s in sums),
-                ],
-                names=["doc_id", "h", "g", "is_key", "n", *names],
+                [batch.column("doc_id"), pa.array(first + np.arange(d)), pa.array(np.bincount(t.doc, minlength=d)), *map(pa.array, (base, known, v)), lists],
+                names=["doc_id", "row", "n_tokens", "base", "known", "v", "keys"],
             )
+            first += d
 
-    rows = docs.select("doc_id", "text").mapInArrow(look_up, "doc_id long, h long, g long, is_key boolean, n long, base double, known double, v double")
-    # Document rows pass through the join under a hash of their own.
-    found = rows.join(table.select("g", F.lit(True).alias("is_key"), *(F.col(c).alias(f"t_{c}") for c in names)), ["g", "is_key"], "left")
-    sums = found.groupBy("doc_id", "h").agg(
-        F.sum(F.when(F.col("is_key"), 0).otherwise(1)).alias("copies"),
-        F.max(F.when(~F.col("is_key"), F.col("n"))).alias("n_tokens"),
-        *(F.sum(F.col(c) + F.coalesce(F.col("n") * F.col(f"t_{c}"), F.lit(0.0))).alias(c) for c in names),
-    )
-    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_tokens", *((F.col(c) / F.col("copies")).alias(c) for c in names))
+    rows = stored(docs.select("doc_id", "text").mapInArrow(look_up, "doc_id long, row long, n_tokens long, base double, known double, v double, keys array<long>"))
+    cold = rows.select("row", F.explode("keys").alias("g"))
+    values = table.select("g", F.col("base").alias("cold_base"), F.col("v").alias("cold_v"))
+    found = cold.join(values, "g").groupBy("row").agg(F.sum("cold_base").alias("cold_base"), F.count(F.when(F.col("cold_base") > 0, 1)).alias("cold_known"), F.sum("cold_v").alias("cold_v"))
+    total = lambda c: F.col(c) + F.coalesce(f"cold_{c}", F.lit(0.0))
+    return rows.drop("keys").join(found, "row", "left").select("doc_id", "n_tokens", F.round(total("known")).cast("long").alias("n_known"), total("base").alias("base"), total("v").alias("v"))
 
 
-def lm_scores(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, least: int = LEAST, gain: float = GAIN) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, least: int | None = None, gain: float = GAIN) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row per input row.
 
     Learns from the rows outside the held-out fold alone. base_score is the add-one unigram log10 probability, score the
@@ -285,16 +301,16 @@ def lm_scores(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, least: in
     vocab = stored(vocabulary(train))
     totals = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
     n, v = totals["N"], totals["V"]
-    weights, longest = fit(train, vocab, n, v, least, gain)
-    words = vocab.select("g", "n", F.log10(F.col("n") + 1).alias("base"), F.lit(1.0).alias("known"), F.lit(0.0).alias("v"))
-    rows = words.unionByName(weights.select("g", "n", F.lit(0.0).alias("base"), F.lit(0.0).alias("known"), "v"))
-    table = stored(rows.groupBy("g").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("v").alias("v")))
+    weights, longest = fit(train, vocab, n, v, least or least_count(n), gain)
+    words = vocab.select("g", "n", F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("v"))
+    rows = words.unionByName(weights.select("g", "n", F.lit(0.0).alias("base"), "v"))
+    table = stored(rows.groupBy("g").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("v").alias("v")))
     base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     return _sums(own, table, longest).select(
         "doc_id",
         held.alias("held_out"),
         "n_tokens",
-        F.round("known").cast("long").alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         (base + F.col("v")).alias("score"),

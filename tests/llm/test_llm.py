@@ -109,13 +109,13 @@ def test_scores_equal_brute_force(spark):
     texts = ["a b a b c", "A b", None, "b a\x0bb a", "c" * 100 + " a", "a b a b"] * 4
     texts += [" ".join(rng.choice(list("abcde"), 12, p=[0.4, 0.3, 0.1, 0.1, 0.1])) + " then the long road goes on to the far hills" * int(k % 2) for k in range(120)]
     texts += ["one two three four", "five two three six"] * 15
-    rows = lm_scoring.lm_scores(docs(spark, texts), gain=1.0).collect()
+    rows = lm_scoring.lm_scores(docs(spark, texts), least=2, gain=1.0).collect()
     tokens = [[*own_words(t), b"\n"] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     train = [t for t, h in zip(tokens, held) if not h]
     known = collections.Counter(w for t in train for w in t)
     n, v = sum(known.values()), len(known)
-    after, states = brute_tree(train, n, v, lm_scoring.LEAST, 1.0)
+    after, states = brute_tree(train, n, v, 2, 1.0)
     assert max(map(len, states)) > 1 and len(rows) == len(texts)
     for r in rows:
         own = tokens[r.doc_id]
