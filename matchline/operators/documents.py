@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import helpers as U
 from ..functions import scalars as S
+from ..functions import texts as T
 
 #: Words that speak for a type, in file names and texts. Fixed values.
 FILE_WORDS = {"INVOICE": r"(?i)inv(oice)?", "PO": r"(?i)(purchase[_\-]?order|\bpo\b)", "GRN": r"(?i)(grn|goods[_\-]?receipt)"}
 TEXT_WORDS = {"INVOICE": r"(?i)\b(invoice|tax\s*invoice|bill\s*to|amount\s*due)\b", "PO": r"(?i)\b(purchase\s*order|ordered\s*by|ship\s*to)\b", "GRN": r"(?i)\b(goods\s*receipt|goods\s*received|grn|received\s*quantity)\b"}
+#: Heads of text lines, and a line of description, quantity and price. Fixed values.
 LINE_HEADER = r"(?i)^(?:line\s*(?:no\.?|#)?|item\s*(?:no\.?|#)?|#|description|qty|quantity|unit\s*price|price|tax|gst)(?:\s*[|\t]|$)"
 TEXT_LINE = r"(.+?)\s+(\d+(?:\.\d+)?)\s+(\d+(?:,\d{3})*(?:\.\d+)?)"
 FINANCIAL = ("quantity", "unit_price", "tax_rate", "subtotal", "tax_amount", "total_amount")
@@ -22,9 +23,8 @@ _LINE_FIELDS = ("line_number", "description", "quantity", "unit_price", "tax_rat
 
 
 def labelled_fields(docs: DataFrame) -> DataFrame:
-    """docs(full_text, ...) with fields (map), ambiguous (names) and stacked (rows): one pass of U3 over each text."""
-    U.on_workers(docs.sparkSession)
-    return docs.withColumn("_x", U.extract_text("full_text")).select(*docs.columns, "_x.*")
+    """docs(full_text, ...) with fields (map), ambiguous (names) and stacked (rows), read by built-in functions."""
+    return T.stacked_rows(T.read_labels(docs, "full_text"), "full_text")
 
 
 def classify(read: DataFrame) -> DataFrame:
@@ -62,9 +62,9 @@ def table_lines(docs: DataFrame) -> DataFrame:
 
 
 def stacked_lines() -> Column:
-    """Lines of the rows that U3 found in stacked columns."""
-    get = lambda r, k: F.try_element_at(r, F.lit(k))
-    return F.transform("stacked", lambda r, i: _line(line_number=i + 1, method=F.lit("stacked_columns"), confidence=F.lit("MEDIUM"), **{k: get(r, k) for k in ("description", "quantity", "unit_price", "tax_rate", "reference")}))
+    """Lines of the rows found in stacked columns."""
+    names = ("description", "quantity", "unit_price", "tax_rate", "reference")
+    return F.transform("stacked", lambda r, i: _line(line_number=i + 1, method=F.lit("stacked_columns"), confidence=F.lit("MEDIUM"), **{k: r[k] for k in names}))
 
 
 def text_lines() -> Column:
@@ -125,8 +125,9 @@ def outcome(c: DataFrame) -> DataFrame:
 
 
 def understand(docs: DataFrame) -> DataFrame:
-    """D1 to D8 for docs(doc_id, filename, declared_type, full_text[, tables, warnings])."""
-    return outcome(validate_candidates(build_candidates(classify(labelled_fields(docs)))))
+    """D1 to D8 for docs(doc_id, filename, declared_type, full_text[, tables, warnings]), read by labelled_fields or not yet."""
+    read = docs if "stacked" in docs.columns else labelled_fields(docs)
+    return outcome(validate_candidates(build_candidates(classify(read))))
 
 
 def route_reviews(understood: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import helpers as U
+from ..functions import texts as T
 
 #: Evidence entries that a retrieval query names, in this order, and what each family adds. Fixed values.
 QUERY_KEYS = ("rule", "affected_field", "field", "expected_unit_price", "billed_unit_price", "expected_value", "actual_value", "percentage_variance", "absolute_variance", "tolerance", "price_tolerance_percent", "quantity_tolerance")
@@ -23,15 +24,14 @@ QUERY_BLOCK = 2000
 
 def sections(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, place, section_id, section_title, n_blocks, body."""
-    rows = chunks(docs, 1 << 30)
-    return rows.withColumnRenamed("chunk_index", "place").withColumn("n_blocks", F.size(F.split("content", "\n\n")).cast("long")).withColumnRenamed("content", "body").drop("content_hash")
+    rows = docs.select("doc_id", F.posexplode(T.markdown_sections("text")).alias("place", "s"))
+    return rows.select("doc_id", "place", "s.section_id", "s.section_title", F.size("s.blocks").cast("long").alias("n_blocks"), F.array_join("s.blocks", "\n\n").alias("body"))
 
 
 def chunks(docs: DataFrame, max_chars: int = 2000) -> DataFrame:
     """docs(doc_id, text) -> doc_id, chunk_index, section_id, section_title, content, content_hash; map only."""
-    U.on_workers(docs.sparkSession)
-    rows = docs.select("doc_id", F.explode(U.chunk_text("text", max_chars)).alias("c")).select("doc_id", "c.*")
-    return rows.withColumn("content_hash", F.sha2("content", 256))
+    rows = docs.select("doc_id", F.posexplode(T.markdown_chunks("text", max_chars)).alias("chunk_index", "c"))
+    return rows.select("doc_id", "chunk_index", "c.*", F.sha2("c.content", 256).alias("content_hash"))
 
 
 def ingest_versions(existing: DataFrame, sources: DataFrame, max_chars: int = 2000) -> tuple[DataFrame, DataFrame]:

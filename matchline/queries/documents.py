@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..operators import documents as D
-from .base import query
+from .base import query, written
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +21,12 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     lines = F.array_join(F.transform("items", lambda x: x["t"]), "\n")
     stacked = F.concat(F.lit("Description\nQty\nUnit Price\n"), F.array_join(F.transform("items", lambda x: x["s"]), "\n"))
     text = F.when(v == 5, "").when(v == 4, F.concat(head, F.coalesce(stacked, F.lit("")))).otherwise(F.concat(head, F.coalesce(lines, F.lit(""))))
-    return own.select(F.col("invoice_id").alias("doc_id"), F.lit("scan.pdf").alias("filename"), F.lit(None).cast("string").alias("declared_type"), text.alias("full_text"), v.alias("variant"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).alias("n_items"))
+    return own.select(F.col("invoice_id").alias("doc_id"), F.lit("scan.pdf").alias("filename"), F.lit(None).cast("string").alias("declared_type"), text.alias("full_text"), v.alias("variant"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).alias("n_items")).repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes, but long work on each row
+
+
+def read(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with their labelled fields and stacked rows, written once for all that is derived from them."""
+    return written(D.labelled_fields(texts(spark, d)))
 
 
 _T = "t AS (SELECT invoice_id AS doc_id, (invoice_id // 10) % 6 AS v, trim(invoice_number) AS number, vendor_id, name, invoice_date, coalesce(n, 0) AS n FROM inv LEFT JOIN vendors USING (vendor_id) LEFT JOIN (SELECT invoice_id, count(*) AS n FROM inv_line GROUP BY 1) USING (invoice_id))"
@@ -67,7 +72,7 @@ def d5(spark, d):
 
 @query("d6_build_candidates", f"{_T} SELECT doc_id, CASE WHEN v IN (0, 4) THEN number END AS invoice_number, CASE WHEN v <> 5 THEN invoice_date END AS doc_date, CASE WHEN v = 5 THEN 0 ELSE n END AS n_lines, round(CASE WHEN v = 5 THEN 0 ELSE coalesce(q, 0) END, 2) AS quantity FROM t LEFT JOIN (SELECT invoice_id, sum(quantity::DECIMAL(18,2))::DOUBLE AS q FROM inv_line GROUP BY 1) s ON s.invoice_id = doc_id")
 def d6(spark, d):
-    c = D.build_candidates(D.classify(D.labelled_fields(texts(spark, d))))
+    c = D.build_candidates(D.classify(read(spark, d)))
     own = c.withColumn("doc_date", F.coalesce("doc_date", F.lit(None).cast("date")))
     total = F.aggregate("lines", F.lit(0.0), lambda a, x: a + F.coalesce(x["quantity"].cast("double"), F.lit(0.0)))
     return own.select("doc_id", "invoice_number", "doc_date", F.size("lines").cast("long").alias("n_lines"), F.round(total, 2).alias("quantity"))
@@ -75,24 +80,24 @@ def d6(spark, d):
 
 @query("d7_validate_candidates", f"{_T} SELECT doc_id, concat_ws(',', CASE WHEN v = 5 THEN 'UNKNOWN_OR_EMPTY' END, CASE WHEN v IN (1, 2, 3) THEN 'MISSING_INVOICE_NUMBER' END, CASE WHEN v <> 5 AND n = 0 THEN 'MISSING_LINES' END, CASE WHEN v = 3 THEN 'AMBIGUOUS_FIELD' END) AS codes FROM t")
 def d7(spark, d):
-    c = D.understand(texts(spark, d))
+    c = D.understand(read(spark, d))
     return c.select("doc_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
 
 
 @query("d8_outcome", f"{_T} SELECT doc_id, {_OUTCOME} AS outcome FROM t")
 def d8(spark, d):
-    return D.understand(texts(spark, d)).select("doc_id", "outcome")
+    return D.understand(read(spark, d)).select("doc_id", "outcome")
 
 
 @query("d9_route_reviews", f"{_T} SELECT doc_id, CASE WHEN v = 5 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM t WHERE v IN (3, 5) AND doc_id % 20 <> 0")
 def d9(spark, d):
-    docs = texts(spark, d)
+    docs = read(spark, d)
     return D.route_reviews(D.understand(docs), docs.where("doc_id % 20 = 0")).select("doc_id", "priority")
 
 
 @query("d10_apply_corrections", f"{_T} SELECT doc_id, 'FIX-' || doc_id AS invoice_number, 'READY_FOR_RECONCILIATION' AS outcome FROM t WHERE v IN (1, 2) AND n > 0")
 def d10(spark, d):
-    docs = texts(spark, d).where("variant IN (1, 2) AND n_items > 0")
+    docs = read(spark, d).where("variant IN (1, 2) AND n_items > 0")
     changes = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(s).alias("seq"), F.lit(p).alias("field_path"), v.alias("value")) for s, p, v in ((1, "invoice_number", F.lit("first")), (2, "invoice_number", F.concat(F.lit("FIX-"), F.col("doc_id").cast("string"))), (3, "total_amount", F.lit("not a number")), (4, "lines[0].quantity", F.lit("5")))))).alias("e")).select("doc_id", "e.*")
     fixed, _ = D.apply_corrections(D.understand(docs).drop("issues", "is_valid", "requires_review", "outcome"), changes)
     return D.outcome(D.validate_candidates(fixed)).select("doc_id", "invoice_number", "outcome")
@@ -100,14 +105,14 @@ def d10(spark, d):
 
 @query("d11_promotable", f"{_T} SELECT doc_id FROM t WHERE v IN (0, 4) AND n > 0 AND doc_id % 4 = 0")
 def d11(spark, d):
-    docs = texts(spark, d)
+    docs = read(spark, d)
     tasks = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "APPROVED").otherwise("PENDING").alias("status"))
     return D.promotable(D.understand(docs), tasks).select("doc_id")
 
 
 @query("d12_promote", f"{_T} SELECT doc_id, number, vendor_id::VARCHAR AS vendor_id FROM t WHERE v IN (0, 4)")
 def d12(spark, d):
-    head, _, _ = D.promote(D.understand(texts(spark, d)), X.vendors(spark, d), X.po(spark, d))
+    head, _, _ = D.promote(D.understand(read(spark, d)), X.vendors(spark, d), X.po(spark, d))
     return head.where("kind = 'INVOICE'").select("doc_id", "number", F.col("vendor_id").cast("string").alias("vendor_id"))
 
 
@@ -121,7 +126,7 @@ def d13(spark, d):
 
 @query("d14_grounded_values", f"{_T} SELECT doc_id, doc_id % 2 = 0 AND v <> 5 AS grounded FROM t")
 def d14(spark, d):
-    docs = texts(spark, d).join(X.inv(spark, d).select(F.col("invoice_id").alias("doc_id"), "invoice_date"), "doc_id")
+    docs = read(spark, d).join(X.inv(spark, d).select(F.col("invoice_id").alias("doc_id"), "invoice_date"), "doc_id")
     values = docs.select("doc_id", F.lit("invoice_date").alias("path"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("invoice  DATE "), F.col("invoice_date").cast("string"))).otherwise("no such value").alias("value"))
     return D.grounded_values(values, docs).select("doc_id", "grounded")
 
@@ -141,7 +146,7 @@ def d15(spark, d):
 
 @query("d16_needs_assist", f"{_T} SELECT doc_id, NOT (v IN (0, 4) AND n > 0) AS assist, CASE WHEN v IN (0, 4) AND n > 0 THEN '' ELSE concat_ws(',', 'outcome:' || {_OUTCOME}, CASE WHEN v = 5 THEN 'type:UNKNOWN' END, CASE WHEN v IN (3, 5) THEN 'requires_review' END, CASE WHEN v = 5 THEN 'issue:UNKNOWN_OR_EMPTY' END, CASE WHEN v IN (1, 2, 3) THEN 'issue:MISSING_INVOICE_NUMBER' END, CASE WHEN v <> 5 AND n = 0 THEN 'issue:MISSING_LINES' END, CASE WHEN v = 5 OR n = 0 THEN 'no_lines' END) END AS reasons FROM t")
 def d16(spark, d):
-    return D.needs_assist(D.understand(texts(spark, d))).withColumn("reasons", F.array_join("reasons", ","))
+    return D.needs_assist(D.understand(read(spark, d))).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("d17_assist_status", f"SELECT invoice_id AS doc_id, CASE WHEN invoice_id % 11 = 0 THEN 'EVIDENCE_FAILED' WHEN invoice_id % 13 = 0 THEN 'VALIDATION_FAILED' WHEN invoice_id % 17 = 0 THEN 'DISAGREEMENT' ELSE 'INVOKED' END AS state, CASE WHEN invoice_id % 17 = 0 OR invoice_id % 11 = 0 THEN 'HIGH' WHEN {_VERDICT} = 'HIGH' THEN 'LOW' ELSE 'MEDIUM' END AS priority FROM inv")

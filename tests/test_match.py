@@ -6,7 +6,8 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from matchline.functions import helpers as U
+from matchline.functions import texts as text_functions
+from matchline.operators import policy
 from matchline.functions import scalars as S
 from matchline.operators import anomaly as A
 from matchline.operators import reads as W
@@ -121,17 +122,42 @@ def test_normalizers(spark):
     assert (float(got[0]), float(got[1]), got[2], got[3], got[4]) == (-1234.5, 0.18, datetime.date(1998, 12, 31), None, "inv-7")
 
 
-def test_chunks_are_bounded_and_contiguous():
-    got = U.markdown_chunks("# A\n\n" + "word " * 800, 200)
-    assert len(got) > 1 and [g[0] for g in got] == list(range(len(got))) and all(len(g[3]) <= 200 for g in got)
-    assert U.markdown_chunks("", 10) == [] and U.markdown_chunks("plain", 10) == [(0, "preamble", "Preamble", "plain")]
-    assert U.markdown_sections("## 2.1 Terms\n\na\nb\n\nc") == [("2.1", "2.1 Terms", ["a\nb", "c"])]
-
-
-def test_labels():
-    assert U.read_label("Invoice Number: A-1 / B-2\n", "invoice_number") == (None, ["A-1", "B-2"])
-    assert U.read_label("Invoice No: N/A\nInvoice No: X9", "invoice_number") == ("X9", [])
-    assert len(U.stacked_rows("Description\nQty\nPrice\npen\n2\n3.50\nTotal\n7\n0")) == 1
+def test_chunks_are_bounded_and_contiguous(spark):
+    texts = ["# A\n\n" + "word " * 800, "", "plain", "## 2.1 Terms\n\na  \nb\n \nc", "# Only\r\n## Heads", "x" * 450, None, "intro\n# Über uns!\ntext\n#no head\n\n\nmore " + "y" * 300]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in policy.chunks(frame, 200).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_index, r.section_id, r.section_title, r.content))
+    assert [g[0] for g in got[0]] == list(range(len(got[0]))) and all(len(g[3]) <= 200 for c in got.values() for g in c)
+    assert " ".join(g[3] for g in got[0]).split() == ["word"] * 800 and [len(g[3]) for g in got[0][:-1]] == [199] * (len(got[0]) - 1)
+    assert got[2] == [(0, "preamble", "Preamble", "plain")] and got[4] == [(0, "body", None, "# Only\n## Heads")] and 1 not in got and 6 not in got
+    assert got[3] == [(0, "2.1", "2.1 Terms", "a\nb\n\nc")] and [len(g[3]) for g in got[5]] == [200, 200, 50]
+    assert [g[1:] for g in got[7]] == [("preamble", "Preamble", "intro"), ("ber-uns", "Über uns!", "text\n#no head"), ("ber-uns", "Über uns!", "more " + "y" * 195), ("ber-uns", "Über uns!", "y" * 105)]
+    sections = {(r.doc_id, r.place): (r.section_id, r.n_blocks) for r in policy.sections(frame).collect()}
+    assert sections[(3, 0)] == ("2.1", 2) and sections[(7, 1)] == ("ber-uns", 2) and sections[(0, 0)] == ("a", 1)
+
+
+def test_labels(spark):
+    texts = [
+        "Invoice Number: A-1 / B-2\n", "Invoice No: N/A\nInvoice No: X9", "Invoice No: 7 / 8", "Vendor: ACME / Globex\nInvoice #: A-1|B-2",
+        "PURCHASE ORDER\nPO-5001\nOrder Date: 2024-01-05\nCurrency: eur\nSubtotal: $1,200.50\nTax amount 20\nOrder total: 1,220.50", "GRN No: G-7\nSupplier name - Müller GmbH  &  Co\nReceived date: 5/6/24 or 7/6/24", None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, full_text string")
+    got = {r.doc_id: (r.fields, r.ambiguous) for r in text_functions.read_labels(frame, "full_text").collect()}
+    assert got[0] == ({}, ["invoice_number"]) and got[1] == ({"invoice_number": "X9"}, []) and got[2] == ({}, ["invoice_number"])
+    assert got[3] == ({"invoice_number": "A-1"}, ["vendor_name"]) and got[6] == ({}, [])
+    assert got[4] == ({"po_number": "PO-5001", "order_date": "2024-01-05", "currency": "eur", "subtotal": "$1,200.50", "tax_amount": "20", "total_amount": "1,220.50"}, [])
+    assert got[5] == ({"grn_number": "G-7", "vendor_name": "Müller GmbH & Co"}, ["receipt_date"])
+
+
+def test_stacked_tables(spark):
+    texts = [
+        "Description\nQty\nPrice\npen\n2\n3.50\nTotal\n7\n0", "x\nSKU / Item\nQuantity\nUnit price\nGST\nA1\n3\n(3.50)\n18%\nB2\nfew\n₹4\n5\nC3\n?\n?\n1",
+        "Description\nPrice\nRate\nx\n1\n2", "Qty\nPrice", None, "Qty\nUOM\nRate\n$5\nbox\nnone",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, full_text string")
+    got = {r.doc_id: [tuple(x) for x in r.stacked] for r in text_functions.stacked_rows(frame, "full_text").collect()}
+    assert got == {0: [("pen", "2", "3.50", None, None)], 1: [(None, "3", "(3.50)", "18%", "A1"), (None, "few", "₹4", "5", "B2")], 2: [], 3: [], 4: [], 5: []}
 
 
 def test_intake_and_plan_status(spark):
