@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
-Every text is searched for the n-grams of the test items. Places whose offset to the item agrees form a passage. A
-passage is a candidate if one of its seeds is rare: held by few documents, or not by many more than its item's seeds
-usually are, so that an item that was copied often is still found, with all its edited copies. The alignment tolerates replaced, missing and
-added words. Test items are taken in blocks of a bounded size; each block's n-grams are broadcast.
+First the texts that hold each n-gram of the test items are counted. A seed is rare if few texts hold it, or not many
+more than its item's seeds usually have, so that an item that was copied often is still found, with all its edited
+copies; at least half of an item's seeds are rare by that rule. Only rare seeds are looked up again: places whose offset
+to the item agrees form a passage, which is cut out and aligned with the item where the text is read. The alignment
+tolerates replaced, missing and added words. So the corpus isn't shuffled, and no item gathers its texts in one task. Test
+items are taken in blocks of a bounded size; each block's n-grams are broadcast.
 """
 
 from __future__ import annotations
@@ -59,98 +61,109 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class _Items:
-    """A block of test items: the places of their n-grams, sorted by hash."""
-
-    def __init__(self, items: dict[int, bytes], n: int):
-        self.words = {k: split_words([v]).hashes for k, v in items.items()}
-        self.words = {k: w for k, w in self.words.items() if len(w)}
-        keys, item, place = [], [], []
-        for k, w in self.words.items():
-            g = grams(w, n)
-            keys.append(g)
-            item += [k] * len(g)
-            place += range(len(g))
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    """A block of test items: the places of their n-grams, sorted by hash, and which of them are rare."""
+
+    def __init__(self, items: list[tuple[int, bytes]], n: int):
+        split = [(i, w) for i, raw in items if len(w := split_words([raw]).hashes)]
+        self.ids, self.words = [i for i, _ in split], [w for _, w in split]
+        parts = [grams(w, n) for w in self.words]
+        keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.place = keys[order], np.array(item, np.int64)[order], np.array(place, np.int64)[order]
-        self.short = {len(w) for w in self.words.values() if len(w) < n}
+        self.keys = keys[order]
+        self.item = np.repeat(np.arange(len(parts)), [len(g) for g in parts])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in parts])[order] if parts else order
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        #: Distinct n-grams, where the entries of each begin, and sizes of n-grams in use.
+        self.seeds, self.first = np.unique(self.keys, return_index=True)
+        self.sizes = sorted({min(n, len(w)) for w in self.words})
+
+    def hits(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Seed, word number and text of every place of the block's n-grams in some texts."""
+        out = [np.zeros((0, 3), np.int64)]
+        for size in self.sizes if len(words.hashes) else ():
+            key = grams(words.hashes, size) if len(words.hashes) >= size else np.zeros(0, np.uint64)
+            at = np.minimum(np.searchsorted(self.seeds, key), len(self.seeds) - 1)
+            hit = np.flatnonzero(self.seeds[at] == key)
+            doc = np.searchsorted(words.starts, hit, side="right") - 1
+            inside = hit + size <= words.starts[doc + 1]
+            out.append(np.column_stack([at[hit], hit, doc])[inside])
+        return tuple(np.concatenate(out).T)
+
+    def judge(self, n_docs: np.ndarray, rare_docs: float, times_usual: float) -> None:
+        """Keeps the entries of rare seeds: held by rare_docs texts at most, or by times_usual the median of their item's."""
+        held = np.repeat(n_docs, np.diff(np.concatenate([self.first, [len(self.keys)]])))
+        usual = np.zeros(len(self.ids))
+        order = np.lexsort((held, self.item))
+        for i, own in enumerate(np.split(held[order], np.cumsum(np.bincount(self.item, minlength=len(self.ids)))[:-1]) if len(self.ids) else ()):
+            usual[i] = np.median(own)
+        rare = held <= np.maximum(rare_docs, times_usual * usual[self.item])
+        self.item, self.place = self.item[rare], self.place[rare]
+        kept = np.concatenate([[0], np.cumsum(rare)])
+        self.first = kept[np.concatenate([self.first, [len(rare)]])]  # entries of seed s: first[s] to first[s + 1]
+
+
+def _spread(docs: DataFrame, items, n: int) -> np.ndarray:
+    """In how many rows each seed of the block stands; as many sums as seeds reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: _Items = items.value
+        sums = np.zeros(len(own.seeds), np.int64)
+        for batch in slices(batches):
+            seed, _, doc = own.hits(split_words(raw_texts(batch)))
+            sums += np.bincount(np.unique(doc * len(own.seeds) + seed) % max(1, len(own.seeds)), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["seed", "n"])
+
+    table = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(items.value.seeds), np.int64)
+    out[np.asarray(table.column("seed"))] = np.asarray(table.column("n"))
+    return out
 
 
-def _candidates(docs: DataFrame, items, n: int) -> DataFrame:
-    """Passages with seeds: doc_id, item_id, at (first word), passage, seeds. One row per document, item and place."""
+def _aligned(docs: DataFrame, items, least: float) -> DataFrame:
+    """Aligned passages of rare seeds: doc_id, item_id, score (at least `least`), first_word, end_word."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: _Items = items.value
         for batch in slices(batches):
             words = split_words(raw_texts(batch))
-            ids, out = batch.column("doc_id").to_pylist(), []
-            for size in sorted(own.short | {n}):
-                key = grams(words.hashes, size)
-                low = np.searchsorted(own.keys, key)
-                hits = np.flatnonzero(own.keys[np.minimum(low, len(own.keys) - 1)] == key) if len(own.keys) else np.zeros(0, np.int64)
-                doc = np.searchsorted(words.starts, hits, side="right") - 1
-                inside = hits + size <= words.starts[doc + 1]
-                hits, doc = hits[inside], doc[inside]
-                found: dict[tuple[int, int, int], set[int]] = {}
-                for at, d in zip(hits.tolist(), doc.tolist()):
-                    k = int(np.searchsorted(own.keys, key[at]))
-                    while k < len(own.keys) and own.keys[k] == key[at]:
-                        item = int(own.item[k])
-                        length = len(own.words[item])
-                        # Where the item would begin; passages reach one item length to both sides of a cell.
-                        cell = (at - int(words.starts[d]) - int(own.place[k])) // length
-                        found.setdefault((d, item, cell), set()).add(int(key[at]))
-                        k += 1
-                for (d, item, cell), seeds in found.items():
-                    length, first, last = len(own.words[item]), int(words.starts[d]), int(words.starts[d + 1])
-                    begin, end = max(first, first + (cell - 1) * length), min(last, first + (cell + 3) * length)
-                    out.append((ids[d], item, begin - first, words.own(begin, end), [s - (1 << 63) for s in seeds]))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "at", "passage", "seeds"), x)) for x in out], schema=_FOUND)
-
-    return docs.mapInArrow(find, "doc_id long, item_id long, at long, passage binary, seeds array<long>")
-
-
-_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("at", pa.int64()), ("passage", pa.binary()), ("seeds", pa.list_(pa.int64()))])
+            seed, at, doc = own.hits(words)
+            n = own.first[seed + 1] - own.first[seed] if len(seed) else seed
+            entry = np.repeat(own.first[seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, at, doc = own.item[entry], np.repeat(at, n), np.repeat(doc, n)
+            # Where the item would begin; passages reach one item length to both sides of a cell.
+            cell = (at - words.starts[doc] - own.place[entry]) // own.lengths[item]
+            rows = []
+            for d, i, c in np.unique(np.column_stack([doc, item, cell]), axis=0).tolist() if len(doc) else ():
+                length, first, last = int(own.lengths[i]), int(words.starts[d]), int(words.starts[d + 1])
+                begin, end = max(first, first + (c - 1) * length), min(last, first + (c + 3) * length)
+                score, a, b = align(own.words[i], words.hashes[begin:end])
+                if score >= least * 2 * length:
+                    rows.append((d, own.ids[i], score / (2 * length), begin - first + a, begin - first + b))
+            d, *rest = zip(*rows) if rows else [()] * 5
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d, pa.int64())), *map(pa.array, rest, kinds)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+
+    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, rare_docs: int = RARE_DOCS, times_usual: float = TIMES_USUAL, least: float = SCORE) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, score, first_word, end_word of the best passage.
 
-    A row for each document and item with a score of at least `least`. Null or empty texts and items match nothing.
-    Rows without doc_id are searched like others and share one row per item. Rows that repeat an item_id: the longest
-    text counts. Empty tables: no rows. Other columns are ignored.
+    A row for each document and item with a score of at least `least`; of equal scores the first passage's. Null or
+    empty texts and items match nothing. Rows without doc_id are searched like others and share one row per item. Rows
+    that repeat an item_id: each text is searched for, the best score counts. Rows that repeat a doc_id share a row per
+    item. Empty tables: no rows. Other columns are ignored.
     """
-    spark, own = docs.sparkSession, documents(docs)
-    tests = checkpointed(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text")))
+    sc, own = docs.sparkSession.sparkContext, documents(docs)
+    tests = checkpointed(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct())
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, out = max(1, -(-chars // BLOCK_CHARS)), None
     for block in range(blocks):
-        some = {r["item_id"]: r["text"].encode() for r in tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toLocalIterator()}
-        items = spark.sparkContext.broadcast(_Items(some, n))
-
-        def score(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "passage"):
-                rows = []
-                for item, raw in zip(batch.column("item_id").to_pylist(), raw_texts(batch, "passage")):
-                    words = items.value.words[item]
-                    top, first, end = align(words, split_words([raw]).hashes)
-                    rows.append((top / (2 * len(words)), first, end))
-                s, f, e = (np.array(x) for x in zip(*rows))
-                at = np.asarray(batch.column("at"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(s.astype(float)), pa.array(at + f), pa.array(at + e)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
-
-        found = checkpointed(_candidates(own, items, n))
-        # In how many documents each seed stands: one row per seed of the block, counted map-side first.
-        seeds = found.select("doc_id", "item_id", F.explode("seeds").alias("seed"))
-        spread = seeds.groupBy("item_id", "seed").agg(F.approx_count_distinct("doc_id").alias("n_docs"))
-        # Of a copied item all seeds are frequent alike, so what counts as rare follows the item's median.
-        usual = spread.groupBy("item_id").agg(F.median("n_docs").alias("usual"))
-        within = F.col("n_docs") <= F.greatest(F.lit(float(rare_docs)), F.col("usual") * times_usual)
-        rare = spread.join(usual, "item_id").where(within).groupBy("item_id").agg(F.collect_set("seed").alias("rare"))
-        kept = found.join(rare, "item_id").where(F.arrays_overlap("seeds", "rare")).select("doc_id", "item_id", "at", "passage")
-        scored = kept.mapInArrow(score, "doc_id long, item_id long, score double, first_word long, end_word long").where(F.col("score") >= least)
-        best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word")).alias("b"))
-        rows = best.select("doc_id", "item_id", "b.score", (-F.col("b.back")).alias("first_word"), "b.end_word")
+        some = _Items(sorted((r["item_id"], r["text"].encode()) for r in tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toLocalIterator()), n)
+        counted = sc.broadcast(some)
+        some.judge(_spread(own, counted, n), rare_docs, times_usual)
+        rows = _aligned(own, sc.broadcast(some), least)
         out = rows if out is None else out.unionByName(rows)
-    return out
-
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word")).alias("b"))
+    return best.select("doc_id", "item_id", "b.score", (-F.col("b.back")).alias("first_word"), "b.end_word")

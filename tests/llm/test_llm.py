@@ -285,6 +285,43 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs(spark, []), bench).count() == 0
 
 
+def brute_alignment(a, b):
+    """Best score of a local alignment: match 2, mismatch and gap -1."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row = new
+        best = max(best, *row)
+    return best
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(12)]
+    items = [[f"i{k}w{j}" for j in range(20)] + common[:8] + [f"i{k}v{j}" for j in range(12)] for k in range(6)] + [["two", "words"]]
+    texts = []
+    for t in range(150):
+        own = [f"f{x}" for x in rng.integers(0, 400, 60)]
+        if t % 3:
+            copy = list(items[t % 6])
+            for at in rng.integers(0, 40, t % 17):  # replaced, dropped and added words
+                copy[at % len(copy) : at % len(copy) + int(at % 2)] = [f"e{at}"] * int(at % 3)
+            own[30:30] = copy
+        texts.append(" ".join(own + common * (t % 2)))
+    texts += [None, "", "two words", " ".join(items[0] * 3)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(3, "another text of the same item"), (None, "x y z"), (9, None)], "item_id long, text string")
+    own = [(t or "").split() for t in texts]
+    want = {(d, k): s / (2 * len(x)) for d, t in enumerate(own) for k, x in enumerate(items) if (s := brute_alignment(x, t)) >= len(x)}
+    for rare in (50, 1 << 60):  # with and without judging rarity: the same passages
+        rows = decontamination.contaminated(docs(spark, texts), bench, rare_docs=rare).collect()
+        assert {(r.doc_id, r.item_id): r.score for r in rows} == want
+    none = decontamination.contaminated(docs(spark, ["two words", "two words"], [None, None]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in none] == [(None, 6, 1.0)]
+    assert decontamination.contaminated(docs(spark, texts), bench.where("false")).count() == 0
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = np.random.default_rng(5)
     good = [" ".join(rng.choice(["river", "bank", "stone", "house", "light", "green", "under"], 60)) for _ in range(60)]
