@@ -425,3 +425,24 @@ def test_pipeline_stages_keep_columns(spark):
     out = P.near_duplicates(spark, P.lines(spark, out, ""), "")
     assert sorted(r.doc_id for r in out.collect()) == [1, 3] and sorted(out.columns) == sorted(P.COLUMNS)
     assert P.packed(spark, out, "").select(F.countDistinct("doc_id")).first()[0] == 2
+
+
+def test_pipeline_keeps_rows_of_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(80))
+    item = " ".join(f"term{k}" for k in range(30))
+    frame = docs(spark, [body(0), body(1), body(1), body(2), body(2), body(3), body(3), f"{body(4)} {item}", body(5)], [7, 7, 9, None, None, 3, 3, 4, 4]).select(*P.COLUMNS)
+    out = P.near_duplicates(spark, frame, "")
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(7, body(0)), (7, body(1)), (0, body(2)), (3, body(3)), (4, f"{body(4)} {item}"), (4, body(5))])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clean = P.decontaminated(spark, out, f"file://{tmp_path}")
+    assert sorted((r.doc_id or 0) for r in clean.collect()) == [0, 3, 7, 7] and clean.columns == list(P.COLUMNS)
+    frame.write.parquet(f"file://{tmp_path}/documents.parquet")
+    packed = P.run(spark, f"file://{tmp_path}")
+    assert sorted((r.doc_id or 0) for r in packed.where("piece = 0").collect()) == [0, 3, 7, 7]
+    none = docs(spark, []).select(*P.COLUMNS)
+    for _, stage in P.STAGES:
+        none = stage(spark, none, f"file://{tmp_path}")
+        assert none.count() == 0
+        none = none if "text" in none.columns else docs(spark, []).select(*P.COLUMNS)
