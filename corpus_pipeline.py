@@ -15,35 +15,46 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every rule of the policy passes."""
+    """Documents that every rule of the policy passes; null or empty texts have too few words. Repeated rows stay."""
     rows = quality_rules.apply_policy(quality_rules.ledger(docs.select(*COLUMNS), carry=True), "v1")
     return rows.where("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that many documents share; each such line stays in its last document."""
+    """Every document without the lines that many documents share; each such line stays in its last document.
+
+    Rows that share an id count as one document, as do all rows without one. Null texts become empty.
+    """
     kept = line_dedup.line_dedup(docs.select(*COLUMNS), carry=("lang", "source"))
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with name: the doc_id, or a hash of the text where it is null."""
+    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("name"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; rows without an id stay, repeated rows of an id become one."""
-    docs = docs.select(*COLUMNS)
-    first = near_dedup.near_classes(docs).where("doc_id = class_id").select("doc_id")
-    rest = [F.col(c) for c in COLUMNS if c != "doc_id"]
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The document with the least id of each class; rows without an id go by a hash of their text.
+
+    Rows that share an id are one document and stay together, whatever their texts; rows alike in all columns become one.
+    Texts without words are one class. Empty table: no rows.
+    """
+    own = _named(docs)
+    first = near_dedup.near_classes(own.select(F.col("name").alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias("name"), "n_rows")
+    kept = own.join(common.stored(first), "name")
+    return kept.where("n_rows = 1").select(*COLUMNS).unionByName(kept.where("n_rows > 1").select(*COLUMNS).distinct())
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark; rows without an id can't be named and stay."""
-    docs = docs.select(*COLUMNS)
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a passage of the benchmark; all rows of an id that holds one go. Rows without an id go by a hash of their text."""
+    own = _named(docs)
+    found = decontamination.contaminated(own.select(F.col("name").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return own.join(found.select(F.col("doc_id").alias("name")).distinct(), "name", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
+    """Pieces of all documents with their sequence and offset; a null text is one piece with the end alone. No rows: none."""
     import public_tokenizers
 
     pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
