@@ -1,9 +1,10 @@
-"""Language of web pages by Bayesian fusion of four kinds of evidence.
+"""Language of web pages by Bayesian fusion of its text, markup, address suffix and host.
 
 The text's likelihood comes from byte-trigram counts of texts of known language. The declared language of the markup
 and the address suffix are conditioned on the language by soft counts: each page counts for each language as much as its
-text says. Host priors are smoothed towards the domain's, those towards the suffix's, those towards all pages'. All counts
-are grouped aggregates; a page's own share is taken out of its host's before it meets it.
+text says. Host priors are smoothed towards the domain's, those towards the suffix's, those towards all pages'; the
+suffix speaks through them alone. All counts are grouped aggregates; a page's own share is taken out of its host's,
+domain's, suffix's and declaration's before it meets them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ PRIOR_WEIGHT = 5.0
 SMOOTH = 0.5
 
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_HTML_LANG = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})"
+_HTML_LANG = r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})"
 
 
 def visible(page: str) -> str:
@@ -131,22 +132,22 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     add = lambda c: F.array(*(F.sum(F.col(c)[i]) for i in range(n)))
     domains = hosts.groupBy("domain", "suffix").agg(add("host_n").alias("domain_n"))
     suffixes = domains.groupBy("suffix").agg(add("domain_n").alias("suffix_n"))
-    every = suffixes.agg(add("suffix_n").alias("all_n"))  # one row
-    even = F.array(*(F.lit(1.0 / n) for _ in range(n)))
-    # Smoothed from the whole down to hosts; each level is small beside the rows below it.
-    suffix_p = suffixes.crossJoin(F.broadcast(every)).withColumn("all_p", _plus("all_n", even, 1.0)).select("suffix", _plus("suffix_n", F.col("all_p"), PRIOR_WEIGHT).alias("suffix_p"), "all_p", F.zip_with("suffix_n", "all_n", lambda x, y: F.log((x + SMOOTH) / (y + 2 * SMOOTH))).alias("suffix_l"))
-    domain_p = domains.join(suffix_p, "suffix").select("domain", _plus("domain_n", F.col("suffix_p"), PRIOR_WEIGHT).alias("domain_p"), "suffix_l")
-    host_p = hosts.join(domain_p, "domain").select("host", "host_n", "domain_p", "suffix_l")
     declared = rows.where("declared <> ''").groupBy("declared").agg(_sums(n).alias("declared_n"))
-    whole = declared.agg(add("declared_n").alias("any_n"))
-    declared_l = declared.crossJoin(F.broadcast(whole)).select("declared", F.zip_with("declared_n", "any_n", lambda x, y: F.log((x + SMOOTH) / (y + 2 * SMOOTH))).alias("declared_l"))
-    met = rows.join(host_p, "host").join(declared_l, "declared", "left")
-    others = F.zip_with("host_n", "q", lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    prior = met.withColumn("prior", _plus(others, F.col("domain_p"), PRIOR_WEIGHT))
+    # Each level is small beside the rows below it; of the whole, n numbers reach the driver.
+    all_n, any_n = (F.array(*(F.lit(float(x or 0.0)) for x in df.agg(add(c).alias("s")).first()["s"])) for df, c in ((suffixes, "suffix_n"), (declared, "declared_n")))
+    levels = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").select("host", "host_n", "domain_n", "suffix_n")
+    met = rows.join(levels, "host").join(declared, "declared", "left")
+    less = lambda c: F.zip_with(c, "q", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    even = F.array(*(F.lit(1.0 / n) for _ in range(n)))
+    prior = met.withColumn("all_p", _plus(less(all_n), even, 1.0))
+    for level, above in (("suffix", "all"), ("domain", "suffix"), ("host", "domain")):
+        prior = prior.withColumn(f"{level}_p", _plus(less(f"{level}_n"), F.col(f"{above}_p"), PRIOR_WEIGHT))
+    # How much oftener a declaration comes with a language than declarations do on the whole.
+    declared_l = F.zip_with(less("declared_n"), less(any_n), lambda x, y: F.log((x + SMOOTH) / (y + 2 * SMOOTH)))
     none = F.array(*(F.lit(0.0) for _ in range(n)))
     add2 = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logs = F.transform("prior", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
-    total = prior.withColumn("total", add2(add2(logs, F.col("ll")), add2(F.coalesce("declared_l", none), F.col("suffix_l"))))
+    logs = F.transform("host_p", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
+    total = prior.withColumn("total", add2(add2(logs, F.col("ll")), F.coalesce(declared_l, none)))
     best = total.withColumn("top", F.array_max("total"))
     names = F.array(*(F.lit(x) for x in langs))
     return best.select(

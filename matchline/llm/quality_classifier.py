@@ -93,12 +93,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """docs(doc_id, text), labels(doc_id, quality: 1 good, 0 bad; other rows are ignored) -> Model.
+    """docs(doc_id, text), labels(doc_id, quality: 1 good, 0 bad; other rows are ignored, as are ids whose labels disagree) -> Model.
 
     At most 2 * rows texts reach the driver. Half of them train the dictionaries, half the curve. A missing class
     leaves its dictionary empty; no usable label gives a score of 0.5.
     """
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "quality").dropDuplicates(["doc_id"])
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "quality")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     share = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     some = known.where("quality = 1").orderBy(order, "doc_id").limit(rows).unionByName(known.where("quality = 0").orderBy(order, "doc_id").limit(rows))

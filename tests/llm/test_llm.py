@@ -345,6 +345,42 @@ def test_language_of_pages(spark):
     assert all(0 < r.probability <= 1.0000001 for r in rows)
 
 
+def test_languages_equal_brute_force(spark):
+    known = [("the house and the river", "en"), ("das haus und der fluss", "de"), ("la maison et le fleuve", "fr")] * 4
+    hosts = ["a.x.de", "a.x.de", "b.x.de", "c.y.com", "c.y.com", "", "alone.org"]
+    bodies = ["das und der", "the and", "haus", "la maison", "", "river and", "x"]
+    tags = ["de", "de", "", "fr", "en", "", "qq"]
+    pages = [(i, f"http://{h}/p" if h else None, f"<html data-lang='zz'{f' lang={t}' if t else ''}><p>{b}</p>", "c") for i, (h, b, t) in enumerate(zip(hosts, bodies, tags))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
+    train = spark.createDataFrame(known, "text string, lang string")
+    langs, logp = language_id.fit(train)
+    ll = [language_id.TEMPER * (logp @ language_id.trigram_counts(language_id.visible(p[2]).encode())) for p in pages]
+    q = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in ll]
+    domain, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+    rows = {r.page_id: r for r in language_id.identify(frame, train).collect()}
+    for i, h in enumerate(hosts):
+        total = lambda same: np.maximum(sum((q[j] for j in range(len(hosts)) if same(j)), np.zeros(3)) - q[i] * bool(same(i)), 0)  # noqa: E731, B023
+        p = np.full(3, 1 / 3)
+        for same, weight in ((lambda j: True, 1.0), (lambda j: suffix(hosts[j]) == suffix(h), 5.0), (lambda j: domain(hosts[j]) == domain(h), 5.0), (lambda j: hosts[j] == h, 5.0)):  # noqa: B023
+            own = total(same)
+            p = (own + weight * p) / (own.sum() + weight)
+        score = np.log(p) + ll[i] - ll[i].max()
+        if tags[i]:
+            score = score + np.log((total(lambda j: tags[j] == tags[i]) + 0.5) / (total(lambda j: bool(tags[j])) + 1))  # noqa: B023
+        e = np.exp(score - score.max())
+        assert (rows[i].lang, rows[i].declared) == (langs[int(e.argmax())], tags[i] or None) and math.isclose(rows[i].probability, 1 / e.sum(), rel_tol=1e-9)
+    assert language_id.identify(frame.where("false"), train).count() == 0
+
+
+def test_labels_that_disagree_teach_nothing(spark):
+    texts = ["river bank stone " * 30, "$$$ buy free " * 30, "river bank stone light " * 30, "win click $$$ " * 30] * 10
+    rows = [(i, 1 - i % 2) for i in range(40)]
+    both = [quality_classifier.fit(docs(spark, texts), spark.createDataFrame(x, "doc_id long, quality int")) for x in (rows[2:], [(0, 1), (0, 0), (1, 0), (1, 1), *rows[2:]])]
+    assert both[0] == both[1]
+    empty = quality_classifier.cross_scored(docs(spark, []), spark.createDataFrame(rows, "doc_id long, quality int"))
+    assert empty.count() == 0
+
+
 def test_every_language_gets_a_model(spark):
     names = [f"{a}{b}" for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
     rows = [(f"{n}qx {n}zv {n}kj", n) for n in names] + [("oosun oomoon", "OO-Latn"), ("oosea", "oo_XY"), ("dash", "-")]
