@@ -7,7 +7,7 @@ counted in every unit of the order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,19 +46,26 @@ def _null() -> Column:
     return F.lit(None).cast("long")
 
 
-def draft(df: DataFrame, kind: str, severity: str, rule: str, parts: list, message: Column, evidence: dict[str, Column], po: Column | None = None, grn: Column | None = None, invoice: Column | None = None) -> DataFrame:
+def case(test: Column | None, kind: str, severity: str, rule: str, parts: list, message: Column, evidence: dict[str, Column], po: Column | None = None, grn: Column | None = None, invoice: Column | None = None) -> Column:
+    """A draft as a struct where test holds (None: always), else null."""
     pairs = [x for k, v in evidence.items() for x in (F.lit(k), v.cast("string"))]
-    return df.select(
+    one = F.struct(
         F.lit(kind).alias("exception_type"),
         F.lit(severity).alias("severity"),
         F.lit(rule).alias("rule"),
-        (po if po is not None else _null()).alias("po_id"),
-        (grn if grn is not None else _null()).alias("grn_id"),
-        (invoice if invoice is not None else _null()).alias("invoice_id"),
+        (po if po is not None else _null()).cast("long").alias("po_id"),
+        (grn if grn is not None else _null()).cast("long").alias("grn_id"),
+        (invoice if invoice is not None else _null()).cast("long").alias("invoice_id"),
         message.alias("message"),
         S.fingerprint(kind, *parts).alias("fingerprint"),
         F.create_map(*pairs).alias("evidence"),
     )
+    return one if test is None else F.when(test, one)
+
+
+def drafts_of(df: DataFrame, cases: list[Column]) -> DataFrame:
+    """The drafts of all rows, in one pass over them whatever the number of rules."""
+    return df.select(F.explode(F.array_compact(F.array(*cases))).alias("_d")).select("_d.*")
 
 
 def build_units(po: DataFrame, inv: DataFrame) -> DataFrame:
@@ -67,39 +74,48 @@ def build_units(po: DataFrame, inv: DataFrame) -> DataFrame:
     return left.join(right, F.col("po_id") == F.col("ref"), "full_outer").select("po_id", "invoice_id")
 
 
+#: Columns of the order line that a linked line carries, as order_<name>.
+CARRIED = ("line_number", "unit_price", "tax_rate")
+
+
 def link_lines(lines: DataFrame, po_line: DataFrame) -> DataFrame:
     """R2: lines(po_id, po_line_id, line_number, ...) -> with linked (po_line_id or null) and link (ok or a reason).
 
-    A given po_line_id must exist on the order; without one, line_number must name exactly one of its lines.
+    A given po_line_id must exist on the order; without one, line_number must name exactly one of its lines. The order
+    line's own values come along as order_<name>, so that no rule has to join it again.
     """
-    by_key = po_line.select(F.col("po_id").alias("k_po"), F.col("po_line_id").alias("k_line"))
-    numbers = po_line.groupBy(F.col("po_id").alias("n_po"), F.col("line_number").alias("n_number")).agg(F.count("*").alias("n_lines"), F.min("po_line_id").alias("n_line"))
+    carried = [c for c in CARRIED if c in po_line.columns]
+    by_key = po_line.select(F.col("po_id").alias("k_po"), F.col("po_line_id").alias("k_line"), *(F.col(c).alias(f"k_{c}") for c in carried))
+    # Where a number names one line, the least value is that line's.
+    numbers = po_line.groupBy(F.col("po_id").alias("n_po"), F.col("line_number").alias("n_number")).agg(F.count("*").alias("n_lines"), F.min("po_line_id").alias("n_line"), *(F.min(c).alias(f"n_{c}") for c in carried))
     joined = lines.join(by_key, (F.col("po_id") == F.col("k_po")) & (F.col("po_line_id") == F.col("k_line")), "left").join(numbers, (F.col("po_id") == F.col("n_po")) & (F.col("line_number") == F.col("n_number")), "left")
     given, one = F.col("po_line_id").isNotNull(), F.coalesce(F.col("n_lines") == 1, F.lit(False))
+    pick = lambda c: F.when(given, F.col(f"k_{c}")).when(one, F.col(f"n_{c}"))
     return joined.select(
         *lines.columns,
-        F.when(given, F.col("k_line")).when(one, F.col("n_line")).alias("linked"),
+        pick("line").alias("linked"),
         F.when(given & F.col("k_line").isNull(), "missing_po_line_ref").when(given | one, "ok").otherwise("ambiguous_or_missing_line").alias("link"),
         F.coalesce("n_lines", F.lit(0)).alias("candidate_count"),
+        *(pick(c).alias(f"order_{c}") for c in carried),
     )
 
 
-def link_exceptions(linked: DataFrame, label: str, line: str, document: str) -> DataFrame:
-    """Drafts of lines that R2 couldn't link."""
+def link_cases(label: str, line: str, document: str) -> list[Column]:
+    """Drafts of a line that R2 couldn't link."""
     d, key = F.col(document), F.col(line)
     ids = {"grn": d} if label == "GRN" else {"invoice": d}
     base = {"document_type": F.lit(label), "document_id": d, "line_id": key, "purchase_order_id": F.col("po_id")}
-    gone = draft(
-        linked.where("link = 'missing_po_line_ref'"), "IDENTIFIER_MISMATCH", "HIGH", "missing_po_line_ref", ["missing_po_line_ref", d, key, F.col("po_line_id")],
+    gone = case(
+        F.col("link") == "missing_po_line_ref", "IDENTIFIER_MISMATCH", "HIGH", "missing_po_line_ref", ["missing_po_line_ref", d, key, F.col("po_line_id")],
         F.format_string(f"{label} line names order line %s, which order %s doesn't have.", F.col("po_line_id"), F.col("po_id")),
         base | {"referenced_purchase_order_line_id": F.col("po_line_id")}, po=F.col("po_id"), **ids,
     )
-    vague = draft(
-        linked.where("link = 'ambiguous_or_missing_line'"), "IDENTIFIER_MISMATCH", "HIGH", "ambiguous_or_missing_line", ["ambiguous_or_missing_line", d, key, F.col("line_number")],
+    vague = case(
+        F.col("link") == "ambiguous_or_missing_line", "IDENTIFIER_MISMATCH", "HIGH", "ambiguous_or_missing_line", ["ambiguous_or_missing_line", d, key, F.col("line_number")],
         F.format_string(f"{label} line %s fits no single line of order %s.", F.col("line_number"), F.col("po_id")),
         base | {"line_number": F.col("line_number"), "candidate_count": F.col("candidate_count")}, po=F.col("po_id"), **ids,
     )
-    return gone.unionByName(vague)
+    return [gone, vague]
 
 
 def header_exceptions(pairs: DataFrame, documents: DataFrame, label: str, document: str) -> DataFrame:
@@ -107,9 +123,9 @@ def header_exceptions(pairs: DataFrame, documents: DataFrame, label: str, docume
     own = pairs.select("po_id", document).join(documents.select(document, F.col("po_id").alias("ref")), document)
     d, ids = F.col(document), {"grn": F.col(document)} if label == "GRN" else {"invoice": F.col(document)}
     evidence = {"document_type": F.lit(label), "document_id": d, "expected_purchase_order_id": F.col("po_id"), "actual_purchase_order_id": F.col("ref")}
-    none = draft(own.where("ref IS NULL"), "IDENTIFIER_MISMATCH", "HIGH", "missing_po_header_ref", ["missing_po_header_ref", d, F.col("po_id")], F.lit(f"{label} names no purchase order."), evidence, po=F.col("po_id"), **ids)
-    other = draft(own.where("ref <> po_id"), "IDENTIFIER_MISMATCH", "HIGH", "po_header_mismatch", ["po_header_mismatch", d, F.col("ref"), F.col("po_id")], F.format_string(f"{label} names order %s, not %s.", F.col("ref"), F.col("po_id")), evidence, po=F.col("po_id"), **ids)
-    return none.unionByName(other)
+    none = case(F.col("ref").isNull(), "IDENTIFIER_MISMATCH", "HIGH", "missing_po_header_ref", ["missing_po_header_ref", d, F.col("po_id")], F.lit(f"{label} names no purchase order."), evidence, po=F.col("po_id"), **ids)
+    other = case(F.col("ref") != F.col("po_id"), "IDENTIFIER_MISMATCH", "HIGH", "po_header_mismatch", ["po_header_mismatch", d, F.col("ref"), F.col("po_id")], F.format_string(f"{label} names order %s, not %s.", F.col("ref"), F.col("po_id")), evidence, po=F.col("po_id"), **ids)
+    return drafts_of(own, [none, other])
 
 
 def received_by_po_line(linked: DataFrame) -> DataFrame:
@@ -140,51 +156,47 @@ def quantity_exceptions(units: DataFrame, po_line: DataFrame, grn: DataFrame, re
     text = F.format_string("Quantity %s (%s) exceeds %s (%s) on order line %s.", F.col("x.actual").cast("string"), F.col("x.what"), F.col("x.expected").cast("string"), F.col("x.against"), F.col("line_number"))
     ids = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     evidence = {"rule": F.col("x.rule"), "purchase_order_line_id": F.col("po_line_id"), "ordered_quantity": F.col("ordered"), "received_quantity": F.col("received"), "invoiced_quantity": F.col("invoiced"), "expected_value": F.col("x.expected"), "actual_value": F.col("x.actual"), "variance": F.col("x.actual") - F.col("x.expected"), "grn_line_ids": ids("grn_line_ids"), "invoice_line_ids": ids("invoice_line_ids")}
-    out = draft(hit, kind, "HIGH", "", [F.col("x.rule"), F.col("po_id"), F.col("po_line_id"), F.col("invoice_id")], text, evidence, po=F.col("po_id"), grn=F.when(F.col("n_grn") == 1, F.col("one_grn")), invoice=F.col("invoice_id"))
+    out = drafts_of(hit, [case(None, kind, "HIGH", "", [F.col("x.rule"), F.col("po_id"), F.col("po_line_id"), F.col("invoice_id")], text, evidence, po=F.col("po_id"), grn=F.when(F.col("n_grn") == 1, F.col("one_grn")), invoice=F.col("invoice_id"))])
     return out.withColumn("rule", F.col("evidence")["rule"])
 
 
-def _value_exceptions(linked: DataFrame, po_line: DataFrame, column: str, kind: str, severity: str, rule: str, tolerance: Decimal, label: str) -> DataFrame:
-    base = po_line.select(F.col("po_line_id").alias("linked"), F.col("line_number").alias("po_number_of_line"), F.col(column).alias("expected"))
-    own = linked.where("link = 'ok'").join(base, "linked").where(S.exceeds_percent("expected", column, tolerance))
-    text = F.format_string(f"{label} mismatch on order line %s: %s against %s.", F.col("po_number_of_line"), F.col(column).cast("string"), F.col("expected").cast("string"))
-    evidence = {"purchase_order_line_id": F.col("linked"), "invoice_line_id": F.col("invoice_line_id"), "expected_value": F.col("expected"), "actual_value": F.col(column), "absolute_variance": F.abs(F.col(column) - F.col("expected")), "percentage_variance": F.bround(S.percent_variance("expected", column), 4)}
-    return draft(own, kind, severity, rule, [F.col("po_id"), F.col("linked"), F.col("invoice_id"), F.col("invoice_line_id")], text, evidence, po=F.col("po_id"), invoice=F.col("invoice_id"))
+def _value_case(column: str, kind: str, severity: str, rule: str, tolerance: Decimal, label: str) -> Column:
+    actual, expected = F.col(column), F.col(f"order_{column}")
+    text = F.format_string(f"{label} mismatch on order line %s: %s against %s.", F.col("order_line_number"), actual.cast("string"), expected.cast("string"))
+    evidence = {"purchase_order_line_id": F.col("linked"), "invoice_line_id": F.col("invoice_line_id"), "expected_value": expected, "actual_value": actual, "absolute_variance": F.abs(actual - expected), "percentage_variance": F.bround(S.percent_variance(f"order_{column}", column), 4)}
+    test = (F.col("link") == "ok") & S.exceeds_percent(f"order_{column}", column, tolerance)
+    return case(test, kind, severity, rule, [F.col("po_id"), F.col("linked"), F.col("invoice_id"), F.col("invoice_line_id")], text, evidence, po=F.col("po_id"), invoice=F.col("invoice_id"))
 
 
-def price_exceptions(linked: DataFrame, po_line: DataFrame, config: Config = Config()) -> DataFrame:
-    """R7."""
-    return _value_exceptions(linked, po_line, "unit_price", "PRICE_MISMATCH", "HIGH", "price", config.price_percent, "Unit price")
+def price_case(config: Config = Config()) -> Column:
+    """R7, of a linked invoice line."""
+    return _value_case("unit_price", "PRICE_MISMATCH", "HIGH", "price", config.price_percent, "Unit price")
 
 
-def tax_exceptions(linked: DataFrame, po_line: DataFrame, config: Config = Config()) -> DataFrame:
-    """R8."""
-    return _value_exceptions(linked, po_line, "tax_rate", "TAX_MISMATCH", "MEDIUM", "tax", config.tax_percent, "Tax rate")
+def tax_case(config: Config = Config()) -> Column:
+    """R8, of a linked invoice line."""
+    return _value_case("tax_rate", "TAX_MISMATCH", "MEDIUM", "tax", config.tax_percent, "Tax rate")
 
 
-def date_exceptions(po: DataFrame, grn: DataFrame, inv: DataFrame) -> DataFrame:
-    """Receipts and invoices dated before their order."""
-    order = po.select("po_id", "order_date")
-    early = []
-    for docs, key, day, rule, label in ((grn, "grn_id", "receipt_date", "grn_before_po", "Receipt"), (inv, "invoice_id", "invoice_date", "invoice_before_po", "Invoice")):
-        own = docs.join(order, "po_id").where(F.col(day) < F.col("order_date"))
-        ids = {"grn": F.col(key)} if key == "grn_id" else {"invoice": F.col(key)}
-        text = F.format_string(f"{label} %s is dated %s, before its order (%s).", F.col(key), F.col(day).cast("string"), F.col("order_date").cast("string"))
-        early.append(draft(own, "DATE_MISMATCH", "MEDIUM", rule, [rule, F.col("po_id"), F.col(key)], text, {"expected_value": F.col("order_date"), "actual_value": F.col(day)}, po=F.col("po_id"), **ids))
-    return early[0].unionByName(early[1])
+def early_documents(po: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """docs(key, po_id, day) dated before their order; key is grn_id or invoice_id."""
+    day, rule, label = ("receipt_date", "grn_before_po", "Receipt") if key == "grn_id" else ("invoice_date", "invoice_before_po", "Invoice")
+    own = docs.join(po.select("po_id", "order_date"), "po_id").where(F.col(day) < F.col("order_date"))
+    ids = {"grn": F.col(key)} if key == "grn_id" else {"invoice": F.col(key)}
+    text = F.format_string(f"{label} %s is dated %s, before its order (%s).", F.col(key), F.col(day).cast("string"), F.col("order_date").cast("string"))
+    return drafts_of(own, [case(None, "DATE_MISMATCH", "MEDIUM", rule, [rule, F.col("po_id"), F.col(key)], text, {"expected_value": F.col("order_date"), "actual_value": F.col(day)}, po=F.col("po_id"), **ids)])
 
 
 def missing_document_exceptions(units: DataFrame, grn: DataFrame) -> DataFrame:
     """Units without an order, without an invoice, or with both but no receipt."""
     receipts = grn.groupBy("po_id").agg(F.array_sort(F.collect_list(F.col("grn_id").cast("string"))).alias("grns"), F.min("grn_id").alias("one_grn"))
     own = units.join(receipts, "po_id", "left").withColumn("grns", F.coalesce("grns", F.array().cast("array<string>")))
-    out = []
+    cases = []
     for rule, name, test in (("missing_po", "PO", "po_id IS NULL"), ("missing_invoice", "INVOICE", "invoice_id IS NULL"), ("missing_grn", "GRN", "po_id IS NOT NULL AND invoice_id IS NOT NULL AND size(grns) = 0")):
-        hit = own.where(test)
         head = F.concat_ws("|", F.lit(name), F.coalesce(F.col("po_id").cast("string"), F.lit("")), F.coalesce(F.col("invoice_id").cast("string"), F.lit("")))
         identity = F.when(F.size("grns") > 0, F.concat_ws("|", head, F.array_join("grns", "|"))).otherwise(head)
-        out.append(draft(hit, "MISSING_DOCUMENT", "CRITICAL", rule, [identity], F.lit(f"Required document missing: {name}."), {"missing_document": F.lit(name), "goods_receipt_ids": F.array_join("grns", ",")}, po=F.col("po_id"), grn=F.when(F.size("grns") == 1, F.col("one_grn")), invoice=F.col("invoice_id")))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+        cases.append(case(F.expr(test), "MISSING_DOCUMENT", "CRITICAL", rule, [identity], F.lit(f"Required document missing: {name}."), {"missing_document": F.lit(name), "goods_receipt_ids": F.array_join("grns", ",")}, po=F.col("po_id"), grn=F.when(F.size("grns") == 1, F.col("one_grn")), invoice=F.col("invoice_id")))
+    return drafts_of(own, cases)
 
 
 def duplicate_invoice_exceptions(inv: DataFrame) -> DataFrame:
@@ -198,7 +210,7 @@ def duplicate_invoice_exceptions(inv: DataFrame) -> DataFrame:
     other = group.select("vendor_id", "norm", F.col("invoice_id").alias("other_id"), F.col("invoice_number").alias("other_number"))
     pairs = group.join(other, ["vendor_id", "norm"]).where("invoice_id <> other_id")
     text = F.format_string("Invoice %s of vendor %s has the number of invoice %s.", F.col("invoice_number"), F.col("vendor_id"), F.col("other_number"))
-    return draft(pairs, "DUPLICATE_INVOICE", "CRITICAL", "duplicate_invoice", [F.col("vendor_id"), F.col("norm"), F.col("invoice_id"), F.col("other_id")], text, {"vendor_id": F.col("vendor_id"), "normalized_invoice_number": F.col("norm"), "duplicate_invoice_id": F.col("other_id"), "duplicate_invoice_number": F.col("other_number")}, po=F.col("po_id"), invoice=F.col("invoice_id"))
+    return drafts_of(pairs, [case(None, "DUPLICATE_INVOICE", "CRITICAL", "duplicate_invoice", [F.col("vendor_id"), F.col("norm"), F.col("invoice_id"), F.col("other_id")], text, {"vendor_id": F.col("vendor_id"), "normalized_invoice_number": F.col("norm"), "duplicate_invoice_id": F.col("other_id"), "duplicate_invoice_number": F.col("other_number")}, po=F.col("po_id"), invoice=F.col("invoice_id"))])
 
 
 def dedupe_drafts(drafts: DataFrame, *keys: str) -> DataFrame:
@@ -208,31 +220,37 @@ def dedupe_drafts(drafts: DataFrame, *keys: str) -> DataFrame:
     return drafts.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
-def reconcile(t: Tables, config: Config = Config(), pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def reconcile(t: Tables, config: Config = Config(), pairs: DataFrame | None = None, receipts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All drafts, one per fingerprint, and one result per unit.
 
-    pairs(po_id, invoice_id), if given, are reconciled instead of the units that the invoices' references make.
+    pairs(po_id, invoice_id), if given, are reconciled instead of the units that the invoices' references make, and
+    receipts(po_id, grn_id), if given, count for these orders instead of the receipts that name them.
     """
     units = pairs if pairs is not None else build_units(t.po, t.inv)
     with_po = units.where("po_id IS NOT NULL")
+    billed = with_po.where("invoice_id IS NOT NULL")
     known = t.po.select("po_id")
-    own_inv = t.inv_line.drop("po_id").join(with_po.where("invoice_id IS NOT NULL"), "invoice_id") if pairs is not None else t.inv_line.where("po_id IS NOT NULL")
-    # Without its order nothing of a document is matched.
-    g, i = (link_lines(x.join(known, "po_id", "left_semi"), t.po_line) for x in (t.grn_line, own_inv))
+    inv_line = t.inv_line.drop("po_id").join(billed, "invoice_id") if pairs is not None else t.inv_line.where("po_id IS NOT NULL")
+    headers = header_exceptions(billed, t.inv, "Invoice", "invoice_id") if pairs is not None else None
+    if receipts is not None:
+        asked = receipts.select("po_id", "grn_id").distinct()
+        wrong = header_exceptions(asked.join(known, "po_id", "left_semi"), t.grn, "GRN", "grn_id")
+        t = replace(t, grn=t.grn.drop("po_id").join(asked, "grn_id"), grn_line=t.grn_line.drop("po_id").join(asked, "grn_id"))
+    # Without its order nothing of a document is matched. Each side's lines are linked once; one pass tries all their rules.
+    g, i = (link_lines(x.join(known, "po_id", "left_semi"), t.po_line) for x in (t.grn_line, inv_line))
     received, invoiced = received_by_po_line(g), invoiced_by_po_line(i)
-    on_order = link_exceptions(g, "GRN", "grn_line_id", "grn_id").unionByName(date_exceptions(t.po, t.grn, t.inv.where(F.lit(False))))
-    dated = with_po.where("invoice_id IS NOT NULL").join(t.inv.drop("po_id"), "invoice_id")
+    on_order = drafts_of(g, link_cases("GRN", "grn_line_id", "grn_id")).unionByName(early_documents(t.po, t.grn, "grn_id"))
+    if receipts is not None:
+        on_order = on_order.unionByName(wrong)
     in_unit = (
         missing_document_exceptions(units, t.grn)
         .unionByName(duplicate_invoice_exceptions(t.inv))
-        .unionByName(date_exceptions(t.po, t.grn.where(F.lit(False)), dated))
-        .unionByName(link_exceptions(i, "Invoice", "invoice_line_id", "invoice_id"))
-        .unionByName(price_exceptions(i, t.po_line, config))
-        .unionByName(tax_exceptions(i, t.po_line, config))
+        .unionByName(early_documents(t.po, billed.join(t.inv.drop("po_id"), "invoice_id"), "invoice_id"))
+        .unionByName(drafts_of(i, [*link_cases("Invoice", "invoice_line_id", "invoice_id"), price_case(config), tax_case(config)]))
         .unionByName(quantity_exceptions(units, t.po_line, t.grn, received, invoiced, config))
     )
-    if pairs is not None:
-        in_unit = in_unit.unionByName(header_exceptions(with_po.where("invoice_id IS NOT NULL"), t.inv, "Invoice", "invoice_id"))
+    if headers is not None:
+        in_unit = in_unit.unionByName(headers)
     drafts = dedupe_drafts(in_unit.unionByName(on_order))
     return drafts, unit_results(units, in_unit, on_order, t, received, invoiced)
 

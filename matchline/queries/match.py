@@ -95,7 +95,8 @@ def r2_inv(spark, d):
     return R.link_lines(X.inv_line(spark, d).where("po_id IS NOT NULL"), X.po_line(spark, d)).select("invoice_line_id", F.col("linked").cast("string"), "link")
 
 
-_PAIRS = "pairs AS (SELECT CASE WHEN invoice_id % 3 = 0 THEN src_po_id + 1 ELSE src_po_id END AS want, invoice_id, po_id AS ref FROM inv)"
+_PAIRS = """pairs AS (SELECT CASE WHEN invoice_id % 3 = 0 THEN src_po_id + 1 ELSE src_po_id END AS want, invoice_id, po_id AS ref FROM inv),
+receipts AS (SELECT CASE WHEN grn_id % 4 = 0 THEN po_id + 1 ELSE po_id END AS want, grn_id, CASE WHEN grn_id % 7 <> 0 THEN po_id END AS ref FROM grn)"""
 
 
 def _mixed_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -103,13 +104,19 @@ def _mixed_pairs(spark: SparkSession, d: str) -> DataFrame:
     return X.inv(spark, d).select(F.when(F.col("invoice_id") % 3 == 0, F.col("src_po_id") + 1).otherwise(F.col("src_po_id")).alias("po_id"), "invoice_id")
 
 
-@query(
-    "r3_header_exceptions",
-    f"{_PAIRS} " + _draft("IDENTIFIER_MISMATCH", "HIGH", "missing_po_header_ref", ["'missing_po_header_ref'", "invoice_id", "want"], "pairs WHERE ref IS NULL", "want", invoice="invoice_id")
-    + " UNION ALL " + _draft("IDENTIFIER_MISMATCH", "HIGH", "po_header_mismatch", ["'po_header_mismatch'", "invoice_id", "ref", "want"], "pairs WHERE ref <> want", "want", invoice="invoice_id"),
-)
+def _header(label: str, source: str, key: str) -> str:
+    ids = {"grn": key} if label == "GRN" else {"invoice": key}
+    none = _draft("IDENTIFIER_MISMATCH", "HIGH", "missing_po_header_ref", ["'missing_po_header_ref'", key, "want"], f"{source} WHERE ref IS NULL", "want", **ids)
+    return none + " UNION ALL " + _draft("IDENTIFIER_MISMATCH", "HIGH", "po_header_mismatch", ["'po_header_mismatch'", key, "ref", "want"], f"{source} WHERE ref <> want", "want", **ids)
+
+
+@query("r3_header_exceptions", f"{_PAIRS} {_header('Invoice', 'pairs', 'invoice_id')} UNION ALL {_header('GRN', 'receipts', 'grn_id')}")
 def r3(spark, d):
-    return _brief(R.header_exceptions(_mixed_pairs(spark, d), X.inv(spark, d), "Invoice", "invoice_id"))
+    """Every fourth receipt is asked for with the next order, every seventh names none."""
+    grn, i = X.grn(spark, d), F.col("grn_id")
+    asked = grn.select(F.when(i % 4 == 0, F.col("po_id") + 1).otherwise(F.col("po_id")).alias("po_id"), "grn_id")
+    named = grn.withColumn("po_id", F.when(i % 7 != 0, F.col("po_id")))
+    return _brief(R.header_exceptions(_mixed_pairs(spark, d), X.inv(spark, d), "Invoice", "invoice_id").unionByName(R.header_exceptions(asked, named, "GRN", "grn_id")))
 
 
 @query("r4_received_by_po_line", f"{LINK} SELECT po_id, po_line_id, round(received::DOUBLE, 4) AS received, array_to_string(ids, ',') AS grn_line_ids FROM rcv")
@@ -133,17 +140,21 @@ def r6(spark, d):
 
 @query("r7_price_exceptions", f"{LINK} {PRICE}")
 def r7(spark, d):
-    return _brief(R.price_exceptions(R.link_lines(X.inv_line(spark, d).where("po_id IS NOT NULL"), X.po_line(spark, d)), X.po_line(spark, d)))
+    return _brief(R.drafts_of(R.link_lines(X.inv_line(spark, d).where("po_id IS NOT NULL"), X.po_line(spark, d)), [R.price_case()]))
 
 
 @query("r8_tax_exceptions", f"{LINK} {TAX}")
 def r8(spark, d):
-    return _brief(R.tax_exceptions(R.link_lines(X.inv_line(spark, d).where("po_id IS NOT NULL"), X.po_line(spark, d)), X.po_line(spark, d)))
+    return _brief(R.drafts_of(R.link_lines(X.inv_line(spark, d).where("po_id IS NOT NULL"), X.po_line(spark, d)), [R.tax_case()]))
+
+
+def _early(spark: SparkSession, d: str) -> DataFrame:
+    return R.early_documents(X.po(spark, d), X.grn(spark, d), "grn_id").unionByName(R.early_documents(X.po(spark, d), X.inv(spark, d), "invoice_id"))
 
 
 @query("r9_date_exceptions", f"{G_DATE} UNION ALL {I_DATE}")
 def r9(spark, d):
-    return _brief(R.date_exceptions(X.po(spark, d), X.grn(spark, d), X.inv(spark, d)))
+    return _brief(_early(spark, d))
 
 
 @query("r10_missing_documents", f"{LINK} {MISSING}")
@@ -158,7 +169,7 @@ def r11(spark, d):
 
 @query("r12_dedupe_drafts", f"{LINK}, in_unit AS ({I_DATE} UNION ALL {I_DATE}), on_order AS ({G_DATE}) {FIRST}")
 def r12(spark, d):
-    drafts = R.date_exceptions(X.po(spark, d), X.grn(spark, d), X.inv(spark, d))
+    drafts = _early(spark, d)
     return _brief(R.dedupe_drafts(drafts.unionByName(drafts)))
 
 
@@ -178,22 +189,29 @@ def r15(spark, d):
 
 # Sinks after a match: earlier exceptions are those of the fixture, drafts are date exceptions under half of their fingerprints.
 
-_DRAFTS_SQL = f"drafts AS (SELECT exception_type, severity, CASE WHEN invoice_id::BIGINT % 2 = 0 THEN sha256(invoice_id) ELSE fingerprint END AS fingerprint, invoice_id FROM ({I_DATE}))"
+_DRAFTS_SQL = f"""drafts AS (SELECT q.exception_type, q.severity, CASE WHEN inv.invoice_id % 2 = 0 THEN sha256(inv.invoice_id::VARCHAR) ELSE q.fingerprint END AS fingerprint, po.po_id, inv.invoice_id,
+    'actual_value=' || inv.invoice_date || ',expected_value=' || order_date AS evidence, po.po_id || ',' || inv.invoice_id AS sources FROM ({I_DATE}) q JOIN inv ON inv.invoice_id = q.invoice_id::BIGINT JOIN po ON po.po_id = inv.po_id)"""
 
 
 def _drafts(spark: SparkSession, d: str) -> DataFrame:
-    early = R.date_exceptions(X.po(spark, d), X.grn(spark, d).where(F.lit(False)), X.inv(spark, d))
+    early = R.early_documents(X.po(spark, d), X.inv(spark, d), "invoice_id")
     return early.withColumn("fingerprint", F.when(F.col("invoice_id") % 2 == 0, F.sha2(F.col("invoice_id").cast("string"), 256)).otherwise(F.col("fingerprint")))
 
 
 @query(
     "s5_upsert_exceptions",
     f"""{_DRAFTS_SQL} SELECT coalesce(d.fingerprint, e.fingerprint) AS fingerprint, coalesce(d.exception_type, e.exception_type) AS exception_type, coalesce(d.severity, e.severity) AS severity,
-    CASE WHEN e.fingerprint IS NULL OR (d.fingerprint IS NOT NULL AND e.status = 'RESOLVED') THEN 'OPEN' ELSE e.status END AS status FROM exceptions e FULL JOIN drafts d ON d.fingerprint = e.fingerprint""",
+    CASE WHEN e.fingerprint IS NULL OR (d.fingerprint IS NOT NULL AND e.status = 'RESOLVED') THEN 'OPEN' ELSE e.status END AS status,
+    (CASE WHEN d.fingerprint IS NULL THEN e.purchase_order_id ELSE d.po_id END)::VARCHAR AS purchase_order_id, (CASE WHEN d.fingerprint IS NULL THEN e.goods_receipt_id END)::VARCHAR AS goods_receipt_id,
+    (CASE WHEN d.fingerprint IS NULL THEN e.invoice_id ELSE d.invoice_id END)::VARCHAR AS invoice_id, coalesce(d.evidence, 'rule=earlier') AS evidence, coalesce(d.sources, '') AS sources,
+    coalesce(d.fingerprint IS NULL AND e.status = 'RESOLVED', false) AS resolved FROM exceptions e FULL JOIN drafts d ON d.fingerprint = e.fingerprint""",
 )
 def s5(spark, d):
-    old = X.exceptions(spark, d).withColumns({"resolved_at": F.when(F.col("status") == "RESOLVED", F.col("created_at")), "message": F.lit("")})
-    return sinks.upsert_exceptions(old, _drafts(spark, d)).select("fingerprint", "exception_type", "severity", "status")
+    old = X.exceptions(spark, d).withColumns({"resolved_at": F.when(F.col("status") == "RESOLVED", F.col("created_at")), "message": F.lit(""), "evidence": F.create_map(F.lit("rule"), F.lit("earlier"))})
+    new = sinks.upsert_exceptions(old, _drafts(spark, d))
+    ids = [F.col(c).cast("string").alias(c) for c in ("purchase_order_id", "goods_receipt_id", "invoice_id")]
+    evidence = F.array_join(F.transform(F.array_sort(F.map_entries("evidence")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return new.select("fingerprint", "exception_type", "severity", "status", *ids, evidence.alias("evidence"), F.coalesce(F.array_join("source_document_ids", ","), F.lit("")).alias("sources"), F.col("resolved_at").isNotNull().alias("resolved"))
 
 
 @query("s8_apply_invoice_outcome", f"""{ALL}, {RESULTS}
@@ -205,7 +223,12 @@ def s8(spark, d):
 
 @query(
     "s9_check_intake_links",
-    "SELECT invoice_line_id AS line_id, CASE WHEN l.po_id IS NULL THEN 'no_order' WHEN p.po_id IS NULL THEN 'missing_order_line' ELSE 'other_order' END AS violation FROM inv_line l LEFT JOIN po_line p ON p.po_line_id = l.po_line_id WHERE l.po_id IS NULL OR (l.po_line_id IS NOT NULL AND (p.po_id IS NULL OR p.po_id <> l.po_id))",
+    """l AS (SELECT n.*, CASE WHEN invoice_id % 230 < 10 THEN -vendor_id ELSE vendor_id END AS vendor_id FROM inv_line n JOIN (SELECT invoice_id, vendor_id FROM inv) USING (invoice_id))
+    SELECT invoice_line_id AS line_id, violation FROM (SELECT invoice_line_id, CASE WHEN v.vendor_id IS NULL THEN 'missing_vendor' WHEN l.po_id IS NULL THEN 'no_order' WHEN l.po_line_id IS NULL THEN NULL WHEN p.po_id IS NULL THEN 'missing_order_line' WHEN p.po_id <> l.po_id THEN 'other_order' END AS violation
+    FROM l LEFT JOIN po_line p ON p.po_line_id = l.po_line_id LEFT JOIN vendors v ON v.vendor_id = l.vendor_id) WHERE violation IS NOT NULL""",
 )
 def s9(spark, d):
-    return sinks.check_intake_links(X.inv_line(spark, d).withColumnRenamed("invoice_line_id", "line_id"), X.po_line(spark, d)).select("line_id", "violation")
+    """Of 23 orders' invoices those of one name a vendor that doesn't exist."""
+    head = X.inv(spark, d).select("invoice_id", F.when(F.col("invoice_id") % 230 < 10, -F.col("vendor_id")).otherwise(F.col("vendor_id")).alias("vendor_id"))
+    lines = X.inv_line(spark, d).withColumnRenamed("invoice_line_id", "line_id").join(head, "invoice_id")
+    return sinks.check_intake_links(lines, X.po_line(spark, d), X.vendors(spark, d)).select("line_id", "violation")
