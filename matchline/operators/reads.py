@@ -152,10 +152,12 @@ def list_exceptions(exceptions: DataFrame, inv: DataFrame, po: DataFrame, grn: D
     return filtered(own, status=status), own.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def list_plans(plans: DataFrame, exceptions: DataFrame, actions: DataFrame) -> DataFrame:
-    """W11."""
+def list_plans(plans: DataFrame, exceptions: DataFrame, actions: DataFrame, status: str | None = None, exception_id: int | None = None) -> DataFrame:
+    """Plans with type and message of their exception and the number of their actions."""
     counts = actions.groupBy("plan_id").agg(F.count("*").alias("action_count"))
-    return plans.join(exceptions.select("exception_id", "exception_type"), "exception_id", "left").join(counts, "plan_id", "left").withColumn("action_count", F.coalesce("action_count", F.lit(0)))
+    named = exceptions.select("exception_id", "exception_type", F.col("message").alias("exception_message"))
+    own = filtered(plans, status=status, exception_id=exception_id)
+    return own.join(named, "exception_id", "left").join(counts, "plan_id", "left").withColumn("action_count", F.coalesce("action_count", F.lit(0)))
 
 
 def list_documents(files: DataFrame, reviews: DataFrame, status: str | None = None, review_status: str | None = None, results: DataFrame | None = None, outcome: str | None = None) -> DataFrame:
@@ -177,27 +179,55 @@ def related_invoice_summary(inv: DataFrame) -> DataFrame:
     return own.withColumn("summary", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " related invoice — ").otherwise(" related invoices — "), said))
 
 
-def document_facts(files: DataFrame, reviews: DataFrame, inv: DataFrame, links: DataFrame) -> DataFrame:
-    """Per document its latest review, and by links(document_id, invoice_id) its invoice's status and order's summary."""
-    latest = reviews.groupBy("document_id").agg(F.max_by("status", F.struct("created_at", "task_id")).alias("review_status"))
-    summary = related_invoice_summary(inv).select("po_id", "summary")
-    invoice = links.join(inv.select("invoice_id", F.col("status").alias("invoice_status"), "po_id"), "invoice_id").join(summary, "po_id", "left").select("document_id", "invoice_id", "invoice_status", "po_id", "summary")
-    facts = files.select("document_id", "status").join(latest, "document_id", "left").join(invoice, "document_id", "left")
-    return facts.withColumn("ready", F.col("status") == "READY_FOR_RECONCILIATION")
-
-
-def review_queue(reviews: DataFrame, status: str | None = None, priority: str | None = None, query: str | None = None) -> DataFrame:
-    """W15."""
-    own = filtered(reviews, status=status, priority=priority)
-    return own.where(S.contains_escaped("filename", query)) if query else own
-
+def document_facts(files: DataFrame, results: DataFrame, reviews: DataFrame, inv: DataFrame, po: DataFrame, grn: DataFrame) -> DataFrame:
+    """What is known of each document and its order.
 
-def policy_library(chunks: DataFrame, status: str | None = None) -> DataFrame:
-    """Per document its versions with status and chunk count, if one has the status."""
-    versions = chunks.groupBy("policy_document_id", "policy_version_id").agg(F.count("*").alias("n"), F.max("status").alias("status"))
-    listed = F.array_sort(F.collect_list(F.struct("policy_version_id", "status", "n"))).alias("versions")  # versions of one document
-    own = versions.groupBy("policy_document_id").agg(F.count("*").alias("version_count"), F.sum("n").alias("chunk_count"), listed)
-    return own.where(F.exists("versions", lambda v: v["status"] == status)) if status else own
+    files(document_id, document_type, purchase_order_id, goods_receipt_id, invoice_id), results(document_id,
+    detected_type, outcome, po_number, ambiguity_summary; one per document). An order is linked, or named by the
+    result. Only orders and receipts without an invoice of their own speak of the invoices related to their order.
+    """
+    latest = reviews.groupBy("document_id").agg(F.max_by("status", F.struct("created_at", "task_id")).alias("review_status"))
+    read = results.select("document_id", "detected_type", F.col("outcome").alias("extraction_outcome"), F.nullif(F.trim("po_number"), F.lit("")).alias("po_number"), "ambiguity_summary")
+    named = po.groupBy("po_number").agg(F.min("po_id").alias("_named"))
+    own_invoice = inv.select("invoice_id", "invoice_number", F.col("status").alias("_status"), F.lit(True).alias("_own"))
+    received = grn.where("po_id IS NOT NULL").select("po_id").distinct()
+    related = related_invoice_summary(inv).select(F.col("po_id").alias("_order"), F.col("summary").alias("_summary"))
+    own = files.select("document_id", "document_type", "purchase_order_id", "goods_receipt_id", "invoice_id").join(read, "document_id", "left").join(latest, "document_id", "left")
+    own = own.join(named, "po_number", "left").join(own_invoice, "invoice_id", "left").withColumn("_order", F.coalesce("purchase_order_id", "_named")).join(related, "_order", "left")
+    for order, seen in (("purchase_order_id", "_got_linked"), ("_named", "_got_named")):
+        own = own.join(received.select(F.col("po_id").alias(order), F.lit(True).alias(seen)), order, "left")
+    mine = F.coalesce("_own", F.lit(False))
+    told = F.when(~mine & F.coalesce("detected_type", "document_type").isin("PO", "GRN"), F.col("_summary"))
+    return own.select(
+        "document_id", "detected_type", "extraction_outcome", "review_status", "po_number",
+        F.coalesce("purchase_order_id", "_named").isNotNull().alias("purchase_order_ready"),
+        (F.col("goods_receipt_id").isNotNull() | F.coalesce("_got_linked", "_got_named", F.lit(False))).alias("goods_receipt_ready"),
+        (mine | told.isNotNull()).alias("invoice_ready"),
+        F.when(mine, F.col("invoice_number")).alias("invoice_number"),
+        F.when(mine & F.col("_status").isin("MATCHED", "EXCEPTION"), F.col("_status")).alias("reconciliation_status"),
+        told.alias("related_invoice_summary"),
+        "ambiguity_summary",
+    )
+
+
+def review_queue(reviews: DataFrame, limit: int, offset: int = 0, query: str | None = None, **equal) -> tuple[DataFrame, DataFrame]:
+    """A page of tasks by status, document_type, priority and file name, newest first, and a row with their total."""
+    own = filtered(reviews, **equal)
+    return page(own.where(S.contains_escaped("filename", query)) if query else own, limit, offset, "created_at", "task_id")
+
+
+def policy_library(documents: DataFrame, versions: DataFrame, chunks: DataFrame, status: str | None = None) -> DataFrame:
+    """All documents with their versions (by effective_from, label) and chunk counts; with a status, those that have such a version.
+
+    documents(policy_document_id), versions(policy_version_id, policy_document_id, status, label, effective_from).
+    Documents without versions and versions without chunks count 0.
+    """
+    counts = chunks.groupBy("policy_version_id").agg(F.count("*").alias("n"))
+    own = versions.join(counts, "policy_version_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    listed = F.array_sort(F.collect_list(F.struct("effective_from", "label", "policy_version_id", "status", "n")))  # versions of one document
+    grouped = own.groupBy("policy_document_id").agg(F.count("*").alias("version_count"), F.sum("n").alias("chunk_count"), listed.alias("versions"))
+    out = documents.join(grouped, "policy_document_id", "left").withColumns({"version_count": F.coalesce("version_count", F.lit(0)), "chunk_count": F.coalesce("chunk_count", F.lit(0))})
+    return out.where(F.exists("versions", lambda v: v["status"] == status)) if status else out
 
 
 def audit_trail(events: DataFrame, key: str = "plan_id", order: tuple[str, ...] = ("created_at", "event_id")) -> DataFrame:
@@ -287,11 +317,13 @@ def list_scans(scans: DataFrame, limit: int, offset: int = 0, **equal) -> tuple[
     return page(filtered(scans, **equal), limit, offset, "requested_at", "scan_id")
 
 
-def plan_history(actions: DataFrame, approvals: DataFrame, executions: DataFrame) -> DataFrame:
-    """Approvals and executions of a plan's actions with their place in time."""
+def plan_history(actions: DataFrame, approvals: DataFrame, executions: DataFrame, plans: DataFrame, groundings: DataFrame) -> DataFrame:
+    """Approvals and executions of a plan's actions and grounding results of its exception, with their place in time."""
     of = actions.select("action_id", "plan_id")
-    rows = approvals.select("action_id", F.lit("approval").alias("kind"), F.col("approval_id").alias("id"), F.col("created_at").alias("at")).unionByName(executions.select("action_id", F.lit("execution").alias("kind"), F.col("execution_id").alias("id"), F.col("started_at").alias("at")))
-    return rows.join(of, "action_id").withColumn("place", F.row_number().over(Window.partitionBy("plan_id").orderBy("at", "kind", "id")))
+    event = lambda df, kind, key, at: df.select("plan_id", F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(at).alias("at"))
+    rows = event(approvals.join(of, "action_id"), "approval", "approval_id", "created_at").unionByName(event(executions.join(of, "action_id"), "execution", "execution_id", "started_at"))
+    rows = rows.unionByName(event(groundings.select("grounding_id", "exception_id", F.col("created_at").alias("grounded_at")).join(plans.select("plan_id", "exception_id"), "exception_id"), "grounding", "grounding_id", "grounded_at"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("plan_id").orderBy("at", "kind", "id")))
 
 
 def check_plan_actions(proposed: DataFrame, required: dict[str, tuple[str, ...]], longest: int = 500) -> DataFrame:

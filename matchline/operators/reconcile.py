@@ -65,7 +65,8 @@ def case(test: Column | None, kind: str, severity: str, rule: str, parts: list,
 
 def drafts_of(df: DataFrame, cases: list[Column]) -> DataFrame:
     """The drafts of all rows, in one pass over them whatever the number of rules."""
-    return df.select(F.explode(F.array_compact(F.array(*cases))).alias("_d")).select("_d.*")
+    one = cases[0].alias("_d") if len(cases) == 1 else F.explode(F.array(*cases)).alias("_d")
+    return df.select(one).where("_d IS NOT NULL").select("_d.*")
 
 
 def build_units(po: DataFrame, inv: DataFrame) -> DataFrame:

@@ -79,11 +79,17 @@ def p6(spark, d):
     return P.stale_chunks(vectors(spark, d), "m1", 64).select("chunk_id")
 
 
-@query("p7_embed_versions", f"SELECT policy_version_id AS version_id, count(*) AS total, count(*) FILTER ({_STALE}) AS embedded, count(*) FILTER (NOT ({_STALE})) AS skipped, CASE WHEN count(*) FILTER ({_STALE}) = 0 THEN 'UP_TO_DATE' ELSE 'EMBEDDED' END AS outcome FROM chunks GROUP BY 1")
+@query("p7_embed_versions", f"""v AS (SELECT policy_version_id AS version_id, count(*) AS total, count(*) FILTER ({_STALE}) AS embedded, count(*) FILTER (NOT ({_STALE})) AS skipped FROM chunks GROUP BY 1)
+SELECT c.chunk_id, version_id, total, embedded, skipped, CASE WHEN embedded = 0 THEN 'UP_TO_DATE' ELSE 'EMBEDDED' END AS outcome, 'm1' AS embedding_model, {_STALE} AS fresh, CASE WHEN NOT ({_STALE}) THEN round(list_sum(embedding::DOUBLE[]), 3) + 0.0 END AS kept_sum,
+  CASE WHEN {_STALE} THEN 1.0::DOUBLE END AS fresh_norm FROM chunks c JOIN v ON v.version_id = c.policy_version_id""")
 def p7(spark, d):
-    own = vectors(spark, d).withColumn("version_id", F.col("policy_version_id")).withColumn("content", F.col("chunk_id").cast("string"))
-    _, counts = P.embed_versions(own, "m1", 64)
-    return counts
+    """Every chunk with its version's counts: kept vectors by their sum, new ones by their length."""
+    own = vectors(spark, d).withColumn("version_id", F.col("policy_version_id")).withColumn("content", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")))
+    own = own.withColumn("was_stale", P.stale("m1", 64))
+    all_, counts = P.embed_versions(own, "m1", 64)
+    fold = lambda f: F.aggregate("vector", F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+    kept, norm = F.when(~F.col("was_stale"), F.round(fold(lambda x: x), 3) + 0.0), F.when(F.col("was_stale"), F.round(F.sqrt(fold(lambda x: x * x)), 3))
+    return all_.join(counts, "version_id").select("chunk_id", "version_id", "total", "embedded", "skipped", "outcome", "embedding_model", F.col("was_stale").alias("fresh"), kept.alias("kept_sum"), norm.alias("fresh_norm"))
 
 
 _TOP = """q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),

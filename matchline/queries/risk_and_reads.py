@@ -192,9 +192,13 @@ def plans(spark: SparkSession, d: str) -> DataFrame:
     return X.actions(spark, d).groupBy("plan_id").agg(F.min("ts").alias("created_at")).select("plan_id", (F.col("plan_id") * 10).alias("exception_id"), "created_at", X._pick(F.col("plan_id") % 7, _PLAN_STATUSES).alias("status"))
 
 
-@query("w11_list_plans", f"{PLANS} SELECT plan_id, p.status, exception_type, n AS action_count FROM plans p LEFT JOIN exceptions USING (exception_id) LEFT JOIN {_lines('actions', 'plan_id')} USING (plan_id)")
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    return X.exceptions(spark, d).withColumn("message", F.concat(F.lit("Exception "), F.col("exception_id").cast("string"), F.lit(".")))
+
+
+@query("w11_list_plans", f"{PLANS} SELECT plan_id, p.status, exception_type, 'Exception ' || e.exception_id || '.' AS exception_message, n AS action_count FROM plans p LEFT JOIN exceptions e USING (exception_id) LEFT JOIN {_lines('actions', 'plan_id')} USING (plan_id)")
 def w11(spark, d):
-    return W.list_plans(plans(spark, d), X.exceptions(spark, d), X.actions(spark, d)).select("plan_id", "status", "exception_type", "action_count")
+    return W.list_plans(plans(spark, d), _told(spark, d), X.actions(spark, d)).select("plan_id", "status", "exception_type", "exception_message", "action_count")
 
 
 @query("w12_list_documents", "SELECT document_id, filename, status FROM files WHERE document_id IN (SELECT document_id FROM reviews WHERE status = 'APPROVED')")
@@ -212,12 +216,24 @@ def _settled(spark: SparkSession, d: str) -> DataFrame:
     return X.inv(spark, d).withColumn("status", F.when(i == 0, "MATCHED").when(i == 1, "EXCEPTION").otherwise("RECEIVED"))
 
 
-@query("w13_document_facts", f"""{_INVS}, {_RELATED}, lr AS (SELECT document_id, arg_max(status, (created_at, task_id)) AS review_status FROM reviews GROUP BY 1)
-SELECT f.document_id, f.status, review_status, s AS invoice_status, summary, f.status = 'READY_FOR_RECONCILIATION' AS ready FROM files f LEFT JOIN lr USING (document_id) LEFT JOIN invs ON invoice_id = f.document_id * 10 LEFT JOIN rels ON rels.po_id = invs.po_id""")
+_KINDS = ("INVOICE", "PO", "GRN", "UNKNOWN")
+_FACTS = f"""docs AS (SELECT document_id, {X._sql_pick("document_id % 4", _KINDS)} AS document_type, CASE WHEN document_id % 6 = 1 THEN document_id END AS purchase_order_id, CASE WHEN document_id % 10 = 2 THEN document_id * 10 END AS goods_receipt_id,
+  CASE WHEN document_id % 3 = 0 THEN document_id * 10 END AS linked_invoice FROM files),
+read AS (SELECT document_id, {X._sql_pick("document_id % 3", _KINDS)} AS detected_type, CASE WHEN document_id % 2 = 0 THEN 'VALIDATION_FAILED' ELSE 'READY_FOR_RECONCILIATION' END AS extraction_outcome, CASE WHEN document_id % 5 <> 0 THEN 'PO-' || lpad(document_id::VARCHAR, 8, '0') END AS po_number,
+  CASE WHEN document_id % 13 = 0 THEN 'Two numbers.' END AS ambiguity_summary FROM files WHERE document_id % 7 <> 0)"""
+
+
+@query("w13_document_facts", f"""{_INVS}, {_RELATED}, {_FACTS}, lr AS (SELECT document_id, arg_max(status, (created_at, task_id)) AS review_status FROM reviews GROUP BY 1),
+j AS (SELECT f.*, read.* EXCLUDE (document_id), lr.review_status, po.po_id AS named, invs.invoice_number AS number, invs.s, invs.invoice_id IS NOT NULL AS mine, coalesce(f.purchase_order_id, po.po_id) AS order_id FROM docs f LEFT JOIN read USING (document_id) LEFT JOIN lr USING (document_id) LEFT JOIN po ON po.po_number = read.po_number LEFT JOIN invs ON invs.invoice_id = linked_invoice)
+SELECT j.document_id, detected_type, extraction_outcome, review_status, po_number, order_id IS NOT NULL AS purchase_order_ready, goods_receipt_id IS NOT NULL OR coalesce(purchase_order_id IN (SELECT po_id FROM grn), false) OR coalesce(named IN (SELECT po_id FROM grn), false) AS goods_receipt_ready,
+  mine OR (coalesce(detected_type, document_type) IN ('PO', 'GRN') AND rels.summary IS NOT NULL) AS invoice_ready, number AS invoice_number, CASE WHEN s IN ('MATCHED', 'EXCEPTION') THEN s END AS reconciliation_status,
+  CASE WHEN NOT mine AND coalesce(detected_type, document_type) IN ('PO', 'GRN') THEN rels.summary END AS related_invoice_summary, ambiguity_summary FROM j LEFT JOIN rels ON rels.po_id = order_id""")
 def w13(spark, d):
-    files = X.files(spark, d)
-    links = files.select("document_id", (F.col("document_id") * 10).alias("invoice_id"))
-    return W.document_facts(files, X.reviews(spark, d), _settled(spark, d), links).select("document_id", "status", "review_status", "invoice_status", "summary", "ready")
+    i = F.col("document_id")
+    files = X.files(spark, d).select("document_id", X._pick(i % 4, _KINDS).alias("document_type"), F.when(i % 6 == 1, i).alias("purchase_order_id"), F.when(i % 10 == 2, i * 10).alias("goods_receipt_id"), F.when(i % 3 == 0, i * 10).alias("invoice_id"))
+    number = F.when(i % 5 == 0, " ").otherwise(F.concat(F.lit(" PO-"), F.lpad(i.cast("string"), 8, "0")))
+    results = X.files(spark, d).where("document_id % 7 <> 0").select("document_id", X._pick(i % 3, _KINDS).alias("detected_type"), F.when(i % 2 == 0, "VALIDATION_FAILED").otherwise("READY_FOR_RECONCILIATION").alias("outcome"), number.alias("po_number"), F.when(i % 13 == 0, "Two numbers.").alias("ambiguity_summary"))
+    return W.document_facts(files, results, X.reviews(spark, d), _settled(spark, d), X.po(spark, d), X.grn(spark, d))
 
 
 @query("w14_related_invoices", f"{_INVS}, {_RELATED} SELECT po_id, n, matched, problems, pending, summary FROM rels")
@@ -225,15 +241,45 @@ def w14(spark, d):
     return W.related_invoice_summary(_settled(spark, d))
 
 
-@query("w15_review_queue", "SELECT task_id, priority, filename FROM reviews WHERE status = 'PENDING' AND contains(lower(filename), 'invoice')")
+@query("w15_review_queue", f"""q AS (SELECT *, {X._sql_pick("document_id % 4", _KINDS)} AS document_type FROM reviews WHERE status = 'PENDING' AND contains(lower(filename), 'invoice') AND document_id % 4 = 1)
+SELECT task_id, priority, filename, document_type, created_at::VARCHAR AS created_at, (SELECT count(*) FROM q) AS total FROM q ORDER BY q.created_at DESC, task_id DESC LIMIT 50""")
 def w15(spark, d):
-    return W.review_queue(X.reviews(spark, d), status="PENDING", query="Invoice").select("task_id", "priority", "filename")
+    tasks = X.reviews(spark, d).withColumn("document_type", X._pick(F.col("document_id") % 4, _KINDS))
+    rows, total = W.review_queue(tasks, 50, query="Invoice", status="PENDING", document_type="PO")
+    # One row, beside a page of 50.
+    return rows.select("task_id", "priority", "filename", "document_type", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")).crossJoin(total)
+
+
+_VERSIONS = f"""vers AS (SELECT label * 10 + k AS policy_version_id, label AS policy_document_id, {X._sql_pick("(label * 10 + k) % 3", ("ACTIVE", "SUPERSEDED", "DRAFT"))} AS status, 'v' || k AS vlabel, DATE '2024-01-01' + ((label * 10 + k) % 2)::INT AS effective_from
+  FROM (SELECT DISTINCT label::BIGINT AS label FROM embeddings) CROSS JOIN (VALUES (0), (1), (2)) t(k)),
+cc AS (SELECT policy_version_id, count(*) AS n FROM chunks GROUP BY 1), full_ AS (SELECT vers.*, coalesce(n, 0) AS n FROM vers LEFT JOIN cc USING (policy_version_id)),
+lib AS (SELECT policy_document_id, count(*) AS version_count, sum(n)::BIGINT AS chunk_count, string_agg(policy_version_id || ':' || vlabel || ':' || status || ':' || n, ',' ORDER BY effective_from, vlabel) AS versions FROM full_ GROUP BY 1)"""
 
 
-@query("w16_policy_library", "v AS (SELECT policy_document_id, policy_version_id, count(*) AS n, max(status) AS status FROM chunks GROUP BY 1, 2) SELECT policy_document_id, count(*) AS version_count, sum(n)::BIGINT AS chunk_count, string_agg(policy_version_id || ':' || status || ':' || n, ',' ORDER BY policy_version_id) AS versions FROM v GROUP BY 1 HAVING bool_or(status = 'DRAFT')")
+def _library(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, of which every other one has no version, and three versions each of the rest; the third has no chunks."""
+    own = X.chunks(spark, d).select("policy_document_id").distinct()
+    number = F.col("policy_document_id") * 10 + F.col("k")
+    versions = own.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
+        number.alias("policy_version_id"), "policy_document_id", X._pick(number % 3, ("ACTIVE", "SUPERSEDED", "DRAFT")).alias("status"),
+        F.concat(F.lit("v"), F.col("k").cast("string")).alias("label"), F.date_add(F.lit(datetime.date(2024, 1, 1)), (number % 2).cast("int")).alias("effective_from"),
+    )
+    return own.unionByName(own.select((F.col("policy_document_id") + 1000000).alias("policy_document_id"))), versions
+
+
+def _listed(library: DataFrame) -> DataFrame:
+    one = lambda v: F.concat_ws(":", v["policy_version_id"].cast("string"), v["label"], v["status"], v["n"].cast("string"))
+    return library.withColumn("versions", F.coalesce(F.array_join(F.transform("versions", one), ","), F.lit("")))
+
+
+@query("w16_policy_library", f"{_VERSIONS} SELECT policy_document_id, version_count, chunk_count, versions FROM lib UNION ALL SELECT policy_document_id + 1000000, 0, 0, '' FROM lib")
 def w16(spark, d):
-    listed = F.array_join(F.transform("versions", lambda v: F.concat_ws(":", v["policy_version_id"].cast("string"), v["status"], v["n"].cast("string"))), ",")
-    return W.policy_library(X.chunks(spark, d), "DRAFT").withColumn("versions", listed)
+    return _listed(W.policy_library(*_library(spark, d), X.chunks(spark, d)))
+
+
+@query("w16_policy_library_status", f"{_VERSIONS} SELECT policy_document_id, version_count, chunk_count, versions FROM lib WHERE policy_document_id IN (SELECT policy_document_id FROM vers WHERE status = 'DRAFT')")
+def w16_status(spark, d):
+    return _listed(W.policy_library(*_library(spark, d), X.chunks(spark, d), "DRAFT"))
 
 
 @query("w17_audit_trail", "SELECT event_id, entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS place FROM history")
@@ -318,9 +364,13 @@ def w25(spark, d):
     return rows.select("scan_id", "status")
 
 
-@query("w26_plan_history", f"{APPROVALS}, {EXECUTIONS}, hist AS (SELECT action_id, 'approval' AS kind, approval_id AS id, created_at AS t FROM approvals UNION ALL SELECT action_id, 'execution', execution_id, started_at FROM executions) SELECT plan_id, kind, id, row_number() OVER (PARTITION BY plan_id ORDER BY t, kind, id) AS place FROM hist JOIN actions USING (action_id)")
+@query("w26_plan_history", f"{APPROVALS}, {EXECUTIONS}, {PLANS}, hist AS (SELECT plan_id, 'approval' AS kind, approval_id AS id, approvals.created_at AS t FROM approvals JOIN actions USING (action_id) UNION ALL SELECT plan_id, 'execution', execution_id, started_at FROM executions JOIN actions USING (action_id) UNION ALL SELECT plan_id, 'grounding', plan_id * 2 + k, created_at + to_seconds(3600 * k) FROM plans CROSS JOIN (VALUES (0), (1)) t(k)) SELECT plan_id, kind, id, row_number() OVER (PARTITION BY plan_id ORDER BY t, kind, id) AS place FROM hist")
 def w26(spark, d):
-    return W.plan_history(X.actions(spark, d), approvals(spark, d), executions(spark, d)).select("plan_id", "kind", "id", F.col("place").cast("long").alias("place"))
+    """Each plan's exception was explained twice, an hour apart."""
+    own = plans(spark, d)
+    at = F.col("created_at").cast("timestamp") + F.make_dt_interval(hours=F.col("k"))
+    groundings = own.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("plan_id") * 2 + F.col("k")).alias("grounding_id"), "exception_id", at.alias("created_at"))
+    return W.plan_history(X.actions(spark, d), approvals(spark, d), executions(spark, d), own, groundings).select("plan_id", "kind", "id", F.col("place").cast("long").alias("place"))
 
 
 _PROPOSED = f"""prop AS (SELECT plan_id, action_id AS position, action_order % 3 AS action_order, {X._sql_pick("action_id % 5", ("NOTIFY_VENDOR", "HOLD_INVOICE", "ESCALATE", "REWRITE_ALL", "NOTIFY_VENDOR"))} AS action_type, CASE WHEN action_id % 4 = 0 THEN '  ' WHEN action_id % 97 = 0 THEN repeat('x', 501) ELSE 'text' END AS reason FROM actions)"""
@@ -341,6 +391,16 @@ def w27(spark, d):
     return rows.select("plan_id", "position", "error", F.col("new_order").cast("string").alias("new_order"))
 
 
-@query("w28_exception_detail", f"{_NUMBERS} SELECT exception_id, exception_type, severity, status, invoice_number, po_number, grn_number FROM nums")
+@query("w28_exception_detail", f"""{_NUMBERS} SELECT exception_id, exception_type, severity, status, 'Exception ' || exception_id || '.' AS message, invoice_id::VARCHAR AS invoice_id, invoice_number, purchase_order_id::VARCHAR AS purchase_order_id, po_number, goods_receipt_id::VARCHAR AS goods_receipt_id, grn_number,
+  concat_ws(',', purchase_order_id, goods_receipt_id, invoice_id) AS sources, 'kind=' || exception_type || ',level=' || severity AS evidence, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, CASE WHEN status = 'RESOLVED' THEN strftime(created_at + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') END AS resolved_at FROM nums""")
 def w28(spark, d):
-    return W.with_numbers(X.exceptions(spark, d), X.inv(spark, d), X.po(spark, d), X.grn(spark, d)).select("exception_id", "exception_type", "severity", "status", "invoice_number", "po_number", "grn_number")
+    ids = ("purchase_order_id", "goods_receipt_id", "invoice_id")
+    own = _told(spark, d).withColumns({
+        "source_document_ids": F.array_compact(F.array(*(F.col(c).cast("string") for c in ids))),
+        "evidence": F.create_map(F.lit("level"), F.col("severity"), F.lit("kind"), F.col("exception_type")),
+        "resolved_at": F.when(F.col("status") == "RESOLVED", F.col("created_at") + F.expr("INTERVAL 1 DAY")),
+    })
+    evidence = F.array_join(F.transform(F.array_sort(F.map_entries("evidence")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    when = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "resolved_at")]
+    full = W.with_numbers(own, X.inv(spark, d), X.po(spark, d), X.grn(spark, d))
+    return full.select("exception_id", "exception_type", "severity", "status", "message", "invoice_number", "po_number", "grn_number", *(F.col(c).cast("string").alias(c) for c in ids), F.array_join("source_document_ids", ",").alias("sources"), evidence.alias("evidence"), *when)
