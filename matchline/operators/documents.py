@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,55 +175,141 @@ def promotable(understood: DataFrame, tasks: DataFrame) -> DataFrame:
     return own.join(tasks.where(F.col("status").isin("APPROVED", "CORRECTED")).select("doc_id"), "doc_id", "left_semi")
 
 
-def promote(candidates: DataFrame, vendors: DataFrame, po: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates to new headers (one per type and number, by least doc_id), their lines, and new vendor names.
+class Promotion(NamedTuple):
+    """What promotion makes: headers and lines to add, vendors to add, records that exist already, and what it refuses."""
+
+    heads: DataFrame
+    lines: DataFrame
+    vendors: DataFrame
+    reused: DataFrame
+    rejected: DataFrame
+
+
+def promote(candidates: DataFrame, vendors: DataFrame, po: DataFrame, po_line: DataFrame, grn: DataFrame, inv: DataFrame) -> Promotion:
+    """Candidates to orders, receipts and invoices with lines.
 
-    vendors(vendor_id, name), po(po_id, po_number): an existing vendor is found by name, an order by number; existing
-    orders aren't made again. Defaults: currency USD, amounts 0.
+    A number that exists already is reused, whatever else the document says; of several documents with one new number
+    the least doc_id makes the record and the others reuse it (id null). A vendor is the document's link
+    (candidates.vendor_id, if there is such a column), else found by name, else made once per name; an order the link
+    (purchase_order_id), else found by number among the existing ones. Refused with a reason: no number, no date, no
+    vendor (orders, invoices), no order (receipts), no line, a quantity that isn't positive, a negative or missing price
+    (orders, invoices). Lines link to the order's line of their number. Defaults: currency USD, amounts 0.
     """
-    number = F.when(F.col("detected_type") == "INVOICE", F.col("invoice_number")).when(F.col("detected_type") == "PO", F.col("po_number")).otherwise(F.col("grn_number"))
-    own = candidates.withColumn("number", number).where("number IS NOT NULL")
-    first = Window.partitionBy("detected_type", "number").orderBy("doc_id")
-    own = own.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    own = own.join(po.select(F.lit("PO").alias("detected_type"), F.col("po_number").alias("number")), ["detected_type", "number"], "left_anti")
-    names = vendors.groupBy(F.lower("name").alias("_name")).agg(F.min("vendor_id").alias("vendor_id"))
-    orders = po.groupBy(F.col("po_number").alias("_order")).agg(F.min("po_id").alias("po_id"))
-    linked = own.join(names, F.lower("vendor_name") == F.col("_name"), "left").join(orders, F.col("po_number") == F.col("_order"), "left")
-    head = linked.select("doc_id", F.col("detected_type").alias("kind"), "number", "vendor_id", "vendor_name", "po_id", F.col("doc_date").alias("date"), F.coalesce("currency", F.lit("USD")).alias("currency"), F.coalesce("total_amount", F.lit(0)).alias("total_amount"))
-    lines = own.select("doc_id", F.posexplode("lines").alias("i", "l")).select("doc_id", F.coalesce("l.line_number", F.col("i") + 1).alias("line_number"), "l.description", F.coalesce("l.quantity", F.lit(0)).alias("quantity"), F.coalesce("l.unit_price", F.lit(0)).alias("unit_price"), F.coalesce("l.tax_rate", F.lit(0)).alias("tax_rate"))
-    new = linked.where("vendor_id IS NULL AND vendor_name IS NOT NULL").groupBy(F.lower("vendor_name").alias("key")).agg(F.min("vendor_name").alias("name"))
-    return head, lines, new
+    own = candidates
+    for c in ("vendor_id", "purchase_order_id"):
+        if c not in own.columns:
+            own = own.withColumn(c, F.lit(None).cast("long"))
+    kind = F.col("detected_type")
+    number = F.when(kind == "INVOICE", F.col("invoice_number")).when(kind == "PO", F.col("po_number")).when(kind == "GRN", F.col("grn_number"))
+    own = own.select(
+        "doc_id", kind.alias("kind"), number.alias("number"), F.col("vendor_id").alias("_vendor"), F.trim("vendor_name").alias("vendor_name"), F.col("purchase_order_id").alias("_po"), S.normalize_business_value("po_number").alias("_order"),
+        F.col("doc_date").alias("date"), F.coalesce("currency", F.lit("USD")).alias("currency"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("subtotal", "tax_amount", "total_amount")), "lines",
+    )
+    known = None
+    for name, table, key, no in (("PO", po, "po_id", "po_number"), ("GRN", grn, "grn_id", "grn_number"), ("INVOICE", inv, "invoice_id", "invoice_number")):
+        part = table.groupBy(F.col(no).alias("number")).agg(F.min(key).cast("long").alias("id")).withColumn("kind", F.lit(name))
+        known = part if known is None else known.unionByName(part)
+    own = own.join(known, ["kind", "number"], "left")
+    names = vendors.groupBy(F.col("name").alias("vendor_name")).agg(F.min("vendor_id").alias("_named"))
+    orders = po.groupBy(F.col("po_number").alias("_order")).agg(F.min("po_id").alias("_found"))
+    linked_vendor = vendors.select(F.col("vendor_id").alias("_vendor"), F.lit(True).alias("_has_vendor")).distinct()
+    linked_order = po.select(F.col("po_id").alias("_po"), F.lit(True).alias("_has_po")).distinct()
+    own = own.join(names, "vendor_name", "left").join(orders, "_order", "left").join(linked_vendor, "_vendor", "left").join(linked_order, "_po", "left")
+    own = own.withColumns({"vendor_id": F.coalesce(F.when(F.col("_has_vendor"), F.col("_vendor")), F.col("_named")), "po_id": F.when(F.col("kind") != "PO", F.coalesce(F.when(F.col("_has_po"), F.col("_po")), F.col("_found")))})
+    priced = F.col("kind").isin("PO", "INVOICE")
+    reason = (
+        F.when(F.col("number").isNull(), "no_number").when(F.col("id").isNotNull(), None).when(priced & F.col("vendor_id").isNull() & (F.coalesce("vendor_name", F.lit("")) == ""), "no_vendor")
+        .when((F.col("kind") == "GRN") & F.col("po_id").isNull(), "no_order").when(F.col("date").isNull(), "no_date").when(F.coalesce(F.size("lines"), F.lit(0)) <= 0, "no_lines")
+        .when(F.exists("lines", lambda x: x["quantity"].isNull() | (x["quantity"] <= 0)), "bad_quantity").when(priced & F.exists("lines", lambda x: x["unit_price"].isNull() | (x["unit_price"] < 0)), "bad_price")
+    )
+    own = own.withColumn("reason", reason)
+    made = Window.partitionBy("kind", "number").orderBy("doc_id")
+    valid = own.where("reason IS NULL").withColumn("_r", F.when(F.col("id").isNull(), F.row_number().over(made)))
+    head = valid.where("_r = 1")
+    numbered = head.select("doc_id", "kind", "po_id", F.posexplode("lines").alias("_i", "_l")).withColumn("line_number", F.coalesce("_l.line_number", F.col("_i") + 1).cast("long"))
+    order_lines = po_line.groupBy("po_id", F.col("line_number").cast("long").alias("line_number")).agg(F.min("po_line_id").alias("po_line_id"))
+    amount = lambda c: F.coalesce(F.col(f"_l.{c}"), F.lit(0)).alias(c)
+    lines = numbered.join(order_lines, ["po_id", "line_number"], "left").select("doc_id", "kind", "line_number", F.col("_l.description").alias("description"), amount("quantity"), amount("unit_price"), amount("tax_rate"), "po_line_id")
+    new = head.where(priced & F.col("vendor_id").isNull()).select(F.col("vendor_name").alias("name")).distinct()
+    return Promotion(
+        head.select("doc_id", "kind", "number", "vendor_id", "vendor_name", "po_id", "date", "currency", "subtotal", "tax_amount", "total_amount"),
+        lines,
+        new,
+        valid.where("id IS NOT NULL OR _r > 1").select("doc_id", "kind", "number", "id"),
+        own.where("reason IS NOT NULL").select("doc_id", "kind", "reason"),
+    )
+
+
+#: Fields of which a disagreement is financially significant, by the way their values compare.
+IDENTIFIERS = ("invoice_number", "po_number", "grn_number", "vendor_name", "currency")
+DATES = ("doc_date", "invoice_date", "order_date", "receipt_date")
+_COMPARED = ("line_number", "description", "quantity", "unit_price", "tax_rate", "reference")
 
 
 def unpivot_candidates(c: DataFrame) -> DataFrame:
-    """Candidates as (doc_id, path, value): header fields and `lines[i].field`."""
-    fields = ("invoice_number", "po_number", "grn_number", "vendor_name", "currency", "doc_date", "subtotal", "tax_amount", "total_amount")
-    head = F.array(*(F.struct(F.lit(f).alias("path"), F.col(f).cast("string").alias("value")) for f in fields))
-    lines = F.flatten(F.transform("lines", lambda x, i: F.array(*(F.struct(F.concat(F.lit("lines["), i.cast("string"), F.lit(f"].{f}")).alias("path"), x[f].cast("string").alias("value")) for f in ("description", "quantity", "unit_price", "tax_rate")))))
-    return c.select("doc_id", F.explode(F.concat(head, lines)).alias("e")).select("doc_id", "e.*").where("value IS NOT NULL")
+    """Candidates as (doc_id, path, value): header fields, `lines[i].field`, and the number of lines as lines.count."""
+    fields = (*IDENTIFIERS, "doc_date", "subtotal", "tax_amount", "total_amount")
+    pair = lambda path, value: F.struct(path.alias("path"), value.cast("string").alias("value"))
+    head = F.array(*(pair(F.lit(f), F.col(f)) for f in fields), pair(F.lit("lines.count"), F.coalesce(F.greatest(F.size("lines"), F.lit(0)), F.lit(0))))
+    lines = F.flatten(F.transform("lines", lambda x, i: F.array(*(pair(F.concat(F.lit("lines["), i.cast("string"), F.lit(f"].{f}")), x[f]) for f in _COMPARED))))
+    return c.select("doc_id", F.explode(F.concat(head, F.coalesce(lines, F.array().cast("array<struct<path:string,value:string>>")))).alias("e")).select("doc_id", "e.*")
 
 
 def compare_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(doc_id, path, value) on both sides -> result (agreement, disagreement, a_only, b_only) and financial."""
-    left, right = a.select("doc_id", "path", F.col("value").alias("a")), b.select("doc_id", "path", F.col("value").alias("b"))
+    """(doc_id, path, value) on both sides -> result (agreement, disagreement, a_only, b_only, missing) and financial.
+
+    Amounts compare as numbers, dates as dates, line numbers as integers, others as folded text; empty on both sides is
+    missing. lines.count shows only where it differs. financial marks disagreements on amounts, identifiers, dates and
+    the number of lines.
+    """
+    left, right = a.select("doc_id", "path", F.nullif(F.trim("value"), F.lit("")).alias("a")), b.select("doc_id", "path", F.nullif(F.trim("value"), F.lit("")).alias("b"))
     both = left.join(right, ["doc_id", "path"], "full_outer")
-    number = S.eval_decimal(F.col("a")) == S.eval_decimal(F.col("b"))
-    same = F.coalesce(number, S.eval_name("a") == S.eval_name("b"))
-    result = F.when(F.col("b").isNull(), "a_only").when(F.col("a").isNull(), "b_only").when(same, "agreement").otherwise("disagreement")
-    return both.withColumn("result", result).withColumn("financial", F.regexp_replace("path", r"^lines\[\d+\]\.", "").isin(*FINANCIAL))
+    name = F.regexp_replace("path", r"^lines\[\d+\]\.", "")
+    equal = lambda f: F.coalesce(f(F.col("a")) == f(F.col("b")), F.lit(False))
+    text = equal(S.eval_name)
+    number = F.coalesce(F.col("a").try_cast("int") == F.col("b").try_cast("int"), text)
+    same = F.when(name.isin(*FINANCIAL), equal(S.eval_decimal)).when(name.isin(*DATES), equal(S.eval_date)).when(name.isin("line_number", "lines.count"), number).otherwise(text)
+    none_a, none_b = F.col("a").isNull(), F.col("b").isNull()
+    result = F.when(none_a & none_b, "missing").when(none_b, "a_only").when(none_a, "b_only").when(same, "agreement").otherwise("disagreement")
+    out = both.withColumn("result", result).withColumn("financial", (F.col("result") == "disagreement") & name.isin(*FINANCIAL, *IDENTIFIERS, *DATES, "lines.count"))
+    return out.where("path <> 'lines.count' OR result = 'disagreement'")
 
 
 def _folded(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    """Blanks as one, and case folded, sharp s and the like included."""
+    return F.lower(F.upper(F.regexp_replace(F.trim(c), r"\s+", " ")))
+
+
+def _holds(text: Column, value: Column) -> Column:
+    """Whether text contains value, after folding, then without punctuation; nothing contains an empty value."""
+    bare = lambda c: F.regexp_replace(_folded(c), r"[^\p{L}\p{N}_ ]", "")
+    return F.coalesce((_folded(value) != "") & (F.contains(_folded(text), _folded(value)) | ((bare(value) != "") & F.contains(bare(text), bare(value)))), F.lit(False))
 
 
-def grounded_values(values: DataFrame, docs: DataFrame) -> DataFrame:
-    """values(doc_id, path, value) that the document's text holds, after folding, then without punctuation."""
-    bare = lambda c: F.regexp_replace(_folded(c), r"[^\p{L}\p{N} ]", "")
-    own = values.join(docs.select("doc_id", "full_text"), "doc_id")
-    text, value = F.coalesce("full_text", F.lit("")), F.col("value")
-    grounded = F.contains(_folded(text), _folded(value)) | ((bare(value) != "") & F.contains(bare(text), bare(value)))
-    return own.select("doc_id", "path", grounded.alias("grounded"))
+def grounded_values(values: DataFrame, docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Whether the text of its document supports each value(doc_id, path, value); empty values aren't asked for.
+
+    A value is grounded if the text holds it, or holds a snippet that was claimed for it (evidence(doc_id, field_name,
+    snippet); field_name is the path or its last part) and that itself holds the value.
+    """
+    own = values.where(F.trim("value") != "").withColumn("_leaf", F.regexp_replace("path", r"^.*\.", "")).join(docs.select("doc_id", "full_text"), "doc_id")
+    if evidence is None:
+        claimed = F.array().cast("array<string>")
+    else:
+        said = evidence.groupBy("doc_id", "field_name").agg(F.collect_set("snippet").alias("_said"))  # snippets for one field of a document
+        for key in ("path", "_leaf"):
+            own = own.join(said.select("doc_id", F.col("field_name").alias(key), F.col("_said").alias(f"_said_{key}")), ["doc_id", key], "left")
+        none = F.array().cast("array<string>")
+        claimed = F.array_union(F.coalesce("_said_path", none), F.coalesce("_said__leaf", none))
+    text = F.coalesce("full_text", F.lit(""))
+    grounded = _holds(text, F.col("value")) | F.exists(claimed, lambda c: _holds(text, c) & _holds(c, F.col("value")))
+    return own.select("doc_id", "path", grounded.alias("grounded"), (F.size(claimed) > 0).alias("has_evidence"))
+
+
+def unsupported_fields(grounded: DataFrame) -> DataFrame:
+    """D14 per document: the sorted paths of values that nothing supports, and whether there are none."""
+    paths = F.array_sort(F.collect_list(F.when(~F.col("grounded"), F.col("path"))))  # fields of one document
+    return grounded.groupBy("doc_id").agg(paths.alias("unsupported")).withColumn("is_grounded", F.size("unsupported") == 0)
 
 
 def quality_verdict(checks: DataFrame) -> DataFrame:

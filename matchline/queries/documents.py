@@ -110,25 +110,54 @@ def d11(spark, d):
     return D.promotable(D.understand(docs), tasks).select("doc_id")
 
 
-@query("d12_promote", f"{_T} SELECT doc_id, number, vendor_id::VARCHAR AS vendor_id FROM t WHERE v IN (0, 4)")
+@query("d12_promote", f"""{_T}, ln AS (SELECT doc_id, j + CASE WHEN v = 0 THEN 4 ELSE 0 END AS line_number FROM t, generate_series(1, n) g(j) WHERE v IN (0, 4)),
+lk AS (SELECT doc_id, count(*) AS n_linked FROM ln WHERE EXISTS (SELECT 1 FROM po_line p WHERE p.po_id = doc_id // 10 AND p.line_number = ln.line_number) GROUP BY 1),
+st AS (SELECT *, CASE WHEN v IN (0, 4) THEN number END AS own, CASE WHEN v NOT IN (0, 4) THEN 'no_number' WHEN (doc_id // 10) % 5 = 0 THEN 'reused' WHEN n = 0 THEN 'no_lines' ELSE 'new' END AS state FROM t)
+SELECT doc_id, state, CASE WHEN state IN ('new', 'reused') THEN own END AS number, (CASE WHEN state = 'new' THEN vendor_id END)::VARCHAR AS vendor_id, CASE WHEN state = 'new' THEN n ELSE 0 END AS n_lines, CASE WHEN state = 'new' THEN coalesce(n_linked, 0) ELSE 0 END AS n_linked FROM st LEFT JOIN lk USING (doc_id)""")
 def d12(spark, d):
-    head, _, _ = D.promote(D.understand(read(spark, d)), X.vendors(spark, d), X.po(spark, d))
-    return head.where("kind = 'INVOICE'").select("doc_id", "number", F.col("vendor_id").cast("string").alias("vendor_id"))
+    """Documents are linked to their order; the invoices of every fifth order are there already."""
+    inv = X.inv(spark, d)
+    own = D.understand(read(spark, d)).withColumn("purchase_order_id", F.floor(F.col("doc_id") / 10).cast("long"))
+    there = inv.where("src_po_id % 5 = 0").withColumn("invoice_number", F.trim("invoice_number"))
+    out = D.promote(written(own), X.vendors(spark, d), X.po(spark, d), X.po_line(spark, d), X.grn(spark, d), there)
+    lines = out.lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("po_line_id").alias("n_linked"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    rows = out.heads.join(lines, "doc_id").select("doc_id", F.lit("new").alias("state"), "number", F.col("vendor_id").cast("string").alias("vendor_id"), "n_lines", "n_linked")
+    rows = rows.unionByName(out.reused.select("doc_id", F.lit("reused").alias("state"), "number", none.alias("vendor_id"), zero.alias("n_lines"), zero.alias("n_linked")))
+    return rows.unionByName(out.rejected.select("doc_id", F.col("reason").alias("state"), none.alias("number"), none.alias("vendor_id"), zero.alias("n_lines"), zero.alias("n_linked")))
+
+
+@query("d13_compare_candidates", """SELECT invoice_id AS doc_id, 'total_amount' AS path, CASE WHEN invoice_id % 6 = 0 THEN 'a_only' WHEN invoice_id % 4 = 0 THEN 'disagreement' ELSE 'agreement' END AS result, invoice_id % 6 <> 0 AND invoice_id % 4 = 0 AS financial FROM inv
+UNION ALL SELECT invoice_id, 'lines.count', 'disagreement', true FROM inv WHERE invoice_id % 5 = 0 UNION ALL SELECT invoice_id, 'lines[0].line_number', 'agreement', false FROM inv
+UNION ALL SELECT invoice_id, 'lines[0].description', 'disagreement', false FROM inv UNION ALL SELECT invoice_id, 'doc_date', CASE WHEN invoice_id % 3 = 0 THEN 'a_only' ELSE 'agreement' END, false FROM inv
+UNION ALL SELECT invoice_id, 'currency', 'missing', false FROM inv UNION ALL SELECT invoice_id, 'invoice_number', 'b_only', false FROM inv""")
+def d13(spark, d):
+    inv, i = X.inv(spark, d), F.col("invoice_id")
+    side = lambda **v: inv.select(i.alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(p.replace("0_", "[0].").replace("lines_", "lines.")).alias("path"), x.cast("string").alias("value")) for p, x in v.items()))).alias("e")).select("doc_id", "e.*")
+    a = side(total_amount=F.col("total_amount"), lines_count=F.lit("2"), lines0_line_number=F.lit("1"), lines0_description=F.lit("Bolt"), doc_date=F.col("invoice_date"), currency=F.lit(" "))
+    wrong = F.concat(F.lit("$ "), (F.col("total_amount") + F.when(i % 4 == 0, 1).otherwise(0)).cast("string"))
+    b = side(total_amount=F.when(i % 6 != 0, wrong), lines_count=F.when(i % 5 == 0, "3").otherwise("2"), lines0_line_number=F.lit("01"), lines0_description=F.lit("Nut"), doc_date=F.when(i % 3 == 0, " ").otherwise(F.col("invoice_date").cast("string")), invoice_number=F.lit("X"))
+    return D.compare_candidates(a, b).select("doc_id", "path", "result", "financial")
 
 
-@query("d13_compare_candidates", "SELECT invoice_id AS doc_id, CASE WHEN invoice_id % 6 = 0 THEN 'a_only' WHEN invoice_id % 4 = 0 THEN 'disagreement' ELSE 'agreement' END AS result FROM inv")
-def d13(spark, d):
-    i = F.col("invoice_id")
-    a = X.inv(spark, d).select(i.alias("doc_id"), F.lit("total_amount").alias("path"), F.col("total_amount").cast("string").alias("value"))
-    b = X.inv(spark, d).where(i % 6 != 0).select(i.alias("doc_id"), F.lit("total_amount").alias("path"), F.concat(F.lit("$ "), (F.col("total_amount") + F.when(i % 4 == 0, 1).otherwise(0)).cast("string")).alias("value"))
-    return D.compare_candidates(a, b).select("doc_id", "result")
+def _grounded(spark: SparkSession, d: str) -> DataFrame:
+    docs = written(texts(spark, d).join(X.inv(spark, d).select(F.col("invoice_id").alias("doc_id"), "invoice_date"), "doc_id").select("doc_id", "full_text", "invoice_date"))
+    even, day = F.col("doc_id") % 2 == 0, F.col("invoice_date").cast("string")
+    found = F.struct(F.lit("invoice_date").alias("path"), F.when(even, F.concat(F.lit("invoice  DATE "), day)).otherwise("no such value").alias("value"))
+    cited = F.struct(F.lit("lines[0].tax_rate").alias("path"), F.lit("invoicedate").alias("value"))
+    values = docs.select("doc_id", F.explode(F.array(found, cited, F.struct(F.lit("grn_number").alias("path"), F.lit(" ").alias("value")))).alias("e")).select("doc_id", "e.*")
+    snippet = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Date: "), day)).otherwise("not there")
+    return D.grounded_values(values, docs, docs.select("doc_id", F.lit("tax_rate").alias("field_name"), snippet.alias("snippet")))
 
 
-@query("d14_grounded_values", f"{_T} SELECT doc_id, doc_id % 2 = 0 AND v <> 5 AS grounded FROM t")
+@query("d14_grounded_values", f"{_T} SELECT doc_id, 'invoice_date' AS path, doc_id % 2 = 0 AND v <> 5 AS grounded, false AS has_evidence FROM t UNION ALL SELECT doc_id, 'lines[0].tax_rate', false, true FROM t")
 def d14(spark, d):
-    docs = read(spark, d).join(X.inv(spark, d).select(F.col("invoice_id").alias("doc_id"), "invoice_date"), "doc_id")
-    values = docs.select("doc_id", F.lit("invoice_date").alias("path"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("invoice  DATE "), F.col("invoice_date").cast("string"))).otherwise("no such value").alias("value"))
-    return D.grounded_values(values, docs).select("doc_id", "grounded")
+    return _grounded(spark, d)
+
+
+@query("d14_unsupported_fields", f"{_T} SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND v <> 5 THEN 'lines[0].tax_rate' ELSE 'invoice_date,lines[0].tax_rate' END AS unsupported, false AS is_grounded FROM t")
+def d14_unsupported(spark, d):
+    return D.unsupported_fields(_grounded(spark, d)).withColumn("unsupported", F.array_join("unsupported", ","))
 
 
 def _checks(spark, d):

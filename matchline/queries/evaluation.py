@@ -143,9 +143,13 @@ def _case_scores(spark, d):
     return E.case_scores(fields, none)
 
 
-@query("e10_case_scores", f"{_CASE} SELECT case_id, correct, missing, incorrect, unexpected, round(correct / nullif(correct + incorrect, 0), 4) AS accuracy, round(correct / nullif(correct + incorrect + missing, 0), 4) AS completeness, missing + incorrect + unexpected = 0 AS exact_match, missing + incorrect = 0 AS success FROM cs")
+@query("e10_case_scores", f"""{_CASE}, {_LINES}, lp AS (SELECT case_id * 10 AS case_id, count(*) FILTER (expected_line IS NOT NULL AND predicted_line IS NOT NULL) AS lines_matched, count(*) FILTER (predicted_line IS NULL) AS lines_missing, count(*) FILTER (expected_line IS NULL) AS lines_extra FROM ml GROUP BY 1),
+al AS (SELECT case_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("correct", "missing", "incorrect", "unexpected", "lines_matched", "lines_missing", "lines_extra"))} FROM cs FULL JOIN lp USING (case_id))
+SELECT *, round(correct / nullif(correct + incorrect, 0), 4) AS accuracy, round(correct / nullif(correct + incorrect + missing, 0), 4) AS completeness, missing + incorrect + unexpected + lines_missing + lines_extra = 0 AS exact_match, missing + incorrect + lines_missing + lines_extra = 0 AS success FROM al""")
 def e10(spark, d):
-    return _case_scores(spark, d).select("case_id", "correct", "missing", "incorrect", "unexpected", "accuracy", "completeness", "exact_match", "success")
+    """The lines of each order belong to the case of its first invoice."""
+    pairs = E.match_lines(*_lines(spark, d)).withColumn("case_id", F.col("case_id") * 10)
+    return E.case_scores(E.field_scores(*_fields(spark, d)), pairs)
 
 
 @query("e11_aggregate_scores", f"{_CASE} SELECT count(*) AS cases, sum(correct)::BIGINT AS correct, sum(missing)::BIGINT AS missing, sum(incorrect)::BIGINT AS incorrect, sum(unexpected)::BIGINT AS unexpected, count(*) FILTER (missing + incorrect + unexpected = 0) AS exact, round(sum(correct) / sum(correct + incorrect), 4) AS accuracy, round(sum(correct) / sum(correct + incorrect + missing), 4) AS completeness, round(count(*) FILTER (missing + incorrect + unexpected = 0) / count(*), 4) AS exact_match FROM cs")
