@@ -1,16 +1,19 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
-The state of a corpus is the table of references (key, doc_id): one row per document and long line. Reference counts
-come from it by grouped aggregation; keys held by enough documents are the repeated ones. Their fingerprints stand in
-cuckoo filters, one per shard of the key space, which let a pass over texts skip nearly all lines without a join; what
-passes is confirmed against the exact table. Adding documents adds references and inserts fingerprints, removing
-documents removes references and deletes fingerprints, so that every dropped line comes back when its repetition goes.
+The state of a corpus is the table of references (key, doc_id), one row per document and long line, the table of
+reference counts (key, n_docs, last) and, for keys held by enough documents, fingerprints in cuckoo filters, one per
+shard of the key space. The filters let a pass over the references skip nearly all of them before a join; what passes
+is confirmed against the exact counts. Arriving documents add references, raise counts and insert fingerprints; leaving
+ones take references away, lower counts and delete fingerprints, so that every dropped line comes back when its
+repetition goes. Only keys that changed are touched, and only those that lose their last document look at the
+references again.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,8 @@ LEAST_DOCS = 5
 _BLANKS = b" \t\n\x0b\x0c\r"
 #: Keys of a shard, on average.
 SHARD_KEYS = 200_000
-#: Filters are broadcast up to so many keys (about 3 bytes each); beyond, all lines are joined to the exact table.
-BROADCAST_KEYS = 8_000_000
+#: Shards whose filters are broadcast at once (about 3 bytes a key: 24 MB); further shards take further passes over the references.
+BLOCK_SHARDS = 40
 #: Stands for a null doc_id: all such rows count as one document, smaller than all others.
 NO_ID = -(1 << 63)
 
@@ -189,44 +192,100 @@ def update_filters(old: DataFrame, shards: int, before: DataFrame, after: DataFr
 def update_references(refs: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, least_chars: int = LEAST_CHARS) -> DataFrame:
     """References after whole documents leave (removed: doc_id) and then others come (added: doc_id, text)."""
     if removed is not None:
-        gone = removed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
-        refs = refs.join(gone, "doc_id", "left_anti").select("key", "doc_id")
+        refs = refs.join(_ids(removed), "doc_id", "left_anti").select("key", "doc_id")
     return refs if added is None else refs.unionByName(references(added, least_chars)).distinct()
 
 
-def drop_lines(docs: DataFrame, hot: DataFrame, carry: tuple[str, ...] = (), least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs(doc_id, text) and hot(key, last) -> doc_id, text, n_lines, n_dropped and carried columns; a row per row.
+def _ids(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
 
-    Lines with a key in hot go, except in the documents whose id is the key's last. Texts are read twice: once to
-    probe the filters, once to rebuild; what goes is decided by joins in between.
-    """
-    spark = docs.sparkSession
-    n = hot.count()
-    shards = max(1, -(-n // SHARD_KEYS))
-    built = None
-    if n <= BROADCAST_KEYS:
-        built = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters(hot, shards).toLocalIterator()})
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {s: CuckooFilter.from_bytes(f) for s, f in built.value.items()} if built else None
-        for batch in slices(batches):
-            keys, ids = [], []
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
-                own = {line_key(x, least_chars) for x in raw.split(b"\n")} - {None}
-                keys += own
-                ids += [NO_ID if doc_id is None else doc_id] * len(own)
-            keep = np.ones(len(keys), bool)
-            if tables is not None and keys:
-                at = _shards(keys, shards)
-                keep[:] = False
-                for s, table in tables.items():
-                    own = np.flatnonzero(at == s)
-                    keep[own] = table.contains([keys[i] for i in own.tolist()])
-            own = np.flatnonzero(keep).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.binary()), pa.array([ids[i] for i in own], pa.int64())], names=["key", "doc_id"])
 
+class State(NamedTuple):
+    """What is known of the documents that are there: stored tables, and filters of the repeated keys."""
+
+    refs: DataFrame  # key, doc_id
+    counts: DataFrame  # key, n_docs, last
+    hot: DataFrame  # key, n_docs, last of repeated keys
+    filters: DataFrame  # shard, filter
+    shards: int
+    least_docs: int
+    least_chars: int
+
+
+def load(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> State:
+    """The state of a first set of documents."""
+    refs = stored(references(docs, least_chars))
+    counts = stored(repeated(refs, 1))
+    hot = stored(counts.where(F.col("n_docs") >= least_docs))
+    shards = max(1, -(-hot.count() // SHARD_KEYS))
+    return State(refs, counts, hot, stored(filters(hot, shards)), shards, least_docs, least_chars)
+
+
+def change(state: State, added: DataFrame | None = None, removed: DataFrame | None = None) -> State:
+    """The state after whole documents leave (removed: doc_id) and then others come (added: doc_id, text).
+
+    Documents that come again under an id that is there add the lines that it didn't have. Unknown ids leave nothing.
+    """
+    refs, moves = state.refs, []
+    if removed is not None:
+        ids = stored(_ids(removed))
+        gone = refs.join(ids, "doc_id", "left_semi").select("key", "doc_id", F.lit(-1).alias("d"))
+        refs, moves = stored(refs.join(ids, "doc_id", "left_anti").select("key", "doc_id")), [gone]
+    if added is not None:
+        new = stored(references(added, state.least_chars).join(refs, ["key", "doc_id"], "left_anti"))
+        refs, moves = refs.unionByName(new), [*moves, new.withColumn("d", F.lit(1))]
+    if not moves:
+        return state
+    moved = moves[0] if len(moves) == 1 else moves[0].unionByName(moves[1])
+    delta = moved.groupBy("key").agg(F.sum("d").alias("d"), F.max(F.when(F.col("d") > 0, F.col("doc_id"))).alias("came"), F.max(F.when(F.col("d") < 0, F.col("doc_id"))).alias("went"))
+    both = state.counts.join(delta, "key", "full_outer").select(
+        "key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n_docs"), F.greatest("last", "came").alias("last"),
+        F.coalesce(F.col("went") == F.col("last"), F.lit(False)).alias("lost"),
+    )
+    both = stored(both.where("n_docs > 0"))
+    again = both.where("lost").select("key", "n_docs").join(refs, "key").groupBy("key").agg(F.first("n_docs").alias("n_docs"), F.max("doc_id").alias("last"))
+    counts = stored(both.where("NOT lost").select("key", "n_docs", "last").unionByName(again))
+    hot = stored(counts.where(F.col("n_docs") >= state.least_docs))
+    wanted = max(1, -(-hot.count() // SHARD_KEYS))
+    if wanted > 2 * state.shards:  # tables would outgrow their tasks: deal the keys anew
+        return state._replace(refs=refs, counts=counts, hot=hot, filters=stored(filters(hot, wanted)), shards=wanted)
+    changed = stored(update_filters(state.filters, state.shards, state.hot, hot))
+    return state._replace(refs=refs, counts=counts, hot=hot, filters=changed)
+
+
+def probe(refs: DataFrame, tables: DataFrame, shards: int) -> DataFrame:
+    """References whose key some filter may hold, and few others; filters are broadcast a block of shards at a time."""
+    spark, out = refs.sparkSession, None
+    for first in range(0, shards, BLOCK_SHARDS):
+        block = tables.where(F.col("shard").between(first, first + BLOCK_SHARDS - 1))
+        built = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in block.toLocalIterator()})
+
+        def pick(batches: Iterator[pa.RecordBatch], built=built) -> Iterator[pa.RecordBatch]:
+            own = {s: CuckooFilter.from_bytes(f) for s, f in built.value.items()}
+            for batch in batches:
+                keys = batch.column("key").to_pylist()
+                keep = np.zeros(len(keys), bool)
+                at = _shards(keys, shards) if keys else keep
+                for s in np.unique(at).tolist() if keys else ():
+                    if s in own:
+                        rows = np.flatnonzero(at == s)
+                        keep[rows] = own[s].contains([keys[i] for i in rows.tolist()])
+                yield batch.filter(pa.array(keep))
+
+        part = refs.select("key", "doc_id").mapInArrow(pick, "key binary, doc_id long")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def drop_lines(docs: DataFrame, state: State, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text), all of them in state -> doc_id, text, n_lines, n_dropped and carried columns; a row per row.
+
+    Repeated lines go, except in the document with the largest id. Texts are read once; what goes from them comes from
+    the references that pass the filters.
+    """
     kept = [docs.schema[c] for c in carry]
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), *kept])
+    least_chars = state.least_chars
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -245,8 +304,8 @@ def drop_lines(docs: DataFrame, hot: DataFrame, carry: tuple[str, ...] = (), lea
                 names=["doc_id", "text", "n_lines", "n_dropped", *carry],
             )
 
-    found = documents(docs).mapInArrow(probe, "key binary, doc_id long")
-    gone = found.join(hot.select("key", "last"), "key").where("last <> doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("gone"))
+    found = probe(state.refs, state.filters, state.shards)
+    gone = found.join(state.hot.select("key", "last"), "key").where("last <> doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("gone"))
     own = documents(docs, *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)))
     joined = own.join(gone, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").drop("id")
     return joined.mapInArrow(rebuild, schema)
@@ -260,4 +319,4 @@ def line_dedup(docs: DataFrame, carry: tuple[str, ...] = (), least_chars: int =
     Rows of one doc_id are one document, as are all rows without an id (the smallest). Equal lines within the last
     document all stay. Empty table: no rows.
     """
-    return drop_lines(docs, stored(repeated(references(docs, least_chars), least_docs)), carry, least_chars)
+    return drop_lines(docs, load(docs, least_chars, least_docs), carry)

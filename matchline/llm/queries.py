@@ -47,7 +47,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    """Most documents come first; then a fifth comes while another fifth leaves, which comes again at last."""
+    docs = _table(spark, sf_dir, "documents")
+    fifth = common.fold("doc_id", 5)
+    state = line_dedup.load(docs.where(fifth != 0))
+    state = line_dedup.change(state, added=docs.where(fifth == 0), removed=docs.where(fifth == 1))
+    state = line_dedup.change(state, added=docs.where(fifth == 1))
+    kept = line_dedup.drop_lines(docs, state)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

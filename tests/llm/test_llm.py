@@ -1,6 +1,7 @@
 """Operators against brute force, on small rows with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import collections
+import random
 import math
 import zlib
 
@@ -184,6 +185,26 @@ def test_line_dedup_and_reversal(spark):
     assert not line_dedup.CuckooFilter.from_bytes(bytes(table["filter"])).contains(keys).any()
 
 
+def test_line_dedup_by_changes_equals_one_load(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(30)]), "\n".join(f"line {rng.randrange(25)} " + "x" * 40 for _ in range(rng.randrange(6)))) for _ in range(60)]
+    frame = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    want = sorted(((r.doc_id or -1, r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(frame).collect()))
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK_SHARDS", 2)  # several blocks of filters
+    third = F.coalesce(F.col("doc_id"), F.lit(2)) % 3
+    state = line_dedup.load(frame.where(third == 0))
+    state = line_dedup.change(state, added=frame.where(third != 0))
+    fewer = line_dedup.change(state, removed=frame.where(third == 1).select("doc_id"))
+    left = sorted(((r.doc_id or -1, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_lines(frame.where(third != 1), fewer).collect()))
+    assert left == sorted(((r.doc_id or -1, r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(frame.where(third != 1)).collect()))
+    state = line_dedup.change(fewer, added=frame.where(third == 1))
+    assert sorted(((r.doc_id or -1, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_lines(frame, state).collect())) == want
+    assert sorted(map(tuple, state.counts.collect())) == sorted(map(tuple, line_dedup.load(frame).counts.collect()))
+    empty = frame.where("false")
+    assert line_dedup.drop_lines(empty, line_dedup.change(line_dedup.load(empty), added=empty, removed=empty)).count() == 0
+
+
 def test_cuckoo_filter():
     keys = [bytes(np.random.default_rng(i).bytes(16)) for i in range(3000)]
     own = line_dedup.CuckooFilter.of(keys)
