@@ -168,3 +168,38 @@ def test_intake_and_plan_status(spark):
     get = lambda stage: {r.plan_id: r.new_status for r in W.plan_status(plans, actions, stage).collect()}
     assert get("execution") == {1: "COMPLETED", 2: "APPROVED", 3: "COMPLETED"}
     assert get("decision") == {1: "EXECUTING", 2: "APPROVED", 3: "COMPLETED"}
+
+
+def test_receipts_asked_for_with_another_order(spark):
+    grn = spark.createDataFrame([(5, 1), (6, None), (7, 2)], "grn_id long, po_id long")
+    asked = spark.createDataFrame([(1, 5), (1, 6), (1, 7)], "po_id long, grn_id long")
+    found = R.header_exceptions(asked, grn, "GRN", "grn_id").collect()
+    assert sorted((r.rule, r.grn_id, r.evidence["actual_purchase_order_id"]) for r in found) == [("missing_po_header_ref", 6, None), ("po_header_mismatch", 7, "2")]
+
+
+def test_upsert_refreshes_references(spark):
+    from matchline.sources import sinks
+
+    old = spark.createDataFrame([("a", "T", "LOW", "m", "RESOLVED", None, 1, 9), ("b", "T", "LOW", "m", "IN_REVIEW", None, 2, 9)], "fingerprint string, exception_type string, severity string, message string, status string, resolved_at timestamp, invoice_id long, goods_receipt_id long")
+    new = spark.createDataFrame([("a", "U", "HIGH", "n", 7, None, 3, {"k": "v"}), ("c", "U", "HIGH", "n", 8, None, 4, {})], "fingerprint string, exception_type string, severity string, message string, po_id long, grn_id long, invoice_id long, evidence map<string,string>")
+    rows = {r.fingerprint: r for r in sinks.upsert_exceptions(old, new).collect()}
+    assert (rows["a"].status, rows["a"].purchase_order_id, rows["a"].goods_receipt_id, rows["a"].invoice_id, rows["a"].evidence, rows["a"].source_document_ids) == ("OPEN", 7, None, 3, {"k": "v"}, ["7", "3"])
+    assert (rows["b"].status, rows["b"].invoice_id, rows["b"].goods_receipt_id, rows["b"].evidence) == ("IN_REVIEW", 2, 9, None)
+    assert (rows["c"].status, rows["c"].invoice_id) == ("OPEN", 4)
+
+
+def test_promotion_reuses_links_and_refuses(spark):
+    from matchline.operators import documents as D
+
+    line = lambda n, q=1: (n, "x", q, 2)
+    rows = [(1, "INVOICE", "I1", None, None, " ACME ", "2024-01-01", [line(1), line(9)], 10), (2, "INVOICE", "I1", None, None, "ACME", "2024-01-01", [line(1)], None), (3, "INVOICE", "I0", None, None, None, None, [], None),
+            (4, "GRN", None, None, "G1", None, "2024-01-01", [line(1)], None), (5, "GRN", None, "P1", "G2", None, "2024-01-01", [line(1)], None), (6, "PO", None, "P2", None, "New", "2024-01-01", [line(1, 0)], None), (7, "PO", None, "P3", None, "New", None, [line(1)], None), (8, "PO", None, "P4", None, "New", "2024-01-01", [line(1)], None)]
+    frame = spark.createDataFrame(rows, "doc_id long, detected_type string, invoice_number string, po_number string, grn_number string, vendor_name string, doc_date string, lines array<struct<line_number:int,description:string,quantity:int,unit_price:int>>, purchase_order_id long")
+    frame = frame.selectExpr("* except (doc_date, lines)", "cast(doc_date AS date) AS doc_date", "cast(NULL AS string) AS currency", "cast(NULL AS int) AS subtotal", "1 AS tax_amount", "2 AS total_amount", "transform(lines, x -> named_struct('line_number', x.line_number, 'description', x.description, 'quantity', x.quantity, 'unit_price', x.unit_price, 'tax_rate', cast(NULL AS int))) AS lines")
+    table = lambda data, schema: spark.createDataFrame(data, schema)
+    out = D.promote(frame, table([(3, "ACME")], "vendor_id long, name string"), table([(10, "P1")], "po_id long, po_number string"), table([(100, 10, 1)], "po_line_id long, po_id long, line_number long"), table([], "grn_id long, grn_number string"), table([(50, "I0")], "invoice_id long, invoice_number string"))
+    assert sorted((r.doc_id, r.vendor_id, r.po_id, r.currency) for r in out.heads.na.fill(0).collect()) == [(1, 3, 10, "USD"), (5, 0, 10, "USD"), (8, 0, 0, "USD")]
+    assert sorted((r.doc_id, r.line_number, r.po_line_id or 0) for r in out.lines.collect()) == [(1, 1, 100), (1, 9, 0), (5, 1, 100), (8, 1, 0)]
+    assert sorted((r.doc_id, r.id or 0) for r in out.reused.collect()) == [(2, 0), (3, 50)]
+    assert sorted((r.doc_id, r.reason) for r in out.rejected.collect()) == [(4, "no_order"), (6, "bad_quantity"), (7, "no_date")]
+    assert [r.name for r in out.vendors.collect()] == ["New"]
