@@ -31,6 +31,8 @@ _BLANKS = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 200_000
 #: Shards whose filters are broadcast at once (about 3 bytes a key: 24 MB); further shards take further passes over the references.
 BLOCK_SHARDS = 40
+#: Tasks that share the references of one key where a key's last document is looked for anew.
+SALTS = 32
 #: Stands for a null doc_id: all such rows count as one document, smaller than all others.
 NO_ID = -(1 << 63)
 
@@ -243,7 +245,11 @@ def change(state: State, added: DataFrame | None = None, removed: DataFrame | No
         F.coalesce(F.col("went") == F.col("last"), F.lit(False)).alias("lost"),
     )
     both = stored(both.where("n_docs > 0"))
-    again = both.where("lost").select("key", "n_docs").join(refs, "key").groupBy("key").agg(F.first("n_docs").alias("n_docs"), F.max("doc_id").alias("last"))
+    # A common key's references are dealt by key and salt; what is left of them after that is one row per task.
+    salted = both.where("lost").select("key", "n_docs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rest = refs.select("key", "doc_id", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
+    again = salted.join(rest, ["key", "salt"]).groupBy("key", "salt").agg(F.first("n_docs").alias("n_docs"), F.max("doc_id").alias("last"))
+    again = again.groupBy("key").agg(F.first("n_docs").alias("n_docs"), F.max("last").alias("last"))
     counts = stored(both.where("NOT lost").select("key", "n_docs", "last").unionByName(again))
     hot = stored(counts.where(F.col("n_docs") >= state.least_docs))
     wanted = max(1, -(-hot.count() // SHARD_KEYS))
