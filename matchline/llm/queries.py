@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts
+from . import bpe_reuse, common, cross_alignment, decontamination, filter_audit, language_id, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_reuse.encode_texts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_alignment.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: Measurements of every document, shared by the rules' SQL. Windows of three words count where equal ones exist.
 _MEASURES_SQL = r"""
 w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -102,6 +114,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_bpe_reuse": op11_bpe_reuse,
+    "op12_cross_alignment": op12_cross_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -114,4 +129,21 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (h.key IS NOT NULL A
 FROM k LEFT JOIN h ON k.key = h.key GROUP BY doc_id""",
     "op9_quality_rules": f"""WITH {_MEASURES_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM ledger""",
+    "op13_filter_audit": r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE a.c NOT IN (b.c, c.c, d.c, e.c) AND b.c NOT IN (c.c, d.c, e.c) AND c.c NOT IN (d.c, e.c) AND d.c <> e.c),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS c, substr(filter_order, 1, step - 1) AS earlier FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+j AS (SELECT part, filter_order, step, c, n, good, toxic, contains(fails, c) AS hit, fails = c AS alone, length(translate(fails, earlier, '')) < length(fails) AS gone FROM g, s),
+r AS (SELECT part, filter_order, step, c, sum(CASE WHEN hit OR gone THEN 0 ELSE n END)::BIGINT AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN hit AND NOT gone THEN n * good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN hit AND NOT gone THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM j GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM r""",
 }
