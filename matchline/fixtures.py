@@ -62,10 +62,11 @@ def _link(h: Column, line: Column) -> Column:
     return F.when(h % 29 == 0, -line).when(h % 6 != 0, line)
 
 
-def grn_line(spark: SparkSession, d: str) -> DataFrame:
+def grn_line(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    """lines: po_line, where it is at hand."""
     h = F.col("po_id") + F.col("seq")
     share = F.when(h % 7 == 0, F.lit("1.1").cast(RATE)).when(h % 5 == 0, F.lit("0.5").cast(RATE)).otherwise(F.lit("1.0").cast(RATE))
-    return po_line(spark, d).where("po_id % 11 <> 0").select(
+    return (lines if lines is not None else po_line(spark, d)).where("po_id % 11 <> 0").select(
         (F.col("po_line_id") * 10 + 1).alias("grn_line_id"),
         (F.col("po_id") * 10 + F.col("seq") % 2).alias("grn_id"),
         "po_id",
@@ -75,15 +76,15 @@ def grn_line(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def inv_line(spark: SparkSession, d: str) -> DataFrame:
-    """Lines carry src_po_id, their order, and po_id, the invoice's own reference (null for some)."""
+def inv_line(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    """Lines carry src_po_id, their order, and po_id, the invoice's own reference (null for some). lines: po_line, where it is at hand."""
     h = F.col("po_id") + F.col("seq")
     rate = lambda x: F.lit(x).cast(RATE)
     q = F.when(h % 16 == 0, rate("1.07")).when(h % 16 == 4, rate("1.20")).when(h % 16 == 8, rate("1.30")).when(h % 16 == 12, rate("1.60")).otherwise(rate("1"))
     p = F.when(h % 10 == 0, rate("1.06")).when(h % 10 == 1, rate("1.12")).when(h % 10 == 2, rate("1.30")).when(h % 10 == 3, rate("1.60")).when(h % 10 == 4, rate("0.97")).otherwise(rate("1"))
     k = F.explode(F.when(F.col("po_id") % 17 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k")
     link = F.when(F.col("po_id") % 19 == 0, None).when(h % 31 == 0, -F.col("po_line_id")).when(h % 6 != 0, F.col("po_line_id"))
-    return po_line(spark, d).where("po_id % 13 <> 0").select("*", k).select(
+    return (lines if lines is not None else po_line(spark, d)).where("po_id % 13 <> 0").select("*", k).select(
         (F.col("po_line_id") * 10 + F.col("k")).alias("invoice_line_id"),
         (F.col("po_id") * 10 + F.col("k")).alias("invoice_id"),
         F.col("po_id").alias("src_po_id"),
@@ -96,9 +97,10 @@ def inv_line(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def inv(spark: SparkSession, d: str) -> DataFrame:
+def inv(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    """items: inv_line, where it is at hand."""
     k = F.explode(F.when(F.col("po_id") % 17 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k")
-    totals = inv_line(spark, d).groupBy("invoice_id").agg(F.sum((F.col("quantity") * F.col("unit_price")).cast(QTY)).cast(QTY).alias("total"))
+    totals = (items if items is not None else inv_line(spark, d)).groupBy("invoice_id").agg(F.sum((F.col("quantity") * F.col("unit_price")).cast(QTY)).cast(QTY).alias("total"))
     head = po(spark, d).where("po_id % 13 <> 0").select("*", k)
     number = F.lpad(F.col("po_id").cast("string"), 8, "0")
     return head.select(

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.folds import folded
+from ..sources.stored import written
 from .reconcile import Tables
 
 SIGNAL = ("anomaly_type", "severity", "score", "vendor_id", "po_id", "invoice_id", "grn_id", "evidence", "fingerprint")
@@ -56,10 +59,16 @@ def quantity_variance_signals(t: Tables, config: Config = Config()) -> DataFrame
 
 
 def duplicate_invoice_signals(inv: DataFrame) -> DataFrame:
-    """A3: one signal for each vendor and normalized number with two invoices or more, in the row of the smallest id."""
-    own = inv.withColumn("norm", S.normalize_invoice_number("invoice_number"))
-    groups = own.groupBy("vendor_id", "norm").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("invoice_id").cast("string"))).alias("ids"), F.min("invoice_id").alias("invoice_id"), F.min_by("po_id", "invoice_id").alias("po_id")).where("n > 1")
-    evidence = {"vendor_id": F.col("vendor_id"), "normalized_invoice_number": F.col("norm"), "invoice_ids": F.array_join("ids", ","), "duplicate_count": F.col("n")}
+    """A3: one signal for each vendor and normalized number with two invoices or more, in the row of the smallest id.
+
+    Groups are counted before any id is looked at; the ids of groups of two and more are joined as sorted rows stream by.
+    """
+    own = inv.select("vendor_id", S.normalize_invoice_number("invoice_number").alias("norm"), "invoice_id", "po_id")
+    many = own.groupBy("vendor_id", "norm").agg(F.count("*").alias("n"), F.min("invoice_id").alias("invoice_id"), F.min_by("po_id", "invoice_id").alias("po_id")).where("n > 1")
+    members = own.select(F.col("vendor_id").alias("v"), F.col("norm").alias("m"), F.col("invoice_id").cast("string").alias("id"))
+    members = many.join(members, F.col("vendor_id").eqNullSafe(F.col("v")) & F.col("norm").eqNullSafe(F.col("m"))).drop("v", "m")
+    groups = folded(members, ["vendor_id", "norm"], "id", "text")
+    evidence = {"vendor_id": F.col("vendor_id"), "normalized_invoice_number": F.col("norm"), "invoice_ids": F.col("folded"), "duplicate_count": F.col("n")}
     return _signal(groups, "DUPLICATE_INVOICE", "HIGH", [F.col("vendor_id"), F.col("norm")], evidence, po="po_id", invoice="invoice_id")
 
 
@@ -75,13 +84,18 @@ def timing_signals(po: DataFrame, grn: DataFrame, inv: DataFrame, config: Config
     return early.unionByName(before).unionByName(late)
 
 
-def vendor_spike_signals(inv: DataFrame, scope: str = "invoice", config: Config = Config()) -> DataFrame:
+def vendor_sums(inv: DataFrame) -> DataFrame:
+    """A vendor's total, number and latest (date, id) of invoices: what A5 compares with."""
+    return inv.groupBy("vendor_id").agg(F.sum("total_amount").alias("total"), F.count("*").alias("n"), F.max(F.struct("invoice_date", "invoice_id")).alias("latest"))
+
+
+def vendor_spike_signals(inv: DataFrame, scope: str = "invoice", config: Config = Config(), sums: DataFrame | None = None) -> DataFrame:
     """A5: an invoice against the mean of the vendor's other invoices of any date.
 
     Sums per vendor are joined back and the invoice taken out, so a large vendor is no window partition.
-    scope: every invoice, or each vendor's latest by (date, id) only.
+    scope: every invoice, or each vendor's latest by (date, id) only. sums: vendor_sums of all invoices, where inv is a part.
     """
-    sums = inv.groupBy("vendor_id").agg(F.sum("total_amount").alias("total"), F.count("*").alias("n"), F.max(F.struct("invoice_date", "invoice_id")).alias("latest"))
+    sums = vendor_sums(inv) if sums is None else sums
     own = inv.join(sums.where(F.col("n") > config.spike_history), "vendor_id")
     if scope == "vendor":
         own = own.where("invoice_id = latest.invoice_id")
@@ -118,40 +132,83 @@ def detect_vendors(inv: DataFrame, exceptions: DataFrame, as_of: datetime.date,
     return vendor_spike_signals(inv, "vendor", config).unionByName(repeated_mismatch_signals(inv, exceptions, as_of, config))
 
 
+@dataclass(frozen=True)
+class Baselines:
+    """What signals of a few invoices need to know of all: vendors' sums (A5) and duplicate groups (A3).
+
+    Computed once and written, scans in parts read a row per vendor and group instead of all invoices.
+    """
+
+    sums: DataFrame
+    duplicates: DataFrame
+
+    @staticmethod
+    def of(inv: DataFrame) -> Baselines:
+        return Baselines(written(vendor_sums(inv)), written(duplicate_invoice_signals(inv)))
+
+
+def detect_scoped(invoices: DataFrame, t: Tables, config: Config = Config(), sums: DataFrame | None = None) -> DataFrame:
+    """A1, A2, A4 and A5 of some invoices (rows of t.inv): what they touch is looked up below the rules.
+
+    Their lines, orders and receipts, and their vendors' sums (over t.inv unless given), are all that the rules see.
+    """
+    ids = invoices.select("invoice_id")
+    lines = written(t.inv_line.join(ids, "invoice_id", "left_semi"))
+    own = replace(t, inv=invoices, inv_line=lines, po_line=written(t.po_line.join(lines.select("po_line_id"), "po_line_id", "left_semi")))
+    sums = vendor_sums(t.inv.join(invoices.select("vendor_id"), "vendor_id", "left_semi")) if sums is None else sums
+    parts = [price_variance_signals(own, config), quantity_variance_signals(own, config), timing_signals(t.po, t.grn, invoices, config), vendor_spike_signals(invoices, "invoice", config, sums)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def detect_exceptions(scope: DataFrame, t: Tables, exceptions: DataFrame, as_of: datetime.date, config: Config = Config()) -> DataFrame:
     """Signals of the invoices behind scope's exceptions and of their vendors; an order's vendor where no invoice is known.
 
-    All signals are those of the whole tables; only the ones in scope are kept, a vendor's only if no invoice's has
-    its fingerprint.
+    The closure of scope comes first: its invoices, their vendors, and all invoices of those vendors, which hold every
+    duplicate and every mean that its signals depend on. The rules see nothing else. A vendor's signal is kept only if no
+    invoice's has its fingerprint.
     """
     invoices = scope.where("invoice_id IS NOT NULL").select("invoice_id").distinct()
     known = scope.join(t.inv.select("invoice_id", F.col("vendor_id").alias("iv")), "invoice_id", "left").join(t.po.select(F.col("po_id").alias("purchase_order_id"), F.col("vendor_id").alias("pv")), "purchase_order_id", "left")
-    vendors = known.select(F.coalesce("iv", "pv").alias("vendor_id")).where("vendor_id IS NOT NULL").distinct()
-    found = detect_invoices(t, config)
+    vendors = written(known.select(F.coalesce("iv", "pv").alias("vendor_id")).where("vendor_id IS NOT NULL").distinct())
+    # Invoices without a vendor are duplicates of each other by number alone.
+    loose = t.inv.where("vendor_id IS NULL").withColumn("_norm", S.normalize_invoice_number("invoice_number"))
+    numbers = loose.join(invoices, "invoice_id", "left_semi").select(F.col("_norm").alias("_n"))
+    loose = loose.join(numbers, F.col("_norm").eqNullSafe(F.col("_n")), "left_semi").drop("_norm")
+    closure = t.inv.join(vendors, "vendor_id", "left_semi").unionByName(loose)
+    peers = written(closure.join(invoices.withColumn("in_scope", F.lit(True)), "invoice_id", "left"))
+    inv, own = peers.drop("in_scope"), peers.where("in_scope").drop("in_scope")
+    found = detect_scoped(own, replace(t, inv=inv), config)
     # A duplicate's signal stands in the row of the group's smallest id, whichever member is in scope.
-    groups = t.inv.select("invoice_id", "vendor_id", S.normalize_invoice_number("invoice_number").alias("norm")).join(invoices, "invoice_id", "left_semi")
-    duplicates = groups.select(S.fingerprint("DUPLICATE_INVOICE", F.col("vendor_id"), F.col("norm")).alias("fingerprint")).distinct()
-    own = found.where("anomaly_type <> 'DUPLICATE_INVOICE'").join(invoices, "invoice_id", "left_semi").unionByName(found.where("anomaly_type = 'DUPLICATE_INVOICE'").join(duplicates, "fingerprint", "left_semi"))
-    more = detect_vendors(t.inv, exceptions, as_of, config).join(vendors, "vendor_id", "left_semi").join(own.select("fingerprint"), "fingerprint", "left_anti")
-    return own.select(*SIGNAL).unionByName(more.select(*SIGNAL))
+    asked = own.select(S.fingerprint("DUPLICATE_INVOICE", F.col("vendor_id"), S.normalize_invoice_number("invoice_number")).alias("fingerprint"))
+    found = written(found.unionByName(duplicate_invoice_signals(inv).join(asked, "fingerprint", "left_semi").select(*SIGNAL)))
+    counted = exceptions.join(inv.select("invoice_id"), "invoice_id", "left_semi")
+    more = detect_vendors(inv, counted, as_of, config).join(vendors, "vendor_id", "left_semi").join(found.select("fingerprint"), "fingerprint", "left_anti")
+    return found.select(*SIGNAL).unionByName(more.select(*SIGNAL))
 
 
-def full_scan(t: Tables, exceptions: DataFrame, as_of: datetime.date, after_invoice: int | None = None, after_vendor: int | None = None, batch: int | None = None, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+def full_scan(t: Tables, exceptions: DataFrame, as_of: datetime.date, after_invoice: int | None = None, after_vendor: int | None = None, batch: int | None = None, config: Config = Config(), baselines: Baselines | None = None) -> tuple[DataFrame, DataFrame]:
     """A10: signals of the invoices and vendors after a checkpoint, at most `batch` of each in id order, and the scan's counts.
 
-    The counts hold the new checkpoint. Signals are computed over whole tables and kept for the scanned ids, so a scan in
-    parts finds what one scan finds; append_new_signals makes a repeated scan add nothing.
+    The counts hold the new checkpoint and, as errors, scanned invoices without vendor or date, which the rules on those
+    can't judge. The rules see the scanned ids' own rows and the baselines, so a scan in parts that shares its baselines
+    costs about what one scan costs and finds the same; append_new_signals makes a repeated scan add nothing.
     """
+    base = baselines or Baselines.of(t.inv)
     after = lambda df, c, k: df.where(F.col(c) > k) if k is not None else df
-    invoices = after(t.inv.select("invoice_id"), "invoice_id", after_invoice)
-    vendors = after(t.inv.select("vendor_id").distinct(), "vendor_id", after_vendor)
+    invoices, vendors = after(t.inv, "invoice_id", after_invoice), after(base.sums, "vendor_id", after_vendor).where("vendor_id IS NOT NULL")
     if batch:
         invoices, vendors = invoices.orderBy("invoice_id").limit(batch), vendors.orderBy("vendor_id").limit(batch)
-    of_invoices = detect_invoices(t, config).join(invoices, "invoice_id", "left_semi").select(*SIGNAL)
-    of_vendors = detect_vendors(t.inv, exceptions, as_of, config).join(vendors, "vendor_id", "left_semi").select(*SIGNAL)
-    rows = of_invoices.unionByName(of_vendors)
-    counts = invoices.agg(F.count("*").alias("invoices"), F.max("invoice_id").alias("last_invoice")).crossJoin(vendors.agg(F.count("*").alias("vendors"), F.max("vendor_id").alias("last_vendor")))
-    return rows, counts.crossJoin(rows.agg(F.count("*").alias("signals"))).withColumn("errors", F.lit(0))
+    invoices, vendors = written(invoices), written(vendors)
+    of_invoices = detect_scoped(invoices, t, config, base.sums).select(*SIGNAL).unionByName(base.duplicates.join(invoices.select("invoice_id"), "invoice_id", "left_semi").select(*SIGNAL))
+    latest = t.inv.join(vendors.select(F.col("latest.invoice_id").alias("invoice_id")), "invoice_id", "left_semi")
+    start = as_of - datetime.timedelta(days=config.window_days)
+    recent = t.inv.where(F.col("invoice_date") >= F.lit(start)).join(vendors.select("vendor_id"), "vendor_id", "left_semi")
+    of_vendors = vendor_spike_signals(latest, "vendor", config, vendors).unionByName(repeated_mismatch_signals(recent, exceptions, as_of, config)).select(*SIGNAL)
+    rows = written(of_invoices.unionByName(of_vendors))
+    blind = F.count_if(F.col("vendor_id").isNull() | F.col("invoice_date").isNull())
+    counts = invoices.agg(F.count("*").alias("invoices"), F.max("invoice_id").alias("last_invoice"), blind.alias("errors"))
+    counts = counts.crossJoin(vendors.agg(F.count("*").alias("vendors"), F.max("vendor_id").alias("last_vendor"))).crossJoin(rows.agg(F.count("*").alias("signals")))
+    return rows, counts
 
 
 def list_signals_page(signals: DataFrame, limit: int = 50, cursor: tuple | None = None, **filters) -> tuple[DataFrame, DataFrame]:

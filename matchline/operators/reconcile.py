@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.stored import bucketed, is_spread, written
 
 DRAFT = ("exception_type", "severity", "rule", "po_id", "grn_id", "invoice_id", "message", "fingerprint", "evidence")
 #: Order in which rules are tried; of drafts with one fingerprint the first counts.
@@ -34,12 +35,42 @@ class Config:
 
 @dataclass(frozen=True)
 class Tables:
+    """loose, loose_line: further invoices, without an order, which by_order keeps apart; buckets: how many it wrote, 0 for other tables."""
+
     po: DataFrame
     po_line: DataFrame
     grn: DataFrame
     grn_line: DataFrame
     inv: DataFrame
     inv_line: DataFrame
+    loose: DataFrame | None = None
+    loose_line: DataFrame | None = None
+    buckets: int = 0
+
+    def all_inv(self) -> DataFrame:
+        return self.inv if self.loose is None else self.inv.unionByName(self.loose)
+
+    def all_inv_line(self) -> DataFrame:
+        return self.inv_line if self.loose_line is None else self.inv_line.unionByName(self.loose_line)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df, which has a po_id, written once in these tables' buckets, if they are in buckets."""
+        return bucketed(df, "po_id", self.buckets) if self.buckets else df
+
+
+def by_order(t: Tables, buckets: int | None = None) -> Tables:
+    """The tables written once, in buckets of po_id: linking, sums and rules of an order reuse one distribution.
+
+    buckets: spark.sql.shuffle.partitions unless given. Lines and documents without an order meet no order and are left
+    out, but for invoices, which stay as `loose`. Where one order has so many lines that it would fill half a bucket,
+    nothing is bucketed: joins that shuffle can split such an order, buckets can't.
+    """
+    n = buckets or int(t.po.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = lambda df: df.where("po_id IS NOT NULL")
+    if not all(is_spread(own(df), "po_id", n) for df in (t.po_line, t.grn_line, t.inv_line)):
+        return Tables(*map(written, (t.po, t.po_line, t.grn, t.grn_line, t.inv, t.inv_line)))
+    tables = [bucketed(own(df), "po_id", n) for df in (t.po, t.po_line, t.grn, t.grn_line, t.inv, t.inv_line)]
+    return Tables(*tables, *(written(df.where("po_id IS NULL")) for df in (t.inv, t.inv_line)), buckets=n)
 
 
 def _null() -> Column:
@@ -71,8 +102,18 @@ def drafts_of(df: DataFrame, cases: list[Column]) -> DataFrame:
 
 def build_units(po: DataFrame, inv: DataFrame) -> DataFrame:
     """(po_id, invoice_id); orders without invoice and invoices without (known) order have a null side."""
-    left, right = po.select("po_id"), inv.select("invoice_id", F.col("po_id").alias("ref"))
-    return left.join(right, F.col("po_id") == F.col("ref"), "full_outer").select("po_id", "invoice_id")
+    return order_units(po, inv).unionByName(orphan_units(po, inv.where("po_id IS NOT NULL"), inv.where("po_id IS NULL")))
+
+
+def order_units(po: DataFrame, inv: DataFrame) -> DataFrame:
+    """The units with an order."""
+    return po.select("po_id").join(inv.where("po_id IS NOT NULL").select("invoice_id", "po_id"), "po_id", "left")
+
+
+def orphan_units(po: DataFrame, named: DataFrame, loose: DataFrame) -> DataFrame:
+    """The units without one. Invoices that name none (loose) don't pass through the join, where they would meet in one task."""
+    unknown = named.join(po.select("po_id"), "po_id", "left_anti")
+    return unknown.select("invoice_id").unionByName(loose.select("invoice_id")).select(_null().alias("po_id"), "invoice_id")
 
 
 #: Columns of the order line that a linked line carries, as order_<name>.
@@ -139,14 +180,32 @@ def invoiced_by_po_line(linked: DataFrame) -> DataFrame:
     return linked.where("link = 'ok'").groupBy("invoice_id", "po_id", F.col("linked").alias("po_line_id")).agg(F.sum("quantity").cast("decimal(18,4)").alias("invoiced"), F.array_sort(F.collect_list("invoice_line_id")).alias("invoice_line_ids"))
 
 
+def with_receipts(units: DataFrame, grn: DataFrame) -> DataFrame:
+    """Units that have an order, with its receipts: n_grn, one_grn (the least) and grns (ids as text, sorted; empty: none)."""
+    receipts = grn.groupBy("po_id").agg(F.count("*").alias("n_grn"), F.min("grn_id").alias("one_grn"), F.array_sort(F.collect_list(F.col("grn_id").cast("string"))).alias("grns"))
+    own = units.where("po_id IS NOT NULL").join(receipts, "po_id", "left")
+    return own.withColumns({"n_grn": F.coalesce("n_grn", F.lit(0)), "grns": F.coalesce("grns", F.array().cast("array<string>"))})
+
+
+def without_order(units: DataFrame, like: DataFrame) -> DataFrame:
+    """Units without an order, with the columns of `like`: no receipts, no dates."""
+    known = {"invoice_id": F.col("invoice_id"), "n_grn": F.lit(0).cast("long"), "grns": F.array().cast("array<string>")}
+    return units.where("po_id IS NULL").select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema))
+
+
 def quantity_exceptions(units: DataFrame, po_line: DataFrame, grn: DataFrame, received: DataFrame, invoiced: DataFrame, config: Config = Config()) -> DataFrame:
     """Units with an invoice and a receipt; lines without either quantity are skipped."""
-    receipts = grn.groupBy("po_id").agg(F.count("*").alias("n_grn"), F.min("grn_id").alias("one_grn"))
-    lines = units.where("po_id IS NOT NULL AND invoice_id IS NOT NULL").join(receipts, "po_id").join(po_line.select("po_id", "po_line_id", "line_number", F.col("quantity").alias("ordered")), "po_id")
+    return quantity_drafts(with_receipts(units.where("po_id IS NOT NULL AND invoice_id IS NOT NULL"), grn), po_line, received, invoiced, config)
+
+
+def quantity_drafts(heads: DataFrame, po_line: DataFrame, received: DataFrame, invoiced: DataFrame, config: Config = Config()) -> DataFrame:
+    """R6 of units with their receipts."""
+    own = heads.where("po_id IS NOT NULL AND invoice_id IS NOT NULL AND n_grn > 0").select("po_id", "invoice_id", "n_grn", "one_grn")
+    lines = own.join(po_line.select("po_id", "po_line_id", "line_number", F.col("quantity").alias("ordered")), "po_id")
     zero = F.lit(0).cast("decimal(18,4)")
     full = (
         lines.join(received.select("po_id", "po_line_id", "received", "grn_line_ids"), ["po_id", "po_line_id"], "left")
-        .join(invoiced.select("invoice_id", "po_line_id", "invoiced", "invoice_line_ids"), ["invoice_id", "po_line_id"], "left")
+        .join(invoiced.select("po_id", "invoice_id", "po_line_id", "invoiced", "invoice_line_ids"), ["po_id", "invoice_id", "po_line_id"], "left")
         .withColumns({"received": F.coalesce("received", zero), "invoiced": F.coalesce("invoiced", zero)})
         .where("received <> 0 OR invoiced <> 0")
     )
@@ -181,8 +240,13 @@ def tax_case(config: Config = Config()) -> Column:
 
 def early_documents(po: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """docs(key, po_id, day) dated before their order; key is grn_id or invoice_id."""
+    return early_drafts(docs.join(po.select("po_id", "order_date"), "po_id"), key)
+
+
+def early_drafts(docs: DataFrame, key: str) -> DataFrame:
+    """R9 of documents with their order's date."""
     day, rule, label = ("receipt_date", "grn_before_po", "Receipt") if key == "grn_id" else ("invoice_date", "invoice_before_po", "Invoice")
-    own = docs.join(po.select("po_id", "order_date"), "po_id").where(F.col(day) < F.col("order_date"))
+    own = docs.where(F.col(day) < F.col("order_date"))
     ids = {"grn": F.col(key)} if key == "grn_id" else {"invoice": F.col(key)}
     text = F.format_string(f"{label} %s is dated %s, before its order (%s).", F.col(key), F.col(day).cast("string"), F.col("order_date").cast("string"))
     return drafts_of(own, [case(None, "DATE_MISMATCH", "MEDIUM", rule, [rule, F.col("po_id"), F.col(key)], text, {"expected_value": F.col("order_date"), "actual_value": F.col(day)}, po=F.col("po_id"), **ids)])
@@ -190,8 +254,12 @@ def early_documents(po: DataFrame, docs: DataFrame, key: str) -> DataFrame:
 
 def missing_document_exceptions(units: DataFrame, grn: DataFrame) -> DataFrame:
     """Units without an order, without an invoice, or with both but no receipt."""
-    receipts = grn.groupBy("po_id").agg(F.array_sort(F.collect_list(F.col("grn_id").cast("string"))).alias("grns"), F.min("grn_id").alias("one_grn"))
-    own = units.join(receipts, "po_id", "left").withColumn("grns", F.coalesce("grns", F.array().cast("array<string>")))
+    named = with_receipts(units, grn)
+    return missing_drafts(named.unionByName(without_order(units, named)))
+
+
+def missing_drafts(own: DataFrame) -> DataFrame:
+    """R10 of units with their receipts."""
     cases = []
     for rule, name, test in (("missing_po", "PO", "po_id IS NULL"), ("missing_invoice", "INVOICE", "invoice_id IS NULL"), ("missing_grn", "GRN", "po_id IS NOT NULL AND invoice_id IS NOT NULL AND size(grns) = 0")):
         head = F.concat_ws("|", F.lit(name), F.coalesce(F.col("po_id").cast("string"), F.lit("")), F.coalesce(F.col("invoice_id").cast("string"), F.lit("")))
@@ -227,33 +295,41 @@ def reconcile(t: Tables, config: Config = Config(), pairs: DataFrame | None = No
     pairs(po_id, invoice_id), if given, are reconciled instead of the units that the invoices' references make, and
     receipts(po_id, grn_id), if given, count for these orders instead of the receipts that name them.
     """
-    units = pairs if pairs is not None else build_units(t.po, t.inv)
-    with_po = units.where("po_id IS NOT NULL")
-    billed = with_po.where("invoice_id IS NOT NULL")
-    known = t.po.select("po_id")
-    inv_line = t.inv_line.drop("po_id").join(billed, "invoice_id") if pairs is not None else t.inv_line.where("po_id IS NOT NULL")
-    headers = header_exceptions(billed, t.inv, "Invoice", "invoice_id") if pairs is not None else None
+    everything = t.all_inv()
+    if pairs is None:
+        named, loose = (t.inv, t.loose) if t.loose is not None else (t.inv.where("po_id IS NOT NULL"), t.inv.where("po_id IS NULL"))
+        dated = t.po.select("po_id", "order_date").join(named.select("po_id", "invoice_id", "invoice_date"), "po_id", "left")
+        orphans = orphan_units(t.po, named, loose)
+    else:
+        dates = everything.where("invoice_id IS NOT NULL").select("invoice_id", "invoice_date")
+        dated = pairs.where("po_id IS NOT NULL").join(t.po.select("po_id", "order_date"), "po_id", "left").join(dates, "invoice_id", "left")
+        orphans = pairs.where("po_id IS NULL")
+    known, billed = t.po.select("po_id"), dated.where("invoice_id IS NOT NULL").select("po_id", "invoice_id")
+    inv_line = t.all_inv_line().drop("po_id").join(billed, "invoice_id") if pairs is not None else t.inv_line.where("po_id IS NOT NULL")
+    headers = header_exceptions(billed, everything, "Invoice", "invoice_id") if pairs is not None else None
     if receipts is not None:
         asked = receipts.select("po_id", "grn_id").distinct()
         wrong = header_exceptions(asked.join(known, "po_id", "left_semi"), t.grn, "GRN", "grn_id")
         t = replace(t, grn=t.grn.drop("po_id").join(asked, "grn_id"), grn_line=t.grn_line.drop("po_id").join(asked, "grn_id"))
     # Without its order nothing of a document is matched. Each side's lines are linked once; one pass tries all their rules.
-    g, i = (link_lines(x.join(known, "po_id", "left_semi"), t.po_line) for x in (t.grn_line, inv_line))
+    g, i = (t.kept(link_lines(x.join(known, "po_id", "left_semi"), t.po_line)) for x in (t.grn_line, inv_line))
     received, invoiced = received_by_po_line(g), invoiced_by_po_line(i)
+    # A unit with its dates and receipts, and an order's receipts, are what R6, R9 and R10 read.
+    heads = t.kept(with_receipts(dated, t.grn))
     on_order = drafts_of(g, link_cases("GRN", "grn_line_id", "grn_id")).unionByName(early_documents(t.po, t.grn, "grn_id"))
     if receipts is not None:
         on_order = on_order.unionByName(wrong)
     in_unit = (
-        missing_document_exceptions(units, t.grn)
-        .unionByName(duplicate_invoice_exceptions(t.inv))
-        .unionByName(early_documents(t.po, billed.join(t.inv.drop("po_id"), "invoice_id"), "invoice_id"))
+        missing_drafts(heads.unionByName(without_order(orphans, heads)))
+        .unionByName(duplicate_invoice_exceptions(everything))
+        .unionByName(early_drafts(heads.where("invoice_id IS NOT NULL"), "invoice_id"))
         .unionByName(drafts_of(i, [*link_cases("Invoice", "invoice_line_id", "invoice_id"), price_case(config), tax_case(config)]))
-        .unionByName(quantity_exceptions(units, t.po_line, t.grn, received, invoiced, config))
+        .unionByName(quantity_drafts(heads, t.po_line, received, invoiced, config))
     )
     if headers is not None:
         in_unit = in_unit.unionByName(headers)
     drafts = dedupe_drafts(in_unit.unionByName(on_order))
-    return drafts, unit_results(units, in_unit, on_order, t, received, invoiced)
+    return drafts, unit_results(heads.select("po_id", "invoice_id").unionByName(orphans.select("po_id", "invoice_id")), in_unit, on_order, t, received, invoiced)
 
 
 def unit_results(units: DataFrame, in_unit: DataFrame, on_order: DataFrame, t: Tables, received: DataFrame, invoiced: DataFrame) -> DataFrame:
@@ -269,7 +345,7 @@ def unit_results(units: DataFrame, in_unit: DataFrame, on_order: DataFrame, t: T
     receipts = t.grn.groupBy("po_id").agg(F.count("*").alias("grn_count"))
     got = received.groupBy("po_id").agg(F.sum("received").alias("total_received"))
     billed = invoiced.groupBy("invoice_id").agg(F.sum("invoiced").alias("total_invoiced"))
-    lines = t.inv_line.groupBy("invoice_id").agg(F.count("*").alias("invoice_line_count"))
+    lines = t.all_inv_line().groupBy("invoice_id").agg(F.count("*").alias("invoice_line_count"))
     full = own.join(counts, "unit", "left").join(ordered, "po_id", "left").join(receipts, "po_id", "left").join(got, "po_id", "left").join(billed, "invoice_id", "left").join(lines, "invoice_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     total = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(28,4)").alias(c)

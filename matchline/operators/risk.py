@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.folds import folded
 
 #: Weight and cap of each signal type.
 WEIGHTS = {"PRICE_VARIANCE": (15, 30), "QUANTITY_VARIANCE": (15, 30), "DUPLICATE_INVOICE": (25, 40), "TIMING_ANOMALY": (10, 20), "VENDOR_SPIKE": (20, 30), "REPEATED_MISMATCH": (20, 30)}
@@ -49,21 +50,22 @@ def type_breakdown(rows: DataFrame) -> DataFrame:
 def score_profiles(signals: DataFrame, entities: DataFrame, as_of: datetime.date, version: str = VERSION) -> DataFrame:
     """K5: entities(entity_type, entity_id) -> score, band, counts and fingerprint; without signals 0 and LOW.
 
-    Two levels of aggregation with map-side combining; only fingerprints are collected, as the profile's identity
-    hashes all of an entity's.
+    Two levels of aggregation with map-side combining. A profile's identity hashes all fingerprints of its entity in
+    order; they stream through the hash, so an entity of any number of signals holds one state.
     """
+    key = ["entity_type", "entity_id"]
     rows = contributions(entity_signals(signals_as_of(signals, as_of)), as_of)
     per_type = type_breakdown(rows)
-    scores = per_type.groupBy("entity_type", "entity_id").agg(F.sum("capped").alias("aggregate"), F.sum("signal_count").alias("signal_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("anomaly_type", "capped")))).alias("breakdown"))
-    prints = rows.groupBy("entity_type", "entity_id").agg(F.array_sort(F.collect_list("fingerprint")).alias("prints"), *(F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in S.SEVERITY_SCORES))
-    own = entities.join(scores, ["entity_type", "entity_id"], "left").join(prints, ["entity_type", "entity_id"], "left")
+    scores = per_type.groupBy(*key).agg(F.sum("capped").alias("aggregate"), F.sum("signal_count").alias("signal_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("anomaly_type", "capped")))).alias("breakdown"))
+    levels = rows.groupBy(*key).agg(*(F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in S.SEVERITY_SCORES))
+    head = F.concat_ws("|", "entity_type", F.col("entity_id").cast("string"), F.lit(version), F.lit(as_of.isoformat()))
+    prints = folded(rows.select(*key, "fingerprint", head.alias("head")), key, "fingerprint", "sha256", "head")
+    own = entities.join(scores, key, "left").join(levels, key, "left").join(prints, key, "left")
     score = S.normalize_score(F.coalesce("aggregate", F.lit(Decimal(0))))
-    identity = F.concat_ws("|", "entity_type", F.col("entity_id").cast("string"), F.lit(version), F.lit(as_of.isoformat()), F.array_join(F.coalesce("prints", F.array().cast("array<string>")), "|"))
-    alone = F.concat_ws("|", "entity_type", F.col("entity_id").cast("string"), F.lit(version), F.lit(as_of.isoformat()))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return own.select(
         "entity_type", "entity_id", score.alias("score"), S.band_for_score(score).alias("risk_band"), F.lit(version).alias("score_version"), F.lit(as_of).alias("as_of"), zero("signal_count"), "breakdown",
-        *(zero(f"n_{s.lower()}") for s in S.SEVERITY_SCORES), F.sha2(F.when(F.size(F.coalesce("prints", F.array().cast("array<string>"))) > 0, identity).otherwise(alone), 256).alias("fingerprint"),
+        *(zero(f"n_{s.lower()}") for s in S.SEVERITY_SCORES), F.coalesce("folded", F.sha2(head, 256)).alias("fingerprint"),
     )
 
 

@@ -2,36 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixtures
+from ..sources.stored import bucketed, is_spread, shared_folder, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; local sessions may leave that unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: what follows plans and runs without its derivation."""
-    folder = shared_folder(df.sparkSession, "table")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def query(name: str, sql: str | None = None) -> Callable:
     """Registers a callable. sql follows the fixtures' CTEs: more CTEs (`x AS (...), ...`) and a SELECT."""
 

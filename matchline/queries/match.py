@@ -15,9 +15,16 @@ def tables(spark: SparkSession, d: str) -> R.Tables:
     return R.Tables(X.po(spark, d), X.po_line(spark, d), X.grn(spark, d), X.grn_line(spark, d), X.inv(spark, d), X.inv_line(spark, d))
 
 
+def plain_tables(spark: SparkSession, d: str) -> R.Tables:
+    """The tables written once; receipts and invoices derive from the written order lines."""
+    lines = written(X.po_line(spark, d))
+    items = written(X.inv_line(spark, d, lines))
+    return R.Tables(X.po(spark, d), lines, X.grn(spark, d), X.grn_line(spark, d, lines), written(X.inv(spark, d, items)), items)
+
+
 def written_tables(spark: SparkSession, d: str) -> R.Tables:
-    """The tables that a match reads many times, written once; orders and receipts are plain projections."""
-    return R.Tables(X.po(spark, d), written(X.po_line(spark, d)), X.grn(spark, d), written(X.grn_line(spark, d)), written(X.inv(spark, d)), written(X.inv_line(spark, d)))
+    """The tables that a match reads many times, in buckets of their order."""
+    return R.by_order(plain_tables(spark, d))
 
 
 def _brief(drafts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..operators import anomaly as A
 from ..sources import sinks
-from .base import query
-from .match import _fp, tables
+from .base import query, written
+from .match import _fp, plain_tables, tables
 
 AS_OF = datetime.date(1998, 1, 1)
 
@@ -95,7 +96,7 @@ def a6(spark, d):
 
 @query("a7_detect_invoices", f"{NORM}, {SPIKE} {A7}")
 def a7(spark, d):
-    return brief(A.detect_invoices(tables(spark, d)))
+    return brief(A.detect_invoices(plain_tables(spark, d)))
 
 
 @query("a8_detect_vendors", f"{SPIKE}, {RATE} {A5_VENDOR} UNION ALL {A6}")
@@ -111,16 +112,32 @@ al AS ({A7}), mine AS (SELECT * FROM al WHERE CASE WHEN anomaly_type = 'DUPLICAT
 
 @query("a9_detect_exceptions", f"{NORM}, {SPIKE}, {RATE}, {_SCOPE} SELECT * FROM mine UNION ALL SELECT * FROM ({A5_VENDOR} UNION ALL {A6}) WHERE vendor_id IN (SELECT vendor_id FROM vs) AND fingerprint NOT IN (SELECT fingerprint FROM mine)")
 def a9(spark, d):
-    exceptions = X.exceptions(spark, d)
-    return brief(A.detect_exceptions(exceptions.where("status = 'OPEN'"), tables(spark, d), exceptions, AS_OF))
+    exceptions = written(X.exceptions(spark, d))
+    return brief(A.detect_exceptions(exceptions.where("status = 'OPEN'"), plain_tables(spark, d), exceptions, AS_OF))
 
 
 @query("a10_full_scan", f"{NORM}, {SPIKE}, {RATE} SELECT * FROM ({A7}) WHERE invoice_id::BIGINT > 1000 UNION ALL SELECT * FROM ({A5_VENDOR} UNION ALL {A6}) WHERE vendor_id::BIGINT > 100")
 def a10(spark, d):
-    rows, _ = A.full_scan(tables(spark, d), X.exceptions(spark, d), AS_OF, after_invoice=1000, after_vendor=100)
+    rows, _ = A.full_scan(plain_tables(spark, d), written(X.exceptions(spark, d)), AS_OF, after_invoice=1000, after_vendor=100)
     return brief(rows)
 
 
+@query("a10_scan_in_parts", f"{NORM}, {SPIKE}, {RATE} {A7} UNION ALL {A5_VENDOR} UNION ALL {A6}")
+def a10_parts(spark, d):
+    """A scan of everything in three parts, each after the last one's checkpoint; the parts share their baselines."""
+    t, exceptions = plain_tables(spark, d), written(X.exceptions(spark, d))
+    base = A.Baselines.of(t.inv)
+    batch = max(1, -(-max(t.inv.count(), base.sums.count()) // 3))
+    parts, at = [], (None, None)
+    while True:
+        rows, counts = A.full_scan(t, exceptions, AS_OF, *at, batch=batch, baselines=base)
+        done = counts.first()
+        if not done["invoices"] and not done["vendors"]:
+            return brief(functools.reduce(DataFrame.unionByName, [*parts, rows]))
+        parts.append(rows)
+        at = tuple(new if new is not None else old for new, old in zip((done["last_invoice"], done["last_vendor"]), at))
+
+
 @query("a11_signals_page", "SELECT signal_id, anomaly_type, severity, detected_at FROM signals WHERE severity IN ('HIGH', 'CRITICAL') ORDER BY detected_at DESC, signal_id DESC LIMIT 100")
 def a11(spark, d):
     page, _ = A.list_signals_page(X.signals(spark, d), 100, high_or_critical=True)
