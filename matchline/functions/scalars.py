@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import datetime
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -241,8 +243,13 @@ def cosine_distance(a: Col, b: Col) -> Column:
 
 
 def encode_cursor(ts: Col, key: Col) -> Column:
-    """URL-safe base64 of 'instant|key'."""
-    raw = F.concat_ws("|", F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss+00:00"), _c(key).cast("string"))
+    """URL-safe base64 of 'instant|key'; the instant in UTC to the microsecond, whatever the session's time zone."""
+    micros = F.unix_micros(_c(ts))
+    second, rest = F.floor(micros / 1_000_000).cast("long"), F.pmod(micros, F.lit(1_000_000))
+    day = F.date_add(F.lit(datetime.date(1970, 1, 1)), F.floor(second / 86400).cast("int")).cast("string")
+    of_day = F.pmod(second, F.lit(86400))
+    clock = F.format_string("T%02d:%02d:%02d", F.floor(of_day / 3600), F.floor(of_day / 60) % 60, of_day % 60)
+    raw = F.concat_ws("|", F.concat(day, clock, F.when(rest > 0, F.format_string(".%06d", rest)).otherwise(""), F.lit("+00:00")), _c(key).cast("string"))
     return F.translate(F.base64(F.encode(raw, "utf-8")), "+/", "-_")
 
 
@@ -252,6 +259,15 @@ def decode_cursor(c: Col) -> Column:
     return F.struct(F.to_timestamp(F.substring_index(raw, "|", 1)).alias("ts"), F.substring_index(raw, "|", -1).alias("key"))
 
 
+def cursor_values(cursor: str) -> tuple[datetime.datetime, int]:
+    """The instant and the key of a cursor; ValueError where it is none."""
+    try:
+        ts, key = base64.urlsafe_b64decode(cursor.encode("ascii")).decode().split("|", 1)
+        return datetime.datetime.fromisoformat(ts), int(key)
+    except ValueError as e:
+        raise ValueError("not a cursor") from e
+
+
 def explain_signal(kind: Col, evidence: Col) -> tuple[Column, Column]:
     """Title and sentence of a signal from its type and evidence map. The wording is fixed."""
     t, e = _c(kind), lambda k: F.coalesce(F.element_at(_c(evidence), k), F.lit("None"))

@@ -125,7 +125,8 @@ def stacked_rows(df: DataFrame, text: str) -> DataFrame:
 SECTION = "struct<section_id:string,section_title:string,blocks:array<string>>"
 
 
-def _stripped(c: Column) -> Column:
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
@@ -145,14 +146,14 @@ def markdown_sections(text: Column | str) -> Column:
     own = F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\r\n?", "\n")
     parts = F.split(own, r"(?m)(?=^#{1,6}[^\S\n]+[^\n])")
     is_head = lambda p: p.rlike(r"^#{1,6}[^\S\n]+[^\n]")
-    title = lambda p: _stripped(F.regexp_extract(p, r"^#{1,6}[^\S\n]+([^\n]+)", 1))
+    title = lambda p: stripped(F.regexp_extract(p, r"^#{1,6}[^\S\n]+([^\n]+)", 1))
     body = lambda p: F.when(is_head(p), F.regexp_replace(p, r"^[^\n]*\n?", "")).otherwise(p)
-    tidy = lambda b: _stripped(F.regexp_replace(b, r"(?mU)[^\S\n]+$", ""))
+    tidy = lambda b: stripped(F.regexp_replace(b, r"(?mU)[^\S\n]+$", ""))
     blocks = lambda p: F.filter(F.transform(F.split(body(p), r"(?U)\n(?:[^\S\n]*\n)+"), tidy), lambda b: b != "")
     section = lambda p: F.struct(F.when(is_head(p), section_id(title(p))).otherwise("preamble").alias("section_id"), F.when(is_head(p), title(p)).otherwise("Preamble").alias("section_title"), blocks(p).alias("blocks"))
     found = F.filter(F.transform(parts, section), lambda s: F.size(s["blocks"]) > 0).cast(f"array<{SECTION}>")
-    bare = F.struct(F.lit("body").alias("section_id"), F.lit(None).cast("string").alias("section_title"), F.array(_stripped(own)).alias("blocks"))
-    return F.when(F.size(found) > 0, found).when(_stripped(own) != "", F.array(bare).cast(f"array<{SECTION}>")).otherwise(F.array().cast(f"array<{SECTION}>"))
+    bare = F.struct(F.lit("body").alias("section_id"), F.lit(None).cast("string").alias("section_title"), F.array(stripped(own)).alias("blocks"))
+    return F.when(F.size(found) > 0, found).when(stripped(own) != "", F.array(bare).cast(f"array<{SECTION}>")).otherwise(F.array().cast(f"array<{SECTION}>"))
 
 
 def _pieces(block: Column, most: int) -> Column:

@@ -211,12 +211,13 @@ def full_scan(t: Tables, exceptions: DataFrame, as_of: datetime.date, after_invo
     return rows, counts
 
 
-def list_signals_page(signals: DataFrame, limit: int = 50, cursor: tuple | None = None, **filters) -> tuple[DataFrame, DataFrame]:
+def list_signals_page(signals: DataFrame, limit: int = 50, cursor: str | tuple | None = None, **filters) -> tuple[DataFrame, DataFrame]:
     """A page by (detected_at, signal_id) descending, and its next cursor (a row, none at the end).
 
     filters: anomaly_type, severity, vendor_id, invoice_id, po_id; high_or_critical; since, until (instants). cursor:
-    (detected_at, signal_id) of the last row before. limit: 1 to 500.
+    that of the page before, or (detected_at, signal_id) of its last row. limit: 1 to 500.
     """
+    cursor = S.cursor_values(cursor) if isinstance(cursor, str) else cursor
     if not 1 <= limit <= 500:
         raise ValueError("limit must be from 1 to 500")
     own = signals

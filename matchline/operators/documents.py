@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,7 +72,7 @@ def stacked_lines() -> Column:
 
 def text_lines() -> Column:
     """`description quantity price` on one text line; the line's number is its place in the text."""
-    lines = F.transform(F.split(F.coalesce("full_text", F.lit("")), r"\r\n|\n|\r"), lambda x, i: F.struct(F.trim(x).alias("x"), (i + 1).alias("i")))
+    lines = F.transform(F.split(F.coalesce("full_text", F.lit("")), r"\r\n|\n|\r"), lambda x, i: F.struct(T.stripped(x).alias("x"), (i + 1).alias("i")))
     hits = F.filter(lines, lambda s: ~s["x"].rlike(LINE_HEADER) & s["x"].rlike(TEXT_LINE))
     part = lambda s, k: F.regexp_extract(s["x"], TEXT_LINE, k)
     return F.transform(hits, lambda s: _line(line_number=s["i"], description=part(s, 1), quantity=part(s, 2), unit_price=part(s, 3), method=F.lit("line_regex"), confidence=F.lit("MEDIUM")))
@@ -140,32 +141,71 @@ def route_reviews(understood: DataFrame, tasks: DataFrame) -> DataFrame:
     return understood.where("outcome = 'REVIEW_REQUIRED'").join(tasks.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.when(high, "HIGH").otherwise("MEDIUM").alias("priority"), F.lit("PENDING").alias("status"), reason.alias("reason"))
 
 
+#: Fields that can be corrected, by kind. Fixed values.
+TEXT_FIELDS = ("invoice_number", "po_number", "grn_number", "vendor_name", "currency", "description", "reference")
+BUSINESS_FIELDS = ("invoice_number", "po_number", "grn_number", "vendor_name")
+POSITIVE_FIELDS, AMOUNT_FIELDS = ("quantity",), ("unit_price", "tax_rate", "subtotal", "tax_amount", "total_amount")
+HEAD_FIELDS = ("invoice_number", "po_number", "grn_number", "vendor_name", "currency", "subtotal", "tax_amount", "total_amount", "doc_date")
+LINE_FIELDS = ("line_number", "description", "quantity", "unit_price", "tax_rate", "reference")
+
+
+def judge_corrections(candidates: DataFrame, corrections: DataFrame) -> DataFrame:
+    """corrections(doc_id, seq, field_path, value) with path (as fields are named here), clean (the value to set) and reason.
+
+    reason is null where the correction holds. A document must have a candidate and the field, a line must exist.
+    Quantities are positive, amounts and rates not negative, dates ISO, line numbers 1 or more, texts not empty, currencies
+    of three letters. A null value clears its field.
+    """
+    known = candidates.select(F.col("doc_id"), F.col("detected_type").alias("_type"), F.size("lines").alias("_n"))
+    own = corrections.join(known, "doc_id", "left")
+    index = F.regexp_extract("field_path", r"^lines\[(\d+)\]\.\w+$", 1)
+    name = F.regexp_replace("field_path", r"^lines\[\d+\]\.", "")
+    dated = functools.reduce(lambda c, k: c | ((F.col("_type") == k) & (name == DATE_OF[k])), DATE_OF, F.lit(False))
+    own = own.withColumns({"_index": F.when(index != "", index.try_cast("int")), "_inside": index != "", "_name": F.when(dated, "doc_date").otherwise(name), "_v": T.stripped(F.col("value"))})
+    n, v, inside = F.col("_name"), F.col("_v"), F.col("_inside")
+    number = F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), v).try_cast(S.NUMBER)
+    whole = F.when(v.rlike(r"^[+-]?\d+$"), v).try_cast("int")
+    day = F.coalesce(F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(v, "yyyy-MM-dd")), F.when(v.rlike(r"^\d{8}$"), F.try_to_date(v, "yyyyMMdd")))
+    text = F.when(n.isin(*BUSINESS_FIELDS), S.normalize_business_value(v)).otherwise(v)
+    clean = (
+        F.when(n.isin(*POSITIVE_FIELDS, *AMOUNT_FIELDS), number.cast("string")).when(n == "line_number", whole.cast("string")).when(n == "doc_date", day.cast("string")).otherwise(text)
+    )
+    is_number, empty = n.isin(*POSITIVE_FIELDS, *AMOUNT_FIELDS), F.coalesce(clean, F.lit("")) == ""
+    reason = (
+        F.when(F.col("_type").isNull() | (F.col("_type") == "UNKNOWN"), "no candidate")
+        .when(inside & ~n.isin(*LINE_FIELDS) | ~inside & ~n.isin(*HEAD_FIELDS), "unknown field")
+        .when(inside & (F.col("_index").isNull() | (F.col("_index") >= F.col("_n"))), "no such line")
+        .when(F.col("value").isNull(), None)
+        .when(is_number & number.isNull(), "not a number").when(n.isin(*POSITIVE_FIELDS) & (number <= 0), "not positive").when(n.isin(*AMOUNT_FIELDS) & (number < 0), "negative")
+        .when((n == "doc_date") & day.isNull(), "not an ISO date").when((n == "line_number") & (whole.isNull() | (whole < 1)), "not a line number")
+        .when(n.isin(*TEXT_FIELDS) & empty, "empty").when((n == "currency") & (F.length(v) != 3), "not three letters")
+    )
+    path = F.when(inside, F.concat(F.lit("lines["), F.col("_index").cast("string"), F.lit("]."), n)).otherwise(n)
+    judged = own.withColumns({"path": path, "clean": clean, "reason": reason})
+    return judged.select(*corrections.columns, "path", "clean", "reason")
+
+
 def apply_corrections(candidates: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """corrections(doc_id, seq, field_path, value) on header fields and `lines[i].field`; the last per path counts.
+    """corrections(doc_id, seq, field_path, value) on header fields and `lines[i].field`; the last that holds per path counts.
 
-    Returns the corrected candidates, to be validated again, and rejected corrections (unknown path or bad value).
+    Returns the corrected candidates, to be validated again, and the rejected corrections with a reason.
     """
-    last = Window.partitionBy("doc_id", "field_path").orderBy(F.desc("seq"))
-    own = corrections.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-    texts, money = ("invoice_number", "po_number", "grn_number", "vendor_name", "currency"), ("subtotal", "tax_amount", "total_amount")
-    path = F.col("field_path")
-    own = own.withColumns({"index": F.regexp_extract(path, r"^lines\[(\d+)\]\.", 1).try_cast("int"), "name": F.regexp_replace(path, r"^lines\[\d+\]\.", "")})
-    number = S.normalize_money("value")
-    line_ok = F.col("index").isNotNull() & ((F.col("name").isin("quantity", "unit_price", "tax_rate") & number.isNotNull()) | (F.col("name") == "description"))
-    head_ok = F.col("index").isNull() & (F.col("name").isin(*texts) | (F.col("name").isin(*money) & number.isNotNull()) | ((F.col("name") == "doc_date") & S.normalize_date("value").isNotNull()))
-    judged = own.withColumn("ok", line_ok | head_ok)
-    maps = judged.where("ok").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "value"))).alias("_fix"))  # one entry per corrected path
+    judged = judge_corrections(candidates, corrections)
+    last = judged.where("reason IS NULL").groupBy("doc_id", "path").agg(F.max_by(F.struct("clean"), F.col("seq")).alias("v"))
+    maps = last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("path"), F.col("v.clean")))).alias("_fix"))  # one entry per corrected path
     joined = candidates.join(maps, "doc_id", "left").withColumn("_fix", F.coalesce("_fix", F.create_map().cast("map<string,string>")))
-    fix = lambda k: F.try_element_at("_fix", F.lit(k))
-    lines = F.transform(
-        "lines",
-        lambda x, i: x.withField("quantity", F.coalesce(S.normalize_quantity(F.try_element_at("_fix", F.concat(F.lit("lines["), i.cast("string"), F.lit("].quantity")))), x["quantity"]))
-        .withField("unit_price", F.coalesce(S.normalize_money(F.try_element_at("_fix", F.concat(F.lit("lines["), i.cast("string"), F.lit("].unit_price")))), x["unit_price"]))
-        .withField("tax_rate", F.coalesce(S.normalize_percentage(F.try_element_at("_fix", F.concat(F.lit("lines["), i.cast("string"), F.lit("].tax_rate")))), x["tax_rate"]))
-        .withField("description", F.coalesce(F.try_element_at("_fix", F.concat(F.lit("lines["), i.cast("string"), F.lit("].description"))), x["description"])),
-    )
-    fixed = joined.withColumns({**{k: F.coalesce(fix(k), F.col(k)) for k in texts}, **{k: F.coalesce(S.normalize_money(fix(k)), F.col(k)) for k in money}, "doc_date": F.coalesce(S.normalize_date(fix("doc_date")), F.col("doc_date")), "lines": lines})
-    return fixed.drop("_fix"), judged.where("NOT ok").select("doc_id", "field_path", "value")
+    kinds = {f.name: f.dataType for f in candidates.schema["lines"].dataType.elementType} | {f.name: f.dataType for f in candidates.schema}
+
+    def fixed(key: Column, old: Column, name: str) -> Column:
+        return F.when(F.map_contains_key("_fix", key), F.try_element_at("_fix", key).cast(kinds[name])).otherwise(old)
+
+    def line(x: Column, i: Column) -> Column:
+        for name in LINE_FIELDS:
+            x = x.withField(name, fixed(F.concat(F.lit("lines["), i.cast("string"), F.lit(f"].{name}")), x[name], name))
+        return x
+
+    out = joined.withColumns({**{k: fixed(F.lit(k), F.col(k), k) for k in HEAD_FIELDS}, "lines": F.transform("lines", line)})
+    return out.drop("_fix"), judged.where("reason IS NOT NULL").drop("path", "clean")
 
 
 def promotable(understood: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -46,7 +46,11 @@ def anomaly_summary(signals: DataFrame) -> DataFrame:
 
 
 def vendor_anomaly_summary(signals: DataFrame, as_of: datetime.date, recent_days: int = 30) -> DataFrame:
-    """Per vendor totals, counts by type and severity, recent count, affected invoices and orders, latest mismatch rate."""
+    """Per vendor totals, counts by type and severity, recent count, affected invoices and orders, and exception_rate.
+
+    exception_rate is what the evidence (a map) of the vendor's latest REPEATED_MISMATCH states; null without one.
+    """
+    latest = F.when(F.col("anomaly_type") == "REPEATED_MISMATCH", F.struct("detected_at", "signal_id"))
     recent = F.col("detected_at") >= F.lit(as_of - datetime.timedelta(days=recent_days)).cast("timestamp")
     kinds = ("PRICE_VARIANCE", "QUANTITY_VARIANCE", "DUPLICATE_INVOICE", "TIMING_ANOMALY", "VENDOR_SPIKE", "REPEATED_MISMATCH")
     return signals.where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(
@@ -56,7 +60,7 @@ def vendor_anomaly_summary(signals: DataFrame, as_of: datetime.date, recent_days
         F.count_if(recent).alias("recent"),
         F.count_distinct("invoice_id").alias("invoices"),
         F.count_distinct("po_id").alias("orders"),
-        F.max_by("signal_id", F.when(F.col("anomaly_type") == "REPEATED_MISMATCH", F.struct("detected_at", "signal_id"))).alias("latest_mismatch"),
+        F.max_by(F.try_element_at("evidence", F.lit("exception_rate")), latest).cast("decimal(18,4)").alias("exception_rate"),
     )
 
 

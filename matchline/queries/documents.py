@@ -59,15 +59,14 @@ def _lines_sql(variants: str) -> str:
     return f"{_T} SELECT doc_id, n AS n_lines FROM t WHERE v IN ({variants})"
 
 
-@query("d4_stacked_lines", _lines_sql("4"))
+@query("d4_stacked_lines", f"{_T} SELECT doc_id, CASE WHEN v = 4 THEN n ELSE 0 END AS n_lines FROM t")
 def d4(spark, d):
-    read = D.labelled_fields(texts(spark, d)).where("variant = 4")
-    return read.select("doc_id", F.size(D.stacked_lines()).cast("long").alias("n_lines"))
+    return D.labelled_fields(texts(spark, d)).select("doc_id", F.size(D.stacked_lines()).cast("long").alias("n_lines"))
 
 
-@query("d5_text_lines", _lines_sql("0, 1"))
+@query("d5_text_lines", f"{_T} SELECT doc_id, CASE WHEN v < 4 THEN n ELSE 0 END AS n_lines FROM t")
 def d5(spark, d):
-    return texts(spark, d).where("variant IN (0, 1)").select("doc_id", F.size(D.text_lines()).cast("long").alias("n_lines"))
+    return texts(spark, d).select("doc_id", F.size(D.text_lines()).cast("long").alias("n_lines"))
 
 
 @query("d6_build_candidates", f"{_T} SELECT doc_id, CASE WHEN v IN (0, 4) THEN number END AS invoice_number, CASE WHEN v <> 5 THEN invoice_date END AS doc_date, CASE WHEN v = 5 THEN 0 ELSE n END AS n_lines, round(CASE WHEN v = 5 THEN 0 ELSE coalesce(q, 0) END, 2) AS quantity FROM t LEFT JOIN (SELECT invoice_id, sum(quantity::DECIMAL(18,2))::DOUBLE AS q FROM inv_line GROUP BY 1) s ON s.invoice_id = doc_id")
@@ -95,12 +94,30 @@ def d9(spark, d):
     return D.route_reviews(D.understand(docs), docs.where("doc_id % 20 = 0")).select("doc_id", "priority")
 
 
-@query("d10_apply_corrections", f"{_T} SELECT doc_id, 'FIX-' || doc_id AS invoice_number, 'READY_FOR_RECONCILIATION' AS outcome FROM t WHERE v IN (1, 2) AND n > 0")
+#: Corrections of every document, in order; what holds and what doesn't is in the SQL below.
+_CHANGES = (
+    ("invoice_number", "first"), ("invoice_number", None), ("total_amount", "not a number"), ("lines[0].quantity", "5"), ("lines[0].quantity", "-5"), ("currency", "EURO!"), ("vendor_name", "  "), ("total_amount", "(7)"),
+    ("doc_date", "31/01/24"), ("lines[99].quantity", "1"), ("lines[0].reference", "R1"), ("lines[0].line_number", "0"), ("tax_amount", "12.50"), ("tax_amount", ""), ("colour", "red"), ("invoice_date", "2024-02-29"),
+)
+
+
+@query(
+    "d10_apply_corrections",
+    f"""{_T} SELECT doc_id, CASE WHEN v <> 5 THEN 'FIX-' || doc_id END AS invoice_number, CASE WHEN v <> 5 THEN DATE '2024-02-29' END AS doc_date, CASE WHEN v <> 5 THEN 12.5 END::DOUBLE AS tax_amount,
+    CASE WHEN v <> 5 AND n > 0 THEN 5 END::DOUBLE AS quantity, CASE WHEN v <> 5 AND n > 0 THEN 'R1' END AS reference,
+    CASE WHEN v IN (3, 5) THEN 'REVIEW_REQUIRED' WHEN n = 0 THEN 'VALIDATION_FAILED' ELSE 'READY_FOR_RECONCILIATION' END AS outcome,
+    CASE WHEN v = 5 THEN '1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16' WHEN n = 0 THEN '3,4,5,6,7,8,9,10,11,12,14,15' ELSE '3,5,6,7,8,9,10,12,14,15' END AS rejected FROM t""",
+)
 def d10(spark, d):
-    docs = read(spark, d).where("variant IN (1, 2) AND n_items > 0")
-    changes = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(s).alias("seq"), F.lit(p).alias("field_path"), v.alias("value")) for s, p, v in ((1, "invoice_number", F.lit("first")), (2, "invoice_number", F.concat(F.lit("FIX-"), F.col("doc_id").cast("string"))), (3, "total_amount", F.lit("not a number")), (4, "lines[0].quantity", F.lit("5")))))).alias("e")).select("doc_id", "e.*")
-    fixed, _ = D.apply_corrections(D.understand(docs).drop("issues", "is_valid", "requires_review", "outcome"), changes)
-    return D.outcome(D.validate_candidates(fixed)).select("doc_id", "invoice_number", "outcome")
+    docs = read(spark, d)
+    value = lambda v: F.concat(F.lit("FIX-"), F.col("doc_id").cast("string")) if v is None else F.lit(v)
+    changes = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(p).alias("field_path"), value(v).alias("value")) for i, (p, v) in enumerate(_CHANGES, 1)))).alias("e")).select("doc_id", "e.*")
+    understood = written(D.understand(docs).drop("issues", "is_valid", "requires_review", "outcome"))
+    fixed, rejected = D.apply_corrections(understood, changes)
+    refused = rejected.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("seq")), lambda x: x.cast("string")), ",").alias("rejected"))
+    first = F.get("lines", F.lit(0))
+    own = D.outcome(D.validate_candidates(fixed)).join(refused, "doc_id", "left")
+    return own.select("doc_id", "invoice_number", "doc_date", F.col("tax_amount").cast("double").alias("tax_amount"), first["quantity"].cast("double").alias("quantity"), first["reference"].alias("reference"), "outcome", "rejected")
 
 
 @query("d11_promotable", f"{_T} SELECT doc_id FROM t WHERE v IN (0, 4) AND n > 0 AND doc_id % 4 = 0")

@@ -96,9 +96,11 @@ def w1(spark, d):
 _COUNTS = ", ".join([*(f"count(*) FILTER (anomaly_type = '{k}') AS n_{k.lower()}" for k in KINDS), *(f"count(*) FILTER (severity = '{s}') AS n_{s.lower()}" for s in LEVELS)])
 
 
-@query("w2_vendor_anomaly_summary", f"SELECT vendor_id, count(*) AS total, {_COUNTS}, count(*) FILTER (detected_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS recent, count(DISTINCT invoice_id) AS invoices, count(DISTINCT po_id) AS orders, (max((detected_at, signal_id)) FILTER (anomaly_type = 'REPEATED_MISMATCH'))[2]::VARCHAR AS latest_mismatch FROM signals GROUP BY 1")
+@query("w2_vendor_anomaly_summary", f"SELECT vendor_id, count(*) AS total, {_COUNTS}, count(*) FILTER (detected_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS recent, count(DISTINCT invoice_id) AS invoices, count(DISTINCT po_id) AS orders, ((max((detected_at, signal_id)) FILTER (anomaly_type = 'REPEATED_MISMATCH'))[2] % 100 / 100)::DOUBLE AS exception_rate FROM signals GROUP BY 1")
 def w2(spark, d):
-    return W.vendor_anomaly_summary(X.signals(spark, d), AS_OF).withColumn("latest_mismatch", F.col("latest_mismatch").cast("string"))
+    rate = F.format_string("0.%02d", F.col("signal_id") % 100)
+    signals = X.signals(spark, d).withColumn("evidence", F.create_map(F.lit("exception_rate"), rate))
+    return W.vendor_anomaly_summary(signals, AS_OF).withColumn("exception_rate", F.col("exception_rate").cast("double"))
 
 
 def _trend(name: str, period: str, label: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -144,6 +144,17 @@ def a11(spark, d):
     return page.select("signal_id", "anomaly_type", "severity", "detected_at")
 
 
+@query("a11_two_pages", "SELECT signal_id, anomaly_type, severity FROM signals ORDER BY date_trunc('month', detected_at) DESC, signal_id DESC LIMIT 120")
+def a11_pages(spark, d):
+    """Signals of a month share one second and differ by microseconds; the second page follows the first one's cursor."""
+    month = F.unix_micros(F.date_trunc("month", "detected_at"))
+    own = written(X.signals(spark, d).withColumn("detected_at", F.timestamp_micros(month + F.rank().over(Window.partitionBy(F.date_trunc("month", "detected_at")).orderBy("signal_id")) % 1_000_000)))
+    first, following = A.list_signals_page(own, 60)
+    cursor = following.first()
+    pages = first if cursor is None else first.unionByName(A.list_signals_page(own, 60, cursor["cursor"])[0])
+    return pages.select("signal_id", "anomaly_type", "severity")
+
+
 @query("s6_append_new_signals", f"{NORM} SELECT * FROM ({A3}) WHERE invoice_id::BIGINT % 4 <> 0")
 def s6(spark, d):
     found = A.duplicate_invoice_signals(X.inv(spark, d))
