@@ -30,12 +30,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """docs with name: the doc_id, or a hash of the text where it is null."""
-    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("name"))
+    """docs with name: the doc_id, or where it is null a number from a hash of the text that no doc_id can be.
+
+    Ids leave room above the largest or below the least; hashes go to the larger room, above if they can: there, of alike
+    documents the one with an id has the least name.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    least, most = docs.agg(F.min(doc_id), F.max(doc_id)).first()
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    if most is not None:
+        above, below = min(2**63 - 1 - most, 2**63 - 1), min(least + 2**63, 2**63 - 1)
+        if not above and not below:
+            raise ValueError("doc_id takes up all 64-bit numbers")
+        own = most + 1 + F.pmod(own, F.lit(above)) if above >= below or above >= 2**62 else least - 1 - F.pmod(own, F.lit(below))
+    return docs.select(*COLUMNS, F.coalesce(doc_id, own).alias("name"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; rows without an id go by a hash of their text.
+    """The document with the least id of each class; a row without an id goes by its text and yields to one with an id.
 
     Rows that share an id are one document and stay together, whatever their texts; rows alike in all columns become one.
     Texts without words are one class. Empty table: no rows.
@@ -47,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark; all rows of an id that holds one go. Rows without an id go by a hash of their text."""
+    """Documents without a passage of the benchmark; all rows of an id that holds one go. Rows without an id go by their text."""
     own = _named(docs)
     found = decontamination.contaminated(own.select(F.col("name").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return own.join(found.select(F.col("doc_id").alias("name")).distinct(), "name", "left_anti").select(*COLUMNS)
