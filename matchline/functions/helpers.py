@@ -1,22 +1,13 @@
-"""Vectorised helpers for what built-in expressions can't say: hashed embeddings, blocks of nearest vectors, JSON cleaning.
-
-Each is one Arrow batch in, one out; Spark partitions and shuffles the rows.
-"""
+"""Hashed embeddings by built-in functions, and JSON cleaning, which those can't say."""
 
 from __future__ import annotations
 
-import hashlib
 import json
-import re
-from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from .scalars import SENSITIVE
 
@@ -47,75 +38,38 @@ def sanitize_json(c: Column | str) -> Column:
     return F.pandas_udf(clean, "string")(c)
 
 
-_TOKEN = re.compile(r"[a-z0-9]+")
-
+_TOKEN = "[a-z0-9]+"
 
-def embed(text: str, dim: int, seen: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Hashed bag of tokens, four signed places each, scaled to length 1; without tokens the digest's bytes.
 
-    Which bytes of a digest give places and signs is a fixed value: stored vectors depend on it.
-    """
-    out = np.zeros(dim)
-    tokens = _TOKEN.findall(text.lower())
-    for token in tokens:
-        if token not in seen:
-            digest = hashlib.sha256(token.encode()).digest()
-            seen[token] = (np.frombuffer(digest[:8], ">u2").astype(int) % dim, np.where(np.frombuffer(digest[8:12], np.uint8) % 2 == 0, 1.0, -1.0))
-        np.add.at(out, *seen[token])
-    if not tokens:
-        digest = np.frombuffer(hashlib.sha256(text.encode()).digest(), np.uint8)
-        np.add.at(out, np.arange(len(digest)) % dim, digest / 255.0 - 0.5)
-    norm = np.sqrt((out**2).sum())
-    return out / norm if norm else out
+def _number_at(hex_digits: Column | str, at: Column | int, n: int) -> Column:
+    """n bytes of a hex string from byte `at` on, as a number."""
+    return F.conv(F.substring(hex_digits, F.lit(at) * 2 + 1, F.lit(2 * n)), 16, 10).cast("int")
 
 
-def embed_batch(df: DataFrame, text: str, dim: int = 768) -> DataFrame:
-    """Df with vector (array<float>), the hashed embedding of a text column (null as empty)."""
-    on_workers(df.sparkSession)
-    schema = StructType([*df.schema.fields, StructField("vector", ArrayType(FloatType()))])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
-        for batch in batches:
-            if len(seen) > 200_000:
-                seen.clear()
-            rows = np.array([embed(t or "", dim, seen) for t in batch.column(text).to_pylist()], np.float32).reshape(batch.num_rows, dim)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim), pa.array(rows.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "vector"])
-
-    return df.mapInArrow(add, schema)
+def embeddings(texts: DataFrame, dim: int = 768) -> DataFrame:
+    """P5: texts(key, text; distinct, not null) -> key, vector (array<float>): hashed bags of tokens, of length 1.
 
+    Each token adds a sign at four places; a text without tokens has its own digest's bytes. Which bytes of a digest
+    give places and signs is a fixed value: stored vectors depend on it. A text's tokens are counted, and its places
+    summed, before they leave a task; no more than dim sums a text are gathered.
+    """
+    entry = lambda place, value: F.struct(F.pmod(place, F.lit(dim)).cast("int").alias("place"), value.cast("double").alias("v"))
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), 0)
+    counted = texts.select("key", F.explode(tokens).alias("token")).groupBy("key", "token").agg(F.count("*").alias("n"))
+    hashed = counted.select("key", "n", F.sha2("token", 256).alias("h"))
+    signed = hashed.select("key", F.explode(F.array(*(entry(_number_at("h", 2 * j, 2), F.col("n") * (1 - 2 * (_number_at("h", 8 + j, 1) % 2))) for j in range(4)))).alias("e"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: entry(i, _number_at(F.sha2("text", 256), i, 1) / 255.0 - 0.5))
+    zeros = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: entry(i, F.lit(0)))
+    filled = texts.select("key", F.explode(F.when(F.lower("text").rlike(_TOKEN), zeros).otherwise(F.concat(zeros, own))).alias("e"))
+    sums = signed.unionByName(filled).groupBy("key", "e.place").agg(F.sum("e.v").alias("v"))
+    rows = sums.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda e: e["v"]).alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("key", F.transform("raw", lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float")).alias("vector"))
 
-def topk_block(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """chunks(chunk_id, chunk_index, vector) -> query_id, chunk_id, chunk_index, distance: each partition's k nearest.
 
-    queries are one block of a stated query set; distances of a batch to all of them are one matrix product, and a
-    partition keeps k rows per query.
-    """
-    on_workers(chunks.sparkSession)
-    ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], float).reshape(len(queries), -1)
-    matrix = matrix / np.maximum(np.sqrt((matrix**2).sum(axis=1, keepdims=True)), 1e-300)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            rows = np.array(batch.column("vector").to_pylist(), float).reshape(batch.num_rows, -1)
-            rows = rows / np.maximum(np.sqrt((rows**2).sum(axis=1, keepdims=True)), 1e-300)
-            distance = 1 - np.clip(matrix @ rows.T, -1, 1)
-            most = min(k, batch.num_rows)
-            chunk, index = np.asarray(batch.column("chunk_id")), np.asarray(batch.column("chunk_index"))
-            # All rows as near as the k-th stay, so ties are cut by index and id only.
-            edge = np.partition(distance, most - 1, axis=1)[:, most - 1 : most]
-            q, r = np.nonzero(distance <= edge)
-            frame = pd.DataFrame({"query_id": ids[q], "chunk_id": chunk[r], "chunk_index": index[r], "distance": distance[q, r]})
-            held = frame if held is None else pd.concat([held, frame])
-            held = held.sort_values(["query_id", "distance", "chunk_index", "chunk_id"]).groupby("query_id").head(k)
-        if held is not None:
-            yield pa.RecordBatch.from_pandas(held, preserve_index=False)
-
-    return chunks.select("chunk_id", "chunk_index", "vector").mapInArrow(nearest, "query_id long, chunk_id long, chunk_index long, distance double")
+def embed_batch(df: DataFrame, text: str, dim: int = 768) -> DataFrame:
+    """Df with vector (array<float>), the hashed embedding of a text column (null as empty); equal texts are embedded once."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    own = df.withColumn("_key", F.sha2(whole, 256))
+    vectors = embeddings(own.select(F.col("_key").alias("key"), whole.alias("text")).distinct(), dim)
+    return own.join(vectors, F.col("_key") == F.col("key")).drop("_key", "key")

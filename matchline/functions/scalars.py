@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import datetime
+import functools
+import sys
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -36,9 +38,26 @@ def fenced(c: Col) -> Column:
     return F.when(F.spark_partition_id() >= 0, _c(c))
 
 
+@functools.cache
+def _case_folds() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one other, what they fold to, and those that fold to several, by Python's own table."""
+    folds = {c: f for c in map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))) if (f := c.casefold()) != c}
+    single = [c for c, f in folds.items() if len(f) == 1]
+    return "".join(single), "".join(folds[c] for c in single), {c: f for c, f in folds.items() if len(f) > 1}
+
+
+def casefold(c: Col) -> Column:
+    """U4: full case folding: like lower case, but `ß` is `ss` and final sigma is sigma. Built-in functions only."""
+    single, to, several = _case_folds()
+    own = F.translate(_c(c), single, to)
+    pieces = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    spread = F.array_join(F.transform(F.split(own, ""), lambda x: F.coalesce(F.try_element_at(pieces, x), x)), "")
+    return F.when(own.rlike(f"[{''.join(several)}]"), spread).otherwise(own)
+
+
 def normalize_invoice_number(c: Col) -> Column:
-    """Trimmed, lower case, runs of blanks and underscores as one dash, no dashes at the ends."""
-    joined = F.regexp_replace(F.lower(F.trim(_c(c))), r"[\s_]+", "-")
+    """Trimmed, case folded, runs of blanks and underscores as one dash, no dashes at the ends."""
+    joined = F.regexp_replace(casefold(F.trim(_c(c))), r"[\s_]+", "-")
     return F.regexp_replace(F.regexp_replace(joined, "-{2,}", "-"), "^-+|-+$", "")
 
 

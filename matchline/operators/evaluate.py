@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.stored import written
 
 #: Fields and how they compare. Fixed values.
 NUMBERS = ("quantity", "unit_price", "tax_rate", "line_total", "subtotal", "tax_amount", "total_amount")
@@ -13,20 +14,56 @@ DATES = ("invoice_date", "order_date", "receipt_date")
 TOLERANCE = 0.01
 
 
+#: A run of letters and digits. Where a marker has one with other characters on both sides, a text that contains the
+#: marker has the same run as a whole token.
+TOKEN = r"[\p{L}\p{N}]+"
+_INNER = r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"
+#: Characters of a piece of a token, at most.
+GRAM = 3
+
+
 def expected_chunks(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     """cases(case_id, section_ids, markers), chunks(chunk_id, section_id, content) -> expected (case_id, chunk_id).
 
-    A chunk is expected if its section is named, or if it holds all markers (case folded). Cases are a bounded golden
-    set, so they meet chunks by broadcast.
+    A chunk is expected if its section is named, or if it holds all markers (lower case). Markers are looked up in an
+    inverted index by the rarest of their tokens, and what it finds is confirmed by `contains`: no text meets a case with
+    which it shares no token. Markers whose tokens may be parts of longer ones are looked up by those (see `_whole_tokens`);
+    cases without any letter or digit can't be looked up and are compared with every chunk.
     """
     by_section = cases.select("case_id", F.explode("section_ids").alias("section_id")).join(chunks.select("chunk_id", "section_id"), "section_id").select("case_id", "chunk_id")
-    marked = cases.where(F.size("markers") > 0).select("case_id", "markers")
-    first = marked.withColumn("text", F.lower(F.col("markers")[0]))
-    holds = F.forall("markers", lambda m: F.contains(F.lower(F.col("content")), F.lower(m)))
-    by_marker = chunks.select("chunk_id", "content").join(F.broadcast(first), F.contains(F.lower(F.col("content")), F.col("text"))).where(holds).select("case_id", "chunk_id")
+    marked = cases.where(F.size("markers") > 0).select("case_id", F.transform("markers", lambda m: F.lower(m)).alias("markers"))
+    texts = chunks.select("chunk_id", F.lower("content").alias("content"))
+    every = lambda pattern: F.array_distinct(F.flatten(F.transform("markers", lambda m: F.regexp_extract_all(m, F.lit(pattern), 0))))
+    read = written(marked.select("case_id", "markers", every(_INNER).alias("inner"), every(TOKEN).alias("tokens")))
+    postings = texts.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(TOKEN), 0))).alias("token"))
+    exact = read.where(F.size("inner") > 0).select("case_id", F.explode("inner").alias("token"))
+    counts = postings.join(exact.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    # A token that no text has finds nothing, rightly; else the rarest has the fewest texts to confirm.
+    rarest = exact.join(counts, "token", "left").groupBy("case_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), F.col("token"))).alias("token"))
+    part = read.where((F.size("inner") == 0) & (F.size("tokens") > 0))
+    wanted = rarest if part.isEmpty() else rarest.unionByName(_whole_tokens(part, postings))
+    found = wanted.join(postings, "token").select("case_id", "chunk_id").distinct()
+    holds = F.forall("markers", lambda m: F.contains("content", m))
+    by_marker = found.join(read.select("case_id", "markers"), "case_id").join(texts, "chunk_id").where(holds).select("case_id", "chunk_id")
+    bare = read.where(F.size("tokens") == 0)
+    if not bare.isEmpty():
+        by_marker = by_marker.unionByName(bare.select("case_id", "markers").crossJoin(texts).where(holds).select("case_id", "chunk_id"))
     return by_section.unionByName(by_marker).distinct()
 
 
+def _whole_tokens(cases: DataFrame, postings: DataFrame) -> DataFrame:
+    """cases(case_id, tokens) -> case_id, token: the texts' tokens that contain the case's longest one.
+
+    Tokens meet by their pieces of GRAM characters, of the whole vocabulary and not of the texts.
+    """
+    part = cases.select("case_id", F.array_max(F.transform("tokens", lambda t: F.struct(F.length(t), t.alias("t"))))["t"].alias("part"))
+    part = part.withColumn("gram", F.substring("part", 1, GRAM))
+    words = postings.select("token").distinct()
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring("token", i, k))))
+    grams = words.select("token", F.explode(F.array_distinct(pieces)).alias("gram"))
+    return part.join(grams, "gram").where(F.contains("token", "part")).select("case_id", "token")
+
+
 def retrieval_scores(ranked: DataFrame, expected: DataFrame, cases: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """ranked(case_id, chunk_id, rank) -> hit and recall at each k and the reciprocal rank; null where nothing is expected."""
     total = expected.groupBy("case_id").agg(F.count("*").alias("n_expected"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import helpers as U
 from ..functions import texts as T
+from ..functions.nearest import nearest
 
 #: Evidence entries that a retrieval query names, in this order, and what each family adds. Fixed values.
 QUERY_KEYS = ("rule", "affected_field", "field", "expected_unit_price", "billed_unit_price", "expected_value", "actual_value", "percentage_variance", "absolute_variance", "tolerance", "price_tolerance_percent", "quantity_tolerance")
@@ -18,8 +17,6 @@ FAMILIES = (
     ("TAX", "tax rate discrepancy invoice purchase order tolerance"),
 )
 ANY_FAMILY = "procurement policy reconciliation exception approval"
-#: Queries that are multiplied with every partition at once.
-QUERY_BLOCK = 2000
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -74,23 +71,11 @@ def embed_versions(chunk_rows: DataFrame, model: str, dim: int) -> tuple[DataFra
     return marked.where("NOT _stale").drop("_stale").unionByName(fresh), counts
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
-    """A stated query set in blocks of at most size, by id."""
-    held = []
-    for row in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator():
-        held.append((row["query_id"], row["vector"]))
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def retrieve(queries: DataFrame, chunk_rows: DataFrame, k: int, model: str | None = None, dim: int | None = None, document: int | None = None, version: int | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunk_rows: DataFrame, k: int, model: str | None = None, dim: int | None = None, document: int | None = None, version: int | None = None, pivots: int | None = None) -> DataFrame:
     """queries(query_id, vector) -> query_id, rank, chunk_id, chunk_index, distance, similarity of the k nearest chunks.
 
-    Exact. Stale chunks and those of another model or length are left out; ties go by (chunk_index, chunk_id). Each
-    partition keeps k rows per query, so at most partitions x k rows per query are shuffled.
+    Exact, for any number of queries: they meet the chunks in blocks, and pivots spare blocks that hold none of the k
+    (functions.nearest). Stale chunks and those of another model or length are left out; ties go by (chunk_index, chunk_id).
     """
     own = chunk_rows
     if model is not None and dim is not None:
@@ -99,12 +84,7 @@ def retrieve(queries: DataFrame, chunk_rows: DataFrame, k: int, model: str | Non
         own = own.where(F.col("policy_document_id") == document)
     if version is not None:
         own = own.where(F.col("policy_version_id") == version)
-    found = None
-    for block in _blocks(queries, QUERY_BLOCK):
-        rows = U.topk_block(own, block, k)
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        found = U.topk_block(own, [], k)
+    found = nearest(queries, own, k, pivots)
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_index", "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("similarity", 1 - F.col("distance"))
 
