@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..operators import reads as W
 from ..operators import risk as K
 from ..sources import sinks
-from .base import query
+from .base import query, written
 
 AS_OF = datetime.date(2001, 6, 30)
 KINDS, LEVELS = X.SIGNAL_TYPES, X.SEVERITIES
@@ -103,6 +104,24 @@ def w2(spark, d):
     return W.vendor_anomaly_summary(signals, AS_OF).withColumn("exception_rate", F.col("exception_rate").cast("double"))
 
 
+@query(
+    "w1_sketched_summary",
+    f"""SELECT anomaly_type, count(*) AS n, count(DISTINCT vendor_id) AS vendors, count(DISTINCT invoice_id) AS invoices, count(DISTINCT po_id) AS orders, true AS close
+    FROM signals WHERE detected_at::DATE BETWEEN DATE '{AS_OF}' - 700 AND DATE '{AS_OF}' GROUP BY 1""",
+)
+def w1_sketched(spark, d):
+    """Exact counts, and whether those of the merged sketches of the same days lie within 4 standard errors (and 2 entities)."""
+    signals = written(X.signals(spark, d))
+    since = AS_OF - datetime.timedelta(days=700)
+    about = W.sketched_summary(written(W.daily_sketches(signals)), "anomaly_type", since=since, until=AS_OF)
+    own = signals.where(F.to_date("detected_at").between(F.lit(since), F.lit(AS_OF)))
+    exact = own.groupBy("anomaly_type").agg(F.count("*").alias("n"), *(F.count_distinct(c).alias(name) for c, name in W.ENTITIES.items()))
+    error = 4 * 1.04 / 2 ** (W.SKETCH_BITS / 2)
+    near = functools.reduce(Column.__and__, (F.abs(F.col(f"about.{x}") - F.col(f"exact.{x}")) <= error * F.col(f"exact.{x}") + 2 for x in W.ENTITIES.values()))
+    both = exact.alias("exact").join(about.alias("about"), "anomaly_type")
+    return both.select("anomaly_type", "exact.n", *(f"exact.{x}" for x in W.ENTITIES.values()), (near & (F.col("about.n") == F.col("exact.n"))).alias("close"))
+
+
 def _trend(name: str, period: str, label: str) -> None:
     @query(name, f"SELECT {label} AS period, count(*) AS n, count(*) FILTER (severity IN ('HIGH', 'CRITICAL')) AS n_severe FROM signals GROUP BY 1")
     def trend(spark, d):
