@@ -12,6 +12,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,13 @@ BLOCK_PAIRS = 1 << 22
 #: Vectors that are summed at once.
 FAN_IN = 32
 #: Distinct units whose alignment a Python worker keeps; beyond, it starts afresh.
-CACHED = 300_000
+CACHED = 800_000
 SLICE_BYTES = 2 << 20
 #: Place of the first tokenizer's id in a pair's key.
 SHIFT = 32
 
+#: White space before a space, in ASCII texts and in others.
+_ODD = {ascii_only: [c + " " for c in SPACE if not ascii_only or c.isascii()] for ascii_only in (True, False)}
 #: No token of either kind crosses a space that follows a character which isn't white space.
 _CUT = re.compile(f"(?<=[^{SPACE}]) (?=.)", re.DOTALL)
 
@@ -73,58 +76,91 @@ class Aligner:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
         self.turn = getattr(self, "turn", 0) + 1
+        self.place: dict[str, int] = {}
         self.valid = np.zeros(0, bool)
         #: per unit: tokens of A, of B, groups, links
-        self.sizes = np.zeros((0, 4), np.int64)
+        self.sizes = np.zeros((0, 4), np.int32)
+        #: groups of the first units as text, made when asked for; ids to make the others from
         self.shown: list[bytes] = []
-        #: keys of all links, in order of units
-        self.links, self.link_begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.later: list[tuple] = []
+        #: pairs seen (keys, ascending, and their numbers), and the number of each link's pair, in order of units
+        self.pair_keys, self.pair_numbers = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.links, self.link_begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def places(self, units: list[str]) -> np.ndarray:
         """The number of each unit; new ones are aligned first."""
-        fresh = [u for u in dict.fromkeys(units) if u not in self.place]
-        if fresh:
-            self._learn(fresh)
-        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        out = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
+        if len(new := np.flatnonzero(out < 0)):
+            named = [units[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(named)))
+            out[new] = np.fromiter(map(self.place.__getitem__, named), np.int64, len(named))
+        return out
 
     def _learn(self, units: list[str]) -> None:
+        raws = [b" " + u.encode() for u in units]
         ids_a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         ids_b = self.b.encode(units, num_threads=1)
-        raws = [b" " + u.encode() for u in units]
-        valid = np.array([b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for r, x, y in zip(raws, ids_a, ids_b)], bool)
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(own, valid.tolist())] for own in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(x) for x in own], np.int64) for own in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in own for i in x), np.int64, n.sum()) for own, n in ((ids_a, n_a), (ids_b, n_b)))
+        flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        whole, valid = b"".join(raws), np.ones(len(units), bool)
+        if not b"".join(map(self.bytes_a.__getitem__, flat_a)) == whole == b"".join(map(self.bytes_b.__getitem__, flat_b)):
+            valid = np.array([b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for r, x, y in zip(raws, ids_a, ids_b)], bool)
+            ids_a, ids_b = ([x if ok else [] for x, ok in zip(own, valid.tolist())] for own in (ids_a, ids_b))
+            flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        n_a, n_b = (np.fromiter(map(len, own), np.int64, len(units)) for own in (ids_a, ids_b))
+        a, b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])  # bytes of all valid units, one after another
-        both = np.intersect1d(end_a, end_b)
+        both = end_a[np.isin(end_a, end_b, assume_unique=True)]
         first, last = np.searchsorted(end_b, end_a - self.size_a[a], "right"), np.searchsorted(end_b, end_a, "left")
         count = last - first + 1
         token = np.repeat(np.arange(len(a)), count)
-        links = (a[token] << SHIFT) | b[first[token] + np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)]
+        keys = (a[token] << SHIFT) | b[first[token] + np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)]
         stop_a = np.cumsum(n_a)
         n_links = np.diff(np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], stop_a])])
-        group_a = np.searchsorted(both, end_a, "left")
+        group_a, group_b = np.searchsorted(both, end_a, "left"), np.searchsorted(both, end_b, "left")
         groups = np.diff(np.concatenate([[0], group_a + 1])[stop_a], prepend=0)  # a unit ends where tokens of both end
-        shown = self._shown(a, b, group_a, np.searchsorted(both, end_b, "left"), len(both))
-        at = np.cumsum(groups) - groups
-        self.shown += [b";".join(shown[i : i + n]) for i, n in zip(at.tolist(), groups.tolist())]
+        self.later.append((a.astype(np.int32), b.astype(np.int32), group_a.astype(np.int32), group_b.astype(np.int32), groups))
         self.place.update(zip(units, range(len(self.valid), len(self.valid) + len(units))))
         self.valid = np.concatenate([self.valid, valid])
-        self.sizes = np.concatenate([self.sizes, np.column_stack([n_a, n_b, groups, n_links])])
-        self.links = np.concatenate([self.links, links])
+        self.sizes = np.concatenate([self.sizes, np.column_stack([n_a, n_b, groups, n_links]).astype(np.int32)])
+        self.links = np.concatenate([self.links, self._numbered(keys)])
         self.link_begin = np.concatenate([self.link_begin, self.link_begin[-1] + np.cumsum(n_links)])
 
-    @staticmethod
-    def _shown(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n: int) -> list[bytes]:
-        """Each group as `a1,a2|b1`."""
-        sides = []
-        for ids, group in ((a, group_a), (b, group_b)):
-            edge = np.searchsorted(group, np.arange(n + 1)).tolist()
-            text = list(map(str, ids.tolist()))
-            sides.append([",".join(text[i:j]) for i, j in zip(edge, edge[1:])])
-        return [f"{x}|{y}".encode() for x, y in zip(*sides)]
+    def _numbered(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each pair; new pairs get the next ones."""
+        distinct = sorted_distinct(keys)
+        new = distinct[~np.isin(distinct, self.pair_keys, assume_unique=True)]
+        numbers = np.concatenate([self.pair_numbers, np.arange(len(self.pair_keys), len(self.pair_keys) + len(new), dtype=np.int32)])
+        every = np.concatenate([self.pair_keys, new])
+        order = np.argsort(every, kind="stable")
+        self.pair_keys, self.pair_numbers = every[order], numbers[order]
+        return self.pair_numbers[np.searchsorted(self.pair_keys, keys)]
+
+    def pairs(self) -> np.ndarray:
+        """The key of each pair, by number."""
+        out = np.empty(len(self.pair_keys), np.int64)
+        out[self.pair_numbers] = self.pair_keys
+        return out
+
+    def texts(self) -> list[bytes]:
+        """Each unit's groups as text, `a1,a2|b1` each."""
+        for a, b, group_a, group_b, groups in self.later:
+            if not len(a):
+                self.shown += [b""] * len(groups)
+                continue
+            # Ids in the order of the text, A's before B's in each group, with what follows each of them.
+            group, side = np.concatenate([group_a, group_b]), np.repeat([0, 1], [len(a), len(b)])
+            order = np.lexsort((side, group))
+            last = np.concatenate([group[order][1:] != group[order][:-1], [True]])
+            turns = np.concatenate([side[order][1:] != side[order][:-1], [True]])
+            unit = np.repeat(np.arange(len(groups)), groups)[group[order]]
+            ends = np.concatenate([unit[1:] != unit[:-1], [True]])
+            mark = np.where(ends, "\n", np.where(last, ";", np.where(turns, "|", ","))).tolist()
+            text = "".join(chain.from_iterable(zip(map(str, np.concatenate([a, b])[order].tolist()), mark))).encode().split(b"\n")
+            made = iter(text)
+            self.shown += [next(made) if n else b"" for n in groups.tolist()]
+        self.later.clear()
+        return self.shown
 
 
 @functools.lru_cache(maxsize=1)
@@ -132,41 +168,54 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    own = np.sort(values)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+
+
+def units_of(text: str) -> list[str]:
+    """The text cut before each space that follows a character which isn't white space, without those spaces."""
+    if not text:
+        return []
+    odd = text[0] == " " or text[-1] == " " or any(x in text for x in _ODD[text.isascii()])
+    return _CUT.split(text) if odd else text.split(" ")
+
+
 class _Aligned:
     """The texts of a batch as numbers of units; texts that either tokenizer doesn't give back have none."""
 
     def __init__(self, own: Aligner, raw: list[str]):
         if len(own.place) > CACHED:
             own.clear()
-        split = [_CUT.split(t) if t else [] for t in raw]
-        every = own.places([u for x in split for u in x])
-        n = np.array([len(x) for x in split], np.int64)
+        split = [units_of(t) for t in raw]
+        every = own.places(list(chain.from_iterable(split)))
+        n = np.fromiter(map(len, split), np.int64, len(split))
         doc = np.repeat(np.arange(len(raw)), n)
-        bad = np.zeros(len(raw), bool)
-        bad[doc[~own.valid[every]]] = True
-        keep = ~bad[doc]
-        self.n, self.units, self.doc = len(raw), every[keep], doc[keep]
+        valid = own.valid[every]
+        if not valid.all():
+            bad = np.zeros(len(raw), bool)
+            bad[doc[~valid]] = True
+            keep = ~bad[doc]
+            every, doc = every[keep], doc[keep]
+        self.n, self.units, self.doc = len(raw), every, doc
+        self.edge = np.searchsorted(doc, np.arange(self.n + 1))
 
     def sums(self, of_unit: np.ndarray) -> np.ndarray:
-        """Sums over each text's units of a column, or of several."""
-        total = np.concatenate([np.zeros((1, *of_unit.shape[1:]), np.int64), np.cumsum(of_unit[self.units], axis=0)])
-        edge = np.searchsorted(self.doc, np.arange(self.n + 1))
-        return total[edge[1:]] - total[edge[:-1]]
+        """Sums over each text's units of a column."""
+        total = np.concatenate([[0], np.cumsum(of_unit[self.units], dtype=np.int64)])
+        return total[self.edge[1:]] - total[self.edge[:-1]]
 
     def shown(self, own: Aligner) -> list[str]:
-        edge = np.searchsorted(self.doc, np.arange(self.n + 1)).tolist()
-        units = self.units.tolist()
-        return [hashlib.sha256(b";".join(map(own.shown.__getitem__, units[i:j]))).hexdigest() if j > i else "" for i, j in zip(edge, edge[1:])]
-
-    def pairs(self, own: Aligner) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs and in how many of these texts each is linked."""
-        seen = np.unique(self.doc * np.int64(len(own.valid)) + self.units) if self.n else np.zeros(0, np.int64)
-        doc, unit = np.divmod(seen, max(len(own.valid), 1))
+        units, texts, edge = self.units.tolist(), own.texts(), self.edge.tolist()
+        return [hashlib.sha256(b";".join(map(texts.__getitem__, units[i:j]))).hexdigest() if j > i else "" for i, j in zip(edge, edge[1:])]
+
+    def held(self, own: Aligner) -> np.ndarray:
+        """In how many of these texts each pair is linked, by number."""
+        doc, unit = np.divmod(sorted_distinct(self.doc * np.int64(max(len(own.valid), 1)) + self.units), max(len(own.valid), 1))
         n = own.link_begin[unit + 1] - own.link_begin[unit]
         at = np.repeat(own.link_begin[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        keys, number = np.unique(own.links[at], return_inverse=True)
-        held = np.unique(np.repeat(doc, n) * np.int64(max(len(keys), 1)) + number)
-        return keys, np.bincount(held % max(len(keys), 1), minlength=len(keys)).astype(np.int64)
+        size = max(len(own.pair_keys), 1)
+        return np.bincount(sorted_distinct(np.repeat(doc, n) * np.int64(size) + own.links[at]) % size, minlength=len(own.pair_keys))
 
 
 def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -174,19 +223,22 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task = _aligner(path_a, path_b), TaskContext.get().partitionId()
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        turn, total = own.turn, np.zeros(0, np.int64)
 
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), task, np.int64)), pa.array(keys), pa.array(counts)], names=["task", "key", "n"])
+        def counted(keys: np.ndarray) -> pa.RecordBatch:
+            some = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), task, np.int64)), pa.array(keys[some]), pa.array(total[some])], names=["task", "key", "n"])
 
         for part in slices(batches, size=SLICE_BYTES):
-            more, n = _Aligned(own, texts(part)).pairs(own)
-            both, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            keys, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            if len(keys) > BLOCK_PAIRS // 4:
-                yield batch()
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield batch()
+            keys = own.pairs() if len(own.place) > CACHED else None  # the numbers are about to be given anew
+            found = _Aligned(own, texts(part))
+            if own.turn != turn:
+                yield counted(keys)
+                turn, total = own.turn, np.zeros(0, np.int64)
+            here = found.held(own)
+            here[: len(total)] += total
+            total = here
+        yield counted(own.pairs())
 
     return docs.select("text").mapInArrow(count, "task long, key long, n long")
 
@@ -251,18 +303,20 @@ class _Scores:
 
     def __init__(self, own: Aligner, hashed: PerfectHash, counts: np.ndarray, highest: np.ndarray):
         self.own, self.hashed, self.counts, self.highest = own, hashed, counts, highest
-        self.turn, self.values = -1, np.zeros((0, 2), np.int64)
+        self.turn, self.values, self.of_pair = -1, np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
 
     def updated(self) -> np.ndarray:
         own = self.own
         if self.turn != own.turn:
-            self.turn, self.values = own.turn, np.zeros((0, 2), np.int64)
+            self.turn, self.values, self.of_pair = own.turn, np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
         done = len(self.values)
-        keys = own.links[own.link_begin[done] :]
-        if done < len(own.valid):
+        if len(self.of_pair) < len(own.pair_keys):
+            keys = own.pairs()[len(self.of_pair) :]
             at = self.hashed.numbers(keys)
             n = np.where(at >= 0, self.counts[at], 0) if len(self.counts) else np.zeros(len(keys), np.int64)
-            total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(np.column_stack([(n > 0) & (n == self.highest[keys >> SHIFT]), n]), axis=0)])
+            self.of_pair = np.concatenate([self.of_pair, np.column_stack([(n > 0) & (n == self.highest[keys >> SHIFT]), n])])
+        if done < len(own.valid):
+            total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(self.of_pair[own.links[own.link_begin[done] :]], axis=0)])
             edge = own.link_begin[done:] - own.link_begin[done]
             self.values = np.concatenate([self.values, total[edge[1:]] - total[edge[:-1]]])
         return self.values
@@ -280,7 +334,7 @@ def _looked_up(docs: DataFrame, path_a: str, path_b: str, table: Broadcast) -> D
         for batch in slices(batches, size=SLICE_BYTES):
             raw = texts(batch)
             found = _Aligned(own, raw)
-            columns = [*found.sums(own.sizes).T, *found.sums(scores.updated()).T]
+            columns = [found.sums(c) for c in (*own.sizes.T, *scores.updated().T)]
             names = pa.array([xxhash.xxh3_128_digest(t.encode()) for t in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, *map(pa.array, columns), pa.array(found.shown(own), pa.string())], names=[x.split()[0] for x in _RESULT.split(", ")])
 
