@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..operators import reconcile as R
 from ..sources import sinks
-from .base import query, written
+from ..sources.keyed import KeyedTable
+from .base import query, shared_folder, written
 
 
 def tables(spark: SparkSession, d: str) -> R.Tables:
@@ -210,22 +211,39 @@ def _drafts(spark: SparkSession, d: str) -> DataFrame:
     return early.withColumn("fingerprint", F.when(F.col("invoice_id") % 2 == 0, F.sha2(F.col("invoice_id").cast("string"), 256)).otherwise(F.col("fingerprint")))
 
 
-@query(
-    "s5_upsert_exceptions",
-    f"""{_DRAFTS_SQL} SELECT coalesce(d.fingerprint, e.fingerprint) AS fingerprint, coalesce(d.exception_type, e.exception_type) AS exception_type, coalesce(d.severity, e.severity) AS severity,
+S5 = f"""{_DRAFTS_SQL} SELECT coalesce(d.fingerprint, e.fingerprint) AS fingerprint, coalesce(d.exception_type, e.exception_type) AS exception_type, coalesce(d.severity, e.severity) AS severity,
     CASE WHEN e.fingerprint IS NULL OR (d.fingerprint IS NOT NULL AND e.status = 'RESOLVED') THEN 'OPEN' ELSE e.status END AS status,
     (CASE WHEN d.fingerprint IS NULL THEN e.purchase_order_id ELSE d.po_id END)::VARCHAR AS purchase_order_id, (CASE WHEN d.fingerprint IS NULL THEN e.goods_receipt_id END)::VARCHAR AS goods_receipt_id,
     (CASE WHEN d.fingerprint IS NULL THEN e.invoice_id ELSE d.invoice_id END)::VARCHAR AS invoice_id, coalesce(d.evidence, 'rule=earlier') AS evidence, coalesce(d.sources, '') AS sources,
-    coalesce(d.fingerprint IS NULL AND e.status = 'RESOLVED', false) AS resolved FROM exceptions e FULL JOIN drafts d ON d.fingerprint = e.fingerprint""",
-)
+    coalesce(d.fingerprint IS NULL AND e.status = 'RESOLVED', false) AS resolved FROM exceptions e FULL JOIN drafts d ON d.fingerprint = e.fingerprint"""
+
+
+@query("s5_upsert_exceptions", S5)
 def s5(spark, d):
-    old = X.exceptions(spark, d).withColumns({"resolved_at": F.when(F.col("status") == "RESOLVED", F.col("created_at")), "message": F.lit(""), "evidence": F.create_map(F.lit("rule"), F.lit("earlier"))})
-    new = sinks.upsert_exceptions(old, _drafts(spark, d))
+    return _exception_rows(sinks.upsert_exceptions(_old_exceptions(spark, d), _drafts(spark, d)))
+
+
+def _old_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    return X.exceptions(spark, d).withColumns({"resolved_at": F.when(F.col("status") == "RESOLVED", F.col("created_at")), "message": F.lit(""), "evidence": F.create_map(F.lit("rule"), F.lit("earlier"))})
+
+
+def _exception_rows(new: DataFrame) -> DataFrame:
     ids = [F.col(c).cast("string").alias(c) for c in ("purchase_order_id", "goods_receipt_id", "invoice_id")]
     evidence = F.array_join(F.transform(F.array_sort(F.map_entries("evidence")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return new.select("fingerprint", "exception_type", "severity", "status", *ids, evidence.alias("evidence"), F.coalesce(F.array_join("source_document_ids", ","), F.lit("")).alias("sources"), F.col("resolved_at").isNotNull().alias("resolved"))
 
 
+@query("s5_stored_exceptions", S5)
+def s5_stored(spark, d):
+    """The same on a stored table: the drafts come in two runs and once more, each rewriting its buckets only."""
+    table = KeyedTable(spark, shared_folder(spark, "exceptions"), ["fingerprint"], 32)
+    table.change(_old_exceptions(spark, d), lambda old, new: new.withColumn("source_document_ids", F.lit(None).cast("array<string>")))
+    drafts = written(_drafts(spark, d))
+    for part in (drafts.where("invoice_id % 3 = 0"), drafts.where("invoice_id % 3 <> 0"), drafts.where("invoice_id % 3 = 0")):
+        sinks.store_exceptions(table, part)
+    return _exception_rows(table.read())
+
+
 @query("s8_apply_invoice_outcome", f"""{ALL}, {RESULTS}
 SELECT inv.invoice_id, CASE res.status WHEN 'MATCHED' THEN 'MATCHED' WHEN 'EXCEPTIONS_FOUND' THEN 'EXCEPTION' ELSE 'RECEIVED' END AS status FROM inv LEFT JOIN res ON res.invoice_id = inv.invoice_id""")
 def s8(spark, d):
