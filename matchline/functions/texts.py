@@ -67,9 +67,10 @@ def _stated(text: Column, pattern: str) -> Column:
 
 
 def read_labels(df: DataFrame, text: str) -> DataFrame:
-    """df with fields (map of stated values) and ambiguous (names of fields for which one line states several).
+    """df with fields (map of stated values), ambiguous (names of fields for which one line states several) and stated.
 
-    A field's first statement counts that isn't a word for a missing value.
+    A field's first statement counts that isn't a word for a missing value. stated tells of each field what was read: its
+    value (null where there are several), the raw text, and the line from the value on.
     """
     own = df.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_lower"))
     found = []
@@ -80,18 +81,24 @@ def read_labels(df: DataFrame, text: str) -> DataFrame:
         found.append(F.when(hinted, F.get(usable, F.lit(0))).alias(f"_{name}"))
     read = own.select(*df.columns, *found)
 
-    def several(name: str) -> Column:
+    def values_of(name: str) -> Column:
         shape = DATE_SHAPE if name.endswith("date") else ID_SHAPE
         parts = F.transform(F.split(F.trim(F.col(f"_{name}.region")), EITHER), lambda p: F.regexp_extract(p, shape, 0))
-        values = F.array_distinct(F.filter(parts, lambda p: ~S.is_missing_value(p)))
-        return F.when(F.col(f"_{name}.region").rlike(EITHER), F.size(values) > 1).otherwise(False)
-
-    judged = read.select("*", *(several(k).alias(f"_{k}_several") for k in LABELS))
-    values = [F.struct(F.lit(k).alias("key"), F.when(~F.col(f"_{k}_several"), S.normalize_business_value(F.col(f"_{k}.value"))).alias("value")) for k in LABELS]
+        return F.when(F.col(f"_{name}.region").rlike(EITHER), F.array_distinct(F.filter(parts, lambda p: ~S.is_missing_value(p))))
+
+    judged = read.select("*", *(values_of(k).alias(f"_{k}_values") for k in LABELS))
+    many = {k: F.coalesce(F.size(f"_{k}_values") > 1, F.lit(False)) for k in LABELS}
+    plain = {k: F.when(~many[k], S.normalize_business_value(F.col(f"_{k}.value"))) for k in LABELS}
+    values = [F.struct(F.lit(k).alias("key"), plain[k].alias("value")) for k in LABELS]
+    stated = [
+        F.when(F.col(f"_{k}").isNotNull(), F.struct(F.lit(k).alias("field"), plain[k].alias("value"), F.when(many[k], F.array_join(f"_{k}_values", " / ")).otherwise(F.col(f"_{k}.value")).alias("raw"), F.trim(F.col(f"_{k}.region")).alias("source_text"), many[k].alias("several")))
+        for k in LABELS
+    ]
     return judged.select(
         *df.columns,
         F.map_from_entries(F.filter(F.array(*values), lambda e: e["value"].isNotNull())).alias("fields"),
-        F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"_{k}_several"), F.lit(k)) for k in LABELS)))).alias("ambiguous"),
+        F.array_sort(F.array_compact(F.array(*(F.when(many[k], F.lit(k)) for k in LABELS)))).alias("ambiguous"),
+        F.array_compact(F.array(*stated)).alias("stated"),
     )
 
 

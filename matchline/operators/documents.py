@@ -95,7 +95,7 @@ def build_candidates(classified: DataFrame) -> DataFrame:
     for kind, k in DATE_OF.items():
         day = F.when(F.col("detected_type") == kind, field(k)) if day is None else day.when(F.col("detected_type") == kind, field(k))
     typed = F.transform(lines, lambda x: F.struct(x["line_number"].alias("line_number"), S.normalize_identifier(x["description"]).alias("description"), S.normalize_quantity(x["quantity"]).alias("quantity"), S.normalize_money(x["unit_price"]).alias("unit_price"), S.normalize_percentage(x["tax_rate"]).alias("tax_rate"), x["reference"].alias("reference"), x["method"].alias("method"), x["confidence"].alias("confidence")))
-    return docs.withColumns(
+    out = docs.withColumns(
         {
             **{k: S.normalize_business_value(field(k)) for k in ("invoice_number", "po_number", "grn_number", "vendor_name")},
             "doc_date": S.normalize_date(day),
@@ -103,7 +103,41 @@ def build_candidates(classified: DataFrame) -> DataFrame:
             **{k: S.normalize_money(field(k)) for k in ("subtotal", "tax_amount", "total_amount")},
             "lines": S.fenced(typed),
         }
-    ).drop("table_lines", "_stacked", "_text", "stacked")
+    )
+    return out.withColumn("evidence", evidence(lines)).drop("table_lines", "_stacked", "_text", "stacked", "stated")
+
+
+#: Fields that a document of each kind states. Fixed values.
+STATED = {
+    "INVOICE": ("invoice_number", "po_number", "vendor_name", "invoice_date", "currency", "subtotal", "tax_amount", "total_amount"),
+    "PO": ("po_number", "vendor_name", "order_date", "currency"),
+    "GRN": ("grn_number", "po_number", "vendor_name", "receipt_date"),
+}
+
+
+def evidence(lines: Column) -> Column:
+    """Of each header value and each line's quantity and price where it comes from and how sure it is.
+
+    Labelled values are HIGH, several on one line LOW and without a value; cells of tables are HIGH, other lines MEDIUM,
+    and what isn't a number LOW. source_text is the line from the value on, or the raw text of a cell.
+    """
+    item = lambda name, value, raw, source, method, sure: F.struct(*(c.cast("string").alias(k) for k, c in zip(("field", "value", "raw_value", "source_text", "method", "confidence"), (name, value, raw, source, method, sure))))
+    kind = F.col("detected_type")
+    asked = functools.reduce(lambda c, k: c.when(kind == k, F.array(*map(F.lit, STATED[k]))), list(STATED)[1:], F.when(kind == "INVOICE", F.array(*map(F.lit, STATED["INVOICE"]))))
+    several = lambda x, a, b: F.when(x["several"], a).otherwise(b)
+    head = F.transform(
+        F.filter("stated", lambda x: F.coalesce(F.array_contains(asked, x["field"]), F.lit(False))),
+        lambda x: item(x["field"], x["value"], x["raw"], x["source_text"], several(x, "ambiguous_values", "label_regex"), several(x, "LOW", "HIGH")),
+    )
+
+    def cells(x: Column, i: Column) -> Column:
+        out = []
+        for name, value in (("quantity", S.normalize_quantity(x["quantity"])), ("unit_price", S.normalize_money(x["unit_price"]))):
+            path = F.concat(F.lit("lines["), i.cast("string"), F.lit(f"].{name}"))
+            out.append(F.when(F.coalesce(x[name], F.lit("")) != "", item(path, value, x[name], x[name], x["method"], F.when(value.isNull(), "LOW").otherwise(x["confidence"]))))
+        return F.array_compact(F.array(*out))
+
+    return F.concat(head, F.flatten(F.transform(lines, cells)))
 
 
 def validate_candidates(c: DataFrame) -> DataFrame:

@@ -55,10 +55,6 @@ def d3(spark, d):
     return D.table_lines(tables).select("doc_id", F.size("table_lines").cast("long").alias("n"), F.round(total, 4).alias("quantity"))
 
 
-def _lines_sql(variants: str) -> str:
-    return f"{_T} SELECT doc_id, n AS n_lines FROM t WHERE v IN ({variants})"
-
-
 @query("d4_stacked_lines", f"{_T} SELECT doc_id, CASE WHEN v = 4 THEN n ELSE 0 END AS n_lines FROM t")
 def d4(spark, d):
     return D.labelled_fields(texts(spark, d)).select("doc_id", F.size(D.stacked_lines()).cast("long").alias("n_lines"))
@@ -77,6 +73,44 @@ def d6(spark, d):
     return own.select("doc_id", "invoice_number", "doc_date", F.size("lines").cast("long").alias("n_lines"), F.round(total, 2).alias("quantity"))
 
 
+_KINDS = r"""body AS (SELECT po_id, string_agg('Part L' || line_number || ' ' || quantity::DECIMAL(18,2) || ' ' || unit_price::DECIMAL(18,2), chr(10) ORDER BY seq) AS body FROM po_line GROUP BY 1),
+txt AS (SELECT po_id * 100 + 1 AS doc_id, 'PURCHASE ORDER' || chr(10) || CASE WHEN po_id % 5 = 0 THEN '' ELSE 'PO Number: ' || po_number || chr(10) END || 'Supplier: ' || coalesce(name, '') || chr(10) || 'Order Date: ' || order_date
+    || CASE WHEN po_id % 7 = 0 THEN ' or 2031-01-01' ELSE '' END || chr(10) || 'Currency: USD' || chr(10) || coalesce(body, '') AS text FROM po LEFT JOIN body USING (po_id) LEFT JOIN vendors USING (vendor_id)
+  UNION ALL SELECT grn_id * 100 + 2, 'GOODS RECEIPT NOTE' || chr(10) || 'GRN Number: ' || grn_number || chr(10) || 'Receipt Date: ' || receipt_date || chr(10) || CASE WHEN grn_id % 2 = 0 THEN coalesce(body, '') ELSE 'Received: ' || grn_id % 90 + 1 || '.5' END FROM grn LEFT JOIN body USING (po_id)),
+rd AS (SELECT doc_id, text, CASE WHEN starts_with(text, 'GOODS') THEN 'GRN' ELSE 'PO' END AS detected_type, nullif(regexp_extract(text, '(?:PO|GRN) Number: (\S+)', 1), '') AS number, contains(text, ' or ') AS twice,
+    regexp_extract(text, '(?:Order|Receipt) Date: (\S+)', 1)::DATE AS stated, regexp_extract_all(text, 'Part L\d+ ([0-9.]+) [0-9.]+', 1) AS qs, nullif(regexp_extract(text, 'Received: ([0-9.]+)', 1), '') AS single FROM txt)"""
+
+
+def other_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A text per order and per receipt; some orders without a number or with two dates, half of the receipts with one labelled quantity."""
+    number = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    part = F.concat(F.lit("Part L"), F.col("line_number").cast("string"), F.lit(" "), number("quantity"), F.lit(" "), number("unit_price"))
+    lines = written(X.po_line(spark, d)).groupBy("po_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    body, orders = F.coalesce("body", F.lit("")), X.po(spark, d).join(X.vendors(spark, d), "vendor_id", "left").join(lines, "po_id", "left")
+    label = F.when(F.col("po_id") % 5 != 0, F.concat(F.lit("PO Number: "), "po_number", F.lit("\n"))).otherwise("")
+    order = F.concat(F.lit("PURCHASE ORDER\n"), label, F.lit("Supplier: "), F.coalesce("name", F.lit("")), F.lit("\nOrder Date: "), F.col("order_date").cast("string"), F.when(F.col("po_id") % 7 == 0, " or 2031-01-01").otherwise(""), F.lit("\nCurrency: USD\n"), body)
+    single = F.concat(F.lit("Received: "), (F.col("grn_id") % 90 + 1).cast("string"), F.lit(".5"))
+    receipt = F.concat(F.lit("GOODS RECEIPT NOTE\nGRN Number: "), "grn_number", F.lit("\nReceipt Date: "), F.col("receipt_date").cast("string"), F.lit("\n"), F.when(F.col("grn_id") % 2 == 0, body).otherwise(single))
+    rows = orders.select((F.col("po_id") * 100 + 1).alias("doc_id"), F.lit("purchase_order.pdf").alias("filename"), order.alias("full_text"))
+    rows = rows.unionByName(X.grn(spark, d).join(lines, "po_id", "left").select((F.col("grn_id") * 100 + 2).alias("doc_id"), F.lit("scan.pdf").alias("filename"), receipt.alias("full_text")))
+    return rows.withColumn("declared_type", F.lit(None).cast("string")).repartition(4 * spark.sparkContext.defaultParallelism)
+
+
+@query(
+    "d6_orders_and_receipts",
+    f"""{_KINDS} SELECT doc_id, detected_type, number, CASE WHEN NOT twice THEN stated END AS doc_date, CASE WHEN single IS NOT NULL THEN 1 ELSE len(qs) END::BIGINT AS n_lines,
+    CASE WHEN single IS NOT NULL THEN single::DOUBLE ELSE round(coalesce(list_sum(qs::DOUBLE[]), 0), 2) END AS quantity, (CASE WHEN twice THEN 1 ELSE 0 END)::BIGINT AS n_low,
+    (CASE WHEN single IS NOT NULL THEN 1 ELSE 2 * len(qs) END)::BIGINT AS n_medium, (CASE WHEN number IS NULL THEN 0 ELSE 1 END + CASE WHEN detected_type = 'PO' THEN CASE WHEN twice THEN 2 ELSE 3 END ELSE 1 END)::BIGINT AS n_high,
+    CASE WHEN twice THEN 'REVIEW_REQUIRED' WHEN number IS NULL OR (single IS NULL AND len(qs) = 0) THEN 'VALIDATION_FAILED' ELSE 'READY_FOR_RECONCILIATION' END AS outcome FROM rd""",
+)
+def d6_kinds(spark, d):
+    c = D.understand(other_texts(spark, d))
+    number = F.when(F.col("detected_type") == "GRN", F.col("grn_number")).otherwise(F.col("po_number"))
+    total = F.aggregate("lines", F.lit(0.0), lambda a, x: a + F.coalesce(x["quantity"].cast("double"), F.lit(0.0)))
+    sure = lambda level: F.size(F.filter("evidence", lambda e: e["confidence"] == level)).cast("long").alias(f"n_{level.lower()}")
+    return c.select("doc_id", "detected_type", number.alias("number"), "doc_date", F.size("lines").cast("long").alias("n_lines"), F.round(total, 2).alias("quantity"), sure("LOW"), sure("MEDIUM"), sure("HIGH"), "outcome")
+
+
 @query("d7_validate_candidates", f"{_T} SELECT doc_id, concat_ws(',', CASE WHEN v = 5 THEN 'UNKNOWN_OR_EMPTY' END, CASE WHEN v IN (1, 2, 3) THEN 'MISSING_INVOICE_NUMBER' END, CASE WHEN v <> 5 AND n = 0 THEN 'MISSING_LINES' END, CASE WHEN v = 3 THEN 'AMBIGUOUS_FIELD' END) AS codes FROM t")
 def d7(spark, d):
     c = D.understand(read(spark, d))
