@@ -52,7 +52,8 @@ def casefold(c: Col) -> Column:
     own = F.translate(_c(c), single, to)
     pieces = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
     spread = F.array_join(F.transform(F.split(own, ""), lambda x: F.coalesce(F.try_element_at(pieces, x), x)), "")
-    return F.when(own.rlike(f"[{''.join(several)}]"), spread).otherwise(own)
+    folded = F.when(own.rlike(f"[{''.join(several)}]"), spread).otherwise(own)
+    return F.when(_c(c).rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(_c(c)))  # ASCII is the common case
 
 
 def normalize_invoice_number(c: Col) -> Column:

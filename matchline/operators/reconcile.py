@@ -7,6 +7,7 @@ counted in every unit of the order.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.stored import bucketed, is_spread, written
+from ..sources.stored import are_spread, at_once, bucketed, written
 
 DRAFT = ("exception_type", "severity", "rule", "po_id", "grn_id", "invoice_id", "message", "fingerprint", "evidence")
 #: Order in which rules are tried; of drafts with one fingerprint the first counts.
@@ -67,10 +68,12 @@ def by_order(t: Tables, buckets: int | None = None) -> Tables:
     """
     n = buckets or int(t.po.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = lambda df: df.where("po_id IS NOT NULL")
-    if not all(is_spread(own(df), "po_id", n) for df in (t.po_line, t.grn_line, t.inv_line)):
-        return Tables(*map(written, (t.po, t.po_line, t.grn, t.grn_line, t.inv, t.inv_line)))
-    tables = [bucketed(own(df), "po_id", n) for df in (t.po, t.po_line, t.grn, t.grn_line, t.inv, t.inv_line)]
-    return Tables(*tables, *(written(df.where("po_id IS NULL")) for df in (t.inv, t.inv_line)), buckets=n)
+    every = (t.po, t.po_line, t.grn, t.grn_line, t.inv, t.inv_line)
+    if not are_spread([own(df) for df in (t.po_line, t.grn_line, t.inv_line)], "po_id", n):
+        return Tables(*at_once([functools.partial(written, df) for df in every]))
+    tables = [functools.partial(bucketed, own(df), "po_id", n) for df in every]
+    loose = [functools.partial(written, df.where("po_id IS NULL")) for df in (t.inv, t.inv_line)]
+    return Tables(*at_once([*tables, *loose]), buckets=n)
 
 
 def _null() -> Column:
@@ -312,10 +315,10 @@ def reconcile(t: Tables, config: Config = Config(), pairs: DataFrame | None = No
         wrong = header_exceptions(asked.join(known, "po_id", "left_semi"), t.grn, "GRN", "grn_id")
         t = replace(t, grn=t.grn.drop("po_id").join(asked, "grn_id"), grn_line=t.grn_line.drop("po_id").join(asked, "grn_id"))
     # Without its order nothing of a document is matched. Each side's lines are linked once; one pass tries all their rules.
-    g, i = (t.kept(link_lines(x.join(known, "po_id", "left_semi"), t.po_line)) for x in (t.grn_line, inv_line))
+    # A unit with its dates and receipts is what R6, R9 and R10 read.
+    linked = [link_lines(x.join(known, "po_id", "left_semi"), t.po_line) for x in (t.grn_line, inv_line)]
+    g, i, heads = at_once([functools.partial(t.kept, df) for df in (*linked, with_receipts(dated, t.grn))])
     received, invoiced = received_by_po_line(g), invoiced_by_po_line(i)
-    # A unit with its dates and receipts, and an order's receipts, are what R6, R9 and R10 read.
-    heads = t.kept(with_receipts(dated, t.grn))
     on_order = drafts_of(g, link_cases("GRN", "grn_line_id", "grn_id")).unionByName(early_documents(t.po, t.grn, "grn_id"))
     if receipts is not None:
         on_order = on_order.unionByName(wrong)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixtures
-from ..sources.stored import bucketed, is_spread, shared_folder, written  # noqa: F401
+from ..sources.stored import shared_folder, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

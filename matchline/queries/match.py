@@ -24,8 +24,10 @@ def plain_tables(spark: SparkSession, d: str) -> R.Tables:
 
 
 def written_tables(spark: SparkSession, d: str) -> R.Tables:
-    """The tables that a match reads many times, in buckets of their order."""
-    return R.by_order(plain_tables(spark, d))
+    """The tables that a match reads many times, in buckets of their order; all lines derive from the written order lines."""
+    lines = written(X.po_line(spark, d))
+    items = X.inv_line(spark, d, lines)
+    return R.by_order(R.Tables(X.po(spark, d), lines, X.grn(spark, d), X.grn_line(spark, d, lines), X.inv(spark, d, items), items))
 
 
 def _brief(drafts: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ def written(df: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Like written, in buckets of key, each sorted by it: joins and groups on key and more columns need no exchange.
 
-    A bucket is read by one task, so key must be spread (see `is_spread`).
+    A bucket is read by one task, so key must be spread (see `are_spread`).
     """
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
     rows = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
@@ -41,7 +44,15 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def is_spread(df: DataFrame, key: str, buckets: int) -> bool:
-    """No value of key has more rows than HOT_SHARE of a bucket's mean, or than a thousand."""
-    total, most = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
-    return (most or 0) <= max(1000, HOT_SHARE * (total or 0) / buckets)
+def at_once(calls: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """What the calls return, run side by side: jobs that are too small to fill the cluster one by one."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(call) for call in calls]]
+
+
+def are_spread(tables: list[DataFrame], key: str, buckets: int) -> bool:
+    """In no table has a value of key more rows than HOT_SHARE of a bucket's mean, and than a thousand. One job."""
+    rows = [df.select(F.col(key).alias("key"), F.lit(i).alias("table")) for i, df in enumerate(tables)]
+    per_key = functools.reduce(DataFrame.unionByName, rows).groupBy("table", "key").agg(F.count("*").alias("n"))
+    loads = per_key.groupBy("table").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    return all(r["most"] <= max(1000, HOT_SHARE * r["n"] / buckets) for r in loads)
