@@ -130,7 +130,7 @@ def aligned_by_hand(rows):
 @pytest.mark.parametrize("shard_keys", [1 << 15, 200])
 def test_alignment_equals_brute_force(spark, monkeypatch, shard_keys):
     monkeypatch.setattr(cross_alignment, "SHARD_KEYS", shard_keys)  # 200: several blocks of one shard each
-    rows = [(i, (x or "")[:3000] if i == 9 else x, s) for i, x, s in mixed_rows(5, 60)]
+    rows = [(i, x[:600] if x and len(x) > 3000 else x, s) for i, x, s in mixed_rows(5, 60)]
     got = cross_alignment.align(table(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), 1 << 22 if shard_keys > 200 else 1)
     want = aligned_by_hand(rows)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
@@ -187,3 +187,17 @@ def test_intervals_cover_each_order_once():
             hits = [bool(mask & filter_audit.BIT[x]) for x in order[:step]]
             want = (not any(hits), hits[-1] and not any(hits[:-1]), hits[-1] and any(hits[:-1]), hits[-1] and mask == filter_audit.BIT[order[step - 1]])
             assert flags == ([tuple(map(int, want))] if any(want) else [])
+
+
+def test_rows_without_an_id_hide_no_document(spark, tmp_path):
+    import corpus_pipeline
+
+    words = " ".join(f"word{i}" for i in range(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+    for top in (42, (1 << 63) - 1):
+        docs = spark.createDataFrame([(7, "", "en", "s", 0), (top, words, "en", "s", 1), (None, None, "en", "s", None), (None, "other " + words[::-1], "en", "s", 1), (None, words, "en", "s", 1)], schema)
+        left = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert left.count() == 3 and (top > 42 or ids(left) == [(False, 7), (False, 42), (True, 0)])  # ids win where there is room above them
+        spark.createDataFrame([(1, "a benchmark text of quite other words than those that are here")], "item_id long, text string").write.mode("overwrite").parquet(f"file://{tmp_path}/benchmark.parquet")
+        assert corpus_pipeline.decontaminated(spark, docs, f"file://{tmp_path}").count() == 5
