@@ -36,8 +36,6 @@ GAIN = 2.0
 DISCOUNT = 0.5
 END = np.uint64(0x5851F42D4C957F2D)
 _LEFT = np.uint64(0xD1342543DE82EF95)
-#: Sequences that grow from so many words or fewer are counted by their hashes first.
-SHORT = 2
 #: Distinct sequences that a task holds before it passes their counts on.
 HELD = 1_000_000
 #: 64-bit words of a bitmap, and slots of the table of common sequences, at most, as powers of two.
@@ -106,91 +104,81 @@ def _within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[_slots(keys, len(bits))] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _counted(texts: DataFrame, found) -> DataFrame:
-    """found(tokens) -> keys of counted places; g, n over texts(text), added up within each task first."""
+def _summed(texts: DataFrame, names: tuple[str, ...], found, key) -> DataFrame:
+    """found(tokens) -> columns of counted places; names, n over texts(text), added up within each task first.
+
+    key(columns) -> a hash that tells rows apart. Rows leave a task ordered by their first column, which then takes
+    little room in the shuffle.
+    """
+
+    def merged(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        own = key(columns)
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        return [x[order[first]] for x in columns], np.add.reduceat(n[order], first)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, n = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[first], np.add.reduceat(n, first)
+        def together() -> None:
+            parts = list(zip(*held))
+            held.clear()
+            columns, n = merged([np.concatenate(x) for x in parts[:-1]], np.concatenate(parts[-1]))
+            held.append([*columns, n])
 
-        def table(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["g", "n"])
+        def table() -> pa.RecordBatch:
+            *columns, n = held.pop()
+            order = np.argsort(columns[0], kind="stable")
+            return pa.RecordBatch.from_arrays([*(pa.array(x[order].view(np.int64)) for x in columns), pa.array(n[order])], names=[*names, "n"])
 
         for batch in slices(batches):
-            keys, n = np.unique(found(_Tokens.of(raw_texts(batch))), return_counts=True)
-            if len(keys):
-                held.append((keys, n))
-                size += len(keys)
+            columns = found(_Tokens.of(raw_texts(batch)))
+            if len(columns[0]):
+                columns, n = merged(columns, np.ones(len(columns[0]), np.int64))
+                held.append([*columns, n])
+                size += len(n)
             if size > 2 * HELD:
-                held = [merged()]
+                together()
                 size = len(held[0][0])
                 if size > HELD:
-                    yield table(*held[0])
-                    held, size = [], 0
+                    yield table()
+                    size = 0
         if held:
-            yield table(*merged())
+            together()
+            yield table()
 
-    return texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, ", ".join(f"{x} long" for x in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def vocabulary(train: DataFrame) -> DataFrame:
     """train(text) -> g (a word's hash), n."""
-    return _counted(train, lambda t: t.words)
+    return _summed(train, ("g",), lambda t: [t.words], lambda columns: columns[0])
 
 
 def _grown(train: DataFrame, length: int, contexts, suffixes, least: int) -> DataFrame:
     """Sequences one longer than `length` that occur `least` times -> g, c (without the last word), e (without the first), n.
 
-    Only those whose parts stand in the bitmaps of contexts and suffixes; some others slip through. Short ones are many:
-    they are counted by their hashes alone, and a second pass over the texts takes those few apart that occur often
-    enough. Longer ones are counted with their parts.
+    Only those whose parts stand in the bitmaps of contexts and suffixes; some others slip through. They are counted by
+    their two parts, which make their hash: so the rows of a pass are at most the places of the texts, and what is
+    common is named once, not again by each task that meets it.
     """
 
-    def places(t: _Tokens) -> tuple[np.ndarray, np.ndarray]:
+    def parts(t: _Tokens) -> list[np.ndarray]:
         own = t.sequences(length)
         at = np.flatnonzero(t.place >= length)
         at = at[_within(suffixes.value, own[at])]
-        return own, at[_within(contexts.value, own[at - 1])]
+        at = at[_within(contexts.value, own[at - 1])]
+        return [own[at - 1], own[at]]
 
-    def keys(t: _Tokens) -> np.ndarray:
-        own, at = places(t)
-        return joined(own[at - 1], own[at])
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, e = (np.asarray(batch.column(x)).view(np.uint64) for x in ("c", "e"))
+            yield pa.RecordBatch.from_arrays([pa.array(joined(c, e).view(np.int64)), *(batch.column(x) for x in ("c", "e", "n"))], names=["g", "c", "e", "n"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own, at = places(_Tokens.of(raw_texts(batch)))
-            key, first, n = np.unique(joined(own[at - 1], own[at]), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, own[at - 1][first], own[at][first])), pa.array(n)], names=["g", "c", "e", "n"])
-
-    if length > SHORT:
-        rows = train.select("text").mapInArrow(whole, "g long, c long, e long, n long")
-        return rows.groupBy("g").agg(F.min("c").alias("c"), F.min("e").alias("e"), F.sum("n").alias("n")).where(F.col("n") >= least)
-    often = stored(_counted(train, keys).where(F.col("n") >= least))
-    wanted = train.sparkSession.sparkContext.broadcast(_bitmap(often))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, np.uint64)
-        for batch in slices(batches):
-            own, at = places(_Tokens.of(raw_texts(batch)))
-            key = joined(own[at - 1], own[at])
-            near = np.flatnonzero(_within(wanted.value, key))
-            key, first = np.unique(key[near], return_index=True)
-            fresh = ~np.isin(key, known, assume_unique=True)
-            at = at[near[first[fresh]]]
-            known = np.concatenate([known, key[fresh]]) if len(known) < HELD else key
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[fresh], own[at - 1], own[at])], names=["g", "c", "e"])
-
-    rows = train.select("text").mapInArrow(parts, "g long, c long, e long").groupBy("g").agg(F.min("c").alias("c"), F.min("e").alias("e"))
-    out = stored(rows.join(often, "g"))
-    wanted.destroy()
-    return out
+    often = _summed(train, ("c", "e"), parts, lambda columns: joined(*columns)).where(F.col("n") >= least)
+    return often.mapInArrow(named, "g long, c long, e long, n long")
 
 
 def fit(train: DataFrame, vocab: DataFrame, total: int, kinds: int, least: int, gain: float = GAIN) -> tuple[DataFrame, int]:

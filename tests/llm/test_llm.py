@@ -140,6 +140,34 @@ def test_held_out_rows_teach_nothing(spark):
     assert fold and sorted((r.doc_id, r.score) for r in one) == sorted((r.doc_id, r.score) for r in two)
 
 
+def test_places_of_texts_make_one_row_a_length(spark, monkeypatch):
+    texts = [" ".join(f"w{i % 40}" for i in range(k, k + 40)) for k in range(64)]  # common words and pairs, in every task
+    frame, made = type(spark.range(1)), []
+    plain = frame.mapInArrow
+
+    def counted(df, func, schema, *more, **named):
+        if df.columns != ["text"]:
+            return plain(df, func, schema, *more, **named)
+        rows = spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def run(batches):
+            for batch in func(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return plain(df, run, schema, *more, **named)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    train = docs(spark, texts).select("text").repartition(16)
+    vocab = lm_scoring.vocabulary(train)
+    weights, longest = lm_scoring.fit(train, vocab, 64 * 41, 41, 2)
+    assert longest > 2 and weights.count() > 0
+    made = [rows.value for rows in made[1:]]  # but the vocabulary's
+    assert len(made) == longest - 1 and made[0] > 16 * 40
+    assert all(rows <= 64 * (40 - k) for k, rows in enumerate(made))
+
+
 def test_quality_ledger(spark):
     texts = [*TEXTS, "x y z " * 40, "good words here " + " ".join(f"w{i}" for i in range(60)), "# " * 60]
     rows = quality_rules.ledger(docs(spark, texts))
