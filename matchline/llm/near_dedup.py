@@ -8,8 +8,9 @@ if a banded alignment of their shingles finds at least SIMILARITY of them in com
 Links are looked for from one leader per bucket first: members that align with the leader are in its class already; the
 rest of the bucket gets a new leader, ROUNDS times. That finds most classes with few pairs. Then texts of buckets that
 still hold several classes are joined on their rarest shingles, of which any two linked texts share one: so all links
-between candidates are found, and no bucket ever meets in all its pairs. Copies are grouped before, so buckets hold
-different texts only.
+between candidates are found, and no bucket ever meets in all its pairs. Where many texts share a shingle, a few of them
+meet the others first, then MORE times as many and at last all: classes grow in between, and texts of one class needn't
+meet. Copies are grouped before, so buckets hold different texts only.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ TAKEN = 3
 LEADERS = 4
 #: Rounds of leaders before texts of unlike buckets meet by their rarest shingles.
 ROUNDS = 3
+#: Texts sharing a rare shingle that meet the others in the first such round, and the factor from round to round.
+MET = 64
+MORE = 8
+#: Rarer shingles of a text that its row for a shingle names.
+NAMED = 8
 #: Parts of a group of copies.
 SALTS = 32
 #: Slots, as a power of two, of the table that tells common shingles from rare ones.
@@ -194,7 +200,7 @@ def _spread(text: DataFrame) -> np.ndarray:
 
 
 def _prefixes(text: DataFrame, least: float) -> DataFrame:
-    """text(id, c, text) -> s, at, id, n, c, bits: each text's rarest shingles, so many that any link shares one of them.
+    """text(id, text) -> s, at, before, id, n, bits: each text's rarest shingles, so many that any link shares one of them.
 
     Two linked texts have at least `least` of the longer one's shingles in common. In any fixed order of all shingles
     a text's first n - ceil(least * n) + 1 therefore hold one of the other's first. The order goes from shingles of
@@ -202,7 +208,8 @@ def _prefixes(text: DataFrame, least: float) -> DataFrame:
     crowded changes the number of pairs, never which links are found.
 
     bits are 64 * SIGNATURE flags, each flipped by the shingles that fall to it: two texts differ in at least as many
-    shingles as in flags.
+    shingles as in flags. before are the last NAMED shingles before s in that order: two texts that share one of them meet
+    there or earlier.
     """
     used = text.sparkSession.sparkContext.broadcast(_spread(text))
 
@@ -215,39 +222,55 @@ def _prefixes(text: DataFrame, least: float) -> DataFrame:
             at = np.arange(len(s)) - np.repeat(starts[:-1], n)
             first = at < (n - np.ceil(least * n - 1e-9) + 1)[doc]
             own = pa.array(doc[first])
+            sizes = np.minimum(at[first], NAMED)
+            ends = np.cumsum(sizes)
+            named = np.repeat(np.flatnonzero(first) - ends, sizes) + np.arange(sizes.sum())
+            before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(s[order][named].view(np.int64)))
             flags = np.bincount(doc * 64 * SIGNATURE + (mixed(s) % np.uint64(64 * SIGNATURE)).astype(np.int64), minlength=batch.num_rows * 64 * SIGNATURE) & 1
             bits = np.packbits(flags.astype(np.uint8)).view(np.int64).reshape(-1, SIGNATURE)[doc[first]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s[order][first].view(np.int64)), pa.array(at[first]), batch.column("id").take(own), pa.array(n[doc[first]]), batch.column("c").take(own), *map(pa.array, bits.T)],
-                names=["s", "at", "id", "n", "c", *(f"bits{i}" for i in range(SIGNATURE))],
+                [pa.array(s[order][first].view(np.int64)), pa.array(at[first]), before, batch.column("id").take(own), pa.array(n[doc[first]]), *map(pa.array, bits.T)],
+                names=["s", "at", "before", "id", "n", *(f"bits{i}" for i in range(SIGNATURE))],
             )
 
-    return text.select("id", "c", "text").mapInArrow(cut, ", ".join(["s long, at long, id long, n long, c long", *(f"bits{i} long" for i in range(SIGNATURE))]))
+    return text.select("id", "text").mapInArrow(cut, ", ".join(["s long, at long, before array<long>, id long, n long", *(f"bits{i} long" for i in range(SIGNATURE))]))
 
 
-def _unchecked(buckets: DataFrame, classes: DataFrame, checked: DataFrame, text: DataFrame, least: float) -> DataFrame:
-    """buckets(j, key, id), classes(node, component), checked(a, b) -> pairs(a, b) that may still be links.
-
-    These are the pairs of texts from buckets that hold several classes, in different classes themselves, that share
-    one of their rarest shingles (see _prefixes) early enough to reach `least`. So a bucket of texts that a common
-    passage or many edits of one text brought together never meets in all its pairs, and no link in it is lost.
-    """
+def _unlike(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """buckets(j, key, id), classes(node, component) -> id of the texts from buckets that hold several classes."""
     own = buckets.join(classes, F.col("id") == F.col("node"), "left").select("j", "key", "id", F.coalesce("component", "id").alias("c"))
     # The leader has checked a bucket of two.
     unlike = own.groupBy("j", "key").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("k > 2 AND low <> high")
-    some = checkpointed(own.join(unlike.select("j", "key"), ["j", "key"], "left_semi").select("id", "c").distinct())
-    rows = stored(_prefixes(text.join(some, "id"), least))
-    # Where a shingle is shared across classes, the members outside its largest class meet all of another class.
-    kinds = rows.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    met = rows.join(kinds.select("s", "largest"), "s")
+    return own.join(unlike.select("j", "key"), ["j", "key"], "left_semi").select("id").distinct()
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows(s, c) -> s of several classes, the largest of them and k, the rows with s."""
+    kinds = rows.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s")
+    return kinds.agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count("*").alias("kinds"), F.sum("k").alias("k")).where("kinds > 1").drop("kinds")
+
+
+def _unchecked(rows: DataFrame, shared: DataFrame, checked: DataFrame, least: float, most: int) -> DataFrame:
+    """rows as of _prefixes with c, shared as of _shared, checked(a, b) -> pairs(a, b) that may still be links.
+
+    These are the pairs of texts in different classes that share one of their rarest shingles (see _prefixes) early enough
+    to reach `least`. So a bucket of texts that a common passage or many edits of one text brought together never meets
+    in all its pairs. No link is missed if each s has `most` rows or fewer; of more, about `most` meet the others, the
+    same texts for every s and with every larger `most`. A pair is made where no shingle named before is shared: mostly
+    once, and always where its first shared shingle is.
+    """
+    met = rows.join(shared, "s")
     flags = [f"bits{i}" for i in range(SIGNATURE)]
-    left = met.where("c <> largest").select("s", F.col("id").alias("a"), "n", "at", "c", *flags)
-    right = met.select("s", "largest", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("c").alias("d"), *(F.col(x).alias(f"b{x}") for x in flags))
+    # Where a shingle is shared across classes, the members outside its largest class meet all of another class.
+    left = met.where("c <> largest").select("s", F.col("id").alias("a"), "n", "at", "before", "c", *flags)
+    some = (F.col("k") <= most) | (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("k") < most << 20)
+    right = met.where(some).select("s", "largest", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("before").alias("earlier"), F.col("c").alias("d"), *(F.col(x).alias(f"b{x}") for x in flags))
     differ = functools.reduce(Column.__add__, (F.bit_count(F.col(x).bitwiseXOR(F.col(f"b{x}"))) for x in flags))
     alike = differ <= F.col("n") + F.col("m") - 2 * _needed("n", "m", least)
     near = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= _needed("n", "m", least)
     once = (F.col("d") == F.col("largest")) | (F.col("a") < F.col("b"))
-    pairs = left.join(right, "s").where((F.col("c") != F.col("d")) & once & near & alike & (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n")))
+    like = (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))
+    pairs = left.join(right, "s").where((F.col("c") != F.col("d")) & once & near & alike & like & ~F.arrays_overlap("before", "earlier"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
 
 
@@ -301,7 +324,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKE
         # Lengths bound the similarity: no pair is checked that can't reach it.
         pairs = left.where((F.col("n") >= least * F.col("leader.n")) & (F.col("leader.n") >= least * F.col("n")))
         pairs = _kept(pairs.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct(), parts)
-        fresh = pairs.join(checked, ["a", "b"], "left_anti") if checked else pairs
+        fresh = _kept(pairs.join(checked, ["a", "b"], "left_anti"), parts) if checked else pairs
         links = _kept(verified(fresh, kept, least), parts)
         checked = checked.unionByName(fresh) if checked else fresh
         found = found.unionByName(links) if found else links
@@ -316,9 +339,20 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKE
     tied = copies.join(repeated, "doc_id", "left_semi").where("doc_id <> copy_of").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
     classes = components(found.unionByName(tied), parts)
     buckets = met.select("j", "key", "id").unionByName(met.select("j", "key", "leader.id").distinct())
-    pairs = _kept(_unchecked(buckets, classes, checked, kept, least), parts)
-    links = _kept(verified(pairs, kept, least), parts)
-    if not links.isEmpty():
-        classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), parts)
+    rows, most = stored(_prefixes(kept.join(checkpointed(_unlike(buckets, classes)), "id"), least)), MET
+    while True:
+        own = rows.join(classes, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
+        shared = checkpointed(_shared(own))
+        top = shared.agg(F.max("k")).first()[0]
+        if top is None:
+            break
+        pairs = _kept(_unchecked(own, shared, checked, least, most), parts)
+        links = _kept(verified(pairs, kept, least), parts)
+        checked = checked.unionByName(pairs)
+        if not links.isEmpty():
+            classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), parts)
+        if top <= most:
+            break
+        most *= MORE
     first = copies.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.count("*").alias("n_rows"))
     return first.join(classes, F.col("copy_of") == F.col("node"), "left").select("doc_id", F.coalesce("component", "copy_of").alias("class_id"), "copy_of", "n_rows")

@@ -321,6 +321,45 @@ def test_near_classes_within_buckets_of_like_texts(spark):
     assert got == {i: i for i in range(len(group))} | {b: a for a, b in pairs}
 
 
+def test_pairs_of_a_group_of_edits_are_made_once(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base, group, places = [f"w{x}" for x in rng.integers(0, 1 << 30, 200)], [], []
+    for _ in range(600):  # two at 0.81 if two of their three edits are at like places, else at 0.77 at most
+        group.append(edited(rng, base, 3))
+        places.append({i for i, w in enumerate(group[-1]) if w[0] == "e"})
+    want = list(range(len(group)))
+    for i in range(len(group)):
+        for j in range(i):
+            if len(places[i] & places[j]) > 1 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if c == old else c for c in want]
+    frame, inside, made = type(spark.range(1)), [], []
+    distinct, unchecked = frame.distinct, near_dedup._unchecked
+
+    def counted(df):
+        if inside and df.columns == ["a", "b"]:
+            made.append((df.count(), distinct(df).count()))
+        return distinct(df)
+
+    def entered(*args):
+        inside.append(1)
+        out = unchecked(*args)
+        inside.pop()
+        return out
+
+    monkeypatch.setattr(frame, "distinct", counted)
+    monkeypatch.setattr(near_dedup, "_unchecked", entered)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs(spark, [" ".join(t) for t in group])).collect()}
+    assert got == dict(enumerate(want))
+    print("rows of pairs, pairs:", made)
+    rows, pairs = (sum(x) for x in zip(*made))
+    assert pairs and rows <= 1.5 * pairs  # a pair shares a dozen of its rarest shingles
+    # Some meet first, and what they join needn't meet again.
+    linked = sum(len(places[i] & places[j]) > 1 for i in range(len(group)) for j in range(i))
+    print("links:", linked)
+    assert len(made) > 1 and pairs < linked
+
+
 def test_decontamination(spark):
     item = " ".join(f"term{i}" for i in range(30))
     edited = " ".join("new" if i % 7 == 3 else f"term{i}" for i in range(30))
