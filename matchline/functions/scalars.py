@@ -118,24 +118,24 @@ def severity_score(c: Col) -> Column:
 
 
 def normalize_identifier(c: Col) -> Column:
-    return F.nullif(F.regexp_replace(F.trim(F.regexp_replace(_c(c), r"\s+", " ")), r"\s+", " "), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(_c(c), r"\s+", " ")), F.lit(""))
 
 
 def is_missing_value(c: Col) -> Column:
-    own = normalize_identifier(c)
-    return own.isNull() | F.lower(own).isin(*MISSING_WORDS)
+    own = F.lower(F.trim(F.regexp_replace(_c(c), r"\s+", " ")))  # named once: inside lambdas every mention is worked out anew
+    return F.coalesce(own.isin("", *MISSING_WORDS), F.lit(True))
 
 
 def normalize_business_value(c: Col) -> Column:
-    return F.when(~is_missing_value(c), normalize_identifier(c))
+    own = F.trim(F.regexp_replace(_c(c), r"\s+", " "))
+    return F.when(~F.lower(own).isin("", *MISSING_WORDS), own)
 
 
 NUMBER = "decimal(38,10)"
 
 
 def _number(c: Column) -> Column:
-    plain = F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c)
-    return plain.try_cast(NUMBER)
+    return F.regexp_extract(c, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", 0).try_cast(NUMBER)  # no match is an empty text, which is no number
 
 
 def normalize_money(c: Col) -> Column:

@@ -52,11 +52,24 @@ _LETTERS = {"reference": "r", "description": "d", "quantity": "q", "unit": "u",
 _FLAGS = "(?iumU)"
 
 
-#: A field is looked for only in texts that hold one of these; each of its patterns needs one.
+#: A field is looked for only in texts that hold one of each of these groups; each of its patterns needs that.
 _HINTS = {
-    "invoice_number": ("inv",), "po_number": ("po", "p.o", "purchase"), "grn_number": ("grn", "receipt"), "vendor_name": ("vendor", "supplier"),
-    "invoice_date": ("date",), "order_date": ("date",), "receipt_date": ("date",), "currency": ("currency",), "subtotal": ("sub",), "tax_amount": ("tax",), "total_amount": ("total",),
+    "invoice_number": (("inv",), ("no", "number", "#")), "po_number": (("po", "p.o", "purchase"),), "grn_number": (("grn", "receipt"),), "vendor_name": (("vendor", "supplier"),),
+    "invoice_date": (("invoice",), ("date",)), "order_date": (("po", "order"), ("date",)), "receipt_date": (("receipt", "received", "grn"), ("date",)),
+    "currency": (("currency",),), "subtotal": (("sub",), ("total",)), "tax_amount": (("tax",),), "total_amount": (("total",),),
 }
+#: The letters of a head for quantity, with what may stand between them. A text without them has no stacked table.
+_QUANTITY_HEAD = "|".join(r"[^a-z0-9/ \r\n]*".join(word) for word in ("qty", "quantity", "received"))
+
+
+def lowered(text: Column | str) -> Column:
+    """Lower case; the letters that a pattern without case takes for i or s are those."""
+    own = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.lower(functools.reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), (("\u0131", "i"), ("\u0130", "i"), ("\u017f", "s")), own))
+
+
+def holds_one(lower: Column, words: tuple[str, ...]) -> Column:
+    return functools.reduce(Column.__or__, (F.contains(lower, F.lit(w)) for w in words))
 
 
 def _stated(text: Column, pattern: str) -> Column:
@@ -72,12 +85,12 @@ def read_labels(df: DataFrame, text: str) -> DataFrame:
     A field's first statement counts that isn't a word for a missing value. stated tells of each field what was read: its
     value (null where there are several), the raw text, and the line from the value on.
     """
-    own = df.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_lower"))
+    own = df.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text"), lowered(text).alias("_lower"))
     found = []
     for name, patterns in LABELS.items():
         stated = functools.reduce(F.concat, (_stated(F.col("_text"), p) for p in patterns))
         usable = F.filter(stated, lambda s: ~S.is_missing_value(s["value"]) & ~S.is_missing_value(s["region"]))
-        hinted = functools.reduce(Column.__or__, (F.contains(F.col("_lower"), F.lit(h)) for h in _HINTS[name]))
+        hinted = functools.reduce(Column.__and__, (holds_one(F.col("_lower"), words) for words in _HINTS[name]))
         found.append(F.when(hinted, F.get(usable, F.lit(0))).alias(f"_{name}"))
     read = own.select(*df.columns, *found)
 
@@ -109,7 +122,8 @@ def stacked_rows(df: DataFrame, text: str) -> DataFrame:
     with a quantity among them; each row takes as many lines as there are heads. Rows end at a footer, or where neither
     quantity nor price is a number.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), lambda x: x != "")
+    cells = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), lambda x: x != "")
+    lines = F.when(F.lower(F.col(text)).rlike(_QUANTITY_HEAD), cells)
     letters = F.create_map(*(F.lit(x) for k, v in HEADS.items() for x in (k, _LETTERS[v])))
     plain = lambda x: F.trim(F.regexp_replace(F.replace(F.regexp_replace(F.lower(x), "[^a-z0-9/ ]+", ""), F.lit("/"), F.lit(" ")), " +", " "))
     heads = F.array_join(F.transform("_lines", lambda x: F.coalesce(F.try_element_at(letters, plain(x)), F.lit("."))), "")

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import texts as T
+from ..sources.stored import written
 
 #: Words that speak for a type, in file names and texts. Fixed values.
 FILE_WORDS = {"INVOICE": r"(?i)inv(oice)?", "PO": r"(?i)(purchase[_\-]?order|\bpo\b)", "GRN": r"(?i)(grn|goods[_\-]?receipt)"}
 TEXT_WORDS = {"INVOICE": r"(?i)\b(invoice|tax\s*invoice|bill\s*to|amount\s*due)\b", "PO": r"(?i)\b(purchase\s*order|ordered\s*by|ship\s*to)\b", "GRN": r"(?i)\b(goods\s*receipt|goods\s*received|grn|received\s*quantity)\b"}
+#: A text without one of its type's words has none of the type's patterns.
+TEXT_HINTS = {"INVOICE": ("invoice", "bill", "amount"), "PO": ("purchase", "ordered", "ship"), "GRN": ("goods", "grn", "received")}
 #: Heads of text lines, and a line of description, quantity and price. Fixed values.
 LINE_HEADER = r"(?i)^(?:line\s*(?:no\.?|#)?|item\s*(?:no\.?|#)?|#|description|qty|quantity|unit\s*price|price|tax|gst)(?:\s*[|\t]|$)"
 TEXT_LINE = r"(.+?)\s+(\d+(?:\.\d+)?)\s+(\d+(?:,\d{3})*(?:\.\d+)?)"
+#: What each such line holds, found without trying every description.
+TWO_NUMBERS = r"\s\d+(?:\.\d+)?\s+\d"
 FINANCIAL = ("quantity", "unit_price", "tax_rate", "subtotal", "tax_amount", "total_amount")
 ASSIST_CODES = ("OCR_UNAVAILABLE", "UNKNOWN_OR_EMPTY", "MISSING_INVOICE_NUMBER", "MISSING_PO_NUMBER", "MISSING_GRN_NUMBER", "MISSING_VENDOR", "MISSING_LINES", "INVALID_QUANTITY", "INVALID_PRICE")
 DATE_OF = {"INVOICE": "invoice_date", "PO": "order_date", "GRN": "receipt_date"}
@@ -35,11 +40,14 @@ def classify(read: DataFrame) -> DataFrame:
     has = lambda f: F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("")) != ""
     score = lambda c, n: F.when(c, n).otherwise(0)
     label = {"INVOICE": score(has("invoice_number"), 3), "PO": score(has("po_number") & ~has("invoice_number") & ~has("grn_number"), 2), "GRN": score(has("grn_number"), 3)}
-    name, text = F.coalesce("filename", F.lit("")), F.coalesce("full_text", F.lit(""))
-    votes = F.array(*(F.struct((score(name.rlike(FILE_WORDS[k]), 2) + label[k] + score(text.rlike(TEXT_WORDS[k]), 2)).alias("n"), F.lit(k).alias("kind")) for k in ("INVOICE", "PO", "GRN")))
-    ranked = F.sort_array(votes, asc=False)
+    name, text, lower = F.coalesce("filename", F.lit("")), F.coalesce("full_text", F.lit("")), F.col("_lower")
+    says = lambda k: T.holds_one(lower, TEXT_HINTS[k]) & text.rlike(TEXT_WORDS[k])
+    votes = F.array(*(F.struct((score(name.rlike(FILE_WORDS[k]), 2) + label[k] + score(says(k), 2)).alias("n"), F.lit(k).alias("kind")) for k in ("INVOICE", "PO", "GRN")))
+    declared = F.coalesce(F.col("declared_type") != "UNKNOWN", F.lit(False))
+    ranked = F.col("_ranked")  # a column of its own, so that the votes are counted once
     guess = F.when((ranked[0]["n"] < 2) | (ranked[0]["n"] == ranked[1]["n"]), "UNKNOWN").otherwise(ranked[0]["kind"])
-    return read.withColumn("detected_type", F.when(F.col("declared_type").isNotNull() & (F.col("declared_type") != "UNKNOWN"), F.col("declared_type")).otherwise(guess))
+    own = read.withColumn("_lower", F.lower(text)).withColumn("_ranked", F.when(~declared, F.sort_array(votes, asc=False)))
+    return own.withColumn("detected_type", S.fenced(F.when(declared, F.col("declared_type")).otherwise(guess))).drop("_lower", "_ranked")
 
 
 def _find(names: tuple[str, ...]) -> Column:
@@ -72,8 +80,10 @@ def stacked_lines() -> Column:
 
 def text_lines() -> Column:
     """`description quantity price` on one text line; the line's number is its place in the text."""
-    lines = F.transform(F.split(F.coalesce("full_text", F.lit("")), r"\r\n|\n|\r"), lambda x, i: F.struct(T.stripped(x).alias("x"), (i + 1).alias("i")))
-    hits = F.filter(lines, lambda s: ~s["x"].rlike(LINE_HEADER) & s["x"].rlike(TEXT_LINE))
+    lines = F.transform(F.split(F.coalesce("full_text", F.lit("")), r"\r\n|\n|\r"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+    numbered = F.filter(lines, lambda s: s["x"].rlike(TWO_NUMBERS))  # stripped or not
+    bare = F.transform(numbered, lambda s: F.struct(T.stripped(s["x"]).alias("x"), s["i"].alias("i")))
+    hits = F.filter(bare, lambda s: ~s["x"].rlike(LINE_HEADER) & s["x"].rlike(TEXT_LINE))
     part = lambda s, k: F.regexp_extract(s["x"], TEXT_LINE, k)
     return F.transform(hits, lambda s: _line(line_number=s["i"], description=part(s, 1), quantity=part(s, 2), unit_price=part(s, 3), method=F.lit("line_regex"), confidence=F.lit("MEDIUM")))
 
@@ -192,19 +202,26 @@ def judge_corrections(candidates: DataFrame, corrections: DataFrame) -> DataFram
     """
     known = candidates.select(F.col("doc_id"), F.col("detected_type").alias("_type"), F.size("lines").alias("_n"))
     own = corrections.join(known, "doc_id", "left")
-    index = F.regexp_extract("field_path", r"^lines\[(\d+)\]\.\w+$", 1)
-    name = F.regexp_replace("field_path", r"^lines\[\d+\]\.", "")
+    of_line = F.coalesce(F.startswith("field_path", F.lit("lines[")), F.lit(False))
+    index = F.when(of_line, F.regexp_extract("field_path", r"^lines\[(\d+)\]\.\w+$", 1)).otherwise("")
+    name = F.when(of_line, F.regexp_replace("field_path", r"^lines\[\d+\]\.", "")).otherwise(F.coalesce("field_path", F.lit("")))
     dated = functools.reduce(lambda c, k: c | ((F.col("_type") == k) & (name == DATE_OF[k])), DATE_OF, F.lit(False))
     own = own.withColumns({"_index": F.when(index != "", index.try_cast("int")), "_inside": index != "", "_name": F.when(dated, "doc_date").otherwise(name), "_v": T.stripped(F.col("value"))})
     n, v, inside = F.col("_name"), F.col("_v"), F.col("_inside")
-    number = F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), v).try_cast(S.NUMBER)
-    whole = F.when(v.rlike(r"^[+-]?\d+$"), v).try_cast("int")
+    is_number = n.isin(*POSITIVE_FIELDS, *AMOUNT_FIELDS)
     day = F.coalesce(F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(v, "yyyy-MM-dd")), F.when(v.rlike(r"^\d{8}$"), F.try_to_date(v, "yyyyMMdd")))
-    text = F.when(n.isin(*BUSINESS_FIELDS), S.normalize_business_value(v)).otherwise(v)
-    clean = (
-        F.when(n.isin(*POSITIVE_FIELDS, *AMOUNT_FIELDS), number.cast("string")).when(n == "line_number", whole.cast("string")).when(n == "doc_date", day.cast("string")).otherwise(text)
+    # Each kind of value is read once, and only for its own fields.
+    own = own.withColumns(
+        {
+            "_number": F.when(is_number & v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), v).try_cast(S.NUMBER),
+            "_whole": F.when((n == "line_number") & v.rlike(r"^[+-]?\d+$"), v).try_cast("int"),
+            "_day": F.when(n == "doc_date", day),
+            "_said": F.when(n.isin(*BUSINESS_FIELDS), S.normalize_business_value(v)).otherwise(v),
+        }
     )
-    is_number, empty = n.isin(*POSITIVE_FIELDS, *AMOUNT_FIELDS), F.coalesce(clean, F.lit("")) == ""
+    number, whole, day = F.col("_number"), F.col("_whole"), F.col("_day")
+    own = own.withColumn("clean", F.when(is_number, number.cast("string")).when(n == "line_number", whole.cast("string")).when(n == "doc_date", day.cast("string")).otherwise(F.col("_said")))
+    empty = F.coalesce("clean", F.lit("")) == ""
     reason = (
         F.when(F.col("_type").isNull() | (F.col("_type") == "UNKNOWN"), "no candidate")
         .when(inside & ~n.isin(*LINE_FIELDS) | ~inside & ~n.isin(*HEAD_FIELDS), "unknown field")
@@ -215,7 +232,7 @@ def judge_corrections(candidates: DataFrame, corrections: DataFrame) -> DataFram
         .when(n.isin(*TEXT_FIELDS) & empty, "empty").when((n == "currency") & (F.length(v) != 3), "not three letters")
     )
     path = F.when(inside, F.concat(F.lit("lines["), F.col("_index").cast("string"), F.lit("]."), n)).otherwise(n)
-    judged = own.withColumns({"path": path, "clean": clean, "reason": reason})
+    judged = own.withColumns({"path": path, "reason": reason})
     return judged.select(*corrections.columns, "path", "clean", "reason")
 
 
@@ -224,9 +241,10 @@ def apply_corrections(candidates: DataFrame, corrections: DataFrame) -> tuple[Da
 
     Returns the corrected candidates, to be validated again, and the rejected corrections with a reason.
     """
-    judged = judge_corrections(candidates, corrections)
+    judged = written(judge_corrections(candidates, corrections))  # read for what holds and for what doesn't
     last = judged.where("reason IS NULL").groupBy("doc_id", "path").agg(F.max_by(F.struct("clean"), F.col("seq")).alias("v"))
-    maps = last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("path"), F.col("v.clean")))).alias("_fix"))  # one entry per corrected path
+    index = F.when(F.startswith("path", F.lit("lines[")), F.regexp_extract("path", r"\d+", 0).cast("int"))
+    maps = last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("path"), F.col("v.clean")))).alias("_fix"), F.collect_set(index).alias("_touched"))  # one entry per corrected path
     joined = candidates.join(maps, "doc_id", "left").withColumn("_fix", F.coalesce("_fix", F.create_map().cast("map<string,string>")))
     kinds = {f.name: f.dataType for f in candidates.schema["lines"].dataType.elementType} | {f.name: f.dataType for f in candidates.schema}
 
@@ -234,12 +252,13 @@ def apply_corrections(candidates: DataFrame, corrections: DataFrame) -> tuple[Da
         return F.when(F.map_contains_key("_fix", key), F.try_element_at("_fix", key).cast(kinds[name])).otherwise(old)
 
     def line(x: Column, i: Column) -> Column:
+        new = x
         for name in LINE_FIELDS:
-            x = x.withField(name, fixed(F.concat(F.lit("lines["), i.cast("string"), F.lit(f"].{name}")), x[name], name))
-        return x
+            new = new.withField(name, fixed(F.concat(F.lit("lines["), i.cast("string"), F.lit(f"].{name}")), x[name], name))
+        return F.when(F.array_contains("_touched", i), new).otherwise(x)
 
     out = joined.withColumns({**{k: fixed(F.lit(k), F.col(k), k) for k in HEAD_FIELDS}, "lines": F.transform("lines", line)})
-    return out.drop("_fix"), judged.where("reason IS NOT NULL").drop("path", "clean")
+    return out.drop("_fix", "_touched"), judged.where("reason IS NOT NULL").drop("path", "clean")
 
 
 def promotable(understood: DataFrame, tasks: DataFrame) -> DataFrame:

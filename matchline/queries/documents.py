@@ -146,7 +146,7 @@ def d10(spark, d):
     docs = read(spark, d)
     value = lambda v: F.concat(F.lit("FIX-"), F.col("doc_id").cast("string")) if v is None else F.lit(v)
     changes = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(p).alias("field_path"), value(v).alias("value")) for i, (p, v) in enumerate(_CHANGES, 1)))).alias("e")).select("doc_id", "e.*")
-    understood = written(D.understand(docs).drop("issues", "is_valid", "requires_review", "outcome"))
+    understood = written(D.understand(docs).drop("issues", "is_valid", "requires_review", "outcome", "full_text", "fields", "evidence"))
     fixed, rejected = D.apply_corrections(understood, changes)
     refused = rejected.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("seq")), lambda x: x.cast("string")), ",").alias("rejected"))
     first = F.get("lines", F.lit(0))
