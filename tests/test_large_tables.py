@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from matchline.functions import helpers
 from matchline.operators import documents as D
 from matchline.operators import reconcile as R
 from matchline.registry import QUERIES
@@ -78,3 +79,13 @@ def test_unit_results_exchange_no_fingerprints(spark):
 def test_invoice_outcome_reads_the_written_invoices(spark):
     out = QUERIES["s8_apply_invoice_outcome"](spark, "/root/testdata/sf0.001")
     assert "lineitem" not in " ".join(out.inputFiles())
+
+
+def test_embedding_exchanges_texts_once(spark):
+    docs = spark.createDataFrame([(1, "Bolt bolt nut"), (2, "Bolt bolt nut"), (3, "!?"), (4, None)], "doc_id long, text string")
+    own = helpers.embed_batch(docs, "text", 8)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 2, plan
+    rows = {r["doc_id"]: r["vector"] for r in own.collect()}
+    assert len(rows) == 4 and rows[1] == rows[2] and all(len(v) == 8 and abs(sum(x * x for x in v) - 1) < 1e-5 for v in rows.values())
+    assert rows[3] != rows[4]
