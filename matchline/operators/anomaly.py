@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.folds import folded
-from ..sources.stored import written
+from ..sources.stored import scratch, written
 from .reconcile import Tables
 
 SIGNAL = ("anomaly_type", "severity", "score", "vendor_id", "po_id", "invoice_id", "grn_id", "evidence", "fingerprint")
@@ -147,17 +148,23 @@ class Baselines:
         return Baselines(written(vendor_sums(inv)), written(duplicate_invoice_signals(inv)))
 
 
-def detect_scoped(invoices: DataFrame, t: Tables, config: Config = Config(), sums: DataFrame | None = None) -> DataFrame:
+def scoped_parts(invoices: DataFrame, t: Tables, config: Config = Config(), sums: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = written) -> list[DataFrame]:
     """A1, A2, A4 and A5 of some invoices (rows of t.inv): what they touch is looked up below the rules.
 
     Their lines, orders and receipts, and their vendors' sums (over t.inv unless given), are all that the rules see.
+    keep writes the lines, which go with it.
     """
     ids = invoices.select("invoice_id")
-    lines = written(t.inv_line.join(ids, "invoice_id", "left_semi"))
-    own = replace(t, inv=invoices, inv_line=lines, po_line=written(t.po_line.join(lines.select("po_line_id"), "po_line_id", "left_semi")))
+    values = ("po_id", "po_line_id", "unit_price", "quantity")
+    lines = keep(t.inv_line.select("invoice_line_id", "invoice_id", "line_number", *values).join(ids, "invoice_id", "left_semi"))
+    own = replace(t, inv=invoices, inv_line=lines, po_line=keep(t.po_line.select(*values).join(lines.select("po_line_id"), "po_line_id", "left_semi")))
     sums = vendor_sums(t.inv.join(invoices.select("vendor_id"), "vendor_id", "left_semi")) if sums is None else sums
-    parts = [price_variance_signals(own, config), quantity_variance_signals(own, config), timing_signals(t.po, t.grn, invoices, config), vendor_spike_signals(invoices, "invoice", config, sums)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    return [price_variance_signals(own, config), quantity_variance_signals(own, config), timing_signals(t.po, t.grn, invoices, config), vendor_spike_signals(invoices, "invoice", config, sums)]
+
+
+def detect_scoped(invoices: DataFrame, t: Tables, config: Config = Config(), sums: DataFrame | None = None) -> DataFrame:
+    """The signals of `scoped_parts`."""
+    return functools.reduce(DataFrame.unionByName, scoped_parts(invoices, t, config, sums))
 
 
 def detect_exceptions(scope: DataFrame, t: Tables, exceptions: DataFrame, as_of: datetime.date, config: Config = Config()) -> DataFrame:
@@ -199,12 +206,14 @@ def full_scan(t: Tables, exceptions: DataFrame, as_of: datetime.date, after_invo
     if batch:
         invoices, vendors = invoices.orderBy("invoice_id").limit(batch), vendors.orderBy("vendor_id").limit(batch)
     invoices, vendors = written(invoices), written(vendors)
-    of_invoices = detect_scoped(invoices, t, config, base.sums).select(*SIGNAL).unionByName(base.duplicates.join(invoices.select("invoice_id"), "invoice_id", "left_semi").select(*SIGNAL))
     latest = t.inv.join(vendors.select(F.col("latest.invoice_id").alias("invoice_id")), "invoice_id", "left_semi")
     start = as_of - datetime.timedelta(days=config.window_days)
     recent = t.inv.where(F.col("invoice_date") >= F.lit(start)).join(vendors.select("vendor_id"), "vendor_id", "left_semi")
-    of_vendors = vendor_spike_signals(latest, "vendor", config, vendors).unionByName(repeated_mismatch_signals(recent, exceptions, as_of, config)).select(*SIGNAL)
-    rows = written(of_invoices.unionByName(of_vendors))
+    with scratch(t.inv.sparkSession) as held:
+        parts = scoped_parts(invoices, t, config, base.sums, held)
+        parts += [base.duplicates.join(invoices.select("invoice_id"), "invoice_id", "left_semi"), vendor_spike_signals(latest, "vendor", config, vendors), repeated_mismatch_signals(recent, exceptions, as_of, config)]
+        # One after the other: the shuffles of a part go before the next one's come.
+        rows = functools.reduce(DataFrame.unionByName, [written(p.select(*SIGNAL)) for p in parts])
     blind = F.count_if(F.col("vendor_id").isNull() | F.col("invoice_date").isNull())
     counts = invoices.agg(F.count("*").alias("invoices"), F.max("invoice_id").alias("last_invoice"), blind.alias("errors"))
     counts = counts.crossJoin(vendors.agg(F.count("*").alias("vendors"), F.max("vendor_id").alias("last_vendor"))).crossJoin(rows.agg(F.count("*").alias("signals")))
