@@ -89,3 +89,24 @@ def test_embedding_exchanges_texts_once(spark):
     rows = {r["doc_id"]: r["vector"] for r in own.collect()}
     assert len(rows) == 4 and rows[1] == rows[2] and all(len(v) == 8 and abs(sum(x * x for x in v) - 1) < 1e-5 for v in rows.values())
     assert rows[3] != rows[4]
+
+
+def _kept_folders(spark):
+    root = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://")
+    return {x for x in os.listdir(root) if x.startswith("scratch-") and os.listdir(f"{root}/{x}")} if os.path.isdir(root) else set()
+
+
+def test_scan_writes_its_parts_apart_and_drops_what_they_read(spark):
+    rows = QUERIES["a10_full_scan"](spark, "/root/testdata/sf0.001")
+    folders = {os.path.dirname(f) for f in rows.inputFiles()}
+    assert len(folders) > 1 and not _kept_folders(spark)
+
+
+def test_types_are_voted_on_once(spark):
+    plan = _plan(D.classify(D.labelled_fields(_docs(spark, INVOICE))).select("detected_type"))
+    assert plan.count("amount\\s*due") == 1
+
+
+def test_letters_without_case_are_hints_too(spark):
+    row = D.labelled_fields(_docs(spark, "İnvoice No: 7\nınvoice date: 2024-01-05")).select("fields").first()
+    assert row["fields"] == {"invoice_number": "7", "invoice_date": "2024-01-05"}
